@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgraph.llm import html_extract, media, quality, topk_search
+from riskgraph.llm import html_extract, media, quality, sentencepiece_codec, topk_search
+
+
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +23,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), sentencepiece_codec.Model.load(model_path))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -29,7 +36,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).drop("tile")
 
 
-QUERIES = {"op2_html_extraction": op2_html_extraction, "op5_exact_top_k": op5_exact_top_k, "op8_quality_classifier": op8_quality_classifier, "op10_media_columns": op10_media_columns}
+QUERIES = {"op2_html_extraction": op2_html_extraction, "op5_exact_top_k": op5_exact_top_k, "op7_sentencepiece": op7_sentencepiece, "op8_quality_classifier": op8_quality_classifier, "op10_media_columns": op10_media_columns}
 ORACLES: dict[str, str] = {
     "op5_exact_top_k": """
         WITH v AS (
