@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgraph.llm import html_extract, media, quality, sentencepiece_codec, topk_search
+from riskgraph.llm import html_extract, media, mixing, quality, sentencepiece_codec, topk_search
 
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -18,6 +18,11 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixed.drop("text").withColumnsRenamed({"mix_tokens": "n_tokens", "mix_topic": "topic", "mix_weight": "weight", "mix_probability": "probability", "mix_kept": "kept"})
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk_search.quantised(table(spark, sf_dir, "embeddings"))
     return topk_search.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
@@ -36,7 +41,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).drop("tile")
 
 
-QUERIES = {"op2_html_extraction": op2_html_extraction, "op5_exact_top_k": op5_exact_top_k, "op7_sentencepiece": op7_sentencepiece, "op8_quality_classifier": op8_quality_classifier, "op10_media_columns": op10_media_columns}
+QUERIES = {"op2_html_extraction": op2_html_extraction, "op4_mixing": op4_mixing, "op5_exact_top_k": op5_exact_top_k, "op7_sentencepiece": op7_sentencepiece, "op8_quality_classifier": op8_quality_classifier, "op10_media_columns": op10_media_columns}
 ORACLES: dict[str, str] = {
     "op5_exact_top_k": """
         WITH v AS (
