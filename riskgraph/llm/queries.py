@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskgraph.llm import html_extract, media, mixing, quality, sentencepiece_codec, topk_search
+from riskgraph.llm import html_extract, license_scan, media, mixing, quality, sentencepiece_codec, topk_search
 
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -37,11 +38,19 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents have no paths: source, language and id make up a tree of files."""
+    docs = table(spark, sf_dir, "documents")
+    parts = (F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), (F.col("doc_id") % 64).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    docs = docs.select("doc_id", "text", F.concat_ws("/", *parts).alias("path"))
+    return license_scan.inherit(license_scan.scan(docs))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).drop("tile")
 
 
-QUERIES = {"op2_html_extraction": op2_html_extraction, "op4_mixing": op4_mixing, "op5_exact_top_k": op5_exact_top_k, "op7_sentencepiece": op7_sentencepiece, "op8_quality_classifier": op8_quality_classifier, "op10_media_columns": op10_media_columns}
+QUERIES = {"op2_html_extraction": op2_html_extraction, "op4_mixing": op4_mixing, "op5_exact_top_k": op5_exact_top_k, "op7_sentencepiece": op7_sentencepiece, "op8_quality_classifier": op8_quality_classifier, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}
 ORACLES: dict[str, str] = {
     "op5_exact_top_k": """
         WITH v AS (
