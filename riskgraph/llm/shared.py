@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -17,3 +18,21 @@ def cut(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``label``, the smallest node it is linked to over any number of ``edges`` (a, b).
+
+    Each round takes the smallest label among a node and its neighbours and then the label's own label,
+    until no label changes. A hub's edges are pre-aggregated or split by AQE; nothing but counts comes to the driver.
+    """
+    both = edges.select("a", "b").where("a <> b")
+    both = cut(both.union(both.select("b", "a")).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        least = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("to"))
+        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("over"))
+        labels = cut(least.join(jump, "to", "left").select("node", F.least("to", "over").alias("label"), (F.least("to", "over") < F.col("old")).alias("moved")))
+        if not labels.where("moved").limit(1).count():
+            return labels.select("node", "label")
