@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import html_extract, license_scan, media, mixing, near_dedup, quality, sentencepiece_codec, topk_search
+from riskgraph.llm import html_extract, license_scan, media, mixing, near_dedup, quality, sentencepiece_codec, suffix_dedup, topk_search
 
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -54,7 +58,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).drop("tile")
 
 
-QUERIES = {"op2_html_extraction": op2_html_extraction, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_exact_top_k": op5_exact_top_k, "op7_sentencepiece": op7_sentencepiece, "op8_quality_classifier": op8_quality_classifier, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_html_extraction": op2_html_extraction, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_exact_top_k": op5_exact_top_k, "op7_sentencepiece": op7_sentencepiece, "op8_quality_classifier": op8_quality_classifier, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}
 ORACLES: dict[str, str] = {
     "op5_exact_top_k": """
         WITH v AS (
