@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import html_extract, license_scan, media, mixing, near_dedup, quality, sentencepiece_codec, suffix_dedup, topk_search
+from riskgraph.llm import html_extract, license_scan, lm_score, media, mixing, near_dedup, quality, sentencepiece_codec, suffix_dedup, topk_search
 
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -37,6 +37,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), sentencepiece_codec.Model.load(model_path))
 
@@ -58,7 +62,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents")).drop("tile")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_html_extraction": op2_html_extraction, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_exact_top_k": op5_exact_top_k, "op7_sentencepiece": op7_sentencepiece, "op8_quality_classifier": op8_quality_classifier, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_html_extraction": op2_html_extraction, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_exact_top_k": op5_exact_top_k, "op6_lm_score": op6_lm_score, "op7_sentencepiece": op7_sentencepiece, "op8_quality_classifier": op8_quality_classifier, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}
 ORACLES: dict[str, str] = {
     "op5_exact_top_k": """
         WITH v AS (
@@ -76,4 +80,24 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op6_lm_score": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]+') AS ws FROM documents
+        ), t AS (
+            SELECT doc_id, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)
+        ), u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+        b AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
+        total AS (SELECT CAST(round(1e6 * ln(count(*))) AS BIGINT) AS l FROM t),
+        s AS (
+            SELECT doc_id, CASE
+                WHEN t.v IS NULL THEN CAST(round(1e6 * ln(u.c)) AS BIGINT) - total.l
+                WHEN b.c IS NOT NULL THEN CAST(round(1e6 * ln(b.c)) AS BIGINT) - CAST(round(1e6 * ln(uv.c)) AS BIGINT)
+                ELSE CAST(round(1e6 * ln(0.4)) AS BIGINT) + CAST(round(1e6 * ln(u.c)) AS BIGINT) - total.l END AS l
+            FROM t CROSS JOIN total JOIN u ON u.w = t.w LEFT JOIN u uv ON uv.w = t.v LEFT JOIN b ON b.v = t.v AND b.w = t.w
+        ), g AS (SELECT doc_id, count(*) AS n, sum(l) AS s FROM s GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, CAST(coalesce(s, 0) AS BIGINT) AS score,
+               CASE WHEN n > 0 THEN CAST(s AS DOUBLE) / CAST(n AS DOUBLE) / 1e6 END AS per_token
+        FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+    """,
 }

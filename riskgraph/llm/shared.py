@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,67 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tagged(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """``df`` with ``__tag``, which tells apart rows of one id: 0 where ids are unique, else a hash of the text below 256."""
+    repeated = df.groupBy(row_id).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return df.withColumn("__tag", F.pmod(F.xxhash64(text), F.lit(256)).cast("int") if repeated else F.lit(0))
+
+
+def pack(columns: dict, layout) -> bytes:
+    """Columns one after the other, each as planes of its bytes: leading zeros then compress well."""
+    return b"".join(np.ascontiguousarray(columns[c].astype(t).view(np.uint8).reshape(len(columns[c]), -1).T).tobytes() for c, t in layout)
+
+
+def unpack(data: bytes, layout) -> dict:
+    flat, sizes, at, out = np.frombuffer(data, np.uint8), [np.dtype(t).itemsize for _, t in layout], 0, {}
+    n = len(flat) // sum(sizes)
+    for (c, t), size in zip(layout, sizes):
+        out[c] = np.ascontiguousarray(flat[at : at + n * size].reshape(size, n).T).view(t).ravel()
+        at += n * size
+    return out
+
+
+def joined(parts: list[dict], layout) -> dict:
+    return {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, t) for c, t in layout}
+
+
+def take(columns: dict, which: np.ndarray) -> dict:
+    return {c: v[which] for c, v in columns.items()}
+
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Of sorted columns, where a new combination of values begins."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def by_bucket(df: DataFrame, parts: int, finish: Callable[[int, dict[str, list]], Iterator], schema: str) -> DataFrame:
+    """``df`` (a column ``bucket`` and binary columns) dealt by bucket; ``finish`` gets one bucket's cells by column at a time and yields record batches."""
+    names = [c for c in df.columns if c != "bucket"]
+
+    def run(batches):
+        bucket, cells = None, {}
+        for batch in batches:
+            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in ("bucket", *names)}
+            for i in range(len(batch)):
+                b = columns["bucket"][i].as_py()
+                if b != bucket:
+                    if bucket is not None:
+                        yield from finish(bucket, cells)
+                    bucket, cells = b, {c: [] for c in names}
+                for c in names:
+                    if columns[c][i].is_valid:
+                        cells[c].append(columns[c][i].as_py())
+        if bucket is not None:
+            yield from finish(bucket, cells)
+
+    return df.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``label``, the smallest node it is linked to over any number of ``edges`` (a, b).
 
