@@ -234,3 +234,11 @@ def classes(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: s
     met = members.join(least, "label")
     first = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("row") == F.col("at.row"))
     return met.select("doc_id", "row", "class_id", "class_size", first.alias("first"))
+
+
+def deduplicate(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that come first in their class, one per class, with all columns."""
+    kept = classes(docs, p, text, doc_id).where("first").select(F.col("doc_id").alias("__kept"), F.col("row").alias("__row")).distinct()
+    keyed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    met = keyed.join(kept, keyed[doc_id].cast("long").eqNullSafe(kept["__kept"]) & (keyed["__text_hash"] == kept["__row"]), "left_semi")
+    return met.dropDuplicates([doc_id, "__text_hash"]).drop("__text_hash")
