@@ -1,7 +1,10 @@
-"""Queries over the driver tables, by operator key, with their oracle SQL."""
+"""All queries over the driver tables, by operator key, with their oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "device_fanout_ranking"
+from riskgraph.plans import graph_queries  # noqa: F401
+from riskgraph.plans.base import ORACLES, QUERIES
+
+FLAGSHIP = "v_card"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
