@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskgraph.plans import card_queries, graph_queries, network_queries  # noqa: F401
+from riskgraph.plans import card_queries, feature_queries, graph_queries, network_queries, policy_queries  # noqa: F401
 from riskgraph.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "v_card"
