@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,19 +23,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def tagged(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """``df`` with ``__tag``, which tells apart rows of one id: 0 where ids are unique, else a hash of the text below 256."""
+def tagged(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with ``__tag``, and the columns that tell its rows apart: the id alone where ids are unique, else also a hash of the text below 256."""
     repeated = df.groupBy(row_id).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return df.withColumn("__tag", F.pmod(F.xxhash64(text), F.lit(256)).cast("int") if repeated else F.lit(0))
+    if not repeated:
+        return df.withColumn("__tag", F.lit(0)), [row_id]
+    return df.withColumn("__tag", F.pmod(F.xxhash64(text), F.lit(256)).cast("int")), [row_id, "__tag"]
 
 
 def pack(columns: dict, layout) -> bytes:
-    """Columns one after the other, each as planes of its bytes: leading zeros then compress well."""
-    return b"".join(np.ascontiguousarray(columns[c].astype(t).view(np.uint8).reshape(len(columns[c]), -1).T).tobytes() for c, t in layout)
+    """Columns one after the other, each as planes of its bytes (leading zeros then compress well), compressed."""
+    planes = b"".join(np.ascontiguousarray(columns[c].astype(t).view(np.uint8).reshape(len(columns[c]), np.dtype(t).itemsize).T).tobytes() for c, t in layout)
+    return zlib.compress(planes, 1)
 
 
 def unpack(data: bytes, layout) -> dict:
-    flat, sizes, at, out = np.frombuffer(data, np.uint8), [np.dtype(t).itemsize for _, t in layout], 0, {}
+    flat, sizes, at, out = np.frombuffer(zlib.decompress(data), np.uint8), [np.dtype(t).itemsize for _, t in layout], 0, {}
     n = len(flat) // sum(sizes)
     for (c, t), size in zip(layout, sizes):
         out[c] = np.ascontiguousarray(flat[at : at + n * size].reshape(size, n).T).view(t).ravel()

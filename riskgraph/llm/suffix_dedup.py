@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.llm.shared import cut
+from riskgraph.llm.shared import by_bucket, cut, joined, pack, runs, tagged, take, unpack
 from riskgraph.llm.text import U, mix
 
 LENGTH = 50
@@ -124,51 +124,22 @@ def _blocks(batch: pa.RecordBatch):
 
 
 #: Columns of a sample on its way to its bucket, and their types.
-SAMPLE = (("key", "<u4"), ("left", "<u2"), ("right", "<u2"), ("rank", "<u4"), ("id", "<i8"), ("tag", "u1"), ("at", "<u4"), ("more", "u1"))
-FOUND = (("id", "<i8"), ("tag", "u1"), ("at", "<u4"), ("more", "<u4"))
-
-
-def _pack(columns: dict, layout) -> bytes:
-    """Columns one after the other, each as planes of its bytes: leading zeros then compress well."""
-    return b"".join(np.ascontiguousarray(columns[c].astype(t).view(np.uint8).reshape(len(columns[c]), -1).T).tobytes() for c, t in layout)
-
-
-def _unpack(data: bytes, layout) -> dict:
-    flat, sizes, at, out = np.frombuffer(data, np.uint8), [np.dtype(t).itemsize for _, t in layout], 0, {}
-    n = len(flat) // sum(sizes)
-    for (c, t), size in zip(layout, sizes):
-        out[c] = np.ascontiguousarray(flat[at : at + n * size].reshape(size, n).T).view(t).ravel()
-        at += n * size
-    return out
-
-
-def _joined(parts: list[dict], layout) -> dict:
-    return {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, t) for c, t in layout}
-
-
-def _runs(*columns: np.ndarray) -> np.ndarray:
-    """Of sorted columns, where a new combination of values begins."""
-    new = np.ones(len(columns[0]), bool)
-    if len(new):
-        new[1:] = False
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-    return new
+SAMPLE = (("key", "<u4"), ("left", "<u2"), ("right", "<u2"), ("rank", "<u4"), ("id", "<i8"), ("tag", "u1"), ("at", "<u4"), ("more", "u1"), ("off", "u1"))
+#: Windows of a document: the first of a run, and how many more.
+FOUND = (("id", "<i8"), ("tag", "u1"), ("at", "<u4"), ("more", "u1"))
+#: Single windows on their way to their bucket.
+WINDOW = (("rank", "<u8"), ("id", "<i8"), ("tag", "u1"), ("at", "<u4"))
 
 
 def _settled(s: dict) -> np.ndarray:
     """Of samples sorted by (key, left, right, rank, id): which tie over their whole stretch with an earlier document."""
-    run = _runs(s["key"], s["left"], s["right"], s["rank"])
+    run = runs(s["key"], s["left"], s["right"], s["rank"])
     least = s["id"][np.flatnonzero(run)][np.cumsum(run) - 1] if len(run) else s["id"]
     return s["id"] > least
 
 
-def _take(s: dict, which: np.ndarray) -> dict:
-    return {c: v[which] for c, v in s.items()}
-
-
 def _ordered(s: dict) -> dict:
-    return _take(s, np.lexsort((s["id"], s["rank"], s["right"], s["left"], s["key"])))
+    return take(s, np.lexsort((s["id"], s["rank"], s["right"], s["left"], s["key"])))
 
 
 def _gather(buckets: int):
@@ -178,16 +149,16 @@ def _gather(buckets: int):
         if not held:
             return
         home = np.concatenate([h for h, _ in held])
-        s = _joined([x for _, x in held], SAMPLE)
+        s = joined([x for _, x in held], SAMPLE)
         order = np.lexsort((s["id"], s["rank"], s["right"], s["left"], s["key"], home))
-        s, home = _take(s, order), home[order]
+        s, home = take(s, order), home[order]
         known = _settled(s)
         if known.any():
-            yield int(home[0]), None, _pack(_take(s, known), FOUND)
-        s, home = _take(s, ~known), home[~known]
+            yield int(home[0]), None, pack(take(s, known), FOUND)
+        s, home = take(s, ~known), home[~known]
         edge = np.searchsorted(home, np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edge)):
-            yield int(b), _pack(_take(s, np.arange(edge[b], edge[b + 1])), SAMPLE), None
+            yield int(b), pack(take(s, np.arange(edge[b], edge[b + 1])), SAMPLE), None
 
     def rows(batches):
         held, size = [], 0
@@ -207,6 +178,7 @@ def _gather(buckets: int):
                         "tag": np.array(tags, np.uint8)[doc],
                         "at": (first - a + np.array(bases, np.int64)[doc]).astype("<u4"),
                         "more": more.astype("u1"),
+                        "off": (place - first).astype("u1"),
                     }
                     held.append(((whole & U(0xFFFFFFFF)).astype(np.int64) % buckets, s))
                 size += block.n
@@ -226,77 +198,132 @@ def resolve(s: dict) -> tuple[dict, dict]:
     """One bucket's samples to those settled (all their windows are removed) and those left open."""
     s = _ordered(s)
     known = _settled(s)
-    settled, s = _take(s, known), _take(s, ~known)
-    # of what is left each (key, stretch) belongs to one document; it is open if it ties with another one on a side
-    open_ = np.zeros(len(s["id"]), bool)
+    settled, s = take(s, known), take(s, ~known)
+    # what is left may tie with another document over K bytes and G more on a side
+    ties = {}
     for side in ("left", "right"):
         order = np.lexsort((s["id"], s[side], s["key"]))
-        run = _runs(s["key"][order], s[side][order])
-        group = np.cumsum(run) - 1
+        run = runs(s["key"][order], s[side][order])
         start = np.flatnonzero(run)
+        tie = np.zeros(len(order), bool)
         if len(start):
-            low = np.minimum.reduceat(s["id"][order], start)
-            high = np.maximum.reduceat(s["id"][order], start)
-            open_[order] |= (low < high)[group]
-    return settled, _take(s, open_)
-
-
-def _sort_buckets(batches):
-    """Rows in order of their bucket; one bucket at a time is held and sorted."""
-
-    def finish(parts, known):
-        settled, open_ = resolve(_joined(parts, SAMPLE))
-        for cells, kind in ((_joined([*known, settled], FOUND), True), (open_, False)):
-            if len(cells["id"]):
-                yield from _by_document(cells, kind)
-
-    bucket, parts, known = None, [], []
-    for batch in batches:
-        for b, samples, found in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != bucket:
-                if bucket is not None:
-                    yield from finish(parts, known)
-                bucket, parts, known = b, [], []
-            if samples is not None:
-                parts.append(_unpack(samples, SAMPLE))
-            if found is not None:
-                known.append(_unpack(found, FOUND))
-    if bucket is not None:
-        yield from finish(parts, known)
-
-
-def _by_document(cells: dict, settled: bool):
-    """One row per document: (id, tag, settled, windows as pairs of first and number - 1)."""
-    order = np.lexsort((cells["at"], cells["tag"], cells["id"]))
-    cells = _take(cells, order)
-    start = np.flatnonzero(_runs(cells["id"], cells["tag"]))
-    pairs = np.stack([cells["at"].astype("<u4"), cells["more"].astype("<u4")], 1)
+            low, high = np.minimum.reduceat(s["id"][order], start), np.maximum.reduceat(s["id"][order], start)
+            tie[order] = (low < high)[np.cumsum(run) - 1]
+        ties[side] = tie
+    # a window with G bytes or more on a side that doesn't tie is in no other document
+    place = s["at"].astype(np.int64) + s["off"]
+    first = np.where(ties["left"], s["at"], np.maximum(s["at"], place - G + 1))
+    last = s["at"].astype(np.int64) + s["more"]
+    last = np.where(ties["right"], last, np.minimum(last, place - (LENGTH - K - G + 1)))
+    open_ = (ties["left"] | ties["right"]) & (first <= last)
+    s = {"id": s["id"], "tag": s["tag"], "at": first.astype("<u4"), "more": (last - first).clip(0).astype("u1")}
+    return settled, take(s, open_)
+
+
+def _to_documents(found: dict, column: str, homes: int):
+    """Windows to rows (bucket: their document's home, settled, open), with the windows in ``column``."""
+    home = (mix(found["id"].astype(U)) % U(homes)).astype(np.int64)
+    order = np.lexsort((found["at"], found["tag"], found["id"], home))
+    found, home = take(found, order), home[order]
+    edge = np.searchsorted(home, np.arange(homes + 1))
+    for b in np.flatnonzero(np.diff(edge)):
+        cells = {"settled": None, "open": None} | {column: pack(take(found, slice(edge[b], edge[b + 1])), FOUND)}
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(b)], pa.int32())} | {c: pa.array([v], pa.binary()) for c, v in cells.items()})
+
+
+def _sort_bucket(homes: int):
+    def finish(bucket, cells):
+        settled, open_ = resolve(joined([unpack(x, SAMPLE) for x in cells["samples"]], SAMPLE))
+        yield from _to_documents(joined([settled, *(unpack(x, FOUND) for x in cells["found"])], FOUND), "settled", homes)
+        yield from _to_documents(open_, "open", homes)
+
+    return finish
+
+
+def _per_document(bucket, cells):
+    """One row per document: (id, tag, settled, open), windows as pairs of the first and how many more."""
+    parts = {c: joined([unpack(x, FOUND) for x in cells[c]], FOUND) for c in ("settled", "open")}
+    kind = np.concatenate([np.full(len(parts[c]["id"]), k) for k, c in enumerate(parts)])
+    both = joined(list(parts.values()), FOUND)
+    order = np.lexsort((both["at"], kind, both["tag"], both["id"]))
+    both, kind = take(both, order), kind[order]
+    pairs = np.stack([both["at"], both["more"].astype("<u4")], 1)
+    start = np.flatnonzero(runs(both["id"], both["tag"]))
     stop = np.append(start[1:], len(order))
-    for a in range(0, len(start), 20_000):
-        part = slice(a, a + 20_000)
+    middle = start + np.add.reduceat(kind == 0, start) if len(start) else start
+    for a in range(0, len(start), 10_000):
+        part = slice(a, a + 10_000)
         yield pa.RecordBatch.from_pydict({
-            "id": pa.array(cells["id"][start[part]], pa.int64()),
-            "tag": pa.array(cells["tag"][start[part]].astype(np.int32), pa.int32()),
-            "settled": pa.array(np.full(len(start[part]), settled)),
-            "windows": pa.array([pairs[x:y].tobytes() for x, y in zip(start[part], stop[part])], pa.binary()),
+            "__id": pa.array(both["id"][start[part]], pa.int64()),
+            "__tag": pa.array(both["tag"][start[part]].astype(np.int32), pa.int32()),
+            "settled": pa.array([pairs[x:y].tobytes() for x, y in zip(start[part], middle[part])], pa.binary()),
+            "open": pa.array([pairs[x:y].tobytes() for x, y in zip(middle[part], stop[part])], pa.binary()),
         })
 
 
-def _windows(batches):
-    """Rows (id, tag, text, open windows) to one row per window: its rank, id, tag and place."""
-    for batch in batches:
-        for i, tag, text, cells in zip(*(c.to_pylist() for c in batch.columns)):
-            pairs = np.frombuffer(b"".join(cells), "<u4").reshape(-1, 2).astype(np.int64)
-            at = np.unique(np.repeat(pairs[:, 0], pairs[:, 1] + 1) + np.arange(int((pairs[:, 1] + 1).sum())) - np.repeat(np.cumsum(pairs[:, 1] + 1) - pairs[:, 1] - 1, pairs[:, 1] + 1))
-            block = Block([text.encode("utf-8", "replace")])
-            at = at[at + LENGTH <= block.n]
-            rank = block.hashes(at, at + LENGTH).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"rank": pa.array(rank), "id": pa.array(np.full(len(at), i), pa.int64()), "tag": pa.array(np.full(len(at), tag), pa.int32()), "at": pa.array(at.astype(np.int32))})
+def _first_of_each(w: dict) -> np.ndarray:
+    """Of windows sorted by (rank, id): whether an earlier document has each."""
+    run = runs(w["rank"])
+    return w["id"] > w["id"][np.flatnonzero(run)][np.cumsum(run) - 1] if len(run) else run
+
+
+def _windows(buckets: int, homes: int):
+    """Rows (id, tag, text, open) to rows (bucket, windows) and, for windows that an earlier document of the task has, (home, settled)."""
+
+    def send(held):
+        w = joined(held, WINDOW)
+        w = take(w, np.lexsort((w["id"], w["rank"])))
+        known = _first_of_each(w)
+        found = take(w, known)
+        late = pack({c: found[c] if c != "more" else np.zeros(len(found["id"])) for c, _ in FOUND}, FOUND)
+        w = take(w, ~known)
+        home = (mix(w["rank"]) % U(buckets)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        w, home = take(w, order), home[order]
+        edge = np.searchsorted(home, np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(edge)):
+            yield batch_of(int(b), pack(take(w, slice(edge[b], edge[b + 1])), WINDOW), None)
+        if len(found["id"]):
+            yield batch_of(0 if not len(home) else int(home[0]), None, late)
+
+    def batch_of(bucket, windows, found):
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "windows": pa.array([windows], pa.binary()), "found": pa.array([found], pa.binary())})
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for k in range(len(batch)):
+                i, tag, text, cells = (c[k].as_py() for c in batch.columns[:4])
+                pairs = np.frombuffer(cells, "<u4").reshape(-1, 2).astype(np.int64)
+                many = pairs[:, 1] + 1
+                at = np.unique(np.repeat(pairs[:, 0] - (np.cumsum(many) - many), many) + np.arange(int(many.sum())))
+                block = Block([(text or "").encode("utf-8", "replace")])
+                rank = block.hashes(at, at + LENGTH)
+                held.append({"rank": rank, "id": np.full(len(at), i, np.int64), "tag": np.full(len(at), tag, np.uint8), "at": at.astype("<u4")})
+                size += len(at)
+                if size >= HELD // 16:
+                    yield from send(held)
+                    held, size = [], 0
+        if held:
+            yield from send(held)
+
+    return run
+
+
+def _sort_windows(homes: int):
+    def finish(bucket, cells):
+        w = joined([unpack(x, WINDOW) for x in cells["windows"]], WINDOW)
+        w = take(w, np.lexsort((w["id"], w["rank"])))
+        late = take(w, _first_of_each(w))
+        found = {c: late[c] if c != "more" else np.zeros(len(late["id"]), "u1") for c, _ in FOUND}
+        yield from _to_documents(joined([found, *(unpack(x, FOUND) for x in cells["found"])], FOUND), "settled", homes)
+
+    return finish
 
 
 def _covered(cells, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of the maximal runs of bytes that the windows cover."""
-    pairs = np.frombuffer(b"".join(cells or []), "<u4").reshape(-1, 2).astype(np.int64)
+    pairs = np.frombuffer(b"".join(c for c in cells if c), "<u4").reshape(-1, 2).astype(np.int64)
     if not len(pairs):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     change = np.zeros(n + 1, np.int64)
@@ -311,14 +338,14 @@ def _remove(with_text: bool):
     def run(batches):
         for batch in batches:
             out = []
-            for text, cells in zip(batch.column(0), batch.column(1)):
+            for text, *cells in zip(*batch.columns[:3]):
                 raw = (text.as_py() or "").encode("utf-8", "replace")
-                a, b = _covered(cells.as_py(), len(raw))
+                a, b = _covered([c.as_py() for c in cells], len(raw))
                 kept = b"".join(raw[x:y] for x, y in zip(np.append(0, b), np.append(a, len(raw))))
                 out.append((len(raw), int((b - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             made = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *made], [*batch.schema.names[2:], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], *made], [*batch.schema.names[3:], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     return run
 
@@ -336,26 +363,22 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     buckets = parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("__id"), F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(256)).cast("int").alias("__tag"), F.col(text).cast("string").alias("__text"), F.col(doc_id), *keep)
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("__id"), F.col(text).cast("string").alias("__text"), F.col(doc_id), *keep)
+    rows, keys = tagged(rows, "__id", "__text")
+    homed = "bucket int, settled binary, open binary"
+    by_document = "__id bigint, __tag int, settled binary, open binary"
+
     sent = rows.select("__id", "__tag", "__text").mapInArrow(_gather(buckets), "bucket int, samples binary, found binary")
-    sorted_ = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, "id bigint, tag int, settled boolean, windows binary")
-    known = cut(sorted_)
-
-    placed = rows.repartition(parts, "__id", "__tag")
-    open_ = known.where("NOT settled").groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_list("windows").alias("windows"))
-    windows = placed.join(open_, ["__id", "__tag"]).select("__id", "__tag", "__text", "windows").mapInArrow(_windows, "rank bigint, id bigint, tag int, at int")
-    first = windows.groupBy("rank").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    late = cut(windows.join(first, "rank").where("id > least").select("id", "tag", "at"))
-    late = late.groupBy("id", "tag").agg(F.array_sort(F.collect_set("at")).alias("places")).mapInArrow(_as_windows, "id bigint, tag int, windows binary")
-
-    removed = known.where("settled").select("id", "tag", "windows").union(late)
-    removed = removed.groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_list("windows").alias("windows"))
-    met = placed.join(removed, ["__id", "__tag"], "left").select("__text", "windows", doc_id, *keep)
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields[2:]]
+    known = by_bucket(sent, parts, _sort_bucket(parts), homed)
+    known = cut(by_bucket(known, parts, _per_document, by_document))
+
+    # both joins read one exchange of the texts, as they take the same columns from it
+    placed = rows.repartition(parts, *keys)
+    open_ = known.where("length(open) > 0").select(*keys, "open")
+    windows = placed.join(open_, keys).select("__id", "__tag", "__text", "open", doc_id, *keep).mapInArrow(_windows(buckets, parts), "bucket int, windows binary, found binary")
+    late = by_bucket(by_bucket(windows, parts, _sort_windows(parts), homed), parts, _per_document, by_document)
+
+    met = placed.join(known.select(*keys, "settled"), keys, "left").join(late.select(*keys, F.col("settled").alias("late")), keys, "left")
+    met = met.select("__text", "settled", "late", doc_id, *keep)
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields[3:]]
     return met.mapInArrow(_remove(with_text), ", ".join([*schema, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"]))
-
-
-def _as_windows(batches):
-    for batch in batches:
-        cells = [np.stack([p, np.zeros(len(p))], 1).astype("<u4").tobytes() for p in (np.array(x) for x in batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary())], ["id", "tag", "windows"])
