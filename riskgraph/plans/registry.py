@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from riskgraph.plans import card_queries, feature_queries, graph_queries, network_queries, policy_queries  # noqa: F401
+from riskgraph.plans import card_queries, feature_queries, graph_queries, network_queries, policy_queries, report_queries  # noqa: F401
 from riskgraph.plans.base import ORACLES, QUERIES
 
-FLAGSHIP = "v_card"
+FLAGSHIP = "investigate_alerts"
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
