@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.llm.shared import by_bucket, cut, joined, pack, runs, tagged, take, unpack
+from riskgraph.llm.shared import by_bucket, cut, joined, pack, runs, split_by, tagged, take, unpack
 from riskgraph.llm.text import U, chunks, mix, word_hashes
 
 NO_ID = 2**63 - 1
-HELD = 1 << 24  # characters whose pairs a task gathers before it sends them
+HELD = 1 << 22  # characters whose pairs a task gathers before it sends them
 RARE = U(1 << 47)  # marks the code of a word outside the frequent ones: 47 bits of its hash
 START, END = U(1 << 48), U((1 << 48) + 1)  # stand for the second word: v opens, or closes, its document
 PAIR = (("v", "<u8"), ("w", "<u8"), ("id", "<i8"), ("tag", "u1"), ("m", "<u4"))
@@ -62,7 +62,7 @@ def unigrams(docs: DataFrame, text: str) -> DataFrame:
             for _, texts in chunks([None] * len(batch), batch.column(0).to_pylist()):
                 held.append(word_hashes(texts)[0])
                 size += len(held[-1])
-                if size > HELD // 4:
+                if size > HELD:
                     yield send()
                     held, size = [], 0
         if held:
@@ -202,42 +202,73 @@ def score(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = 2 * parts
+    buckets = 4 * parts
     rows = docs.select(F.col(doc_id), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("__id"), F.col(text).cast("string").alias("__text"))
-    rows = tagged(rows, "__id", "__text")
+    rows, _ = tagged(rows, "__id", "__text")
     counts = cut(unigrams(rows, "__text"))
     total = counts.agg(F.sum("c")).first()[0] or 0
     top = counts.orderBy(F.desc("c"), "h").limit(p.frequent).collect()
     known = spark.sparkContext.broadcast(Frequent(np.array([r.h for r in top], np.int64).astype(U), np.array([r.c for r in top], np.int64), total))
 
-    def count(bucket, cells):
-        frequent = known.value
-        sums, ask, own = resolve(joined([unpack(x, PAIR) for x in cells["pairs"]], PAIR), frequent, p)
-        done = _summed(joined([sums, *(unpack(x, SUM) for x in cells["sums"])], SUM))
-        yield batch_of([bucket], [None], [pack(own, COUNT)], [pack(done, SUM)])
-        home = _home(ask["w"], buckets)
-        ask = take(ask, order := np.lexsort((ask["tag"], ask["id"], home)))
-        edge = np.searchsorted(home[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(edge)):
-            yield batch_of([int(b)], [pack(take(ask, slice(edge[b], edge[b + 1])), ASK)], [None], [None])
+    def row(bucket: int, **cells):
+        kinds = {"ask": None, "counts": None, "sums": None} | cells
+        return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32())} | {c: pa.array([v], pa.binary()) for c, v in kinds.items()})
+
+    def send_sums(sums: list[dict]):
+        done = _summed(joined(sums, SUM))
+        for b, part in split_by(_home(done["id"].astype(U), parts), parts, done):
+            yield row(b, sums=pack(part, SUM))
+
+    def count():
+        asks, sums = [], []
+
+        def send():
+            ask = joined(asks, ASK)
+            ask = take(ask, np.lexsort((ask["tag"], ask["id"])))
+            for b, part in split_by(_home(ask["w"], buckets), buckets, ask):
+                yield row(b, ask=pack(part, ASK))
+            yield from send_sums(sums)
+            asks.clear()
+            sums.clear()
+
+        def one(bucket, cells):
+            found, ask, own = resolve(joined([unpack(x, PAIR) for x in cells["pairs"]], PAIR), known.value, p)
+            yield row(bucket, counts=pack(own, COUNT))
+            asks.append(ask)
+            sums.append(_summed(joined([found, *(unpack(x, SUM) for x in cells["sums"])], SUM)))
+            if sum(len(x["w"]) for x in asks) + sum(len(x["id"]) for x in sums) > HELD:
+                yield from send()
+
+        return one, send
+
+    def back_off():
+        sums = []
+
+        def send():
+            yield from send_sums(sums)
+            sums.clear()
+
+        def one(bucket, cells):
+            ask, own = (joined([unpack(x, k) for x in cells[c]], k) for c, k in (("ask", ASK), ("counts", COUNT)))
+            own = take(own, np.argsort(own["w"]))
+            c = own["c"][np.searchsorted(own["w"], ask["w"])] if len(ask["w"]) else np.ones(0, np.int64)
+            found = _scored(ask, log(c) + int(log(p.backoff)) - known.value.log_total)
+            sums.append(_summed(joined([found, *(unpack(x, SUM) for x in cells["sums"])], SUM)))
+            if sum(len(x["id"]) for x in sums) > HELD:
+                yield from send()
 
-    def back_off(bucket, cells):
-        frequent = known.value
-        ask, own = (joined([unpack(x, k) for x in cells[c]], k) for c, k in (("ask", ASK), ("counts", COUNT)))
-        own = take(own, np.argsort(own["w"]))
-        c = own["c"][np.searchsorted(own["w"], ask["w"])] if len(ask["w"]) else np.ones(0, np.int64)
-        sums = _scored(ask, log(c) + int(log(p.backoff)) - frequent.log_total)
-        done = _summed(joined([sums, *(unpack(x, SUM) for x in cells["sums"])], SUM))
-        yield pa.RecordBatch.from_pydict({"id": pa.array(done["id"]), "tag": pa.array(done["tag"].astype(np.int32)), "s": pa.array(done["s"]), "n": pa.array(done["n"])})
+        return one, send
 
-    def batch_of(bucket, ask, counts, sums):
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "ask": pa.array(ask, pa.binary()), "counts": pa.array(counts, pa.binary()), "sums": pa.array(sums, pa.binary())})
+    def documents(bucket, cells):
+        done = _summed(joined([unpack(x, SUM) for x in cells["sums"]], SUM))
+        yield pa.RecordBatch.from_pydict({"__id": pa.array(done["id"]), "__tag": pa.array(done["tag"].astype(np.int32)), "s": pa.array(done["s"]), "n": pa.array(done["n"])})
 
+    dealt = "bucket int, ask binary, counts binary, sums binary"
     sent = rows.select("__id", "__tag", "__text").mapInArrow(_pairs(buckets, known), "bucket int, pairs binary, sums binary")
-    asked = by_bucket(sent, parts, count, "bucket int, ask binary, counts binary, sums binary")
-    found = by_bucket(asked, parts, back_off, "id bigint, tag int, s bigint, n bigint")
+    asked = by_bucket(sent, parts, None, dealt, count)
+    backed = by_bucket(asked, parts, None, dealt, back_off).select("bucket", "sums")
+    summed = by_bucket(backed, parts, documents, "__id bigint, __tag int, s bigint, n bigint")
     # rows of one id and text were summed together: each gets its share
-    summed = found.groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     alike = rows.groupBy("__id", "__tag", doc_id).agg(F.count("*").alias("many"))
     met = alike.join(summed, ["__id", "__tag"], "left").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("many"))))
     met = met.select(doc_id, F.expr("coalesce(n, 0) div many").alias("n_tokens"), F.expr("coalesce(s, 0) div many").alias("score"))

@@ -64,11 +64,15 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def by_bucket(df: DataFrame, parts: int, finish: Callable[[int, dict[str, list]], Iterator], schema: str) -> DataFrame:
-    """``df`` (a column ``bucket`` and binary columns) dealt by bucket; ``finish`` gets one bucket's cells by column at a time and yields record batches."""
+def by_bucket(df: DataFrame, parts: int, finish: Callable[[int, dict[str, list]], Iterator], schema: str, start: Callable[[], tuple] | None = None) -> DataFrame:
+    """``df`` (a column ``bucket`` and binary columns) dealt by bucket; ``finish`` gets one bucket's cells by column at a time and yields record batches.
+
+    Where a task keeps something from bucket to bucket, ``start`` gives it a ``finish`` and a generator function to end with.
+    """
     names = [c for c in df.columns if c != "bucket"]
 
     def run(batches):
+        one, last = start() if start else (finish, lambda: ())
         bucket, cells = None, {}
         for batch in batches:
             columns = {c: batch.column(batch.schema.get_field_index(c)) for c in ("bucket", *names)}
@@ -76,17 +80,27 @@ def by_bucket(df: DataFrame, parts: int, finish: Callable[[int, dict[str, list]]
                 b = columns["bucket"][i].as_py()
                 if b != bucket:
                     if bucket is not None:
-                        yield from finish(bucket, cells)
+                        yield from one(bucket, cells)
                     bucket, cells = b, {c: [] for c in names}
                 for c in names:
                     if columns[c][i].is_valid:
                         cells[c].append(columns[c][i].as_py())
         if bucket is not None:
-            yield from finish(bucket, cells)
+            yield from one(bucket, cells)
+        yield from last()
 
     return df.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
+def split_by(home: np.ndarray, homes: int, columns: dict) -> Iterator[tuple[int, dict]]:
+    """Each home's part of the columns, in their order."""
+    order = np.argsort(home, kind="stable")
+    columns, home = take(columns, order), home[order]
+    edge = np.searchsorted(home, np.arange(homes + 1))
+    for b in np.flatnonzero(np.diff(edge)):
+        yield int(b), take(columns, slice(edge[b], edge[b + 1]))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``label``, the smallest node it is linked to over any number of ``edges`` (a, b).
 
