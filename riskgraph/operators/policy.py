@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # The policy's actions in order of execution, and their approval route.
 ORDER = {
-    "DECLINE_AUTH": 10, "ALLOW_WITH_LOG": 15, "STEP_UP_AUTH": 20, "VERIFY_WITH_CUSTOMER": 25, "WARN_CUSTOMER": 30, "CREATE_CASE": 40, "BLOCK_CARD": 50,
-    "BLOCK_ALL_CARDS": 60, "MONITOR_CARD": 70, "MONITOR_CONNECTED": 80, "FILE_REPORT": 90, "ESCALATE_TO_ANALYST": 100, "GENERATE_SUMMARY": 110, "CLOSE_NO_FRAUD": 120,
+    "DECLINE_TRANSACTION": 10, "ALLOW_TRANSACTION": 15, "STEP_UP_AUTH": 20, "VERIFY_WITH_CUSTOMER": 25, "WARN_CUSTOMER": 30, "CREATE_CASE": 40, "BLOCK_CARD": 50,
+    "BLOCK_ALL_CARDS": 60, "MONITOR_CARD": 70, "MONITOR_CONNECTED_CARDS": 80, "FILE_REPORT": 90, "ESCALATE_TO_ANALYST": 100, "GENERATE_REPORT": 110, "CLOSE_NO_FRAUD": 120,
 }
-ROUTE = {"DECLINE_AUTH": "L1", "BLOCK_ALL_CARDS": "L2", "FILE_REPORT": "L2"}
+ROUTE = {"DECLINE_TRANSACTION": "L1", "BLOCK_ALL_CARDS": "L2", "FILE_REPORT": "L2"}
 BLOCK_LIMIT = 2500.0
 SAR_LIMIT = 1000.0
 
@@ -68,35 +68,36 @@ def evaluate(assessments: DataFrame) -> DataFrame:
     flag = F.col
     testing, undocumented, asked = pattern == "card_testing", pattern == "undocumented", resp == "none"
     linked = origin.isNotNull() | (flag("connected_cards_count") >= 2)
-    r7 = flag("recurring_match") & ((resp == "denies") | flag("is_dispute"))
-    r3 = ~r7 & (resp == "confirms")
-    r4 = ~r7 & ~r3 & (resp == "no_reply")
-    rest = ~r7 & ~r3 & ~r4
-    r8 = rest & (flag("evidence_conflict") | ((p > 0.15) & (p < 0.70) & (x > 500) & asked))
-    r5 = rest & testing
-    hard = flag("has_cleared_over_100") | (x > 100) | (resp == "denies")
-    r1 = rest & (flag("single_signal") | (p < 0.70)) & asked & ~testing
+    # stages are columns of their own, so that their conditions are evaluated once
+    stop = F.when(flag("recurring_match") & ((resp == "denies") | flag("is_dispute")), "r7").when(resp == "confirms", "r3").when(resp == "no_reply", "r4")
+    stop = stop.when((flag("single_signal") | (p < 0.70)) & asked & ~testing, "r1").otherwise("go")
+    df = df.withColumns({"_stop": stop, "_hard": flag("has_cleared_over_100") | (x > 100) | (resp == "denies")})
+    at = F.col("_stop")
+    r7, r3, r4, r1, go, hard = at == "r7", at == "r3", at == "r4", at == "r1", at == "go", F.col("_hard")
+    escalated = at.isin("r1", "go") & (flag("evidence_conflict") | ((p > 0.15) & (p < 0.70) & (x > 500) & asked))
+    df = df.withColumns({"_r8": escalated, "_r5": go & testing, "_block": go & ((resp == "denies") | (p >= 0.70) | undocumented | testing)})
+    r8, r5, block = F.col("_r8"), F.col("_r5"), F.col("_block")
     weak_case = (p >= 0.30) | flag("requesting_evidence") | flag("is_dispute")
-    go = rest & ~r1
-    block = go & ((resp == "denies") | (p >= 0.70) | undocumented | testing)
     has_case = r8 & (p >= 0.30)
     fallback = go & ~block & ~r8 & ~r5
     given = [
         (r7, "CREATE_CASE", "R7"), (r7, "VERIFY_WITH_CUSTOMER", "R7"), (r7, "WARN_CUSTOMER", "R7"),
         (r3, "CLOSE_NO_FRAUD", "R3"),
-        (r4 & ((p >= 0.30) | (x > 500) | flag("requesting_evidence")), "CREATE_CASE", "R4"), (r4, "MONITOR_CARD", "R4"), (r4, "DECLINE_AUTH", "R4"), (r4 & ((x > 500) | flag("evidence_conflict")), "ESCALATE_TO_ANALYST", "R4"),
+        (r4 & ((p >= 0.30) | (x > 500) | flag("requesting_evidence")), "CREATE_CASE", "R4"), (r4, "MONITOR_CARD", "R4"), (r4, "DECLINE_TRANSACTION", "R4"), (r4 & ((x > 500) | flag("evidence_conflict")), "ESCALATE_TO_ANALYST", "R4"),
         (has_case, "CREATE_CASE", "R8"), (r8, "ESCALATE_TO_ANALYST", "R8"),
-        (r5, "DECLINE_AUTH", "R5"), (r5, "CREATE_CASE", "R5"), (r5 & hard, "BLOCK_CARD", "R5"), (r5 & ~hard, "STEP_UP_AUTH", "R5"),
-        (r1 & weak_case, "CREATE_CASE", "R1"), (r1, "STEP_UP_AUTH", "R1"), (r1, "VERIFY_WITH_CUSTOMER", "R1"), (r1 & (p < 0.15) & ~weak_case & ~has_case, "ALLOW_WITH_LOG", "R1"),
-        (block, "CREATE_CASE", "3a"), (block & flag("pending_auths"), "DECLINE_AUTH", "R2"), (block & ~(testing & ~hard), "BLOCK_CARD", "R2"),
+        (r5, "DECLINE_TRANSACTION", "R5"), (r5, "CREATE_CASE", "R5"), (r5 & hard, "BLOCK_CARD", "R5"), (r5 & ~hard, "STEP_UP_AUTH", "R5"),
+        (r1 & weak_case, "CREATE_CASE", "R1"), (r1, "STEP_UP_AUTH", "R1"), (r1, "VERIFY_WITH_CUSTOMER", "R1"), (r1 & (p < 0.15) & ~weak_case & ~has_case, "ALLOW_TRANSACTION", "R1"),
+        (block, "CREATE_CASE", "3a"), (block & flag("pending_auths"), "DECLINE_TRANSACTION", "R2"), (block & ~(testing & ~hard), "BLOCK_CARD", "R2"),
         (block & ((flag("cards_confirmed_fraud_count") >= 2) | flag("credentials_compromised")), "BLOCK_ALL_CARDS", "R10"),
-        (block & files_report(x, origin, flag("connected_cards_count"), pattern), "FILE_REPORT", "3a"), (block & linked, "MONITOR_CONNECTED", "R6"), (block & undocumented, "ESCALATE_TO_ANALYST", "R9"),
-        (fallback & (p >= 0.30), "CREATE_CASE", "R1"), (fallback & (p >= 0.30), "VERIFY_WITH_CUSTOMER", "R1"), (fallback & (p < 0.30), "ALLOW_WITH_LOG", "R1"),
+        (block & files_report(x, origin, flag("connected_cards_count"), pattern), "FILE_REPORT", "3a"), (block & linked, "MONITOR_CONNECTED_CARDS", "R6"), (block & undocumented, "ESCALATE_TO_ANALYST", "R9"),
+        (fallback & (p >= 0.30), "CREATE_CASE", "R1"), (fallback & (p >= 0.30), "VERIFY_WITH_CUSTOMER", "R1"), (fallback & (p < 0.30), "ALLOW_TRANSACTION", "R1"),
     ]
     entries = [F.when(c, F.struct(F.lit(ORDER[a]).alias("order"), F.lit(i).alias("at"), F.lit(a).alias("action"), action_route(F.lit(a), x).alias("route"), F.lit(rule).alias("rule"))) for i, (c, a, rule) in enumerate(given)]
-    present = F.array_sort(F.filter(F.array(*entries), lambda e: e.isNotNull()))
-    once = F.filter(present, lambda e, i: (i == 0) | (F.try_element_at(present, F.greatest(i, F.lit(1)))["action"] != e["action"]))
-    return df.withColumn("actions", F.transform(once, lambda e: F.struct(e["order"].alias("order"), e["action"].alias("action"), e["route"].alias("route"), e["rule"].alias("rule"))))
+    df = df.withColumn("_given", F.array_sort(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+    given_ = F.col("_given")
+    once = F.filter(given_, lambda e, i: (i == 0) | (F.try_element_at(given_, F.greatest(i, F.lit(1)))["action"] != e["action"]))
+    df = df.withColumn("actions", F.transform(once, lambda e: F.struct(e["order"].alias("order"), e["action"].alias("action"), e["route"].alias("route"), e["rule"].alias("rule"))))
+    return df.drop("_stop", "_hard", "_r8", "_r5", "_block", "_given")
 
 
 def action_names(actions: str | Column = "actions") -> Column:

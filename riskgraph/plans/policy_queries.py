@@ -116,15 +116,15 @@ def rules(resp: str) -> str:
     left = f"({stop} = 'go' AND NOT {block} AND NOT {r8} AND NOT {r5})"
     case = f"({stop} = 'r7' OR ({stop} = 'r4' AND (p >= 0.3e0 OR x > 500)) OR ({r8} AND p >= 0.3e0) OR {r5} OR ({stop} = 'r1' AND p >= 0.3e0) OR {block} OR ({left} AND p >= 0.3e0))"
     given = [
-        ("DECLINE_AUTH", f"{stop} = 'r4' OR {r5}"), ("ALLOW_WITH_LOG", f"({stop} = 'r1' AND p < 0.15e0) OR ({left} AND p < 0.3e0)"), ("STEP_UP_AUTH", f"({r5} AND NOT {hard}) OR {stop} = 'r1'"),
+        ("DECLINE_TRANSACTION", f"{stop} = 'r4' OR {r5}"), ("ALLOW_TRANSACTION", f"({stop} = 'r1' AND p < 0.15e0) OR ({left} AND p < 0.3e0)"), ("STEP_UP_AUTH", f"({r5} AND NOT {hard}) OR {stop} = 'r1'"),
         ("VERIFY_WITH_CUSTOMER", f"{stop} IN ('r7', 'r1') OR ({left} AND p >= 0.3e0)"), ("WARN_CUSTOMER", f"{stop} = 'r7'"), ("CREATE_CASE", case),
-        ("BLOCK_CARD", f"({r5} AND {hard}) OR ({block} AND NOT (pattern = 'card_testing' AND NOT {hard}))"), ("MONITOR_CARD", f"{stop} = 'r4'"), ("MONITOR_CONNECTED", f"{block} AND (origin IS NOT NULL OR connected >= 2)"),
+        ("BLOCK_CARD", f"({r5} AND {hard}) OR ({block} AND NOT (pattern = 'card_testing' AND NOT {hard}))"), ("MONITOR_CARD", f"{stop} = 'r4'"), ("MONITOR_CONNECTED_CARDS", f"{block} AND (origin IS NOT NULL OR connected >= 2)"),
         ("FILE_REPORT", f"{block} AND (x >= 1000 OR origin IS NOT NULL OR connected >= 2 OR pattern = 'undocumented')"), ("ESCALATE_TO_ANALYST", f"({stop} = 'r4' AND (x > 500 OR conflict)) OR {r8} OR ({block} AND pattern = 'undocumented')"), ("CLOSE_NO_FRAUD", f"{stop} = 'r3'"),
     ]
     return f"list_filter([{', '.join(f'CASE WHEN {c} THEN {chr(39)}{a}{chr(39)} END' for a, c in given)}], lambda v: v IS NOT NULL)"
 
 
-ROUTE = "CASE WHEN a = 'BLOCK_CARD' THEN CASE WHEN x <= 2500 THEN 'L1' ELSE 'L2' END WHEN a = 'DECLINE_AUTH' THEN 'L1' WHEN a IN ('BLOCK_ALL_CARDS', 'FILE_REPORT') THEN 'L2' ELSE 'auto' END"
+ROUTE = "CASE WHEN a = 'BLOCK_CARD' THEN CASE WHEN x <= 2500 THEN 'L1' ELSE 'L2' END WHEN a = 'DECLINE_TRANSACTION' THEN 'L1' WHEN a IN ('BLOCK_ALL_CARDS', 'FILE_REPORT') THEN 'L2' ELSE 'auto' END"
 ACTIONS = f"{ASSESS}, act AS (SELECT *, {rules('resp')} AS acts FROM asm)"
 
 

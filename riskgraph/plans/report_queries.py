@@ -427,7 +427,7 @@ def stream_card_testing(t):
 
 @query(
     "stream_no_reply",
-    """SELECT case_id, opened_at AS asked_at, CASE WHEN t.amt * 3 > 500 THEN 'MONITOR_CARD,DECLINE_AUTH,ESCALATE_TO_ANALYST' ELSE 'MONITOR_CARD,DECLINE_AUTH' END AS actions FROM alert a JOIN txn t ON t.txn_id = a.flagged_txn_id
+    """SELECT case_id, opened_at AS asked_at, CASE WHEN t.amt * 3 > 500 THEN 'MONITOR_CARD,DECLINE_TRANSACTION,ESCALATE_TO_ANALYST' ELSE 'MONITOR_CARD,DECLINE_TRANSACTION' END AS actions FROM alert a JOIN txn t ON t.txn_id = a.flagged_txn_id
     WHERE customer_response IN ('no_reply', 'none') OR CAST(flagged_txn_id AS BIGINT) % 40 > 24""",
 )
 def stream_no_reply(t):
