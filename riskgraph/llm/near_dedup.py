@@ -1,10 +1,10 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
-Texts are sets of five-word shingles weighted by their counts. ProbMinHash
+Texts are sets of five-word shingles weighted by 1 + ln of their counts. ProbMinHash
 draws each shingle's arrivals as a Poisson process of its weight's rate and
 deals them to registers; a register keeps the shingle that arrives first. A shingle stops
 at the first arrival later than all registers hold. Two texts' registers agree with their probability
-Jaccard. Bands of registers give candidates, which are verified on the whole shingle sets.
+Jaccard. Bands of registers give candidates, which are verified by the exact Jaccard of the whole shingle sets.
 
 Copies with the same words are one node. Within a bucket the nodes are verified against a pivot, not against each other; what
 pivots leave open is settled exactly afterwards (``_open_pairs``), so that no pair of a bucket is lost and none is emitted twice.
@@ -32,7 +32,7 @@ class Params:
     threshold: float = 0.8
     bands: int = 24
     rows: int = 4
-    small: int = 32  # buckets of at most so many nodes have their open pairs emitted without a bound
+    small: int = 32  # buckets of at most so many nodes have their open pairs verified without a bound
 
 
 def weighted_shingles(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,13 +49,14 @@ def weighted_shingles(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray,
     return hashes[first], weight, owner[first], (words, counts), np.bincount(owner[first], minlength=len(texts))
 
 
-def prob_minhash(hashes: np.ndarray, weight: np.ndarray, owner: np.ndarray, texts: int, m: int) -> np.ndarray:
+def prob_minhash(hashes: np.ndarray, counts: np.ndarray, owner: np.ndarray, texts: int, m: int) -> np.ndarray:
     """Registers (texts, m): the shingle that arrives first. Texts without shingles keep 0.
 
     Arrival t of a shingle comes an exponential time of its weight's rate after
     arrival t - 1 and falls in a register drawn for it. Rounds draw twice as many
     arrivals each for the shingles whose last one came before the latest of its text's registers.
     """
+    weight = 1 + np.log(counts)
     when, who = np.full(texts * m, np.inf), np.zeros(texts * m, U)
     active, clock, done, draw = np.arange(len(hashes)), np.zeros(len(hashes)), 0, 1
     while len(active):
@@ -99,104 +100,147 @@ def _describe(p: Params):
     return run
 
 
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of two weighted sets (sorted hashes, counts): which of a's elements are in b, and where b has each."""
+    (x, _), (y, _) = a, b
+    at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
+    return (y[at] == x) if len(y) else np.zeros(len(x), bool), at
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of Jaccard and probability Jaccard of two weighted sets (sorted hashes, counts)."""
+    """Jaccard of two sets."""
+    common = int(overlap(a, b)[0].sum())
+    return common / (len(a[0]) + len(b[0]) - common) if common else 0.0
+
+
+def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """What registers estimate: the probability that two weighted sets' first arrivals are of one element."""
     (x, v), (y, w) = a, b
-    at = np.searchsorted(y, x)
-    hit = (at < len(y)) & (y[np.minimum(at, len(y) - 1)] == x) if len(y) else np.zeros(len(x), bool)
-    common = int(hit.sum())
-    if not common:
-        return 0.0
-    jaccard = common / (len(x) + len(y) - common)
-    if v.max() == v.min() and w.max() == w.min():
-        return jaccard
-    vi, wi = v[hit].astype(float), w[at[hit]].astype(float)
-    # sum over j of max(v_j / v_i, w_j / w_i): elements with v_j / w_j above v_i / w_i give v_j, the others w_j
-    ratio = np.concatenate([vi / wi, np.full(len(x) - common, np.inf), np.zeros(len(y) - common)])
-    vj = np.concatenate([vi, v[~hit].astype(float), np.zeros(len(y) - common)])
+    hit, at = overlap(a, b)
+    v, w = v / v.sum(), w / w.sum()
     rest = np.ones(len(y), bool)
     rest[at[hit]] = False
-    wj = np.concatenate([wi, np.zeros(len(x) - common), w[rest].astype(float)])
-    order = np.argsort(ratio, kind="stable")
-    below = np.concatenate([[0], np.cumsum(wj[order])])
-    above = np.concatenate([np.cumsum(vj[order][::-1])[::-1], [0]])
-    cut_at = np.searchsorted(ratio[order], vi / wi, "left")
-    return max(jaccard, float((1 / (above[cut_at] / vi + below[cut_at] / wi)).sum()))
+    both = np.stack([np.concatenate([v[hit], v[~hit], np.zeros(rest.sum())]), np.concatenate([w[at[hit]], np.zeros((~hit).sum()), w[rest]])])
+    return float(sum(1 / np.maximum(both[0] / i, both[1] / j).sum() for i, j in zip(v[hit], w[at[hit]])))
 
 
 def _verify(p: Params):
-    """Rows (a, b, a_text, b_text) to the pairs (a, b) that reach the threshold."""
+    """Rows (a, b, sketch, a_text, b_text) to whether the pair reaches the threshold and, where ``sketch`` is set, what b differs from a in.
+
+    ``n`` is the number of b's shingles; ``lacks`` and ``adds`` are the hashes of those that only a and only b has.
+    """
 
     def run(batches):
         last: tuple = (None, None)
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i in range(len(a)):
-                texts = [batch.column(3)[i].as_py() or ""] + ([] if last[0] == a[i] else [batch.column(2)[i].as_py() or ""])
+            out = []
+            for i in range(len(batch)):
+                a, b, sketch = (batch.column(k)[i].as_py() for k in range(3))
+                texts = [batch.column(4)[i].as_py() or ""] + ([] if last[0] == a else [batch.column(3)[i].as_py() or ""])
                 hashes, weight, owner, _, n = weighted_shingles(texts, p.words)
-                if last[0] != a[i]:
-                    last = (a[i], (hashes[n[0] :], weight[n[0] :]))
-                keep.append(similarity(last[1], (hashes[: n[0]], weight[: n[0]])) >= p.threshold)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, k in zip(a, keep) if k], pa.binary()), "b": pa.array([x for x, k in zip(b, keep) if k], pa.binary())})
+                if last[0] != a:
+                    last = (a, (hashes[n[0] :], weight[n[0] :]))
+                own = (hashes[: n[0]], weight[: n[0]])
+                row = {"a": a, "b": b, "similar": similarity(last[1], own) >= p.threshold}
+                if sketch:
+                    hit, at = overlap(last[1], own)
+                    rest = np.ones(len(own[0]), bool)
+                    rest[at[hit]] = False
+                    row |= {"n": len(own[0]), "lacks": last[1][0][~hit].tobytes(), "adds": own[0][rest].tobytes()}
+                out.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema=_VERIFIED)
 
     return run
 
 
+_VERIFIED = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similar", pa.bool_()), ("n", pa.int32()), ("lacks", pa.binary()), ("adds", pa.binary())])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """``pairs`` (a, b) that are similar. A frequent ``a`` is split by AQE's skew join."""
+    """``pairs`` (a, b, sketch) as ``_verify`` sees them. A frequent ``a`` is split by AQE's skew join."""
     met = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
     met = met.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-    return met.select("a", "b", "a_text", "b_text").mapInArrow(_verify(p), "a binary, b binary")
-
+    return met.select("a", "b", "sketch", "a_text", "b_text").mapInArrow(_verify(p), "a binary, b binary, similar boolean, n int, lacks binary, adds binary")
 
-def _shares(texts: DataFrame, p: Params) -> DataFrame:
-    """``node``, ``n`` (its distinct shingles), ``even`` (all of one count) and, of the shingles that no other node of ``texts`` has, ``lone`` (number) and ``lone_share`` (of the weight)."""
-
-    def explode(batches):
-        for batch in batches:
-            for ids, part in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes, weight, owner, _, n = weighted_shingles(part, p.words)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[o] for o in owner], pa.binary()), pa.array(hashes.astype(np.int64)), pa.array(weight, pa.int32())], ["node", "h", "w"])
-
-    rows = texts.select("node", "text").mapInArrow(explode, "node binary, h bigint, w int")
-    alone = rows.groupBy("h").agg(F.count("*").alias("df"), F.min("node").alias("node"), F.min("w").alias("w")).where("df = 1")
-    lone = alone.groupBy("node").agg(F.count("*").alias("lone"), F.sum("w").alias("lone_w"))
-    whole = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("w").alias("all_w"), (F.min("w") == F.max("w")).alias("even"))
-    return whole.join(lone, "node", "left").select("node", "n", "even", F.coalesce("lone", F.lit(0)).alias("lone"), (F.coalesce("lone_w", F.lit(0)) / F.col("all_w")).alias("lone_share"))
 
+def _open_pairs(buckets: DataFrame, labels: DataFrame, seen: DataFrame, p: Params) -> DataFrame:
+    """The pairs of a bucket that its pivot left open: neither is the pivot and no links connect them yet.
 
-def _open_pairs(buckets: DataFrame, labels: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """The pairs of a bucket that pivots left open: neither is its pivot and no links connect them yet.
-
-    Buckets up to ``small`` nodes give all such pairs, a bounded multiple of their
-    nodes. In larger ones each node is first bounded by the shingles that no other open node has: they
-    are outside any pair's intersection, so nodes and pairs whose bound misses the threshold are left out exactly.
+    Buckets up to ``small`` nodes give all such pairs, a bounded multiple of their nodes. In larger
+    ones what two nodes differ from the pivot in gives their intersection exactly: the pivot's shingles that neither
+    lacks and those that both add. It is counted for blocks of nodes by matrix products, and of two components only the first
+    pair of two blocks that reaches the threshold is given, so groups give few pairs and lose no link.
     """
     held = buckets.where("NOT pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", F.col("node")))
-    split = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("many")).where("low <> high")
-    held = cut(held.join(split.select("key", "many"), "key").select("key", "node", "n", "label", "many"))
-
-    def paired(one: DataFrame, columns: list[str], bound) -> DataFrame:
-        a = one.select("key", *(F.col(c).alias(f"a_{c}") for c in ("node", "label", *columns)))
-        b = one.select("key", *(F.col(c).alias(f"b_{c}") for c in ("node", "label", *columns)))
-        met = a.join(b, "key").where((F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & bound)
-        return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-
-    few = paired(held.where(F.col("many") <= p.small), [], F.lit(True))
-    large = held.where(F.col("many") > p.small)
-    if not large.limit(1).count():
-        return few.distinct()
-    nodes = large.select("node").distinct()
-    shares = cut(_shares(texts.join(nodes, "node", "left_semi"), p))
-    t = p.threshold
-    possible = large.drop("n").join(shares, "node").where(((F.col("n") - F.col("lone")) >= t * F.col("n")) | (~F.col("even") & (F.col("lone_share") <= 1 - t)))
-    inner = F.least(F.col("a_n") - F.col("a_lone"), F.col("b_n") - F.col("b_lone"))
-    jaccard = inner / (F.col("a_n") + F.col("b_n") - inner)
-    x, y = 1 - F.col("a_lone_share"), 1 - F.col("b_lone_share")
-    weighted = F.least(x * y / (y + (1 - y) * x), x * y / (x + (1 - x) * y))
-    bound = (jaccard >= t) | (~(F.col("a_even") & F.col("b_even")) & (weighted >= t))
-    return few.union(paired(possible, ["n", "lone", "even", "lone_share"], bound)).distinct()
+    split = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    held = cut(held.join(split.select("key"), "key").select("key", "node", "label", "top", "size"))
+
+    a, b = (held.where(F.col("size") <= p.small).select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "label"))) for side in "ab")
+    few = a.join(b, "key").where((F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    facts = seen.where("n IS NOT NULL").select(F.col("a").alias("top"), F.col("b").alias("node"), "n", "lacks", "adds")
+    large = held.where(F.col("size") > p.small).select("top", "node", "label").distinct()
+    parts = large.groupBy("top").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    large = large.join(facts, ["top", "node"]).join(parts, "top").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    blocks = large.groupBy("top", "block").applyInArrow(_pack, "top binary, block int, nodes array<binary>, labels array<binary>, sizes array<int>, lacks array<binary>, adds array<binary>")
+    other = blocks.select("top", *(F.col(c).alias(f"b_{c}") for c in ("block", "nodes", "labels", "sizes", "lacks", "adds")))
+    met = blocks.join(other, "top").where("block <= b_block").drop("top")
+    many = met.mapInArrow(_compare(p), "a binary, b binary")
+    return few.union(many).distinct().withColumn("sketch", F.lit(False))
+
+
+BLOCK = 512
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """One block of a large bucket's nodes and what they differ from their pivot in."""
+    cells = {"top": table["top"][:1].to_pylist(), "block": table["block"][:1].to_pylist()}
+    cells |= {to: [table[c].to_pylist()] for to, c in (("nodes", "node"), ("labels", "label"), ("sizes", "n"), ("lacks", "lacks"), ("adds", "adds"))}
+    many = pa.list_(pa.binary())
+    kinds = {"top": pa.binary(), "block": pa.int32(), "nodes": many, "labels": many, "sizes": pa.list_(pa.int32()), "lacks": many, "adds": many}
+    return pa.table({c: pa.array(cells[c], k) for c, k in kinds.items()})
+
+
+def _shared_counts(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """How many hashes each of ``a`` shares with each of ``b``."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    x, y = (np.frombuffer(b"".join(s), np.uint64) for s in (a, b))
+    common = np.intersect1d(x, y)
+    place = [np.repeat(np.arange(len(s)), [len(c) // 8 for c in s]) for s in (a, b)]
+    held = []
+    for v, rows in ((x, place[0]), (y, place[1])):
+        at = np.minimum(np.searchsorted(common, v), max(0, len(common) - 1))
+        hit = common[at] == v if len(common) else np.zeros(len(v), bool)
+        held.append((rows[hit], at[hit]))
+    for low in range(0, len(common), 4096):
+        dense = []
+        for (rows, at), n in zip(held, out.shape):
+            part = (at >= low) & (at < low + 4096)
+            m = np.zeros((n, min(4096, len(common) - low)), np.float32)
+            m[rows[part], at[part] - low] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _compare(p: Params):
+    """Two blocks of one pivot to pairs that reach the threshold: the first of any two components."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                n, m = np.array(r["sizes"]), np.array(r["b_sizes"])
+                adds, lacks_b = np.array([len(x) // 8 for x in r["adds"]]), np.array([len(x) // 8 for x in r["b_lacks"]])
+                # the pivot's size is n + what a node lacks - what it adds
+                inner = (n - adds)[:, None] - lacks_b[None, :] + _shared_counts(r["lacks"], r["b_lacks"]) + _shared_counts(r["adds"], r["b_adds"])
+                ids = {x: i for i, x in enumerate(dict.fromkeys(r["labels"] + r["b_labels"]))}
+                one, two = (np.array([ids[x] for x in r[c]]) for c in ("labels", "b_labels"))
+                x, y = np.nonzero((inner / (n[:, None] + m[None, :] - inner) >= p.threshold) & (one[:, None] != two[None, :]))
+                first = np.unique(np.minimum(one[x], two[y]) * len(ids) + np.maximum(one[x], two[y]), return_index=True)[1]
+                pairs = sorted({tuple(sorted((r["nodes"][i], r["b_nodes"][j]))) for i, j in zip(x[first], y[first])})
+                if pairs:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([q for q, _ in pairs], pa.binary()), "b": pa.array([q for _, q in pairs], pa.binary())})
+
+    return run
 
 
 def classes(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -217,15 +261,16 @@ def classes(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: s
     keyed = cut(keyed.join(shared, "key"))
     central = keyed.groupBy("node").agg(F.sum("size").alias("central"))
     pivots = keyed.join(central, "node").groupBy("key").agg(F.max(F.struct("central", "n", "node")).alias("top"))
-    buckets = cut(keyed.join(pivots.select("key", F.col("top.node").alias("top")), "key").select("key", "node", "n", "top", (F.col("node") == F.col("top")).alias("pivot")))
+    buckets = cut(keyed.join(pivots.select("key", F.col("top.node").alias("top")), "key").select("key", "node", "size", "top", (F.col("node") == F.col("top")).alias("pivot")))
 
     wanted = buckets.select("node").distinct().join(nodes.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.row").alias("row")), "node")
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["row"] == wanted["row"]))
     texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")))
-    pairs = buckets.where("NOT pivot").select(F.col("top").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(_verified(pairs, texts, p))
+    pairs = buckets.where("NOT pivot").groupBy(F.col("top").alias("a"), F.col("node").alias("b")).agg((F.max("size") > p.small).alias("sketch"))
+    seen = cut(_verified(pairs, texts, p))
+    links = seen.where("similar").select("a", "b")
     labels = components(links)
-    more = cut(_verified(_open_pairs(buckets, labels, texts, p), texts, p))
+    more = cut(_verified(_open_pairs(buckets, labels, seen, p), texts, p).where("similar").select("a", "b"))
     if more.limit(1).count():
         labels = components(links.union(more))
 
