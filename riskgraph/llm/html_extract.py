@@ -137,7 +137,8 @@ def _enclosing(attributes: str) -> tuple[bool, bool]:
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id", "role"):
-            side |= any(w in HINTS for w in WORDS.findall(value))
+            for words in map(WORDS.findall, value.split()):  # has-sidebar and content-sidebar-wrap name what stands around the content too
+                side |= any(w in HINTS for w in words) and words[0] not in ("has", "with", "no", "without", "content", "main")
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             hidden = True
         elif name == "style":

@@ -24,6 +24,7 @@ MAIN = "The article begins with a paragraph that has more words than any other b
         f'<article>{ARTICLE}<aside>An aside that has quite a few words in it and no links at all.</aside><script>var a = "<p>no</p>";</script><form>Your name <input> and more words in the form</form></article>',
         f"<style>p{{}}</style><!-- <p>gone</p> --><article>{ARTICLE.replace('</p>', '')}",
         f"<div role=banner>A notice with a good number of words but no link, set by its role.</div><article>{ARTICLE}</article>",
+        f'<div class="layout has-sidebar"><article>{ARTICLE}</article><div id="sidebar">A long text beside the article, which is prose without any links.</div></div>',
         f'<article>{ARTICLE}<div class="cookie-notice">We use cookies and ask that you accept them all, please.</div></article>',
     ],
 )
