@@ -76,10 +76,12 @@ def write_next_edges(t):
     return t.spark.read.schema("from_txn_id STRING, to_txn_id STRING, card_id STRING, delta_sec BIGINT").csv(path, header=True)
 
 
-@query("publish_tables")
+@query("publish_tables", "SELECT card_id, count(*) AS n FROM txn GROUP BY 1")
 def publish_tables(t):
-    files.publish_tables(t.txn, "riskgraph_transactions")
-    return t.spark.table("riskgraph_transactions").groupBy("card_id").agg(F.count("*").alias("n"))
+    path = files.scratch(t.spark, "transactions")
+    name = "transactions_" + path.rsplit("-", 1)[1]
+    files.publish_tables(t.txn, name, path)
+    return t.spark.table(name).groupBy("card_id").agg(F.count("*").alias("n"))
 
 
 @query(

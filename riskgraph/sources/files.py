@@ -69,8 +69,9 @@ def write_next_edges(edges: DataFrame, path: str) -> None:
     edges.select(F.col("from_id").alias("from_txn_id"), F.col("to_id").alias("to_txn_id"), "card_id", "delta_sec").write.csv(path, header=True)
 
 
-def publish_tables(txn: DataFrame, name: str, buckets: int = 8) -> None:
-    """A table of transactions bucketed by card and sorted by time, so that per-card work needs no exchange."""
-    txn.write.mode("overwrite").format("parquet").bucketBy(buckets, "card_id").sortBy("ts").saveAsTable(name)
+def publish_tables(txn: DataFrame, name: str, path: str | None = None, buckets: int = 8) -> None:
+    """A table of transactions bucketed by card and sorted by time, so that per-card work needs no exchange; at ``path`` if given."""
+    writer = txn.write.mode("overwrite").format("parquet").bucketBy(buckets, "card_id").sortBy("ts")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
