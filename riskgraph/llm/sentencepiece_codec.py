@@ -133,45 +133,45 @@ class Codec:
             out.append(spans[::-1])
         return out
 
-    def merges(self, words: list[str]) -> list[list[tuple[int, int]]]:
-        """BPE segmentation of words of one length, as spans: the best-scoring neighbours merge first, of equals the left ones."""
+    def merges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """BPE segmentation of words of one length: the best-scoring neighbours merge first, of equals the left ones.
+
+        Returns (words, characters): the id of the symbol that starts at each character (-1: not a piece), and whether one starts there.
+        """
         width, n = len(words[0]), len(words)
         sums, power = _prefix(_code_points(words, width))
         after = np.tile(np.arange(1, width + 2), (n, 1))  # where the symbol that starts here ends
         before = np.tile(np.arange(-1, width), (n, 1))
-        gain = np.full((n, width), NONE)
+        starts = np.ones((n, width), bool)
+        gain, merged = np.full((n, width), NONE), np.full((n, width), -1)
 
         def weigh(rows, at):
-            """Score of merging the symbols from ``at`` with their next ones."""
+            """Score and id of merging the symbols from ``at`` with their next ones."""
             middle = after[rows, at]
             whole = middle < width
             rows, at, middle = rows[whole], at[whole], middle[whole]
             ids = self.probe(sums, power, rows, at, after[rows, middle])
             gain[rows, at] = np.where(ids >= 0, self.score[ids], NONE)
+            merged[rows, at] = ids
 
-        everywhere = np.divmod(np.arange(n * (width - 1)), max(1, width - 1))
-        weigh(*everywhere)
+        row, at = np.divmod(np.arange(n * width), width)
+        symbol = self.probe(sums, power, row, at, at + 1).reshape(n, width)
+        weigh(row, at)
         rows = np.arange(n)
         while len(rows) and width > 1:
             at = np.argmax(gain[rows], 1)
             rows, at = rows[gain[rows, at] > NONE], at[gain[rows, at] > NONE]
             middle = after[rows, at]
             end = after[rows, middle]
-            after[rows, at] = end
-            before[rows, end] = at
+            symbol[rows, at] = merged[rows, at]
+            after[rows, at], before[rows, end] = end, at
+            starts[rows, middle] = False
             gain[rows, middle] = NONE
             gain[rows, at] = NONE
             weigh(rows, at)
             left = before[rows, at]
             weigh(rows[left >= 0], left[left >= 0])
-        out = []
-        for r in range(n):
-            spans, at, ends = [], 0, after[r].tolist()
-            while at < width:
-                spans.append((at, ends[at]))
-                at = ends[at]
-            out.append(spans)
-        return out
+        return symbol, starts
 
     def merge_long(self, word: str) -> list[tuple[int, int]]:
         """``merges`` for one long word, with a heap of neighbours."""
@@ -199,7 +199,7 @@ class Codec:
             a = after[a]
         return spans
 
-    def _ids(self, word: str, spans) -> list[int]:
+    def _ids(self, word: str, spans) -> bytes:
         out = []
         for a, b in spans:
             i = self.known.get(word[a:b])
@@ -209,7 +209,7 @@ class Codec:
                 out += [self.model.byte_ids[x] for x in word[a:b].encode("utf-8", "replace")]
             else:
                 out.append(self.model.unknown)
-        return out
+        return np.array(out, np.int32).tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Put the words into the cache."""
@@ -219,12 +219,20 @@ class Codec:
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for width, group in by_length.items():
-            if self.model.bpe and width > LONG:
-                found = map(self.merge_long, group)
+            if self.model.bpe and width <= LONG:
+                symbol, starts = self.merges(group)
+                known = ((symbol >= 0) | ~starts).all(1)
+                flat = symbol[starts].astype(np.int32).tobytes()
+                ends = (np.cumsum(starts.sum(1)) * 4).tolist()
+                for k, (w, a, b) in enumerate(zip(group, [0, *ends], ends)):
+                    if known[k]:
+                        self.cache[w] = flat[a:b]
+                    else:
+                        at = [*np.flatnonzero(starts[k]).tolist(), width]
+                        self.cache[w] = self._ids(w, zip(at, at[1:]))
             else:
-                found = self.merges(group) if self.model.bpe else self.viterbi(group)
-            for w, spans in zip(group, found):
-                self.cache[w] = np.array(self._ids(w, spans), np.int32).tobytes()
+                for w, spans in zip(group, map(self.merge_long, group) if self.model.bpe else self.viterbi(group)):
+                    self.cache[w] = self._ids(w, spans)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words.findall(((MARK if self.model.dummy_prefix else "") + t.replace(" ", MARK)) if t else "") for t in texts]
