@@ -35,11 +35,11 @@ SUM = (("id", "<i8"), ("tag", "u1"), ("s", "<i8"), ("n", "<i8"))
 
 @dataclass(frozen=True)
 class Params:
-    """``frequent`` bounds the table of most frequent words that all tasks get; it changes no result."""
+    """``frequent`` bounds the table of words that all tasks get: those of at least 1 / ``frequent`` of all tokens, of which there can't be more. It changes no result."""
 
     min_count: int = 2
     backoff: float = 0.4
-    frequent: int = 65_535
+    frequent: int = 300_000
 
 
 def log(c) -> np.ndarray:
@@ -207,8 +207,8 @@ def score(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str
     rows, _ = tagged(rows, "__id", "__text")
     counts = cut(unigrams(rows, "__text"))
     total = counts.agg(F.sum("c")).first()[0] or 0
-    top = counts.orderBy(F.desc("c"), "h").limit(p.frequent).collect()
-    known = spark.sparkContext.broadcast(Frequent(np.array([r.h for r in top], np.int64).astype(U), np.array([r.c for r in top], np.int64), total))
+    top = counts.where(F.col("c") * p.frequent >= max(1, total)).toArrow()
+    known = spark.sparkContext.broadcast(Frequent(top["h"].to_numpy().astype(U), top["c"].to_numpy(), total))
 
     def row(bucket: int, **cells):
         kinds = {"ask": None, "counts": None, "sums": None} | cells
