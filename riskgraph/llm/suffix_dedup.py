@@ -124,7 +124,7 @@ def _blocks(batch: pa.RecordBatch):
 
 
 #: Columns of a sample on its way to its bucket, and their types.
-SAMPLE = (("key", "<u4"), ("left", "<u2"), ("right", "<u2"), ("rank", "<u4"), ("id", "<i8"), ("tag", "u1"), ("at", "<u4"), ("more", "u1"), ("off", "u1"))
+SAMPLE = (("key", "<u4"), ("left", "<u2"), ("right", "<u2"), ("rank", "<u8"), ("id", "<i8"), ("tag", "u1"), ("at", "<u4"), ("more", "u1"), ("off", "u1"))
 #: Windows of a document: the first of a run, and how many more.
 FOUND = (("id", "<i8"), ("tag", "u1"), ("at", "<u4"), ("more", "u1"))
 #: Single windows on their way to their bucket.
@@ -173,7 +173,7 @@ def _gather(buckets: int):
                         "key": (whole >> U(32)).astype("<u4"),
                         "left": block.hashes(np.maximum(place - G, a), place).astype("<u2"),
                         "right": block.hashes(place + K, np.minimum(place + K + G, b)).astype("<u2"),
-                        "rank": (block.hashes(first, first + more + LENGTH) + (place - first).astype(U) * STEP).astype("<u4"),
+                        "rank": block.hashes(first, first + more + LENGTH) + (place - first).astype(U) * STEP,
                         "id": np.array(ids, np.int64)[doc],
                         "tag": np.array(tags, np.uint8)[doc],
                         "at": (first - a + np.array(bases, np.int64)[doc]).astype("<u4"),

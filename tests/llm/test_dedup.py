@@ -74,6 +74,19 @@ def test_suffix_dedup_in_pieces(spark, monkeypatch):
     assert removed_by_spark(spark, rows) == removed_by_hand(rows)
 
 
+def test_suffix_dedup_tells_surroundings_apart(spark):
+    """Texts that share one passage and whose stretches' hashes are equal in their lower 32 bits."""
+    shared = "6352f1fcc8610fde1d8eb5a3f46dd9daea28c5d46b268b11d2725ff965df"
+    pairs = [
+        ("2e8c6a0e43746c8a904c4fe9db2857f59cae", "bfb1497dd3828758c977d537b3d999966dc4", "15652d31d83be37843e870e7667a49b476e6", "3a2ff7a1bee38d5fc77a702c3b4707a6cc66"),
+        ("209e1002dae074cdcff0a9e5232fca59d5bc", "7ecb419ec09f8af2630599092afed2baf8b0", "12751c20bed4995bc80d0a3a99e6865bd47f", "7f85dd148035daddce7615bdc36c0743a23c"),
+        ("236332ccd504d5861ca7a593a591d825bc85", "900e006b4be9f44e4d53c6b98abfc96e7983", "ef19eba62ed3d07002632c2fa55ab175c9d6", "ca34680b65727857d6cc3747f8b714d34e3e"),
+    ]
+    for a, b, c, d in pairs:
+        rows = [(1, a + shared + b), (2, c + shared + d)]
+        assert removed_by_spark(spark, rows) == removed_by_hand(rows)
+
+
 def _batch(rows):
     import pyarrow as pa
 
