@@ -27,10 +27,10 @@ NO_ID = 2**63 - 1
 HELD = 1 << 22  # characters whose pairs a task gathers before it sends them
 RARE = U(1 << 47)  # marks the code of a word outside the frequent ones: 47 bits of its hash
 START, END = U(1 << 48), U((1 << 48) + 1)  # stand for the second word: v opens, or closes, its document
-PAIR = (("v", "<u8"), ("w", "<u8"), ("id", "<i8"), ("tag", "u1"), ("m", "<u4"))
-ASK = (("w", "<u8"), ("id", "<i8"), ("tag", "u1"), ("m", "<u4"))
+PAIR = (("v", "<u8"), ("w", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("m", "<u4"))
+ASK = (("w", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("m", "<u4"))
 COUNT = (("w", "<u8"), ("c", "<i8"))
-SUM = (("id", "<i8"), ("tag", "u1"), ("s", "<i8"), ("n", "<i8"))
+SUM = (("id", "<i8"), ("tag", "<i8"), ("s", "<i8"), ("n", "<i8"))
 
 
 @dataclass(frozen=True)
@@ -129,7 +129,7 @@ def _pairs(buckets: int, known):
         d = np.concatenate([d[first], doc[open_], doc[close]])
         m = np.concatenate([m, np.ones(len(open_) + len(close), np.int64)])
         easy = starts[~rare[starts]]
-        ids, tags = np.array(ids, np.int64), np.array(tags, np.uint8)
+        ids, tags = np.array(ids, np.int64), np.array(tags, np.int64)
         logs = frequent.logs[code[easy].astype(np.int64)] - frequent.log_total if len(easy) else np.zeros(0, np.int64)
         sums = {"id": ids[doc[easy]], "tag": tags[doc[easy]], "s": logs, "n": np.ones(len(easy), np.int64)}
         return {"v": v, "w": w, "id": ids[d], "tag": tags[d], "m": m}, sums
@@ -198,7 +198,7 @@ def score(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str
 
     Counts are over all rows of ``docs``, repeated ones included. A text without words, or a null one,
     scores 0 and its ``per_token`` is null. Null ids are kept; rows of one id and text are scored each for itself, and
-    rows of one id and other texts are told apart by a hash of the text.
+    rows of one id and other texts are told apart by a 64-bit hash of the text.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -216,7 +216,7 @@ def score(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str
 
     def send_sums(sums: list[dict]):
         done = _summed(joined(sums, SUM))
-        for b, part in split_by(_home(done["id"].astype(U), parts), parts, done):
+        for b, part in split_by(_home(done["id"].astype(U) ^ mix(done["tag"].astype(U)), parts), parts, done):
             yield row(b, sums=pack(part, SUM))
 
     def count():
@@ -261,13 +261,13 @@ def score(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str
 
     def documents(bucket, cells):
         done = _summed(joined([unpack(x, SUM) for x in cells["sums"]], SUM))
-        yield pa.RecordBatch.from_pydict({"__id": pa.array(done["id"]), "__tag": pa.array(done["tag"].astype(np.int32)), "s": pa.array(done["s"]), "n": pa.array(done["n"])})
+        yield pa.RecordBatch.from_pydict({"__id": pa.array(done["id"]), "__tag": pa.array(done["tag"]), "s": pa.array(done["s"]), "n": pa.array(done["n"])})
 
     dealt = "bucket int, ask binary, counts binary, sums binary"
     sent = rows.select("__id", "__tag", "__text").mapInArrow(_pairs(buckets, known), "bucket int, pairs binary, sums binary")
     asked = by_bucket(sent, parts, None, dealt, count)
     backed = by_bucket(asked, parts, None, dealt, back_off).select("bucket", "sums")
-    summed = by_bucket(backed, parts, documents, "__id bigint, __tag int, s bigint, n bigint")
+    summed = by_bucket(backed, parts, documents, "__id bigint, __tag bigint, s bigint, n bigint")
     # rows of one id and text were summed together: each gets its share
     alike = rows.groupBy("__id", "__tag", doc_id).agg(F.count("*").alias("many"))
     met = alike.join(summed, ["__id", "__tag"], "left").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("many"))))

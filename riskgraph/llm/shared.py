@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,11 +25,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def tagged(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, list[str]]:
-    """``df`` with ``__tag``, and the columns that tell its rows apart: the id alone where ids are unique, else also a hash of the text below 256."""
+    """``df`` with ``__tag``, and the columns that tell its rows apart: the id alone where ids are unique, else also a 64-bit hash of the text.
+
+    The hash is drawn anew until no two texts of one id share it, as 60 bits of another hash tell.
+    Rows of one id and text are one to both columns.
+    """
     repeated = df.groupBy(row_id).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if not repeated:
-        return df.withColumn("__tag", F.lit(0)), [row_id]
-    return df.withColumn("__tag", F.pmod(F.xxhash64(text), F.lit(256)).cast("int")), [row_id, "__tag"]
+        return df.withColumn("__tag", F.lit(0).cast("long")), [row_id]
+    other = F.coalesce(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(-1))
+    for seed in itertools.count():
+        found = df.withColumn("__tag", F.xxhash64(F.lit(seed), text))
+        met = found.select(row_id, "__tag", other.alias("other")).groupBy(row_id, "__tag").agg(F.min("other").alias("a"), F.max("other").alias("b"))
+        if not met.where("a <> b").limit(1).count():
+            return found, [row_id, "__tag"]
 
 
 def pack(columns: dict, layout) -> bytes:

@@ -124,11 +124,11 @@ def _blocks(batch: pa.RecordBatch):
 
 
 #: Columns of a sample on its way to its bucket, and their types.
-SAMPLE = (("key", "<u4"), ("left", "<u2"), ("right", "<u2"), ("rank", "<u8"), ("id", "<i8"), ("tag", "u1"), ("at", "<u4"), ("more", "u1"), ("off", "u1"))
+SAMPLE = (("key", "<u4"), ("left", "<u2"), ("right", "<u2"), ("rank", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("more", "u1"), ("off", "u1"))
 #: Windows of a document: the first of a run, and how many more.
-FOUND = (("id", "<i8"), ("tag", "u1"), ("at", "<u4"), ("more", "u1"))
+FOUND = (("id", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("more", "u1"))
 #: Single windows on their way to their bucket.
-WINDOW = (("rank", "<u8"), ("id", "<i8"), ("tag", "u1"), ("at", "<u4"))
+WINDOW = (("rank", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("at", "<u4"))
 
 
 def _settled(s: dict) -> np.ndarray:
@@ -175,7 +175,7 @@ def _gather(buckets: int):
                         "right": block.hashes(place + K, np.minimum(place + K + G, b)).astype("<u2"),
                         "rank": block.hashes(first, first + more + LENGTH) + (place - first).astype(U) * STEP,
                         "id": np.array(ids, np.int64)[doc],
-                        "tag": np.array(tags, np.uint8)[doc],
+                        "tag": np.array(tags, np.int64)[doc],
                         "at": (first - a + np.array(bases, np.int64)[doc]).astype("<u4"),
                         "more": more.astype("u1"),
                         "off": (place - first).astype("u1"),
@@ -222,9 +222,11 @@ def resolve(s: dict) -> tuple[dict, dict]:
 
 def _to_documents(found: dict, column: str, homes: int):
     """Windows to rows (bucket: their document's home, settled, open), with the windows in ``column``."""
-    home = (mix(found["id"].astype(U)) % U(homes)).astype(np.int64)
-    order = np.lexsort((found["at"], found["tag"], found["id"], home))
+    home = (mix(found["id"].astype(U) ^ mix(found["tag"].astype(U))) % U(homes)).astype(np.int64)
+    order = np.lexsort((found["more"], found["at"], found["tag"], found["id"], home))
     found, home = take(found, order), home[order]
+    once = runs(*found.values())  # rows of one id and text have the same windows
+    found, home = take(found, once), home[once]
     edge = np.searchsorted(home, np.arange(homes + 1))
     for b in np.flatnonzero(np.diff(edge)):
         cells = {"settled": None, "open": None} | {column: pack(take(found, slice(edge[b], edge[b + 1])), FOUND)}
@@ -255,7 +257,7 @@ def _per_document(bucket, cells):
         part = slice(a, a + 10_000)
         yield pa.RecordBatch.from_pydict({
             "__id": pa.array(both["id"][start[part]], pa.int64()),
-            "__tag": pa.array(both["tag"][start[part]].astype(np.int32), pa.int32()),
+            "__tag": pa.array(both["tag"][start[part]], pa.int64()),
             "settled": pa.array([pairs[x:y].tobytes() for x, y in zip(start[part], middle[part])], pa.binary()),
             "open": pa.array([pairs[x:y].tobytes() for x, y in zip(middle[part], stop[part])], pa.binary()),
         })
@@ -299,7 +301,7 @@ def _windows(buckets: int, homes: int):
                 at = np.unique(np.repeat(pairs[:, 0] - (np.cumsum(many) - many), many) + np.arange(int(many.sum())))
                 block = Block([(text or "").encode("utf-8", "replace")])
                 rank = block.hashes(at, at + LENGTH)
-                held.append({"rank": rank, "id": np.full(len(at), i, np.int64), "tag": np.full(len(at), tag, np.uint8), "at": at.astype("<u4")})
+                held.append({"rank": rank, "id": np.full(len(at), i, np.int64), "tag": np.full(len(at), tag, np.int64), "at": at.astype("<u4")})
                 size += len(at)
                 if size >= HELD // 16:
                     yield from send(held)
@@ -366,7 +368,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("__id"), F.col(text).cast("string").alias("__text"), F.col(doc_id), *keep)
     rows, keys = tagged(rows, "__id", "__text")
     homed = "bucket int, settled binary, open binary"
-    by_document = "__id bigint, __tag int, settled binary, open binary"
+    by_document = "__id bigint, __tag bigint, settled binary, open binary"
 
     sent = rows.select("__id", "__tag", "__text").mapInArrow(_gather(buckets), "bucket int, samples binary, found binary")
     known = by_bucket(sent, parts, _sort_bucket(parts), homed)

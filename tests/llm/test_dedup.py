@@ -87,6 +87,15 @@ def test_suffix_dedup_tells_surroundings_apart(spark):
         assert removed_by_spark(spark, rows) == removed_by_hand(rows)
 
 
+def test_suffix_dedup_of_many_texts_with_one_id(spark):
+    rows = [(i if i < 5 else 7 if i % 2 else None, t) for i, t in random_docs_numbered(3, 120)]
+    assert removed_by_spark(spark, rows + rows[-10:]) == removed_by_hand(rows + rows[-10:])
+
+
+def random_docs_numbered(seed, n):
+    return [(k, t) for k, (_, t) in enumerate(random_docs(seed, n))]
+
+
 def _batch(rows):
     import pyarrow as pa
 

@@ -69,6 +69,14 @@ def test_lm_edges(spark):
     assert lm_score.score(df.limit(0)).collect() == []
 
 
+def test_lm_scores_of_many_texts_with_one_id(spark):
+    texts = [f"the {'of ' * (k % 7)}word{k} end" for k in range(120)]
+    got = lm_score.score(spark.createDataFrame([(5 if k % 2 else None, t) for k, t in enumerate(texts)], "doc_id bigint, text string")).collect()
+    by_hand = scores_by_hand(texts)
+    for i, rows in ((None, by_hand[::2]), (5, by_hand[1::2])):
+        assert sorted((r.n_tokens, r.score) for r in got if r.doc_id == i) == sorted(rows)
+
+
 def test_sentencepiece_equals_the_library(spark):
     import sentencepiece
 
