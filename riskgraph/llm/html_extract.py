@@ -86,6 +86,21 @@ LABELLED = [
     (3, 0.0, 1, 1.0, 4, 0.0, 0, 0, 0, 0),
     (2, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0),
     (4, 0.5, 6, 0.0, 2, 1.0, 0, 0, 0, 0),
+    # pages without an article: long paragraphs before links, first, after a short heading or after links
+    (50, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 1),
+    (80, 0.05, 40, 0.0, 2, 1.0, 0, 0, 0, 1),
+    (35, 0.0, 0, 0.0, 50, 0.0, 0, 0, 0, 1),
+    (60, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 1),
+    (45, 0.0, 2, 0.0, 40, 0.0, 0, 0, 0, 1),
+    (70, 0.1, 3, 1.0, 50, 0.0, 0, 0, 0, 1),
+    (40, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 1),
+    (40, 0.0, 50, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (7, 0.0, 20, 0.0, 0, 0.0, 0, 0, 0, 1),
+    # link lists after prose
+    (12, 1.0, 60, 0.0, 10, 1.0, 0, 0, 0, 0),
+    (30, 0.95, 50, 0.0, 25, 1.0, 0, 0, 1, 0),
+    (25, 0.9, 45, 0.0, 30, 0.0, 0, 0, 0, 0),
+    (6, 1.0, 70, 0.0, 0, 0.0, 0, 0, 0, 0),
 ]
 
 
@@ -146,6 +161,12 @@ def _enclosing(attributes: str) -> tuple[bool, bool]:
     return side, hidden
 
 
+def _is_side_article(attributes: str) -> bool:
+    """Whether a name of an article begins with a word for a surrounding, as a comment's or a teaser's does."""
+    values = [(a or b or c).lower() for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role")]
+    return any(words[0] in HINTS for value in values for words in map(WORDS.findall, value.split()) if words)
+
+
 def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """The page's text blocks in order: text, share of linked words, in a surrounding, in an article, a list item.
 
@@ -214,7 +235,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             if open_p is not None and stack[open_p][0] == "p":
                 del stack[open_p:]
                 _, side, article, hidden = stack[-1] if stack else ("", False, False, False)
-        header = name in SIDE
+        header = name in SIDE or name == "article" and named and _is_side_article(m[3])
         stack.append((name, side or header or named and not body, article or name in ("article", "main"), hidden or unseen or name in HIDDEN))
         item = item or name == "li"
     flush()
@@ -232,9 +253,17 @@ def main_text(page: str | None, tree=None) -> str:
     """The main text's blocks joined by one space; empty for a null or empty page."""
     tree = tree if tree is not None else default_tree()
     found = blocks(page or "")
-    if any(article for _, _, _, article, _ in found):  # a page that marks its article has it there
-        found = [b for b in found if b[3]]
-    return " ".join(b[0] for b, row in zip(found, describe(found)) if classify(tree, row))
+
+    def chosen(part: list) -> list[str]:
+        return [b[0] for b, row in zip(part, describe(part)) if classify(tree, row)]
+
+    texts = None
+    if any(article and not side for _, _, side, article, _ in found):  # a page that marks its article has it there
+        texts = chosen([b for b in found if b[3]])
+        outside = chosen([b for b in found if not b[3]])
+        if sum(len(t.split()) for t in outside) > sum(len(t.split()) for t in texts):  # the articles are teasers
+            texts = None
+    return " ".join(chosen(found) if texts is None else texts)
 
 
 def extract(df: DataFrame, markup: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

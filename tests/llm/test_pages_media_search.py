@@ -44,6 +44,25 @@ def test_page_edges(spark):
     assert got[4].n_chars == 20_000 * 5 - 1
 
 
+PROSE = " ".join(["Some plain words that stand in a row"] * 6)  # 48 words
+LAYOUTS = [
+    f"<div class=post><p>{PROSE} one.</p><p>{PROSE} two.</p></div><article class=comment><p>A reader says this.</p></article>",
+    f"<div><p>{PROSE} one.</p><p>{PROSE} two.</p></div><aside><article><p>A teaser of some other page.</p></article></aside>",
+    f"<div><p>{PROSE} one.</p><p>{PROSE} two.</p></div><div><a href=/more>Read more</a></div>",
+    f"<body><p>{PROSE} one.</p><p>{PROSE} two.</p><ul><li><a href=/a>Another page</a></li><li><a href=/b>One more</a></li></ul></body>",
+    f"<ul><li><a href=/>Home</a></li></ul><p>{PROSE} one.</p><p>{PROSE} two.</p>",
+]
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_main_text_without_an_article(page):
+    assert html_extract.main_text(page) == f"{PROSE} one. {PROSE} two."
+
+
+def test_paragraph_after_a_short_heading():
+    assert f"{PROSE} one." in html_extract.main_text(f"<div><h2>Two words</h2><p>{PROSE} one.</p><h2>More</h2><p>{PROSE} two.</p></div>")
+
+
 def test_page_tables_agree_with_the_marked_article(spark):
     import html
     import re
