@@ -203,7 +203,18 @@ def search_documents(t):
 @query("similar_cases")
 def similar_cases(t):
     index = network.checkpointed(retrieval.tfidf_index(retrieval.note_documents(t.closed_case)))
-    return retrieval.search(index, index.where(F.pmod(F.hash("doc_id"), F.lit(50)) == 0).withColumnRenamed("doc_id", "query_id"), 3)
+    return retrieval.search(index, index.withColumnRenamed("doc_id", "query_id"), 3)
+
+
+@query("tfidf_index_whole")
+def tfidf_index_whole(t):
+    return retrieval.tfidf_index(t.read("documents"), "text")
+
+
+@query("search_documents_by_20")
+def search_documents_by_20(t):
+    index = network.checkpointed(retrieval.tfidf_index(t.read("documents"), "text"))
+    return retrieval.search(index, index.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
 
 
 def verdicts(t):
