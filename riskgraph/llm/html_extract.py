@@ -1,14 +1,15 @@
 """Main text of HTML pages: flat blocks classified by a decision tree.
 
 A page is cut at block-level tags into text blocks. Each block is described by
-its own and its neighbours' word counts and link densities and by what encloses
-it; a tree trained on the small labelled table ``LABELLED`` says which blocks are main text.
+its own and its neighbours' word counts and link densities, by the unlinked words of its container, by what encloses it and by how much of the page's
+text is marked as article or main; a tree trained on the blocks of ``LABELLED`` says which blocks are main text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -23,93 +24,119 @@ RAW = set("script style textarea title iframe noscript template".split())  # rea
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SIDE = set("nav header footer aside form menu dialog fieldset".split())
 #: Words of class, id and role that name what surrounds an article.
-HINTS = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent dialog disqus discussion footer form header login masthead menu menubar modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split())
+HINTS = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs complementary contentinfo cookie cookies consent dialog footer form header login masthead menu menubar modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split())
+
+TALK = set("comment comments disqus discussion replies reply respond".split())
+ENDS_ITSELF = ("p", "li")
+PARTS = set("p li h1 h2 h3 h4 h5 h6 blockquote pre dt dd td th tr thead tbody tfoot figcaption caption".split())  # of a container
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORDS = re.compile(r"[A-Za-z]+")
 HTML_SPACE = re.compile(r"\s+")
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_side", "in_article", "list_item")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_side", "article", "main", "list_item", "container")
 
-#: Labelled blocks: the FEATURES, then 1 for main text. Written by hand for common page layouts.
+#: Labelled pages, written by hand for common layouts. A block is its number of words, the percentage of
+#: them that is linked, letters for where it lies (s in a surrounding, a in an article, m in main, i a list item), and + for
+#: main text; a bar parts the blocks of one container from the next one's.
 LABELLED = [
-    # words, links, words before, links before, words after, links after, in side, in article, list item, main
-    (45, 0.0, 60, 0.0, 52, 0.0, 0, 1, 0, 1),
-    (120, 0.05, 45, 0.0, 80, 0.1, 0, 1, 0, 1),
-    (8, 0.0, 0, 0.0, 60, 0.0, 0, 1, 0, 1),
-    (3, 0.0, 40, 0.0, 55, 0.0, 0, 1, 0, 1),
-    (1, 0.0, 30, 0.0, 20, 0.0, 0, 1, 0, 1),
-    (6, 0.0, 7, 0.0, 5, 0.0, 0, 1, 1, 1),
-    (12, 0.3, 9, 0.2, 14, 0.1, 0, 1, 1, 1),
-    (5, 1.0, 60, 0.1, 45, 0.0, 0, 1, 0, 1),
-    (2, 1.0, 40, 0.0, 2, 0.0, 0, 1, 0, 1),
-    (70, 0.0, 2, 1.0, 6, 0.5, 0, 1, 0, 1),
-    (9, 0.0, 3, 1.0, 0, 0.0, 0, 1, 0, 1),
-    (4, 0.0, 9, 0.0, 4, 0.0, 0, 1, 0, 1),
-    (2, 0.0, 4, 0.0, 50, 0.0, 0, 1, 0, 1),
-    (1, 0.0, 9, 0.0, 3, 0.0, 0, 1, 0, 1),
-    (2, 0.0, 0, 0.0, 2, 0.0, 0, 1, 0, 1),
-    (3, 0.0, 12, 0.0, 30, 0.0, 0, 1, 1, 1),
-    (1, 0.0, 16, 0.0, 0, 0.0, 0, 1, 0, 1),
-    (3, 0.0, 20, 0.0, 1, 0.0, 0, 1, 0, 1),
-    (3, 1.0, 6, 0.0, 8, 0.0, 0, 1, 0, 1),
-    (1, 1.0, 3, 0.0, 12, 0.0, 0, 1, 0, 1),
-    (8, 1.0, 15, 0.0, 40, 0.0, 0, 1, 0, 1),
-    (60, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0, 1),
-    (35, 0.1, 30, 0.0, 64, 0.1, 0, 0, 0, 1),
-    (18, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 1),
-    (14, 0.0, 25, 0.0, 90, 0.05, 0, 0, 0, 1),
-    (90, 0.2, 20, 0.1, 12, 0.0, 0, 0, 0, 1),
-    (25, 0.0, 60, 0.1, 2, 1.0, 0, 0, 0, 1),
-    (6, 0.0, 40, 0.0, 70, 0.0, 0, 0, 0, 1),
-    (16, 0.0, 33, 0.0, 20, 0.0, 0, 0, 1, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0),
-    (2, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0),
-    (1, 1.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0),
-    (12, 0.0, 1, 1.0, 10, 0.0, 1, 0, 0, 0),
-    (14, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (30, 0.0, 80, 0.0, 25, 0.0, 1, 0, 0, 0),
-    (65, 0.1, 5, 0.5, 40, 0.0, 1, 0, 0, 0),
-    (22, 0.0, 40, 0.0, 35, 0.0, 1, 1, 0, 0),
-    (50, 0.0, 20, 0.0, 60, 0.0, 1, 1, 0, 0),
-    (4, 1.0, 30, 0.0, 4, 1.0, 1, 1, 1, 0),
-    (2, 0.0, 90, 0.0, 0, 0.0, 1, 1, 0, 0),
-    (8, 0.0, 12, 0.0, 3, 1.0, 1, 0, 0, 0),
-    (100, 0.0, 0, 0.0, 3, 0.0, 1, 0, 0, 0),
-    (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 1, 0),
-    (2, 1.0, 60, 0.0, 3, 1.0, 0, 0, 0, 0),
-    (9, 0.9, 3, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (20, 0.8, 14, 0.9, 6, 1.0, 0, 0, 0, 0),
-    (40, 0.7, 20, 0.8, 8, 0.9, 0, 0, 0, 0),
-    (5, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0),
-    (3, 0.0, 1, 1.0, 4, 0.0, 0, 0, 0, 0),
-    (2, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (4, 0.5, 6, 0.0, 2, 1.0, 0, 0, 0, 0),
-    # pages without an article: long paragraphs before links, first, after a short heading or after links
-    (50, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 1),
-    (80, 0.05, 40, 0.0, 2, 1.0, 0, 0, 0, 1),
-    (35, 0.0, 0, 0.0, 50, 0.0, 0, 0, 0, 1),
-    (60, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 1),
-    (45, 0.0, 2, 0.0, 40, 0.0, 0, 0, 0, 1),
-    (70, 0.1, 3, 1.0, 50, 0.0, 0, 0, 0, 1),
-    (40, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 1),
-    (40, 0.0, 50, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (7, 0.0, 20, 0.0, 0, 0.0, 0, 0, 0, 1),
-    # link lists after prose
-    (12, 1.0, 60, 0.0, 10, 1.0, 0, 0, 0, 0),
-    (30, 0.95, 50, 0.0, 25, 1.0, 0, 0, 1, 0),
-    (25, 0.9, 45, 0.0, 30, 0.0, 0, 0, 0, 0),
-    (6, 1.0, 70, 0.0, 0, 0.0, 0, 0, 0, 0),
+    # articles marked as such: all of it is main text, short and linked blocks too, and nothing else
+    "1/100si- 1/100si- 2/100si- | 12s- | 9a+ 45a+ 120/5a+ 3a+ 60a+ 8/100a+ | 14s-",
+    "5/40s- | 22- | 6a+ 30a+ | 7ai+ 5/100ai+ 12/30ai+ | 80/10a+ 1a+ | 25s- | 40sa- | 2/100-",
+    "2/100- | 3/100- | 8a+ 15a+ 2a+ 1a+ | 30- | 6/50-",
+    "8ma+ 70ma+ 40ma+ 6/100ma+ | 5m- | 3/100mi- 4/100mi- | 10s-",
+    "2/100i- | 3a+ 4a+ 2a+ 1/100a+ | 16s-",
+    "20/90- | 10a+ 300/2a+ 150a+ 35/60a+ 9a+ | 60- 30-",
+    "3/100s- | 9a+ 80a+ 55a+ 14a+",
+    "10s- | 6a+ 28a+ | 40s-",
+    "3/100- 12- | 6a+ 90a+ 4a+ 70a+ 5/100a+",
+    "44s- 38s- | 5a+ 61a+ 20a+ | 33s- 70s- | 2s-",
+    "30- | 7a+ 40a+ 12a+ 5a+ | 35- | 50- 45-",
+    "2/100- | 60- | 4a+ 22a+ | 3a+ | 70a+ 9/100a+ 25a+ | 38- | 2a+ | 16a+ | 42-",
+    "34- 41- | 8a+ 90a+ | 2a+ 15a+ | 5/100a+ | 28a+ | 36- 37- | 4-",
+    "9m- 40m- | 6ma+ 80ma+ 33ma+ | 4ma+ | 35m- 50m-",
+    "120- | 9a+ 300a+ 150a+ 200a+ | 95- | 80s-",
+    "70- 90- | 6a+ 110a+ 140a+ 85a+ | 66-",
+    "8a+ 200a+ | 30a+ | 26a+ | 180a+ | 28as- 40as- | 24a+ 5a+",
+    "10a+ 160a+ | 3as- 26as- | 250a+ | 27a+ 33a+ | 2a+",
+    "64- 12/100- | 30a+ 44a+ | 36a+ | 68s- | 70- 75-",
+    "5a+ 4a+ 3a+ 2a+",
+    "8a+ 60a+ 4a+ 5a+",
+    "2/100- | 3a+ 40a+ 1a+ 7a+ 6a+",
+    "1a+ 1a+ 12a+ 1a+",
+    "6m+ 50m+ 3m+ 4m+",
+    # articles that are teasers beside a text of another element
+    "3/100- | 7+ 60+ 85+ 50/4+ | 9/100a- | 6/100a- | 12/100a-",
+    "40+ 65+ 30+ | 7/100a- 10a- | 4s-",
+    "12+ 45m+ 70m+ | 5/100ma- 9ma- | 8/100ma-",
+    "30/100a- | 28/100a- | 25/100a- | 50+ 70+ 66+",
+    "20a- | 25a- | 60+ 140+ 50+ 9+",
+    # main without an article
+    "4/100s- | 6m+ 50m+ 75/3m+ 4m+ 40m+ | 3/100mi- 5/100mi- 6/100mi- | 12-",
+    "2/100mi- 3/100mi- 1/100mi- | 8m+ 35m+ 90m+ | 6mi+ 9mi+ | 60/8m+ | 20s-",
+    "15- | 5m+ 55m+ 14m+ 80m+ | 4/100m- | 30-",
+    "10m+ 48m+ | 2/100m- 3/100m- | 26s-",
+    "2/100si- 4/100si- | 7m+ 66m+ 52m+ 24m+",
+    "8m+ 120m+ 5m+ 95m+ | 3/100m- 2/100m-",
+    # neither: the words and links of a block, its container and its neighbours tell
+    "1/100i- 1/100i- 2/100i- | 6+ 60+ 45+ 80+ 50+ | 3/100- 4/100- | 9-",
+    "2/100- 2/100- 1/100- | 35+ 70/5+ 18+ 90/10+ 12+ 40+ | 2/100i- 3/100i- | 11-",
+    "3- | 2/100- 3/100- | 8+ 55+ 5+ 65+ 7+ 48+ | 15/100- 12/90- | 6-",
+    "50+ 60+ 35+",
+    "40+ | 3/100-",
+    "9+ 42+ | 16i+ 12i+ 20i+ | 38+ | 5/100i- 6/100i- 7/100i- | 4-",
+    "4/100i- 5/100i- | 75+ 30+ 14/10+ 66+ | 25/95- 30/100- 22/90i- | 8-",
+    "7/60- 5/80- | 90/15+ 120/20+ 40/25+ | 20/100- 12/85-",
+    "2- | 1/100- 4/50- 3/100- | 44+ 52+ | 2/100- 2/100- | 2- | 5-",
+    "45+ 2/100- 58+ 3/100- 62+ 4/100-",
+    "6+ 33+ 8/100- 70+ 9/100- 45+ | 1/100- 1/100- 1/100-",
+    "12/100- 11/100- 14/100- 13/100- 10/100- | 6-",
+    "30/80i- 26/90i- 18/100i- | 60+ 80+ 45+ | 55/70- 40/90-",
+    "100s- 3s- | 28+ 36+ 7+ 50+ | 65s- 45s- 80s-",
+    "1/100si- | 5s- | 24+ 31+ 27+ | 18s- 22s- 3/100s-",
+    "30+ 40+ 12+",
+    "5+ 22+ 28+ 9+",
+    "14+ 18+ 6+",
+    "25+ 31+ 4+ | 3-",
+    "80s- 60s- | 30+ 20+ 9+ | 50s- 70s-",
+    "2/100- | 25+ 29+ 10+ 26+ | 3/100- | 8-",
+    "5/100- 6/100- | 5- | 20+ 40+ 22+ | 4/100- | 10/20-",
+    "60+ 40+ 75+ 12+",
+    "1/100si- 2/100si- | 50+ 33+ 8+ 90+ 12+",
+    "7+ 45+ 60/5+ 10+",
+    "3s- | 15s- 18s- | 6+ 70+ 25+ 11+ 90/5+ | 60s- 30s- 12s-",
+    "2/100- 3/100- 2/100- | 90+ | 3/100- 4/100- 4/100-",
+    "2/100i- | 80+ | 3/100i- 2/100i-",
+    "3/100- | 50/30+ 45/25+ 70/20+ | 4/100-",
+    "200+ | 4- | 3/100- 2/100-",
+    "5+ 180+ 95+ | 3/100- | 7-",
+    "6/100- | 6+ 45+ 6+ 52+ 5+ 61+ | 8/100- 9/100- 6/100-",
+    "2/100- 2/100- | 13+ 26+ 17+ 31+ 15+ | 2/100-",
+    "1/100- | 4+ 23+ 35+ 9+ | 5- | 4-",
+    "3- | 3- | 5+ 40+ 6+ 9+ 14+ | 6- | 8-",
+    "2/100- 4- | 5+ 20+ 38+ 11+ | 15s- | 1s-",
+    "6- | 4/100i- 3/100i- | 3+ 19+ 8+ 44+ 5+ 27+ 6+ | 12/100- | 14-",
 ]
+_BLOCK = re.compile(r"(\d+)(?:/(\d+))?([sami]*)([+-])")
+
 
+def labelled_rows(pages=LABELLED) -> list[tuple]:
+    """The FEATURES of each labelled block, then 1 for main text."""
+    rows = []
+    for page in pages:
+        marks = [(*_BLOCK.fullmatch(block).groups(), k) for k, group in enumerate(page.split("|")) for block in group.split()]
+        found = describe([(int(words), int(links or 0) / 100, "s" in at, "a" in at, "m" in at, "i" in at, k) for words, links, at, _, k in marks])
+        rows += [(*row, int(m[3] == "+")) for row, m in zip(found, marks)]
+    return rows
 
-def train_tree(rows=LABELLED, depth: int = 6) -> tuple:
+
+def train_tree(rows=None, depth: int = 8) -> tuple:
     """A CART tree by Gini impurity: nested (feature, threshold, left, right) or a leaf's 0 or 1.
 
-    The last column of ``rows`` is the label. Of equal splits the first feature and the smallest threshold are taken; a tie in a leaf is 1.
+    The last column of ``rows`` (default: the labelled blocks) is the label. Of equal splits the first feature and the smallest threshold are taken; a tie in a leaf is 1.
     """
-    data = np.asarray(rows, float)
+    data = np.asarray(labelled_rows() if rows is None else rows, float)
     x, y = data[:, :-1], data[:, -1]
 
     def impurity(part: np.ndarray) -> float:
@@ -146,124 +173,188 @@ def classify(tree, row) -> int:
     return tree
 
 
-def _enclosing(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's attributes name a surrounding, and whether it is hidden."""
-    side = hidden = False
+def _enclosing(attributes: str) -> tuple[str, bool]:
+    """What an element's class, id and role say of it (``talk``: readers' words, ``side``: a surrounding, ``mixed``: a
+    name that holds such a word before its last one, or nothing), and whether it is hidden."""
+    kinds, hidden = set(), False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id", "role"):
             for words in map(WORDS.findall, value.split()):  # has-sidebar and content-sidebar-wrap name what stands around the content too
-                side |= any(w in HINTS for w in words) and words[0] not in ("has", "with", "no", "without", "content", "main")
+                if not words or words[0] in ("has", "with", "no", "without", "content", "main"):
+                    continue
+                if any(w in TALK for w in words):
+                    kinds.add("talk")
+                elif words[-1] in HINTS:
+                    kinds.add("side")
+                elif any(w in HINTS for w in words):
+                    kinds.add("mixed")
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             hidden = True
         elif name == "style":
             hidden |= "display:none" in value.replace(" ", "")
-    return side, hidden
+    return next((k for k in ("talk", "side", "mixed") if k in kinds), ""), hidden
 
 
-def _is_side_article(attributes: str) -> bool:
+def _begins_with_hint(attributes: str) -> bool:
     """Whether a name of an article begins with a word for a surrounding, as a comment's or a teaser's does."""
     values = [(a or b or c).lower() for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role")]
-    return any(words[0] in HINTS for value in values for words in map(WORDS.findall, value.split()) if words)
+    return any(words[0] in HINTS or words[0] in TALK for value in values for words in map(WORDS.findall, value.split()) if words)
+
+
+class Element:
+    """An open element: its tag, whether it is a surrounding, an article, main or hidden, the named element around it, and whether a link was open before it."""
+
+    __slots__ = ("tag", "side", "article", "main", "hidden", "named", "linked", "container", "inner")
+
+    def __init__(self, tag, side=False, article=False, main=False, hidden=False, named=-1, linked=False, container=0):
+        self.tag, self.side, self.article, self.main, self.hidden, self.named, self.linked, self.container = tag, side, article, main, hidden, named, linked, container
+        self.inner: Counter = Counter()  # open inline elements that change nothing
+
 
+#: Of the words outside plain surroundings, the share from which on an element is the page's frame and no surrounding, whatever its name.
+FRAME = {"side": 0.9, "mixed": 0.5}
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
-    """The page's text blocks in order: text, share of linked words, in a surrounding, in an article, a list item.
 
-    Elements left open end with an enclosing end tag or the page; a stray end tag is passed over.
+def blocks(page: str) -> list[tuple[str, float, bool, bool, bool, bool, int]]:
+    """The page's text blocks in order: text, share of linked words, in a surrounding, in an article, in main, a list item, its container.
+
+    Elements left open end with an enclosing end tag or the page; a stray end tag is passed over. Each element is
+    opened and closed once, so time is linear in the page. Surroundings are elements made for it (nav, footer) and those named so, but
+    an element named so that holds the page's words (FRAME) is none.
     """
     out: list = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, side, article, hidden
-    links, at, item = 0, 0, False
+    stack = [Element("")]
+    opened: Counter = Counter()
+    named: list[list] = []  # of elements with a name: kind, the named element around it, words
+    linked, at = False, 0
+    around_of = [0]  # of each container, the one around it
 
     def flush() -> None:
         if parts:
             text = HTML_SPACE.sub(" ", html.unescape("".join(p for p, _ in parts))).strip()
             if text:
-                words = len(text.split())
-                linked = sum(len(html.unescape(p).split()) for p, link in parts if link)
-                side, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out.append((text, min(1.0, linked / words), side, article, item))
+                words, top = len(text.split()), stack[-1]
+                share = sum(len(html.unescape(p).split()) for p, link in parts if link) / words
+                out.append([text, min(1.0, share), top.side, top.article, top.main, opened["li"] > 0, top.container, top.named])
+                if not top.side and top.named >= 0:
+                    named[top.named][2] += words
             parts.clear()
 
+    def close(depth: int) -> None:
+        nonlocal linked
+        for e in stack[depth:]:
+            opened[e.tag] -= 1
+        linked = stack[depth].linked
+        del stack[depth:]
+
     while at < len(page):
         m = TAG.search(page, at)
         end = m.start() if m else len(page)
-        if end > at and not (stack and stack[-1][3]):
-            parts.append((page[at:end], links > 0))
+        if end > at and not stack[-1].hidden:
+            parts.append((page[at:end], linked))
         if not m:
             break
         at = m.end()
         if not m[2]:
             continue
-        name = m[2].lower()
+        name, attributes = m[2].lower(), m[3] or ""
+        inline = name in INLINE
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if name == "a":
-                links = max(0, links - 1)
-            if depth is None:
-                if name not in INLINE:
-                    flush()
-                continue
-            if name not in INLINE:
+                linked = False
+            if inline and stack[-1].inner[name]:
+                stack[-1].inner[name] -= 1
+            elif opened[name]:
+                depth = len(stack) - 1
+                while stack[depth].tag != name and not (inline and stack[depth].tag not in INLINE):
+                    depth -= 1
+                if stack[depth].tag == name:
+                    if not inline:
+                        flush()
+                    close(depth)
+            elif not inline:
                 flush()
-                del stack[depth:]
-                item = any(s[0] == "li" for s in stack)
-            elif depth == len(stack) - 1:
-                stack.pop()
-            else:
-                del stack[depth]
             continue
-        if name not in INLINE:
+        if not inline:
             flush()
-        if name == "a":
-            links += 1
-        elif name not in INLINE:
-            links = 0
-        if name in RAW and not (m[3] or "").rstrip().endswith("/"):
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+        if name in RAW and not attributes.rstrip().endswith("/"):
+            shut = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = shut.end() if shut else len(page)
             continue
         if name in VOID:
             continue
-        _, side, article, hidden = stack[-1] if stack else ("", False, False, False)
-        named, unseen = _enclosing(m[3]) if m[3] and not m[3].isspace() else (False, False)
-        body = name in ("html", "body", "main", "article")
-        if name == "p":  # a paragraph ends an open one
-            open_p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
-            if open_p is not None and stack[open_p][0] == "p":
-                del stack[open_p:]
-                _, side, article, hidden = stack[-1] if stack else ("", False, False, False)
-        header = name in SIDE or name == "article" and named and _is_side_article(m[3])
-        stack.append((name, side or header or named and not body, article or name in ("article", "main"), hidden or unseen or name in HIDDEN))
-        item = item or name == "li"
+        kind, unseen = _enclosing(attributes) if attributes and not attributes.isspace() else ("", False)
+        if inline and not kind and not unseen:
+            linked = linked or name == "a" and "href" in attributes.lower()
+            stack[-1].inner[name] += 1
+            continue
+        if name in ENDS_ITSELF and opened[name]:  # one paragraph or list item ends another that is open right here
+            depth = len(stack) - 1
+            while depth and stack[depth].tag in INLINE:
+                depth -= 1
+            if stack[depth].tag == name:
+                close(depth)
+        up = stack[-1]
+        frame = name in ("html", "body", "main", "article")
+        plain = name in SIDE or name == "article" and kind != "" and _begins_with_hint(attributes) or kind == "talk" and not frame
+        within = up.named
+        if kind in FRAME and not frame and not plain:
+            named.append([kind, up.named, 0])
+            within = len(named) - 1
+        container = up.container
+        if not inline and name not in PARTS:
+            container = len(around_of)
+            around_of.append(up.container)
+        stack.append(Element(name, up.side or plain, up.article or name == "article", up.main or name == "main", up.hidden or unseen or name in HIDDEN, within, linked, container))
+        opened[name] += 1
+        if name == "a" and "href" in attributes.lower():
+            linked = True
     flush()
-    return out
+    held = [0] * len(around_of)
+    for b in out:
+        held[b[6]] += 1
+    for c in range(len(held) - 1, 0, -1):
+        held[around_of[c]] += held[c]
+    for b in out:  # an element of one block is a part of the element around it
+        while b[6] and held[b[6]] == 1:
+            b[6] = around_of[b[6]]
+    total = sum(len(b[0].split()) for b in out if not b[2])
+    for _, around, words in reversed(named):  # an element comes after the one around it
+        if around >= 0:
+            named[around][2] += words
+    side: list[bool] = []
+    for kind, around, words in named:
+        side.append(words <= FRAME[kind] * total or around >= 0 and side[around])
+    return [(text, share, in_side or at >= 0 and side[at], article, main, item, container) for text, share, in_side, article, main, item, container, at in out]
 
 
 def describe(found: list) -> list[tuple]:
-    """The FEATURES of each block."""
-    sizes = [0, *(len(b[0].split()) for b in found), 0]
-    links = [0.0, *(b[1] for b in found), 0.0]
-    return [(sizes[i], links[i], sizes[i - 1], links[i - 1], sizes[i + 1], links[i + 1], int(side), int(article), int(item)) for i, (_, _, side, article, item) in enumerate(found, 1)]
+    """The FEATURES of each block (its text or number of words, share of linked words, four marks and the container as in ``blocks``).
+
+    ``article`` and ``main`` are the share of the page's words that they hold, outside of them its negative. ``container`` is the unlinked words of
+    a block's container over those of the page's largest one. Words in surroundings don't count in either.
+    """
+    own = [len(b[0].split()) if isinstance(b[0], str) else b[0] for b in found]
+    total = max(1, sum(n for n, b in zip(own, found) if not b[2]))
+    article, main = (sum(n for n, b in zip(own, found) if not b[2] and b[k]) / total for k in (3, 4))
+    held: Counter = Counter()
+    for n, b in zip(own, found):
+        held[b[6]] += 0 if b[2] else n * (1 - b[1])
+    most = max([1.0, *held.values()])
+    sizes, links = [0, *own, 0], [0.0, *(b[1] for b in found), 0.0]
+    return [
+        (sizes[i], links[i], sizes[i - 1], links[i - 1], sizes[i + 1], links[i + 1], int(b[2]), article if b[3] else -article, main if b[4] else -main, int(b[5]), 0.0 if b[2] else held[b[6]] / most)
+        for i, b in enumerate(found, 1)
+    ]
 
 
 def main_text(page: str | None, tree=None) -> str:
     """The main text's blocks joined by one space; empty for a null or empty page."""
     tree = tree if tree is not None else default_tree()
     found = blocks(page or "")
-
-    def chosen(part: list) -> list[str]:
-        return [b[0] for b, row in zip(part, describe(part)) if classify(tree, row)]
-
-    texts = None
-    if any(article and not side for _, _, side, article, _ in found):  # a page that marks its article has it there
-        texts = chosen([b for b in found if b[3]])
-        outside = chosen([b for b in found if not b[3]])
-        if sum(len(t.split()) for t in outside) > sum(len(t.split()) for t in texts):  # the articles are teasers
-            texts = None
-    return " ".join(chosen(found) if texts is None else texts)
+    return " ".join(b[0] for b, row in zip(found, describe(found)) if classify(tree, row))
 
 
 def extract(df: DataFrame, markup: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

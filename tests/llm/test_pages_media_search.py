@@ -1,7 +1,11 @@
 """Pages, media, vectors, and the registered queries as a whole."""
 
 import hashlib
+import itertools
+import re
+import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -34,7 +38,7 @@ def test_main_text(page):
 
 def test_tree_fits_its_table():
     tree = html_extract.train_tree()
-    assert all(html_extract.classify(tree, r) == r[-1] for r in html_extract.LABELLED)
+    assert all(html_extract.classify(tree, r) == r[-1] for r in html_extract.labelled_rows())
 
 
 def test_page_edges(spark):
@@ -63,6 +67,74 @@ def test_paragraph_after_a_short_heading():
     assert f"{PROSE} one." in html_extract.main_text(f"<div><h2>Two words</h2><p>{PROSE} one.</p><h2>More</h2><p>{PROSE} two.</p></div>")
 
 
+P40 = "w " * 39 + "w"
+
+
+@pytest.mark.parametrize(
+    ("page", "words"),
+    [
+        (f"<article><p>{P40}</p><p>{P40}</p><p><a href=x>see also this</a></p></article>", 83),
+        (f"<div><p>{P40}</p><p>{P40}</p></div><article>a small teaser</article>", 80),
+        (f'<div class="search-results-page"><p>{P40}</p><p>{P40}</p></div>', 80),
+        (f'<div class="post-header-ad related-story"><article><p>{P40}</p><p>{P40}</p></article></div>', 80),
+        (f"<a href=x><div>All of our products and many other things that we sell</div></a><div><p>{P40}</p><p>{P40}</p></div>", 80),
+        (f"<main><ul><li><a href=x>One</a></li><li><a href=x>Two</a></li></ul><h1>Head line</h1><p>{P40}</p><p>{P40}</p></main>", 82),
+        (f"<article><p>{P40}</p><p class=advert>buy this now or never</p><p>{P40}</p></article>", 80),
+    ],
+)
+def test_words_of_the_main_text(page, words):
+    assert len(html_extract.main_text(page).split()) == words
+
+
+MENUS = [
+    "",
+    "<ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li><li><a href=/n>News</a></li></ul>",
+    "<nav><a href=/>Home</a> <a href=/a>About</a></nav><header><h2>The site of a town</h2></header>",
+    "<div><a href=/>Home</a></div><div><a href=/b>Books and papers</a></div><div><a href=/c>Contact</a></div>",
+    "<a href=/all><div>All of our products and services that you can buy here today</div></a>",
+]
+LINES = [
+    "Some plain words that stand in a row and tell of one thing after another until the line ends here at last.",
+    "A second paragraph follows the first one, with a <a href=/x>linked phrase</a> within it, and goes on for a while so that nobody takes it for a title or a label of a button, which are much shorter.",
+    "The last paragraph is of middle length and closes the text.",
+]
+BODIES = [
+    "<div><p>{}</p><p>{}</p><p>{}</p></div>",
+    '<div class="post"><h1>A title of five words</h1><p>{}</p><p>{}</p><p>{}</p></div>',
+    '<div id="content">{}<br><br>{}<br><br>{}</div>',
+    "<div><div>{}</div><div>{}</div><div>{}</div></div>",
+    "<table><tr><td>{}</td></tr><tr><td>{}</td></tr><tr><td>{}</td></tr></table>",
+]
+ENDS = [
+    "",
+    '<div class="footer">Copyright of the owners, all rights reserved.</div>',
+    "<ul><li><a href=/p>Another page of ours</a></li><li><a href=/q>One more page</a></li><li><a href=/r>The last page of the list</a></li></ul><div class=copyright-footer>All rights reserved</div>",
+    "<section id=comments><p>A reader says that this is long enough to look like a part of the text above, and it does.</p></section><footer>Us</footer>",
+]
+
+
+def test_layouts_without_an_article():
+    hit = got = want = 0
+    for menu, body, end in itertools.product(MENUS, BODIES, ENDS):
+        found = Counter(html_extract.main_text(menu + body.format(*LINES) + end).split())
+        true = Counter(re.sub("<[^>]*>", " ", body.format(*LINES)).split())
+        hit, got, want = hit + (found & true).total(), got + found.total(), want + true.total()
+    assert hit >= 0.95 * got and hit >= 0.95 * want
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 4000 + "</i>" * 4000, "<b>" * 4000 + "</i>x" * 4000, "<span hidden>" * 4000 + "</i></span>" * 4000, "<p>x" * 4000 + "<li>x" * 4000 + "</li></p>" * 4000])
+def test_time_does_not_grow_with_depth(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 1
+
+
+def test_pages_with_clashing_columns_and_none(spark):
+    df = spark.createDataFrame([(1, "u", "<p>one two", "x", 5, "y")], "page_id bigint, url string, html string, text string, n_chars int, __html string")
+    assert html_extract.extract(df, keep=("page_id", "url")).columns == ["page_id", "url", "text", "n_chars"]
+    assert html_extract.extract(df.limit(0)).collect() == []
+
+
 def test_page_tables_agree_with_the_marked_article(spark):
     import html
     import re
