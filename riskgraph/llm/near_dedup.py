@@ -20,18 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.llm.shared import components, cut
+from riskgraph.llm.shared import components, cut, join_hot
 from riskgraph.llm.text import PRIME, U, chunks, mix, shingle_hashes, word_hashes
 
 
 @dataclass(frozen=True)
 class Params:
-    """At a similarity of 0.8 a pair shares no band with a probability of 3e-6."""
+    """Pairs are accepted by the Jaccard of their sets. Their registers agree with the probability Jaccard, which is 0.8 or
+    more for a set Jaccard of 0.8 if shingles occur equally often in both, and then a pair shares no band with a probability of 1e-10;
+    where counts differ it may be less: at a probability Jaccard of 0.6 a pair is missed with a probability of 4e-4.
+    """
 
     words: int = 5
     threshold: float = 0.8
-    bands: int = 24
-    rows: int = 4
+    bands: int = 32
+    rows: int = 3
     small: int = 32  # buckets of at most so many nodes have their open pairs verified without a bound
 
 
@@ -243,18 +246,12 @@ def _compare(p: Params):
     return run
 
 
-def classes(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id``, ``row`` (hash of the text), ``class_id``, ``class_size`` and ``first`` for every row of ``docs``.
-
-    ``class_id`` is the smallest id of the rows linked, directly or over others, by a
-    similarity of at least the threshold or by having the same words in the same order. ``first`` marks one row per class: one with that
-    id. Null texts are empty; texts without words are alike only if equal. A text of fewer words than a shingle has one shingle, of all its words.
-    Null ids come after all others. Repeated rows are rows of one class.
-    """
+def _linked(docs: DataFrame, p: Params, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, row, node), nodes (node, many, at), links (a, b) between nodes and labels of linked nodes."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("text"))
     described = cut(rows.mapInArrow(_describe(p), "doc_id bigint, row bigint, node binary, n int, bands array<bigint>"))
-    nodes = described.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("at"))
+    nodes = described.groupBy("node").agg(F.count("*").alias("many"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("at"))
 
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -272,13 +269,38 @@ def classes(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: s
     labels = components(links)
     more = cut(_verified(_open_pairs(buckets, labels, seen, p), texts, p).where("similar").select("a", "b"))
     if more.limit(1).count():
-        labels = components(links.union(more))
+        links = links.union(more)
+        labels = components(links)
+    return described.select("doc_id", "row", "node"), nodes.select("node", "many", "at"), links, labels
 
-    members = described.select("doc_id", "row", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", F.col("node")))
-    least = members.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("at"), F.count("*").alias("class_size"))
-    met = members.join(least, "label")
-    first = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("row") == F.col("at.row"))
-    return met.select("doc_id", "row", "class_id", "class_size", first.alias("first"))
+
+def classes(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id``, ``row`` (hash of the text), ``class_id``, ``class_size``, ``links`` and ``first`` for every row of ``docs``.
+
+    ``class_id`` is the smallest id of the rows linked, directly or over others, by a
+    similarity of at least the threshold or by having the same words in the same order. ``links`` are the pairs of different
+    texts of the class that were found and verified (``pairs`` gives them; they connect the whole class). ``first`` marks one row per class: one with that
+    id. Null texts are empty; texts without words are alike only if equal. A text of fewer words than a shingle has one shingle, of all its words.
+    Null ids come after all others. Repeated rows are rows of one class. Other columns of ``docs`` are ignored, whatever their names; an
+    empty table has no rows.
+    """
+    members, nodes, links, labels = _linked(docs, p, text, doc_id)
+    labelled = cut(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", F.col("node"))))
+    linked = links.join(labels, F.col("a") == F.col("node")).groupBy("label").agg(F.count("*").alias("links"))
+    least = labelled.groupBy("label").agg(F.count("*").alias("texts"), F.min("at").alias("first_at"), F.sum("many").alias("class_size"))
+    least = cut(least.join(linked, "label", "left").withColumn("links", F.coalesce("links", F.lit(0))))
+    of_node = join_hot(labelled.select("node", "many", "label"), least, "label", "texts").drop("label")
+    met = join_hot(members, cut(of_node), "node", "many")
+    first = F.col("doc_id").eqNullSafe(F.col("first_at.doc_id")) & (F.col("row") == F.col("first_at.row"))
+    return met.select("doc_id", "row", F.col("first_at.doc_id").alias("class_id"), "class_size", "links", first.alias("first"))
+
+
+def pairs(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``a_id`` and ``b_id``: verified pairs of different texts, each by its row of the smallest id. With ``classes`` they give all membership."""
+    _, nodes, links, _ = _linked(docs, p, text, doc_id)
+    ids = nodes.select("node", F.col("at.doc_id").alias("id"))
+    met = links.join(ids.withColumnsRenamed({"node": "a", "id": "a_id"}), "a").join(ids.withColumnsRenamed({"node": "b", "id": "b_id"}), "b")
+    return met.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))
 
 
 def deduplicate(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -111,6 +111,20 @@ def split_by(home: np.ndarray, homes: int, columns: dict) -> Iterator[tuple[int,
         yield int(b), take(columns, slice(edge[b], edge[b + 1]))
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, many: str, share: int = 10_000) -> DataFrame:
+    """``left`` with ``right``'s columns (one row per ``key``; nulls where there is none); ``many`` says how many rows of ``left`` each key has and is dropped.
+
+    Keys that hold 1 / ``share`` of all rows or more, of which there can't be more than ``share``, are broadcast, so
+    that their rows stay where they are; the rest is shuffled, and no task gets a large part of it.
+    """
+    total = right.agg(F.sum(many)).first()[0] or 0
+    hot = F.col(many) * share >= max(1, total)
+    few = right.where(hot).drop(many)
+    met = left.join(F.broadcast(few), key)
+    rest = left.join(F.broadcast(few.select(key)), key, "left_anti").join(right.where(~hot).drop(many), key, "left")
+    return met.select(*rest.columns).union(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``label``, the smallest node it is linked to over any number of ``edges`` (a, b).
 
