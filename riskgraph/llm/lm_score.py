@@ -7,7 +7,8 @@ millionths and rounded, so that sums are exact whatever their order.
 Documents are exploded to their distinct pairs, which are dealt to the partitions of the count table by
 hash, as packed columns: pairs by their first word, so that its pairs sum to its own
 count. The counts of the most frequent words are known beforehand, and their pairs are dealt by both words, so that
-no word's pairs meet in one task. Words that are backed off to are dealt once more, to their own counts. Scores are summed per document.
+no word's pairs meet in one task. Pairs of two common words are counted before they meet the documents and never dealt: as a pair
+is no more frequent than its words, none that is left holds more than 1 / ``common`` of all tokens. Words that are backed off to are dealt once more, to their own counts. Scores are summed per document.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from riskgraph.llm.text import U, chunks, mix, word_hashes
 
 NO_ID = 2**63 - 1
 HELD = 1 << 22  # characters whose pairs a task gathers before it sends them
-RARE = U(1 << 47)  # marks the code of a word outside the frequent ones: 47 bits of its hash
-START, END = U(1 << 48), U((1 << 48) + 1)  # stand for the second word: v opens, or closes, its document
+RARE = U(1 << 63)  # marks the code of a word outside the frequent ones: 63 bits of its hash
+START, END = U(1 << 62), U((1 << 62) + 1)  # stand for the second word: v opens, or closes, its document
 PAIR = (("v", "<u8"), ("w", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("m", "<u4"))
 ASK = (("w", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("m", "<u4"))
 COUNT = (("w", "<u8"), ("c", "<i8"))
@@ -35,11 +36,14 @@ SUM = (("id", "<i8"), ("tag", "<i8"), ("s", "<i8"), ("n", "<i8"))
 
 @dataclass(frozen=True)
 class Params:
-    """``frequent`` bounds the table of words that all tasks get: those of at least 1 / ``frequent`` of all tokens, of which there can't be more. It changes no result."""
+    """``frequent`` and ``common`` bound what all tasks get: the counts of words of at least 1 / ``frequent`` of all tokens, and of the pairs
+    of two words of at least 1 / ``common`` each, of which there can't be more than ``common`` squared. They change no result.
+    """
 
     min_count: int = 2
     backoff: float = 0.4
     frequent: int = 300_000
+    common: int = 1000
 
 
 def log(c) -> np.ndarray:
@@ -74,16 +78,47 @@ def unigrams(docs: DataFrame, text: str) -> DataFrame:
 class Frequent:
     """The frequent words' codes (their place in the order of hashes) and counts."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, common: int = 0):
         order = np.argsort(hashes)
         self.hashes, self.counts, self.total = hashes[order], counts[order], total
         self.logs, self.log_total = log(self.counts), int(log(max(1, total)))
+        chosen = np.flatnonzero(self.counts * common >= max(1, total))
+        self.dense = np.full(len(self.hashes) + 1, -1)  # the common words' places in the table of their pairs; the last is for all other words
+        self.dense[chosen] = np.arange(len(chosen))
+        self.pairs = np.zeros((len(chosen), len(chosen)), np.int64)
+
+    def places(self, code: np.ndarray) -> np.ndarray:
+        """Of codes, the places in ``pairs``, -1 for words that aren't common."""
+        return self.dense[np.minimum(code, U(len(self.hashes))).astype(np.int64)]
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
-            return (h >> U(17)) | RARE
+            return h | RARE
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at.astype(U), (h >> U(17)) | RARE)
+        return np.where(self.hashes[at] == h, at.astype(U), h | RARE)
+
+
+def common_pairs(docs: DataFrame, text: str, known) -> DataFrame:
+    """``at`` (place of the first word times the number of common words, plus that of the second) and ``c`` of the pairs of common words. Tasks count before the shuffle."""
+
+    def run(batches):
+        frequent = known.value
+        n = len(frequent.pairs)
+        found = np.zeros(n * n, np.int64)
+        for batch in batches:
+            for _, texts in chunks([None] * len(batch), batch.column(0).to_pylist()):
+                words, counts = word_hashes(texts)
+                place = frequent.places(frequent.codes(words))
+                inner = np.ones(len(words), bool)
+                inner[np.cumsum(counts)[counts > 0] - 1] = False
+                v = np.flatnonzero(inner)
+                v = v[(place[v] >= 0) & (place[v + 1] >= 0)]
+                at, many = np.unique(place[v] * n + place[v + 1], return_counts=True)
+                found[at] += many
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "c": pa.array(found[at], pa.int64())})
+
+    return docs.select(text).mapInArrow(run, "at bigint, c bigint").groupBy("at").agg(F.sum("c").alias("c"))
 
 
 def _home(code: np.ndarray, buckets: int) -> np.ndarray:
@@ -105,7 +140,7 @@ def _scored(r: dict, s: np.ndarray) -> dict:
     return {"id": r["id"], "tag": r["tag"], "s": s * m, "n": m}
 
 
-def _pairs(buckets: int, known):
+def _pairs(buckets: int, known, p: Params):
     """Documents (id, tag, text) to rows (bucket, pairs, sums)."""
 
     def explode(ids, tags, texts, frequent: Frequent):
@@ -122,16 +157,25 @@ def _pairs(buckets: int, known):
         v, w, d = v[order], w[order], d[order]
         first = np.flatnonzero(runs(v, w, d))
         m = np.diff(np.append(first, len(v)))
+        v, w, d = v[first], w[first], d[first]
+        a, b = frequent.places(v), frequent.places(w)
+        both = (a >= 0) & (b >= 0)
+        pair, one, two = frequent.pairs[a[both], b[both]], v[both].astype(np.int64), w[both].astype(np.int64)
+        seen = pair >= p.min_count
+        scored = np.where(seen, log(np.maximum(pair, 1)) - frequent.logs[one], frequent.logs[two] - frequent.log_total + int(log(p.backoff))) if len(one) else np.zeros(0, np.int64)
+        scored, times, owner = scored * m[both], m[both], d[both]
+        v, w, d, m = v[~both], w[~both], d[~both], m[~both]
         rare = code >= RARE
         open_, close = starts[rare[starts]], ends[rare[ends]]
-        v = np.concatenate([v[first], code[open_], code[close]])
-        w = np.concatenate([w[first], np.full(len(open_), START), np.full(len(close), END)])
-        d = np.concatenate([d[first], doc[open_], doc[close]])
+        v = np.concatenate([v, code[open_], code[close]])
+        w = np.concatenate([w, np.full(len(open_), START), np.full(len(close), END)])
+        d = np.concatenate([d, doc[open_], doc[close]])
         m = np.concatenate([m, np.ones(len(open_) + len(close), np.int64)])
         easy = starts[~rare[starts]]
         ids, tags = np.array(ids, np.int64), np.array(tags, np.int64)
         logs = frequent.logs[code[easy].astype(np.int64)] - frequent.log_total if len(easy) else np.zeros(0, np.int64)
-        sums = {"id": ids[doc[easy]], "tag": tags[doc[easy]], "s": logs, "n": np.ones(len(easy), np.int64)}
+        owner = np.concatenate([doc[easy], owner])
+        sums = {"id": ids[owner], "tag": tags[owner], "s": np.concatenate([logs, scored]), "n": np.concatenate([np.ones(len(easy), np.int64), times])}
         return {"v": v, "w": w, "id": ids[d], "tag": tags[d], "m": m}, sums
 
     def send(held, sums):
@@ -152,7 +196,7 @@ def _pairs(buckets: int, known):
             for part, texts in chunks(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), batch.column(2).to_pylist()):
                 a, b = explode([i for i, _ in part], [t for _, t in part], texts, frequent)
                 held.append(a)
-                sums.append(b)
+                sums.append(_summed(b))
                 size += sum(map(len, texts))
                 if size >= HELD:
                     yield from send(held, sums)
@@ -198,7 +242,8 @@ def score(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str
 
     Counts are over all rows of ``docs``, repeated ones included. A text without words, or a null one,
     scores 0 and its ``per_token`` is null. Null ids are kept; rows of one id and text are scored each for itself, and
-    rows of one id and other texts are told apart by a 64-bit hash of the text.
+    rows of one id and other texts are told apart by a 64-bit hash of the text. Other columns
+    of ``docs`` are ignored, whatever their names; an empty table has no rows.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -208,7 +253,10 @@ def score(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str
     counts = cut(unigrams(rows, "__text"))
     total = counts.agg(F.sum("c")).first()[0] or 0
     top = counts.where(F.col("c") * p.frequent >= max(1, total)).toArrow()
-    known = spark.sparkContext.broadcast(Frequent(top["h"].to_numpy().astype(U), top["c"].to_numpy(), total))
+    frequent = Frequent(top["h"].to_numpy().astype(U), top["c"].to_numpy(), total, p.common)
+    pairs = common_pairs(rows, "__text", spark.sparkContext.broadcast(frequent)).toArrow()
+    frequent.pairs.reshape(-1)[pairs["at"].to_numpy()] = pairs["c"].to_numpy()
+    known = spark.sparkContext.broadcast(frequent)
 
     def row(bucket: int, **cells):
         kinds = {"ask": None, "counts": None, "sums": None} | cells
@@ -264,7 +312,7 @@ def score(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str
         yield pa.RecordBatch.from_pydict({"__id": pa.array(done["id"]), "__tag": pa.array(done["tag"]), "s": pa.array(done["s"]), "n": pa.array(done["n"])})
 
     dealt = "bucket int, ask binary, counts binary, sums binary"
-    sent = rows.select("__id", "__tag", "__text").mapInArrow(_pairs(buckets, known), "bucket int, pairs binary, sums binary")
+    sent = rows.select("__id", "__tag", "__text").mapInArrow(_pairs(buckets, known, p), "bucket int, pairs binary, sums binary")
     asked = by_bucket(sent, parts, None, dealt, count)
     backed = by_bucket(asked, parts, None, dealt, back_off).select("bucket", "sums")
     summed = by_bucket(backed, parts, documents, "__id bigint, __tag bigint, s bigint, n bigint")

@@ -52,11 +52,11 @@ def scores_by_hand(texts, p=lm_score.Params()):
     return out
 
 
-@pytest.mark.parametrize("frequent", [300_000, 9, 0])
-def test_lm_scores_equal_brute_force(spark, frequent):
+@pytest.mark.parametrize(("frequent", "common"), [(300_000, 1000), (300_000, 0), (300_000, 7), (9, 5), (0, 0), (0, 9)])
+def test_lm_scores_equal_brute_force(spark, frequent, common):
     rng = random.Random(2)
-    texts = [" ".join(rng.choice("the of a b c dé Foo_1 x9".split()) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["", "one"]
-    p = lm_score.Params(frequent=frequent)
+    texts = [" ".join(rng.choice("the of a b c dé Foo_1 x9".split()) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["", "one", "a b " * 20_000 + "word " * 3]
+    p = lm_score.Params(frequent=frequent, common=common)
     got = lm_score.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), p).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.score) for r in got] == scores_by_hand(texts, p)
 
