@@ -27,9 +27,14 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).drop("row")
 
 
+#: Target weights of languages; sources, other languages and topics are tempered.
+LANGUAGES = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return mixed.drop("text").withColumnsRenamed({"mix_tokens": "n_tokens", "mix_topic": "topic", "mix_weight": "weight", "mix_probability": "probability", "mix_kept": "kept"})
+    """Null and empty texts, sources, languages and ids, repeated rows and extra columns: see ``mixing.mix``."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), weights=LANGUAGES)
+    return mixed.drop("text").withColumnsRenamed({"mix_tokens": "n_tokens", "mix_topic": "topic", "mix_weight": "weight", "mix_probability": "probability", "mix_gap": "gap", "mix_kept": "kept"})
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
