@@ -1,8 +1,8 @@
 """Licence scan: TF-IDF cosine of licence passages to templates, then inheritance from directories.
 
-A passage is a line, or a paragraph of several lines, that holds one of the words
-CUES. Its best template counts from a cosine of ``threshold`` on. Document frequencies of the templates' words
-are counted over all documents; words outside the templates weigh least. A file
+A passage is a window of as many words as a template has, at any place of a text (at its end, what is left of
+it, if that is half or more). A text's licence is that of its best window from a cosine of ``threshold`` on. Document frequencies of the templates' words
+are counted over all documents; words outside the templates weigh as much as those of the templates on average. A file
 without a licence of its own takes that of the nearest directory above it that holds a licence
 file: one named so, or one of which half the words or more are licence passages.
 """
@@ -19,129 +19,167 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgraph.llm.shared import cut
+from riskgraph.llm.shared import cut, join_hot
 from riskgraph.llm.text import chunks, word_hashes
 
-# Public licence names and the wording of their usual notices.
+_WARRANTY = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {} for more details."
+
+# Public licence names, their texts and the wording of their usual notices.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT License"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", _GNU.format("GNU General Public License", 2, "GNU General Public License")),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
+    ("GPL-3.0", _GNU.format("GNU General Public License", 3, "GNU General Public License")),
+    ("LGPL-2.1", _GNU.format("GNU Lesser General Public License", "2.1", "GNU Lesser General Public License")),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", _GNU.format("GNU Lesser General Public License", 3, "GNU Lesser General Public License")),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", _GNU.format("GNU Affero General Public License", 3, "GNU Affero General Public License")),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause Simplified License"),
+    ("BSD-2-Clause", f"{_BSD_OPENING} {_BSD_END}"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("BSD-3-Clause", f"{_BSD_OPENING} {_BSD_THIRD} {_BSD_END}"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
     ("CC0-1.0", "Dedicated to the public domain under the Creative Commons CC0 1.0 Universal license"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain, see the Unlicense license"),
+    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
-CUES = ("license", "licensed", "licence", "licenced", "licensing", "unlicense", "permission", "permitted", "redistribution", "warranties", "copyright", "spdx")
+NEGATIONS = ("not", "never", "no")  # in a window or up to five words before it they deny the licence, if the template has none
 
-TOKEN = re.compile(r"\w+(?:\.\d+)*")
-CUE = re.compile(r"\b(?:%s)\b" % "|".join(CUES), re.I)
 FILE = re.compile(r"(?:^|/)(?:licen[cs]e|copying|unlicense|notice)(?:[.-][^/]*)?$", re.I)
+TOKEN = re.compile(r"(?:[0-9a-z_]|[^\x00-\x7f])+")
 
 
 def words(text: str) -> list[str]:
+    """The words that ``word_hashes`` sees."""
     return TOKEN.findall(text.lower())
 
 
-VOCABULARY = tuple(sorted({w for _, t in TEMPLATES for w in words(t)}))
+VOCABULARY = tuple(sorted({w for _, t in TEMPLATES for w in words(t)} | set(NEGATIONS)))
+_hashes = word_hashes([" ".join(VOCABULARY)])[0]
+_order = np.argsort(_hashes)
+_sorted = _hashes[_order]
+
+
+def _known(h: np.ndarray) -> np.ndarray:
+    """Places in VOCABULARY of hashed words; its length for words outside."""
+    at = np.minimum(np.searchsorted(_sorted, h), len(_sorted) - 1)
+    return np.where(_sorted[at] == h, _order[at], len(VOCABULARY))
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
-    """Rows of ``docs``, and in how many of them each word of the templates occurs. Each task sums its rows first; at most the vocabulary's size comes to the driver."""
-    parts = sorted({p for w in VOCABULARY for p in w.split(".")})
-    hashes, _ = word_hashes(parts)
-    order = np.argsort(hashes)
-    sorted_hashes = hashes[order]
+def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, list[int]]:
+    """Rows of ``docs``, and in how many of them each word of VOCABULARY occurs. Each task sums its rows first; only as many numbers come to the driver."""
+    size = len(VOCABULARY) + 1
 
     def run(batches):
-        total, n = np.zeros(len(parts) + 1, np.int64), 0
+        total, n = np.zeros(size, np.int64), 0
         for batch in batches:
             n += len(batch)
             for _, texts in chunks([None] * len(batch), batch.column(0).to_pylist()):
                 h, counts = word_hashes(texts)
-                at = np.minimum(np.searchsorted(sorted_hashes, h), len(parts) - 1)
-                hit = sorted_hashes[at] == h
-                pair = np.unique(np.repeat(np.arange(len(texts)), counts)[hit] * len(parts) + order[at[hit]])
-                total += np.bincount(pair % len(parts), minlength=len(parts) + 1)
+                pair = np.unique(np.repeat(np.arange(len(texts)), counts) * size + _known(h))
+                total += np.bincount(pair % size, minlength=size)
         total[-1] = n
-        yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(total)), pa.int32()), "n": pa.array(total, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"k": pa.array(range(size), pa.int32()), "n": pa.array(total, pa.int64())})
 
     counted = dict(docs.select(text).mapInArrow(run, "k int, n bigint").groupBy("k").agg(F.sum("n")).collect())
-    by_part = {p: counted.get(i, 0) for i, p in enumerate(parts)}
-    # a number with a point occurs at most as often as its parts
-    return counted.get(len(parts), 0), {w: min(by_part[p] for p in w.split(".")) for w in VOCABULARY}
+    return counted.get(size - 1, 0), [counted.get(i, 0) for i in range(size - 1)]
 
 
 class Matcher:
-    """Cosine of passages to the templates under smoothed idf: ln((1 + n) / (1 + df)) + 1, and 1 for words outside the templates."""
+    """Cosines of windows of words to the templates: counts of words times smoothed idf, ln((1 + n) / (1 + df)) + 1."""
 
-    def __init__(self, n: int, df: dict[str, int], threshold: float):
-        self.idf = {w: math.log((1 + n) / (1 + d)) + 1 for w, d in df.items()}
+    def __init__(self, n: int, df: list[int], threshold: float):
+        idf = [math.log((1 + n) / (1 + d)) + 1 for d in df]
+        self.idf = np.array([*idf, sum(idf) / len(idf)])
         self.threshold = threshold
-        self.vectors = [(name, self._vector(words(t))) for name, t in TEMPLATES]
-        self.seen: dict[str, tuple] = {}
-
-    def _vector(self, tokens: list[str]) -> dict[str, float]:
-        v = {w: (1 + math.log(c)) * self.idf.get(w, 1.0) for w, c in Counter(tokens).items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {w: x / norm for w, x in v.items()}
-
-    def best(self, passage: str) -> tuple[float, str | None, int]:
-        """The passage's best cosine, its licence (of equals the first template's) if it reaches the threshold, and the passage's words."""
-        found = self.seen.get(passage)
-        if found is None:
-            tokens = words(passage)
-            v = self._vector(tokens)
-            score, name = max(((sum(x * v.get(w, 0.0) for w, x in t.items()), name) for name, t in self.vectors), key=lambda s: s[0])
-            score = min(1.0, score)
-            found = (score, name if score >= self.threshold else None, len(tokens))
-            if len(self.seen) > 10_000:
-                self.seen.clear()
-            self.seen[passage] = found
-        return found
-
-    def scan(self, text: str) -> tuple[str | None, float, float]:
-        """A text's licence, its cosine, and the share of the text's words in licence passages."""
-        licence, top, covered, last = None, 0.0, 0, -1
-        for m in CUE.finditer(text):
-            a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-            b = len(text) if b < 0 else b
-            if a <= last:
-                continue
-            last = a
-            score, name, size = self.best(text[a:b])
-            top_a, top_b = text.rfind("\n\n", 0, m.start()), text.find("\n\n", m.end())
-            block = text[top_a + 2 if top_a >= 0 else 0 : len(text) if top_b < 0 else top_b]
-            if "\n" in block.strip() and len(block) <= 20 * max(len(t) for _, t in TEMPLATES):
-                whole = self.best(block)
-                if whole[0] > score:
-                    score, name, size = whole
-            if name is not None:
-                covered += size
-                if score > top:
-                    licence, top = name, score
-        return licence, top, min(1.0, covered / max(1, len(words(text)))) if covered else 0.0
+        place = {w: i for i, w in enumerate(VOCABULARY)}
+        self.denied = np.zeros(len(self.idf), bool)
+        self.denied[[place[w] for w in NEGATIONS]] = True
+        self.templates = []
+        for name, text in TEMPLATES:
+            tokens = words(text)
+            vector = np.zeros(len(self.idf))
+            for w, c in Counter(tokens).items():
+                vector[place[w]] = c * self.idf[place[w]]
+            vector /= np.linalg.norm(vector)
+            self.templates.append((name, len(tokens), vector, vector * self.idf, not any(w in NEGATIONS for w in tokens)))
+
+    def cosine(self, vector: np.ndarray, at: np.ndarray, h: np.ndarray) -> float:
+        """Of a window with words at ``at`` of VOCABULARY and hashes ``h``."""
+        _, first, many = np.unique(h, return_index=True, return_counts=True)
+        weight = many * self.idf[at[first]]
+        return float(min(1.0, weight @ vector[at[first]] / np.linalg.norm(weight)))
+
+    def windows(self, texts: list[str]):
+        """(text, cosine, template, first word, words) of all windows that reach the threshold, and each text's number of words.
+
+        A window's cosine is at most its product with the template over the root of the sum of its words' squared weights, each
+        occurrence counted for itself; both are differences of running sums, and only windows whose bound reaches the threshold are looked at.
+        """
+        h, counts = word_hashes(texts)
+        at = _known(h)
+        ends = np.repeat(np.cumsum(counts), counts)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        squares = np.concatenate([[0.0], np.cumsum(self.idf[at] ** 2)])
+        denials = np.concatenate([[0], np.cumsum(self.denied[at])])
+        begin = np.flatnonzero(at < len(VOCABULARY))
+        out = []
+        for k, (_, size, vector, gain, plain) in enumerate(self.templates):
+            sums = np.concatenate([[0.0], np.cumsum(gain[at])])
+            stop = np.minimum(begin + size, ends[begin])
+            reach = (sums[stop] - sums[begin]) >= (self.threshold - 1e-9) * np.sqrt(squares[stop] - squares[begin])
+            reach &= 2 * (stop - begin) >= size
+            for a, b in zip(begin[reach].tolist(), stop[reach].tolist()):
+                before = max(a - 5, int(ends[a] - counts[owner[a]]))
+                if plain and denials[b] > denials[before]:
+                    continue
+                c = self.cosine(vector, at[a:b], h[a:b])
+                if c >= self.threshold:
+                    out.append((int(owner[a]), c, k, a, b - a))
+        return out, counts
+
+    def scan(self, texts: list[str]) -> list[tuple[str | None, float, float]]:
+        """Each text's licence, its cosine, and the share of the text's words in licence passages, the best of those that overlap.
+
+        Of equal cosines the first template's and then the first window counts. A text without a licence has cosine 0.
+        """
+        found, counts = self.windows(texts)
+        best: dict[int, tuple] = {}
+        taken: dict[int, list] = {}
+        for owner, c, k, a, size in sorted(found, key=lambda w: (w[0], -w[1], w[2], w[3])):
+            best.setdefault(owner, (TEMPLATES[k][0], c))
+            spans = taken.setdefault(owner, [])
+            if all(a + size <= x or y <= a for x, y in spans):
+                spans.append((a, a + size))
+        covered = {i: sum(y - x for x, y in spans) / max(1, int(counts[i])) for i, spans in taken.items()}
+        return [(*best[i], covered[i]) if i in best else (None, 0.0, 0.0) for i in range(len(texts))]
 
 
 def scan(docs: DataFrame, text: str = "text", path: str = "path", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.6) -> DataFrame:
-    """``keep``, ``path``, ``own_license``, ``cosine`` and ``license_file`` of every row's whole text: two passes over the texts, which don't move."""
+    """``keep``, ``path``, ``own_license``, ``cosine`` and ``license_file`` of every row's whole text: two passes over the texts, which don't move.
+
+    Null and empty texts have no licence; repeated rows stay; other columns are ignored, whatever their names; an empty table gives no rows.
+    """
     n, df = document_frequencies(docs, text)
     chosen = docs.select(F.col(text).alias("__text"), F.col(path).alias("__path"), *keep)
     names = ["path", *chosen.columns[2:], "own_license", "cosine", "license_file"]
@@ -149,7 +187,7 @@ def scan(docs: DataFrame, text: str = "text", path: str = "path", keep: tuple[st
     def run(batches):
         matcher = Matcher(n, df, threshold)
         for batch in batches:
-            rows = [matcher.scan(t.as_py() or "") for t in batch.column(0)]
+            rows = [r for _, texts in chunks([None] * len(batch), batch.column(0).to_pylist()) for r in matcher.scan(texts)]
             named = [bool(p and FILE.search(p)) for p in batch.column(1).to_pylist()]
             made = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[0] is not None and (f or r[2] >= 0.5) for r, f in zip(rows, named)])]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names)
@@ -168,18 +206,20 @@ def inherit(scanned: DataFrame) -> DataFrame:
 
     A directory's licence is that of its licence files with the highest cosine, of equals the first by path.
     Directories are made distinct before their ancestors are exploded, so a directory with
-    many files costs one row; files then meet their directory in a join that AQE splits where one is hot.
+    many files costs one row; files then meet their directory by ``join_hot``.
     A null path, or no licence above, gives none.
     """
     scanned = cut(scanned)  # three readers, one scan
     held = scanned.where("license_file AND path IS NOT NULL").groupBy(directory(F.col("path")).alias("license_dir"))
     held = held.agg(F.min_by("own_license", F.struct(-F.col("cosine"), F.col("path"), F.col("own_license"))).alias("dir_license"))
-    below = scanned.where("own_license IS NULL AND path IS NOT NULL").select(directory(F.col("path")).alias("dir")).distinct()
-    parts = F.split("dir", "/")
-    above = below.select("dir", F.explode(F.when(F.col("dir") == "", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(parts)))).alias("depth"), parts.alias("parts"))
-    above = above.select("dir", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("license_dir"))
-    nearest = above.join(held, "license_dir").groupBy("dir").agg(F.max_by(F.struct("license_dir", "dir_license"), "depth").alias("from"))
-    files = scanned.withColumn("dir", F.when(F.col("own_license").isNull(), directory(F.col("path"))))
-    met = files.join(nearest, "dir", "left")
-    origin = F.when(F.col("own_license").isNotNull(), "own").when(F.col("from").isNotNull(), "inherited").otherwise("none")
-    return met.withColumn("license", F.coalesce("own_license", "from.dir_license")).withColumn("origin", origin).withColumn("license_dir", F.col("from.license_dir")).drop("dir", "from")
+    below = cut(scanned.where("own_license IS NULL AND path IS NOT NULL").groupBy(directory(F.col("path")).alias("__dir")).agg(F.count("*").alias("__many")))
+    parts = F.split("__dir", "/")
+    above = below.select("__dir", F.explode(F.when(F.col("__dir") == "", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(parts)))).alias("depth"), parts.alias("parts"))
+    above = above.select("__dir", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("license_dir"))
+    counted = held.join(above.groupBy("license_dir").agg(F.count("*").alias("__n")), "license_dir")  # how many directories lie below each
+    found = join_hot(above, cut(counted), "license_dir", "__n").where("dir_license IS NOT NULL")
+    nearest = found.groupBy("__dir").agg(F.max_by(F.struct("license_dir", "dir_license"), "depth").alias("__from"))
+    files = scanned.withColumn("__dir", F.when(F.col("own_license").isNull(), directory(F.col("path"))))
+    met = join_hot(files, cut(below.join(nearest, "__dir", "left")), "__dir", "__many")
+    origin = F.when(F.col("own_license").isNotNull(), "own").when(F.col("__from").isNotNull(), "inherited").otherwise("none")
+    return met.select(*scanned.columns, F.coalesce("own_license", "__from.dir_license").alias("license"), origin.alias("origin"), F.col("__from.license_dir").alias("license_dir"))

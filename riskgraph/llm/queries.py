@@ -56,11 +56,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents have no paths: source, language and id make up a tree of files."""
+    """The documents have no paths, so source, language and id make up a tree of files: every fourth id is a notice
+    beside the folders of its source and language, and the others lie in those folders. See ``license_scan`` for nulls, repeats and empty tables."""
     docs = table(spark, sf_dir, "documents")
-    parts = (F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), (F.col("doc_id") % 64).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    docs = docs.select("doc_id", "text", F.concat_ws("/", *parts).alias("path"))
-    return license_scan.inherit(license_scan.scan(docs))
+    top = (F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    path = F.when(F.col("doc_id") % 4 == 0, F.concat_ws("/", *top, F.concat(F.lit("NOTICE-"), name))).otherwise(F.concat_ws("/", *top, (F.col("doc_id") % 64).cast("string"), name))
+    return license_scan.inherit(license_scan.scan(docs.select("doc_id", "text", path.alias("path"))))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

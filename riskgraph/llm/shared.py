@@ -121,8 +121,9 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, many: str, share: int
     hot = F.col(many) * share >= max(1, total)
     few = right.where(hot).drop(many)
     met = left.join(F.broadcast(few), key)
-    rest = left.join(F.broadcast(few.select(key)), key, "left_anti").join(right.where(~hot).drop(many), key, "left")
-    return met.select(*rest.columns).union(rest)
+    rest = left.where(F.col(key).isNotNull()).join(F.broadcast(few.select(key)), key, "left_anti").join(right.where(~hot & F.col(key).isNotNull()).drop(many), key, "left")
+    none = left.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in few.schema.fields if f.name != key))
+    return met.select(*rest.columns).union(rest).union(none.select(*rest.columns))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -143,10 +143,61 @@ def test_licences(spark):
     assert license_scan.inherit(license_scan.scan(df.limit(0))).collect() == []
 
 
+def flat_matcher():
+    return license_scan.Matcher(1000, [3 + k % 5 for k in range(len(license_scan.VOCABULARY))], 0.6)
+
+
 def test_each_template_finds_itself():
-    matcher = license_scan.Matcher(1000, {w: 3 for w in license_scan.VOCABULARY}, 0.6)
-    for name, text in license_scan.TEMPLATES:
-        assert matcher.scan(text)[0] == name and license_scan.CUE.search(text)
+    found = flat_matcher().scan([text for _, text in license_scan.TEMPLATES])
+    assert [f[0] for f in found] == [name for name, _ in license_scan.TEMPLATES] and min(f[2] for f in found) > 0.99
+
+
+def best_by_hand(matcher, text):
+    """Every window of every template's size, by dictionaries."""
+    tokens = license_scan.words(text)
+    idf = dict(zip(license_scan.VOCABULARY, matcher.idf))
+    weigh = lambda part: {w: part.count(w) * idf.get(w, matcher.idf[-1]) for w in set(part)}
+    top = (0.0, None)
+    for name, template in license_scan.TEMPLATES:
+        own = license_scan.words(template)
+        t = weigh(own)
+        for a in range(len(tokens)):
+            part = tokens[a : a + len(own)]
+            denied = not set(own) & set(license_scan.NEGATIONS) and set(tokens[max(0, a - 5) : a + len(part)]) & set(license_scan.NEGATIONS)
+            if tokens[a] not in idf or denied or 2 * len(part) < len(own):
+                continue
+            w = weigh(part)
+            c = sum(x * w.get(k, 0) for k, x in t.items()) / math.sqrt(sum(x * x for x in t.values()) * sum(x * x for x in w.values()))
+            if c > top[0] + 1e-12:
+                top = (c, name)
+    return top if top[0] >= matcher.threshold else (0.0, None)
+
+
+def test_licences_equal_brute_force():
+    rng = random.Random(5)
+    matcher = flat_matcher()
+    texts = ["", "word", "not released under the MIT License", license_scan._BSD_OPENING.split(":")[0]]
+    for k, (_, t) in enumerate(license_scan.TEMPLATES):
+        part = t.split()
+        part = [w for w in part if rng.random() > 0.1 * (k % 3)]
+        filler = [rng.choice(("alpha", "beta", "the", "of", "use")) for _ in range(40)]
+        texts.append(" ".join(filler[:20] + part + filler[20:]))
+    for text, (name, cosine, _) in zip(texts, matcher.scan(texts)):
+        want = best_by_hand(matcher, text)
+        assert abs(cosine - want[0]) < 1e-9 and name == want[1]
+    assert [f[0] for f in matcher.scan(texts)][:4] == [None] * 4
+
+
+def test_a_notice_within_a_long_line():
+    text = "plain words stand here " * 125 + "Released under the MIT License. " + "and go on after it " * 120
+    assert flat_matcher().scan([text, text.replace(" ", "\n")])[0][0] == "MIT"
+    assert flat_matcher().scan(["This is free and unencumbered software released into the public domain."])[0][0] == "Unlicense"
+
+
+def test_licences_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "Released under the MIT License", "a/LICENSE", 1, 2, 3, "x"), (2, None, "a/b/c", 1, 2, 3, "x")], "doc_id bigint, text string, path string, license int, depth int, parts int, dir string")
+    got = license_scan.inherit(license_scan.scan(df, keep=("doc_id", "depth", "parts", "dir")))
+    assert sorted((r.doc_id, r.license, r.origin, r.dir) for r in got.collect()) == [(1, "MIT", "own", "x"), (2, "MIT", "inherited", "x")]
 
 
 def test_raking_meets_its_targets(spark):
