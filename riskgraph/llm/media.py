@@ -134,22 +134,24 @@ def _rows(batches):
             raw, media = text_image(text.as_py())
             image = decode(media)
             payload = image.tobytes()
-            tile = npy_tile(image)
-            out.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), tile))
-        columns = list(zip(*out)) or [()] * 8
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+            tile, bitmap = npy_tile(image), encode_bmp(image)
+            if not np.array_equal(decode(bitmap), image):
+                raise ValueError("a BMP doesn't give its image back")
+            out.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), len(bitmap), hashlib.sha256(bitmap).hexdigest(), tile))
+        columns = list(zip(*out)) or [()] * 10
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         made = [pa.array(c, k) for c, k in zip(columns, kinds)]
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*batch.schema.names[1:], *FIELDS])
 
 
-FIELDS = {"n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "tile": "binary"}
+FIELDS = {"n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "bmp_bytes": "bigint", "bmp_sha256": "string", "tile": "binary"}
 
 
 def media_columns(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of ``df`` with the columns ``keep`` and FIELDS.
 
     Each text is stored as a P6 image, read back and described: digests of
-    payload and stored form, a difference hash (``feature``) and an NPY tile.
+    payload and stored form, a difference hash (``feature``), the digest of the same image's BMP form and an NPY tile.
     A null text counts as empty (one row of spaces). Rows repeat as they do in
     ``df``; other columns of ``df`` are ignored, whatever their names. The work is per row: no shuffle,
     and a task holds one image and a batch's small results.

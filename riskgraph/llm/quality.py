@@ -135,9 +135,11 @@ def fit(df: DataFrame, p: Params = Params(), text: str = "text", label: str = "l
 
 def scores(texts: list[str], w: np.ndarray, bits: int) -> np.ndarray:
     index, total = features(texts, bits)
-    sums = np.concatenate([[0.0], np.cumsum(w[index])])
-    ends = np.cumsum(total)
-    dot = (sums[ends] - sums[ends - total]) * (SCALE / np.maximum(total, 1)) + w[-1]
+    dot = np.zeros(len(texts))
+    some = total > 0
+    if some.any():  # each text is summed by itself, so that equal texts have equal scores
+        dot[some] = np.add.reduceat(w[index], (np.cumsum(total) - total)[some])
+    dot = dot * (SCALE / np.maximum(total, 1)) + w[-1]
     return 1 / (1 + np.exp(-np.clip(dot, -30, 30)))
 
 
@@ -166,12 +168,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: Params = Params()) ->
     """Text, label and order of at most ``max_rows`` labelled documents that are not held out.
 
     Labels other than 0 and 1 and rows without an id are passed over; of several labels of a
-    document the smallest holds. The sample is of fixed size, so its ids are broadcast to the scan of the texts.
+    document the smallest holds, and of several texts the smallest. The sample is of fixed size, so its ids are broadcast to the scan of the texts.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = usable.groupBy("doc_id").agg(F.min("quality").alias("label")).withColumn("order", F.xxhash64("doc_id"))
     ids = ids.orderBy("order", "doc_id").limit(p.max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label", "order")
+    met = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"), F.min("order").alias("order")).select("text", "label", "order")
 
 
 def classify(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:

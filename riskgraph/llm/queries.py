@@ -16,14 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text is empty, a null id comes after all others, repeated rows stay; other columns are ignored; an empty table gives no rows."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty page has an empty text, repeated rows stay; other columns are ignored; an empty table gives no rows."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty and alike, null ids come last, repeated rows are of one class; see ``near_dedup.classes``."""
     return near_dedup.classes(table(spark, sf_dir, "documents")).drop("row")
 
 
@@ -38,19 +41,23 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a null id or an unusable vector take no part; of queries with one id the smallest vector asks, repeated candidates each count; no rows from an empty table."""
     vectors = topk_search.quantised(table(spark, sf_dir, "embeddings"))
     return topk_search.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text has no tokens, score 0 and no ``per_token``; repeated rows and null ids stay and count; see ``lm_score.score``."""
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    """A null or empty text has no ids, repeated rows and null ids stay; other columns are ignored; an empty table gives no rows."""
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), sentencepiece_codec.Model.load(model_path))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text has the score of no features, repeated rows are scored each, null ids aren't held out; without labels all scores are 0.5."""
     scored = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
 
@@ -66,7 +73,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents")).drop("tile")
+    """A null text is empty (one row of spaces), repeated rows and null ids stay; other columns are ignored; an empty table gives no rows.
+
+    The NPY tile itself is the operator's; here its digest stands for it.
+    """
+    made = media.media_columns(table(spark, sf_dir, "documents"))
+    return made.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_html_extraction": op2_html_extraction, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_exact_top_k": op5_exact_top_k, "op6_lm_score": op6_lm_score, "op7_sentencepiece": op7_sentencepiece, "op8_quality_classifier": op8_quality_classifier, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}

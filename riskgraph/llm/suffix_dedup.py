@@ -61,15 +61,16 @@ class Block:
         self.data = np.frombuffer(b"".join(texts) + bytes(16), np.uint8)
         self.n = len(self.data) - 16
         self.starts = np.cumsum([0] + [len(t) for t in texts])
-        self.sums: np.ndarray | None = None
+        self.sums: dict[int, np.ndarray] = {}
 
-    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hashes of the bytes from each a up to b."""
+    def hashes(self, a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
+        """Hashes of the bytes from each a up to b; each ``seed`` gives another function."""
         power, inverse = _power(self.n)
-        if self.sums is None:
-            self.sums = np.zeros(self.n + 1, U)
-            np.cumsum(mix(self.data[: self.n].astype(U) + U(1)) * power[: self.n], out=self.sums[1:])
-        return mix((self.sums[b] - self.sums[a]) * inverse[a] + (b - a).astype(U))
+        if seed not in self.sums:
+            sums = self.sums[seed] = np.zeros(self.n + 1, U)
+            np.cumsum(mix(self.data[: self.n].astype(U) + U(1 + 256 * seed)) * power[: self.n], out=sums[1:])
+        sums = self.sums[seed]
+        return mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(U))
 
     def samples(self):
         """Each sample with its windows: document, place, first window, number of windows - 1."""
@@ -127,8 +128,8 @@ def _blocks(batch: pa.RecordBatch):
 SAMPLE = (("key", "<u4"), ("left", "<u2"), ("right", "<u2"), ("rank", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("more", "u1"), ("off", "u1"))
 #: Windows of a document: the first of a run, and how many more.
 FOUND = (("id", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("more", "u1"))
-#: Single windows on their way to their bucket.
-WINDOW = (("rank", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("at", "<u4"))
+#: Single windows on their way to their bucket, told apart by 96 bits: there are far more of them than of samples.
+WINDOW = (("rank", "<u8"), ("check", "<u4"), ("id", "<i8"), ("tag", "<i8"), ("at", "<u4"))
 
 
 def _settled(s: dict) -> np.ndarray:
@@ -264,8 +265,8 @@ def _per_document(bucket, cells):
 
 
 def _first_of_each(w: dict) -> np.ndarray:
-    """Of windows sorted by (rank, id): whether an earlier document has each."""
-    run = runs(w["rank"])
+    """Of windows sorted by (rank, check, id): whether an earlier document has each."""
+    run = runs(w["rank"], w["check"])
     return w["id"] > w["id"][np.flatnonzero(run)][np.cumsum(run) - 1] if len(run) else run
 
 
@@ -274,7 +275,7 @@ def _windows(buckets: int, homes: int):
 
     def send(held):
         w = joined(held, WINDOW)
-        w = take(w, np.lexsort((w["id"], w["rank"])))
+        w = take(w, np.lexsort((w["id"], w["check"], w["rank"])))
         known = _first_of_each(w)
         found = take(w, known)
         late = pack({c: found[c] if c != "more" else np.zeros(len(found["id"])) for c, _ in FOUND}, FOUND)
@@ -301,7 +302,7 @@ def _windows(buckets: int, homes: int):
                 at = np.unique(np.repeat(pairs[:, 0] - (np.cumsum(many) - many), many) + np.arange(int(many.sum())))
                 block = Block([(text or "").encode("utf-8", "replace")])
                 rank = block.hashes(at, at + LENGTH)
-                held.append({"rank": rank, "id": np.full(len(at), i, np.int64), "tag": np.full(len(at), tag, np.int64), "at": at.astype("<u4")})
+                held.append({"rank": rank, "check": (block.hashes(at, at + LENGTH, 1) >> U(32)).astype("<u4"), "id": np.full(len(at), i, np.int64), "tag": np.full(len(at), tag, np.int64), "at": at.astype("<u4")})
                 size += len(at)
                 if size >= HELD // 16:
                     yield from send(held)
@@ -315,7 +316,7 @@ def _windows(buckets: int, homes: int):
 def _sort_windows(homes: int):
     def finish(bucket, cells):
         w = joined([unpack(x, WINDOW) for x in cells["windows"]], WINDOW)
-        w = take(w, np.lexsort((w["id"], w["rank"])))
+        w = take(w, np.lexsort((w["id"], w["check"], w["rank"])))
         late = take(w, _first_of_each(w))
         found = {c: late[c] if c != "more" else np.zeros(len(late["id"]), "u1") for c, _ in FOUND}
         yield from _to_documents(joined([found, *(unpack(x, FOUND) for x in cells["found"])], FOUND), "settled", homes)
@@ -357,7 +358,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a document
     with a smaller id. Strings are judged on the input. A null text is empty; a null id comes after all
-    others. Rows with one id are of equal rank and don't remove from each other. ``kept_text`` (if asked
+    others. Rows with one id are of equal rank and don't remove from each other; repeated rows stay. Other columns are ignored, whatever their names; an empty table gives no rows. ``kept_text`` (if asked
     for, else null) leaves out bytes of characters that were cut in two. Texts must be shorter than 4 GB.
 
     Only samples and windows go by bucket; texts go once to their document's windows. A bucket that many
@@ -365,7 +366,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     buckets = parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("__id"), F.col(text).cast("string").alias("__text"), F.col(doc_id), *keep)
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("__id"), F.col(text).cast("string").alias("__text"), F.struct(F.col(doc_id), *keep).alias("__row"))
     rows, keys = tagged(rows, "__id", "__text")
     homed = "bucket int, settled binary, open binary"
     by_document = "__id bigint, __tag bigint, settled binary, open binary"
@@ -374,13 +375,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     known = by_bucket(sent, parts, _sort_bucket(parts), homed)
     known = cut(by_bucket(known, parts, _per_document, by_document))
 
-    # both joins read one exchange of the texts, as they take the same columns from it
     placed = rows.repartition(parts, *keys)
     open_ = known.where("length(open) > 0").select(*keys, "open")
-    windows = placed.join(open_, keys).select("__id", "__tag", "__text", "open", doc_id, *keep).mapInArrow(_windows(buckets, parts), "bucket int, windows binary, found binary")
+    windows = placed.join(open_, keys).select("__id", "__tag", "__text", "open").mapInArrow(_windows(buckets, parts), "bucket int, windows binary, found binary")
     late = by_bucket(by_bucket(windows, parts, _sort_windows(parts), homed), parts, _per_document, by_document)
 
     met = placed.join(known.select(*keys, "settled"), keys, "left").join(late.select(*keys, F.col("settled").alias("late")), keys, "left")
-    met = met.select("__text", "settled", "late", doc_id, *keep)
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields[3:]]
-    return met.mapInArrow(_remove(with_text), ", ".join([*schema, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"]))
+    met = met.select("__text", "settled", "late", "__row")
+    made = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
+    done = met.mapInArrow(_remove(with_text), f"__row {met.schema['__row'].dataType.simpleString()}, {made}")
+    return done.select("__row.*", *(c.split()[0] for c in made.split(", ")))

@@ -31,6 +31,65 @@ def test_quality_edges(spark):
     assert none.collect() == [] and none.columns == ["doc_id", "text", "held_out", "score", "predicted"]
 
 
+def test_ftrl_equals_plain_python():
+    rng = np.random.default_rng(3)
+    p = quality.Params(bits=5, epochs=2)
+    rows = [(np.sort(rng.choice(32, 6, replace=False)), rng.random(6)) for _ in range(40)]
+    labels = rng.integers(0, 2, 40)
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= p.l1:
+            return 0.0
+        return -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    for epoch in range(p.epochs):
+        for k in np.random.default_rng(epoch).permutation(40):
+            x = {**dict(zip(rows[k][0].tolist(), rows[k][1].tolist())), 32: 1.0}
+            w = {i: weight(i) for i in x}
+            error = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x))) - labels[k]
+            for i in x:
+                g = error * x[i]
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / p.alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = quality.ftrl(rows, labels, p)
+    assert np.allclose(got, [weight(i) if i in n else 0.0 for i in range(33)]) and (got != 0).sum() > 10
+
+
+def features_by_hand(text):
+    """Counts of the n-grams whose hashes are the features: words (n = 1, 2) and shapes (n = 1, 2, 3)."""
+    import re
+
+    tokens = re.findall(r"(?:[0-9A-Za-z_]|[^\x00-\x7f])+|[^\s0-9A-Za-z_\x80-\U0010ffff]+", text)
+    lower = [t.lower() if t.isascii() else "".join(c.lower() if c.isascii() else c for c in t) for t in tokens]
+    shape = [(frozenset("l" if not c.isascii() or c.islower() or c == "_" else "u" if c.isupper() else "d" if c.isdigit() else "o" for c in t), min(len(t.encode()), 3)) for t in tokens]
+    grams = [tuple(s[i : i + k]) + (kind, k) for kind, s, most in (("w", lower, 2), ("s", shape, 3)) for k in range(1, most + 1) for i in range(len(s) - k + 1)]
+    return {g: grams.count(g) for g in grams}
+
+
+def test_features_equal_plain_python():
+    texts = ["The cat, the dog; THE end 42x", "", "a", "%% ## a_b é1 É", "one two one two one"]
+    index, total = quality.features(texts, 40)
+    at = 0
+    for text, n in zip(texts, total):
+        want = features_by_hand(text)
+        _, many = np.unique(index[at : at + n], return_counts=True)
+        assert sorted(many) == sorted(want.values())
+        at += n
+
+
+def test_equal_texts_have_equal_scores():
+    w = np.random.default_rng(0).normal(size=(1 << 18) + 1)
+    alone = quality.scores(["some words stand here, 12 of them"], w, 18)[0]
+    assert (quality.scores(["x " * 5000, "some words stand here, 12 of them", "", "some words stand here, 12 of them"], w, 18)[[1, 3]] == alone).all()
+
+
+def test_the_training_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] * 3, "doc_id bigint, quality int")
+    assert quality.training_sample(docs, labels, quality.Params(max_rows=3)).count() <= 3
+
+
 def scores_by_hand(texts, p=lm_score.Params()):
     import re
 
