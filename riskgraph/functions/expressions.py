@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,17 @@ def seconds(later: Column, earlier: Column) -> Column:
 def joined(column: Column) -> Column:
     """A collected array as a sorted, comma-separated string."""
     return F.array_join(F.array_sort(column), ",")
+
+
+def ranked(df: DataFrame, bucket: Column, order: list, by: list[str] | None = None) -> DataFrame:
+    """``df`` with ``__rank``, its place from 0 in the order of ``bucket`` (a small range of whole numbers that ``order`` rises with) and ``order``, and ``__n``, within ``by``.
+
+    Only a bucket's rows meet in one task; what the buckets before it hold is summed over one row per bucket, of which there are few.
+    """
+    by = by or []
+    marked = df.withColumn("__bucket", bucket)
+    sizes = marked.groupBy(*by, "__bucket").agg(F.count("*").alias("__size"))
+    w = Window.partitionBy(*by)
+    before = sizes.select(*by, "__bucket", F.coalesce(F.sum("__size").over(w.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__size").over(w).alias("__n"))
+    place = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy(*order)) - 1
+    return marked.join(before, [*by, "__bucket"]).withColumn("__rank", F.col("__before") + place).drop("__bucket", "__before")

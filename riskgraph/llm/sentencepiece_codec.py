@@ -86,6 +86,8 @@ class Codec:
         keys = np.concatenate(keys) if keys else np.zeros(0, U)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(ids, np.int64)[order]
+        self.marked = np.zeros(1 << 21, bool)  # by the lower bits of keys: most substrings are no pieces, and most of those end here
+        self.marked[(keys & U(len(self.marked) - 1)).astype(np.int64)] = True
         self.score = np.array(model.scores)
         self.least = min((model.scores[i] for i in self.known.values()), default=0.0) - 10
         # a word ends where white space follows something else, unless a piece reaches over that place
@@ -107,8 +109,13 @@ class Codec:
     def probe(self, sums, power, rows, a, b) -> np.ndarray:
         """Ids of the pieces that equal characters a to b of the rows, -1 where there is none."""
         h = mix(sums[rows, b] - sums[rows, a] * power[b - a] + (b - a).astype(U))
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1) if len(self.keys) else np.zeros(len(h), int)
-        return np.where(self.keys[at] == h, self.key_ids[at], -1) if len(self.keys) else np.full(len(h), -1)
+        out = np.full(len(h), -1)
+        maybe = np.flatnonzero(self.marked[(h & U(len(self.marked) - 1)).astype(np.int64)])
+        if len(maybe):
+            h = h[maybe]
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            out[maybe] = np.where(self.keys[at] == h, self.key_ids[at], -1)
+        return out
 
     def viterbi(self, words: list[str]) -> list[list[tuple[int, int]]]:
         """Best-scoring segmentation of words of one length, as spans; of equals the one with the longer last piece."""
@@ -119,11 +126,16 @@ class Codec:
         best[:, 0] = 0
         for end in range(1, width + 1):
             for size in range(min(end, self.longest), 0, -1):
-                ids = self.probe(sums, power, rows, np.full(n, end - size), np.full(n, end))
-                gain = np.where(ids >= 0, self.score[ids], self.least if size == 1 else NONE)
-                total = best[:, end - size] + gain
-                better = total > best[:, end]
-                best[better, end], back[better, end] = total[better], size
+                h = mix(sums[:, end] - sums[:, end - size] * power[size] + U(size))
+                here = rows if size == 1 else np.flatnonzero(self.marked[(h & U(len(self.marked) - 1)).astype(np.int64)])
+                if not len(here):
+                    continue
+                at = np.minimum(np.searchsorted(self.keys, h[here]), len(self.keys) - 1) if len(self.keys) else np.zeros(len(here), int)
+                hit = self.keys[at] == h[here] if len(self.keys) else np.zeros(len(here), bool)
+                gain = np.where(hit, self.score[self.key_ids[at]], self.least if size == 1 else NONE) if len(self.keys) else np.full(len(here), self.least)
+                total = best[here, end - size] + gain
+                better = total > best[here, end]
+                best[here[better], end], back[here[better], end] = total[better], size
         out = []
         for r in range(n):
             end, spans = width, []

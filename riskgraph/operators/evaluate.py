@@ -24,11 +24,16 @@ def binary_metrics(scored: DataFrame, threshold: float = 0.70) -> DataFrame:
 def roc_auc(scored: DataFrame) -> DataFrame:
     """Exact AUC by rank sums with average ranks; null without both classes.
 
-    Equal scores are counted first, so the window that ranks them runs over the
-    distinct scores, pre-aggregated by all tasks.
+    Equal scores are counted first. Distinct scores are dealt to 4096 ranges; only a range's scores meet in
+    one task, and what lies below a range is summed over one row per range.
     """
     by_score = scored.groupBy("p").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_score = by_score.withColumn("range", F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * 4096))
+    sizes = by_score.groupBy("range").agg(F.sum("n").alias("size"))
+    under = sizes.select("range", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("under"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_score = by_score.withColumn("inside", inside).join(F.broadcast(under), "range")
+    below = F.col("under") + F.col("inside")
     ranked = by_score.select("n", "pos", (F.col("pos") * (below + (F.col("n") + 1) / 2)).alias("ranks"))
     sums = ranked.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum("ranks").alias("ranks"))
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgraph.functions.expressions import money, r4, seconds
+from riskgraph.operators.network import checkpointed
 from riskgraph.operators.cards import mismatches
 
 
@@ -93,7 +94,7 @@ def prior_case_rate(cases: DataFrame, closed: DataFrame) -> DataFrame:
 
 def case_features(cases: DataFrame, txn: DataFrame, identity: DataFrame, closed: DataFrame, max_auth: float = 5.0, large: float = 50.0, minutes: int = 60) -> DataFrame:
     """The 29 features per case. Cases whose card has no transaction at all have the defaults of an empty history."""
-    rows = with_target(history(cases, txn))
+    rows = checkpointed(with_target(history(cases, txn)))  # six readers
     stats, speed = history_stats(rows), velocity(rows)
     homes = rows.join(stats.select("case_id", "home_region"), "case_id")
     close = F.col("ts").between(F.expr("t_ts - interval '48' hour"), F.expr("t_ts + interval '48' hour"))
@@ -129,7 +130,7 @@ def case_features(cases: DataFrame, txn: DataFrame, identity: DataFrame, closed:
     return out.select("case_id", *FEATURES)
 
 
-#: The model's inputs, in order.
+# The names of the model's inputs, in order.
 FEATURES = (
     "flagged_risk_score flagged_amount flagged_is_online flagged_is_in_person is_new_device is_proxy has_device mismatch_count is_new_region concurrent_home_count "
     "amount_to_mean_ratio amount_to_p75_ratio prior_txns_count prior_in_person_pct prior_online_pct txns_24h txns_48h online_48h exposure_48h "

@@ -122,10 +122,13 @@ def shared_device_components(uses: DataFrame, least: int = 2) -> DataFrame:
     pairs = uses.select(F.concat(F.lit("card:"), "card_id").alias("a"), F.concat(F.lit("device:"), "device").alias("b")).distinct()
     found = components(pairs)
     card = F.when(F.col("node").startswith("card:"), F.substring("node", 6, 1000))
-    # ids are unique, so a ranked slice bounds what is collected per component
-    ranked = found.withColumn("card", card).withColumn("r", F.row_number().over(Window.partitionBy("component").orderBy("node")))
-    sums = ranked.groupBy("component").agg(F.count("card").alias("n_cards"), F.count_if(F.col("card").isNull()).alias("n_devices"), joined(F.collect_list(F.when(F.col("r") <= 10, F.col("card")))).alias("sample"))
-    return sums.where(F.col("n_cards") >= least)
+    marked = checkpointed(found.withColumn("card", card))
+    sums = marked.groupBy("component").agg(F.count("card").alias("n_cards"), F.count_if(F.col("card").isNull()).alias("n_devices")).where(F.col("n_cards") >= least)
+    # the first ten nodes: of each of 64 parts of a component, then of those, so that no task ranks a whole component
+    part = Window.partitionBy("component", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy("node")
+    few = marked.withColumn("r", F.row_number().over(part)).where("r <= 10")
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("component").orderBy("node"))).where("r <= 10")
+    return sums.join(few.groupBy("component").agg(joined(F.collect_list("card")).alias("sample")), "component")
 
 
 def cards_sharing_devices(uses: DataFrame) -> DataFrame:

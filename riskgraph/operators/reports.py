@@ -53,14 +53,21 @@ def identity_coverage(txn: DataFrame, identity: DataFrame) -> DataFrame:
     return met.agg(F.count("*").alias("online"), F.count("seen").alias("with_identity"), F.count_if(F.col("seen").isNull()).alias("without"))
 
 
-def outcome_pattern_matrix(cases: DataFrame) -> DataFrame:
-    """Cases per pattern and outcome with totals, in long form; a total's value is ``(all)``."""
-    return cases.cube("pattern", "outcome").agg(F.count("*").alias("n")).select(F.coalesce("pattern", F.lit("(all)")).alias("pattern"), F.coalesce("outcome", F.lit("(all)")).alias("outcome"), "n")
+def outcome_pattern_matrix(cases: DataFrame, pairs=(("pattern", "outcome"), ("outcome", "report_filed"), ("pattern", "report_filed"))) -> DataFrame:
+    """Cases per pair of columns with totals, in long form: ``matrix`` names the pair; a total's value is ``(all)``."""
+    out = None
+    for a, b in pairs:
+        n = cases.cube(a, b).agg(F.count("*").alias("n"))
+        part = n.select(F.lit(f"{a} x {b}").alias("matrix"), F.coalesce(a, F.lit("(all)")).alias("row"), F.coalesce(b, F.lit("(all)")).alias("column"), "n")
+        out = part if out is None else out.union(part)
+    return out
 
 
-def exposure_quantiles(cases: DataFrame, by: str) -> DataFrame:
+def exposure_quantiles(cases: DataFrame, by: tuple[str, ...] = ("outcome", "pattern", "report_filed")) -> DataFrame:
+    """Quantiles of exposure per value of each column of ``by``, from one expanded pass."""
     q = lambda x: r4(F.percentile("exposure_usd", F.lit(x)))
-    return cases.groupBy(by).agg(F.min("exposure_usd").alias("min"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), F.max("exposure_usd").alias("max"), r4(F.avg("exposure_usd")).alias("mean"))
+    long = cases.select("exposure_usd", F.explode(F.array(*(F.struct(F.lit(c).alias("by"), F.col(c).alias("value")) for c in by))).alias("g"))
+    return long.groupBy(F.col("g.by").alias("by"), F.col("g.value").alias("value")).agg(F.min("exposure_usd").alias("min"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), F.max("exposure_usd").alias("max"), r4(F.avg("exposure_usd")).alias("mean"))
 
 
 def action_vocabulary(cases: DataFrame) -> DataFrame:
@@ -90,9 +97,43 @@ def sentence_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda s: F.length(F.trim(s)) > 3))
 
 
-def audit_ledger(cases: DataFrame) -> DataFrame:
-    """Per verdict of (verdict, probability, exposure): cases, mean and deviation of the probability, exposure."""
-    return cases.groupBy("verdict").agg(F.count("*").alias("n"), r4(F.avg("probability")).alias("mean_p"), r4(F.coalesce(F.stddev_samp("probability"), F.lit(0.0))).alias("std_p"), total("exposure").alias("exposure"))
+def audit_ledger(cases: DataFrame, bins: int = 10) -> DataFrame:
+    """One line per case of (case_id, trigger_type, risk_score, verdict, probability, exposure, actions): its bin of the probability's
+    histogram with the bin's cases, and its verdict's cases, mean and deviation of the probability and exposure.
+
+    Bins and verdicts are a bounded few rows and are broadcast to the cases.
+    """
+    marked = cases.withColumn("bin", F.least(F.floor(F.col("probability") * bins), F.lit(bins - 1)).cast("int"))
+    held = marked.groupBy("bin").agg(F.count("*").alias("bin_cases"))
+    by = cases.groupBy("verdict").agg(F.count("*").alias("verdict_cases"), r4(F.avg("probability")).alias("mean_p"), r4(F.coalesce(F.stddev_samp("probability"), F.lit(0.0))).alias("std_p"), total("exposure").alias("verdict_exposure"))
+    return marked.join(F.broadcast(held), "bin").join(F.broadcast(by), "verdict")
+
+
+#: Rules of ``contributing_signals`` in order: name, condition on the features, query, impact, whether the card is named too. The thresholds are fixed values.
+SIGNALS = (
+    ("testing", "conf_testing >= 0.50D", "detect_card_testing", "high_fraud", True),
+    ("new_device", "is_new_device = 1", "detect_new_device", "high_fraud", False),
+    ("proxy", "is_proxy = 1", "detect_new_device", "high_fraud", False),
+    ("new_region", "is_new_region = 1", "detect_region_anomaly", "high_fraud", True),
+    ("takeover", "conf_ato >= 0.60D", "detect_account_takeover", "high_fraud", True),
+    ("mismatch", "conf_ato < 0.60D AND mismatch_count >= 1", "card_baseline", "moderate_fraud", False),
+    ("burst", "conf_burst >= 0.60D OR online_48h >= 2", "detect_cnp_burst", "moderate_fraud", True),
+    ("amount_ratio", "amount_to_mean_ratio >= 2.0D", "card_baseline", "moderate_fraud", True),
+    ("prior_fraud", "prior_fraud_rate > 0.60D AND prior_cases_count >= 1", "similar_prior_cases", "high_fraud", None),
+    ("lone_risk", "lone_risk_score > 0.50D", "card_baseline", "unsupported_alert", False),
+)
+
+
+def contributing_signals(cases: DataFrame, low: float = 0.30) -> DataFrame:
+    """Per case of (case_id, flagged_txn_id, card_id, probability and the features) one row per signal: ``signal``, ``source``, ``ref``, ``impact``, ``entity_ids``.
+
+    A case below ``low`` without any signal has the one that it fits its card's baseline.
+    """
+    ids = lambda card: F.col("card_id") if card is None else F.concat_ws(",", "flagged_txn_id", "card_id") if card else F.col("flagged_txn_id")
+    row = lambda name, ref, impact, card: F.struct(F.lit(name).alias("signal"), F.lit("graph").alias("source"), F.lit(f"query:{ref}").alias("ref"), F.lit(impact).alias("impact"), ids(card).alias("entity_ids"))
+    found = F.filter(F.array(*(F.when(F.expr(rule), row(name, ref, impact, card)) for name, rule, ref, impact, card in SIGNALS)), lambda s: s.isNotNull())
+    usual = F.when(F.col("probability") < low, F.array(row("baseline", "card_baseline", "legitimate_activity", True)))
+    return cases.select("case_id", found.alias("found"), usual.alias("usual")).select("case_id", F.explode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.col("usual"))).alias("s")).select("case_id", "s.*")
 
 
 def batch_summary(cases: DataFrame) -> DataFrame:
@@ -106,20 +147,26 @@ def case_filter_counts(cases: DataFrame) -> DataFrame:
 
 
 def sar_report(cases: DataFrame, affected: DataFrame, txn: DataFrame) -> DataFrame:
-    """Per filed case its report: subjects, total, first and last date of its transactions and a narrative of sentences."""
+    """Per filed case its report: subjects, total, first and last date of its transactions and a narrative of eight sentences.
+
+    ``cases`` has case_id, card_id, customer_id, trigger_type, pattern, verdict, probability, file and reason.
+    """
     met = affected.join(txn.select("txn_id", "amt", "ts"), "txn_id")
-    facts = met.groupBy("case_id").agg(F.sum(money("amt")).cast("double").alias("total"), F.min(F.to_date("ts")).alias("first_date"), F.max(F.to_date("ts")).alias("last_date"), F.count("*").alias("n"))
+    facts = met.groupBy("case_id").agg(F.sum(money("amt")).alias("sum"), F.min(F.to_date("ts")).alias("first_date"), F.max(F.to_date("ts")).alias("last_date"), F.count("*").alias("n"))
     out = cases.where("file").join(facts, "case_id")
+    spaced = lambda c: F.replace(F.col(c), F.lit("_"), F.lit(" "))
     text = F.concat_ws(
         " ",
-        F.format_string("This report concerns card %s of customer %s.", "card_id", "customer_id"),
-        F.format_string("It covers %d transactions.", "n"),
+        F.concat(F.lit("This report concerns card "), "card_id", F.lit(" of customer "), "customer_id", F.lit(".")),
+        F.concat(F.lit("The alert came from a "), spaced("trigger_type"), F.lit(".")),
+        F.concat(F.lit("It covers "), F.col("n").cast("string"), F.lit(" transactions with a total of "), F.col("sum").cast("decimal(18,2)").cast("string"), F.lit(" dollars.")),
         F.concat(F.lit("They took place between "), F.col("first_date").cast("string"), F.lit(" and "), F.col("last_date").cast("string"), F.lit(".")),
-        F.when(F.col("pattern") != "none", F.concat(F.lit("The activity fits the pattern "), F.regexp_replace("pattern", "_", " "), F.lit("."))),
-        F.when(F.col("verdict") == "fraud", "The customer denied the transactions.").when(F.col("verdict") == "uncertain", "The customer has not replied."),
+        F.when(F.col("pattern") == "none", "The activity fits no documented pattern.").when(F.col("pattern") == "undocumented", "The activity fits a pattern that is not documented yet.").otherwise(F.concat(F.lit("The activity fits the pattern "), spaced("pattern"), F.lit("."))),
+        F.when(F.col("verdict") == "fraud", "The customer denied the transactions.").when(F.col("verdict") == "legitimate", "The customer confirmed the transactions.").otherwise("The customer has not settled the question."),
+        F.concat(F.lit("The probability of fraud is put at "), F.col("probability").cast("decimal(4,2)").cast("string"), F.lit(".")),
         F.concat(F.lit("The filing reason is: "), F.col("reason"), F.lit(".")),
     )
-    return out.select("case_id", F.concat_ws(",", "customer_id", "card_id").alias("subjects"), "total", "first_date", "last_date", text.alias("narrative"))
+    return out.select("case_id", F.concat_ws(",", "customer_id", "card_id").alias("subjects"), F.col("sum").cast("double").alias("total"), "first_date", "last_date", text.alias("narrative"))
 
 
 # What a case document may hold.

@@ -115,16 +115,14 @@ def undocumented_sweep(t):
 
 @query(
     "shared_device_components",
-    """e AS (SELECT DISTINCT 'card:' || t.card_id AS a, 'device:' || 'D' || CAST(e.k AS STRING) AS b FROM txn t JOIN ev0 e ON CAST(e.event_id AS STRING) = t.txn_id WHERE t.channel = 'online' AND t.amt >= 200),
+    f"""{USES}, e AS (SELECT DISTINCT 'card:' || card_id AS a, 'device:' || device AS b FROM uses),
     g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     r AS (SELECT * FROM (WITH RECURSIVE w(node, other) AS (SELECT a, a FROM g UNION SELECT w.node, g.b FROM w JOIN g ON g.a = w.other) SELECT node, min(other) AS component FROM w GROUP BY node)),
     k AS (SELECT *, CASE WHEN starts_with(node, 'card:') THEN substr(node, 6) END AS card, row_number() OVER (PARTITION BY component ORDER BY node) AS n FROM r)
     SELECT component, count(card) AS n_cards, count(*) FILTER (WHERE card IS NULL) AS n_devices, string_agg(card, ',' ORDER BY card) FILTER (WHERE n <= 10) AS sample FROM k GROUP BY 1 HAVING count(card) >= 2""",
 )
 def shared_device_components(t):
-    numbers = t._events.select(F.col("event_id").cast("string").alias("txn_id"), F.concat(F.lit("D"), F.col("k").cast("string")).alias("device"))
-    large = t.txn.where("channel = 'online' AND amt >= 200").join(numbers, "txn_id")
-    return network.shared_device_components(large)
+    return network.shared_device_components(uses(t))
 
 
 @query("cards_sharing_devices", f"{USES} SELECT DISTINCT card_id FROM uses WHERE device IN (SELECT device FROM uses GROUP BY 1 HAVING count(DISTINCT card_id) >= 2)")
@@ -151,7 +149,7 @@ def case_subgraph(t):
     return network.case_subgraph(t.alert, t.txn, uses(t), t.closed_case)
 
 
-CANDIDATES = f"""{USES}, few AS (SELECT * FROM alert WHERE risk_score >= 0.8e0), cand AS (SELECT t.txn_id, t.card_id, coalesce(d.device, 'offline_' || coalesce(t.addr1, 'none')) AS device, t.risk_score, t.amt
+CANDIDATES = f"""{USES}, few AS (SELECT * FROM alert), cand AS (SELECT t.txn_id, t.card_id, coalesce(d.device, 'offline_' || coalesce(t.addr1, 'none')) AS device, t.risk_score, t.amt
     FROM txn t LEFT JOIN dev d ON d.txn_id = t.txn_id WHERE t.ts >= TIMESTAMP '2024-01-03' AND t.risk_score >= 0.2e0
     AND t.txn_id NOT IN (SELECT flagged_txn_id FROM few) AND t.card_id NOT IN (SELECT card_id FROM few))"""
 
@@ -163,12 +161,12 @@ CANDIDATES = f"""{USES}, few AS (SELECT * FROM alert WHERE risk_score >= 0.8e0),
     SELECT txn_id, card_id, device, risk_score, amt FROM b WHERE q = 1 ORDER BY risk_score DESC, amt DESC, txn_id LIMIT 20""",
 )
 def exploration_candidates(t):
-    return network.exploration_candidates(t.txn, uses(t), t.alert.where("risk_score >= 0.8"), "2024-01-03", 0.2)
+    return network.exploration_candidates(t.txn, uses(t), t.alert, "2024-01-03", 0.2)
 
 
 @query("exploration_greedy")
 def exploration_greedy(t):
-    return network.exploration_greedy(t.txn, uses(t), t.alert.where("risk_score >= 0.8"), "2024-01-03", 0.2)
+    return network.exploration_greedy(t.txn, uses(t), t.alert, "2024-01-03", 0.2)
 
 
 MEMORY = f"""{CONNECTED}, oc AS (SELECT case_id AS prior, card_id FROM closed_case), d1 AS (SELECT DISTINCT a.case_id, x.prior FROM alert a JOIN (SELECT * FROM oc UNION SELECT case_id, card_id FROM con) x ON x.card_id = a.card_id),

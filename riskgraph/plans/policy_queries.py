@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskgraph.operators import cards, evaluate, policy
+from riskgraph.operators import cards, evaluate, features, policy
 from riskgraph.plans.base import query, r4
 from riskgraph.plans.card_queries import BURSTS
+from riskgraph.plans.feature_queries import FEATURES
 
 
 @query(
@@ -54,22 +55,24 @@ def pattern_metrics(t):
     return evaluate.pattern_metrics(case_scores(t))
 
 
-FLAGGED = "cb AS (SELECT c.case_id, c.pattern, (c.outcome = 'confirmed_fraud')::INT AS y, t.txn_id, t.channel, t.m1, t.m4, t.m6 FROM closed_case c JOIN txn t ON t.txn_id = c.first_fraud_txn_id)"
-DETECTED = f"""{FLAGGED}, det AS (SELECT case_id, pattern, y, 'ato' AS detector, CASE WHEN (m1 = 'F')::INT + coalesce((m4 = 'M2')::INT, 0) + (m6 = 'F')::INT >= 2 THEN 0.78e0 ELSE 0.2e0 END AS confidence FROM cb
-    UNION ALL SELECT case_id, pattern, y, 'amount', CASE WHEN p >= 0.9e0 THEN 0.86e0 WHEN p >= 0.6e0 THEN 0.66e0 ELSE 0.3e0 END FROM cs)"""
+#: Each detector and the feature that holds its confidence.
+DETECTORS = {"testing": "conf_testing", "burst": "conf_burst", "new_device": "conf_new_device", "region": "conf_region", "takeover": "conf_ato"}
+TARGETS = "tgt AS (SELECT case_id, card_id, first_fraud_txn_id AS flagged_txn_id, opened_at FROM closed_case)"
+DETECTED = f"""{TARGETS}, {FEATURES.replace("FROM alert a", "FROM tgt a")}, det AS ({" UNION ALL ".join(f"SELECT ft.case_id, c.pattern, (c.outcome = 'confirmed_fraud')::INT AS y, '{d}' AS detector, {f} AS confidence FROM ft JOIN closed_case c ON c.case_id = ft.case_id" for d, f in DETECTORS.items())})"""
 
 
 def detected(t):
-    target = t.closed_case.select("case_id", F.col("first_fraud_txn_id").alias("flagged_txn_id"))
-    truth = case_scores(t)
-    ato = cards.account_takeover(t.txn, target).select("case_id", F.when(F.col("mismatches") >= 2, 0.78).otherwise(0.2).alias("confidence")).join(truth, "case_id").select("case_id", "pattern", "y", F.lit("ato").alias("detector"), "confidence")
-    amount = truth.select("case_id", "pattern", "y", F.lit("amount").alias("detector"), F.when(F.col("p") >= 0.9, 0.86).when(F.col("p") >= 0.6, 0.66).otherwise(0.3).alias("confidence"))
-    return ato.union(amount)
+    """Every closed case with the confidence of each of the five detectors at the time it was opened."""
+    target = t.closed_case.select("case_id", "card_id", F.col("first_fraud_txn_id").alias("flagged_txn_id"), "opened_at")
+    found = features.case_features(target, t.txn, t.identity, t.closed_case, 20.0, 50.0, 2880)
+    truth = t.closed_case.select("case_id", "pattern", (F.col("outcome") == "confirmed_fraud").cast("int").alias("y"))
+    scores = F.array(*(F.struct(F.lit(d).alias("detector"), F.col(f).alias("confidence")) for d, f in DETECTORS.items()))
+    return found.join(truth, "case_id").select("case_id", "pattern", "y", F.explode(scores).alias("d")).select("case_id", "pattern", "y", "d.*")
 
 
 @query(
     "detector_threshold_curve",
-    f"""{CASES}, {DETECTED}, n AS (SELECT detector, threshold, count(*) FILTER (WHERE y = 1 AND confidence >= threshold) AS tp, count(*) FILTER (WHERE y <> 1 AND confidence >= threshold) AS fp, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y <> 1) AS neg
+    f"""{DETECTED}, n AS (SELECT detector, threshold, count(*) FILTER (WHERE y = 1 AND confidence >= threshold) AS tp, count(*) FILTER (WHERE y <> 1 AND confidence >= threshold) AS fp, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y <> 1) AS neg
         FROM det, (SELECT unnest([0.5e0, 0.65e0, 0.7e0, 0.8e0, 0.85e0]) AS threshold) GROUP BY 1, 2)
     SELECT detector, threshold, tp, fp, {r4('coalesce(tp::DOUBLE / nullif(pos, 0), 0)')} AS hit_rate, {r4('coalesce(fp::DOUBLE / nullif(neg, 0), 0)')} AS fpr, {r4('coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0)')} AS precision, {r4('coalesce(2 * tp::DOUBLE / nullif(tp + fp + pos, 0), 0)')} AS f1 FROM n""",
 )
@@ -77,13 +80,18 @@ def detector_threshold_curve(t):
     return evaluate.threshold_curve(detected(t))
 
 
+CONFUSION = [*DETECTORS, "none"]
+
+
 @query(
     "detector_confusion",
-    f"""{CASES}, {DETECTED}, k AS (SELECT pattern, CASE WHEN confidence >= 0.7e0 THEN detector ELSE 'none' END AS predicted FROM det)
-    SELECT pattern, count(*) FILTER (WHERE predicted = 'ato') AS ato, count(*) FILTER (WHERE predicted = 'amount') AS amount, count(*) FILTER (WHERE predicted = 'none') AS "none" FROM k GROUP BY 1""",
+    f"""{DETECTED}, k AS (SELECT pattern, detector AS predicted FROM det WHERE confidence >= 0.7e0 UNION ALL SELECT pattern, 'none' FROM det GROUP BY case_id, pattern HAVING max(confidence) < 0.7e0)
+    SELECT pattern, {", ".join(f"""count(*) FILTER (WHERE predicted = '{c}') AS "{c}" """ for c in CONFUSION)} FROM k GROUP BY 1""",
 )
 def detector_confusion(t):
-    return evaluate.confusion(detected(t).withColumn("predicted", F.when(F.col("confidence") >= 0.7, F.col("detector")).otherwise("none")), ["ato", "amount", "none"])
+    """Flags per true pattern: each detector that reaches 0.70 counts, ``none`` where none does."""
+    found = detected(t).groupBy("case_id", "pattern").agg(F.collect_list(F.when(F.col("confidence") >= 0.7, F.col("detector"))).alias("hits"))
+    return evaluate.confusion(found.select("case_id", "pattern", F.explode(F.when(F.size("hits") > 0, F.col("hits")).otherwise(F.array(F.lit("none")))).alias("predicted")), CONFUSION)
 
 
 @query("batch_cost_stats", f"SELECT outcome, count(*) AS n, {r4('avg(exposure_usd)')} AS mean, min(exposure_usd) AS min, max(exposure_usd) AS max, {r4('quantile_cont(exposure_usd, 0.5)')} AS p50, {r4('quantile_cont(exposure_usd, 0.95)')} AS p95, {r4('sum(exposure_usd)')} AS sum FROM closed_case GROUP BY 1")

@@ -99,11 +99,12 @@ def file_dimensions(t):
 
 @query(
     "category_share",
-    f"""c AS (SELECT 'channel' AS category, channel AS value FROM txn UNION ALL SELECT 'product_cd', product_cd FROM txn UNION ALL SELECT 'addr1', coalesce(addr1, '(null)') FROM txn), n AS (SELECT category, value, count(*) AS n FROM c GROUP BY 1, 2)
+    f"""c AS (SELECT 'channel' AS category, channel AS value FROM txn UNION ALL SELECT 'product_cd', product_cd FROM txn UNION ALL SELECT 'addr1', coalesce(addr1, '(null)') FROM txn
+    UNION ALL SELECT 'device_type', device_type FROM identity UNION ALL SELECT 'id_15', coalesce(id_15, '(null)') FROM identity UNION ALL SELECT 'trigger_type', trigger_type FROM alert), n AS (SELECT category, value, count(*) AS n FROM c GROUP BY 1, 2)
     SELECT *, {r4('n::DOUBLE / sum(n) OVER (PARTITION BY category)')} AS share FROM n""",
 )
 def category_share(t):
-    return reports.category_share(t.txn, ["channel", "product_cd", "addr1"])
+    return reports.category_share(t.txn, ["channel", "product_cd", "addr1"]).union(reports.category_share(t.identity, ["device_type", "id_15"])).union(reports.category_share(t.alert, ["trigger_type"]))
 
 
 @query("score_histogram", "SELECT b AS bin, count(t.txn_id) AS n FROM (SELECT unnest(range(10))::INT AS b) LEFT JOIN txn t ON least(floor(t.risk_score * 10), 9)::INT = b GROUP BY 1")
@@ -129,14 +130,20 @@ def identity_coverage(t):
     return reports.identity_coverage(t.txn, t.identity)
 
 
-@query("outcome_pattern_matrix", "SELECT coalesce(pattern, '(all)') AS pattern, coalesce(outcome, '(all)') AS outcome, count(*) AS n FROM closed_case GROUP BY CUBE (pattern, outcome)")
+@query(
+    "outcome_pattern_matrix",
+    " UNION ALL ".join(f"""SELECT '{a} x {b}' AS matrix, coalesce({a}, '(all)') AS row, coalesce({b}, '(all)') AS "column", count(*) AS n FROM closed_case GROUP BY CUBE ({a}, {b})""" for a, b in (("pattern", "outcome"), ("outcome", "report_filed"), ("pattern", "report_filed"))),
+)
 def outcome_pattern_matrix(t):
     return reports.outcome_pattern_matrix(t.closed_case)
 
 
-@query("exposure_quantiles", f"SELECT pattern, min(exposure_usd) AS min, {r4('quantile_cont(exposure_usd, 0.25)')} AS p25, {r4('quantile_cont(exposure_usd, 0.5)')} AS median, {r4('quantile_cont(exposure_usd, 0.75)')} AS p75, max(exposure_usd) AS max, {r4('avg(exposure_usd)')} AS mean FROM closed_case GROUP BY 1")
+@query(
+    "exposure_quantiles",
+    " UNION ALL ".join(f"SELECT '{by}' AS by, {by} AS value, min(exposure_usd) AS min, {r4('quantile_cont(exposure_usd, 0.25)')} AS p25, {r4('quantile_cont(exposure_usd, 0.5)')} AS median, {r4('quantile_cont(exposure_usd, 0.75)')} AS p75, max(exposure_usd) AS max, {r4('avg(exposure_usd)')} AS mean FROM closed_case GROUP BY 2" for by in ("outcome", "pattern", "report_filed")),
+)
 def exposure_quantiles(t):
-    return reports.exposure_quantiles(t.closed_case, "pattern")
+    return reports.exposure_quantiles(t.closed_case)
 
 
 @query("action_vocabulary", "SELECT action, count(*) AS n FROM (SELECT unnest(string_split(actions_taken, '|')) AS action FROM closed_case) GROUP BY 1")
@@ -228,9 +235,15 @@ VERDICTS = """vd AS (SELECT a.case_id, a.trigger_type, CASE customer_response WH
 EXPOSURE = "CAST(sum(CAST(exposure AS DECIMAL(18,2))) AS DOUBLE)"
 
 
-@query("audit_ledger", f"{VERDICTS} SELECT verdict, count(*) AS n, {r4('avg(probability)')} AS mean_p, {r4('coalesce(stddev_samp(probability), 0)')} AS std_p, {EXPOSURE} AS exposure FROM vd GROUP BY 1")
+@query(
+    "audit_ledger",
+    f"""{VERDICTS}, {ASSESS}, vb AS (SELECT vd.*, asm.risk_score, array_to_string({rules('resp')}, ',') AS actions, least(floor(probability * 10), 9)::INT AS bin FROM vd JOIN asm ON asm.case_id = vd.case_id),
+    vs AS (SELECT verdict, count(*) AS verdict_cases, {r4('avg(probability)')} AS mean_p, {r4('coalesce(stddev_samp(probability), 0)')} AS std_p, {EXPOSURE} AS verdict_exposure FROM vd GROUP BY 1)
+    SELECT case_id, trigger_type, risk_score, vb.verdict, probability, exposure, actions, bin, count(*) OVER (PARTITION BY bin) AS bin_cases, verdict_cases, mean_p, std_p, verdict_exposure FROM vb JOIN vs ON vs.verdict = vb.verdict""",
+)
 def audit_ledger(t):
-    return reports.audit_ledger(verdicts(t))
+    acts = policy.evaluate(assessments(t)).select("case_id", "risk_score", policy.action_names().alias("actions"))
+    return reports.audit_ledger(verdicts(t).drop("flagged_txn_id").join(acts, "case_id"))
 
 
 @query("batch_summary", f"{VERDICTS} SELECT count(*) AS n, count(*) FILTER (WHERE verdict = 'fraud') AS fraud, count(*) FILTER (WHERE verdict = 'legitimate') AS legitimate, count(*) FILTER (WHERE verdict = 'uncertain') AS uncertain, count(*) FILTER (WHERE exposure >= 300) AS filings, {EXPOSURE} AS exposure, {r4('avg(probability)')} AS mean_p FROM vd")
@@ -276,33 +289,51 @@ def normalize_case(t):
     return reports.normalize_case(documents_of(t))
 
 
-@query("sar_report")
+@query(
+    "sar_report",
+    f"""{VERDICTS}, {ASSESS}, sr AS (SELECT asm.*, a.card_id, a.customer_id, a.flagged_txn_id, vd.verdict, vd.probability,
+        concat_ws('; and ', CASE WHEN x >= 1000 THEN 'exposure reaches the filing limit' END, CASE WHEN origin IS NOT NULL OR connected >= 2 THEN 'origin shared with other cards' END, CASE WHEN pattern = 'undocumented' THEN 'undocumented pattern' END) AS reason
+        FROM asm JOIN alert a ON a.case_id = asm.case_id JOIN vd ON vd.case_id = asm.case_id WHERE x >= 1000 OR origin IS NOT NULL OR connected >= 2 OR pattern = 'undocumented')
+    SELECT case_id, customer_id || ',' || sr.card_id AS subjects, CAST(CAST(amt AS DECIMAL(18,2)) AS DOUBLE) AS total, CAST(ts AS DATE) AS first_date, CAST(ts AS DATE) AS last_date,
+    'This report concerns card ' || sr.card_id || ' of customer ' || sr.customer_id || '. The alert came from a ' || replace(trigger_type, '_', ' ') || '. It covers 1 transactions with a total of ' || CAST(CAST(amt AS DECIMAL(18,2)) AS VARCHAR)
+    || ' dollars. They took place between ' || CAST(CAST(ts AS DATE) AS VARCHAR) || ' and ' || CAST(CAST(ts AS DATE) AS VARCHAR) || '. '
+    || CASE pattern WHEN 'none' THEN 'The activity fits no documented pattern.' WHEN 'undocumented' THEN 'The activity fits a pattern that is not documented yet.' ELSE 'The activity fits the pattern ' || replace(pattern, '_', ' ') || '.' END
+    || CASE verdict WHEN 'fraud' THEN ' The customer denied the transactions.' WHEN 'legitimate' THEN ' The customer confirmed the transactions.' ELSE ' The customer has not settled the question.' END
+    || ' The probability of fraud is put at ' || CAST(CAST(probability AS DECIMAL(4,2)) AS VARCHAR) || '. The filing reason is: ' || reason || '.' AS narrative FROM (SELECT sr.* EXCLUDE (card_id, customer_id), sr.card_id, sr.customer_id, t.amt, t.ts FROM sr JOIN txn t ON t.txn_id = sr.flagged_txn_id) sr""",
+)
 def sar_report(t):
-    decided = policy.sar_decision(assessments(t))
-    cases = verdicts(t).join(decided, "case_id").join(t.alert.select("case_id", "card_id", "customer_id"), "case_id").withColumn("pattern", F.lit("card_testing"))
+    given = assessments(t)
+    decided = policy.sar_decision(given).join(given.select("case_id", "pattern"), "case_id")
+    cases = verdicts(t).drop("flagged_txn_id").join(decided, "case_id").join(t.alert.select("case_id", "card_id", "customer_id"), "case_id")
     return reports.sar_report(cases, t.alert.select("case_id", F.col("flagged_txn_id").alias("txn_id")), t.txn)
 
 
-def signals(t):
-    f = case_features_of(t)
-    given = {"testing": F.col("conf_testing") >= 0.5, "new_device": F.col("is_new_device") == 1, "proxy": F.col("is_proxy") == 1, "new_region": F.col("is_new_region") == 1, "takeover": F.col("conf_ato") >= 0.6, "burst": F.col("conf_burst") >= 0.7, "prior_fraud": (F.col("prior_cases_count") > 0) & (F.col("prior_fraud_rate") > 0.5)}
-    found = F.filter(F.array(*(F.when(c, name) for name, c in given.items())), lambda s: s.isNotNull())
-    return f.select("case_id", F.explode(found).alias("signal"))
-
-
 @query(
     "contributing_signals",
-    f"""{FEATURES} SELECT case_id, unnest(list_filter([CASE WHEN conf_testing >= 0.5e0 THEN 'testing' END, CASE WHEN is_new_device = 1 THEN 'new_device' END, CASE WHEN is_proxy = 1 THEN 'proxy' END, CASE WHEN is_new_region = 1 THEN 'new_region' END,
-    CASE WHEN conf_ato >= 0.6e0 THEN 'takeover' END, CASE WHEN conf_burst >= 0.7e0 THEN 'burst' END, CASE WHEN prior_cases_count > 0 AND prior_fraud_rate > 0.5e0 THEN 'prior_fraud' END], lambda s: s IS NOT NULL)) AS signal FROM ft""",
+    f"""{FEATURES}, fs AS (SELECT ft.*, a.flagged_txn_id, a.card_id, a.flagged_txn_id || ',' || a.card_id AS pair_ids FROM ft JOIN alert a ON a.case_id = ft.case_id),
+    sg AS (SELECT case_id, 'testing' AS signal, 'query:detect_card_testing' AS ref, 'high_fraud' AS impact, pair_ids AS entity_ids FROM fs WHERE conf_testing >= 0.5e0
+    UNION ALL SELECT case_id, 'new_device', 'query:detect_new_device', 'high_fraud', flagged_txn_id FROM fs WHERE is_new_device = 1
+    UNION ALL SELECT case_id, 'proxy', 'query:detect_new_device', 'high_fraud', flagged_txn_id FROM fs WHERE is_proxy = 1
+    UNION ALL SELECT case_id, 'new_region', 'query:detect_region_anomaly', 'high_fraud', pair_ids FROM fs WHERE is_new_region = 1
+    UNION ALL SELECT case_id, 'takeover', 'query:detect_account_takeover', 'high_fraud', pair_ids FROM fs WHERE conf_ato >= 0.6e0
+    UNION ALL SELECT case_id, 'mismatch', 'query:card_baseline', 'moderate_fraud', flagged_txn_id FROM fs WHERE conf_ato < 0.6e0 AND mismatch_count >= 1
+    UNION ALL SELECT case_id, 'burst', 'query:detect_cnp_burst', 'moderate_fraud', pair_ids FROM fs WHERE conf_burst >= 0.6e0 OR online_48h >= 2
+    UNION ALL SELECT case_id, 'amount_ratio', 'query:card_baseline', 'moderate_fraud', pair_ids FROM fs WHERE amount_to_mean_ratio >= 2e0
+    UNION ALL SELECT case_id, 'prior_fraud', 'query:similar_prior_cases', 'high_fraud', card_id FROM fs WHERE prior_fraud_rate > 0.6e0 AND prior_cases_count >= 1
+    UNION ALL SELECT case_id, 'lone_risk', 'query:card_baseline', 'unsupported_alert', flagged_txn_id FROM fs WHERE lone_risk_score > 0.5e0)
+    SELECT *, 'graph' AS source FROM sg UNION ALL SELECT case_id, 'baseline', 'query:card_baseline', 'legitimate_activity', pair_ids, 'graph' FROM fs WHERE flagged_risk_score < 0.3e0 AND case_id NOT IN (SELECT case_id FROM sg)""",
 )
 def contributing_signals(t):
-    return signals(t)
+    """The alert's own risk score stands for the probability, as nothing is trained here; ``score_case`` has the model's."""
+    given = case_features_of(t).withColumn("probability", F.col("flagged_risk_score")).join(t.alert.select("case_id", "flagged_txn_id", "card_id"), "case_id")
+    return reports.contributing_signals(given)
 
 
 def evidence(t):
     """One row per alert and detector whose confidence reaches 0.70."""
-    by = {"burst": cards.cnp_burst(t.txn, t.alert), "region": cards.region_anomaly(t.txn, t.alert), "takeover": cards.account_takeover(t.txn, t.alert), "memory": memory.case_memory_lookup(t.alert, t.closed_case, connected(t), t.txn)}
-    device = cards.new_device(t.txn, t.identity).join(t.alert.select("case_id", F.col("flagged_txn_id").alias("txn_id")), "txn_id")
+    txn = t.txn.join(t.alert.select("card_id").distinct(), "card_id", "left_semi")  # windows only over cards that have an alert
+    by = {"burst": cards.cnp_burst(txn, t.alert), "region": cards.region_anomaly(txn, t.alert), "takeover": cards.account_takeover(txn, t.alert), "memory": memory.case_memory_lookup(t.alert, t.closed_case, connected(t), t.txn)}
+    device = cards.new_device(txn, t.identity).join(t.alert.select("case_id", F.col("flagged_txn_id").alias("txn_id")), "txn_id")
     by["new_device"] = device
     out = None
     for name, df in by.items():
