@@ -293,6 +293,13 @@ def test_raking_tells_goals_that_no_cells_meet(spark):
     assert mixing.rake(cells, frames, rounds=5).first().gap > 0.1
 
 
+def test_mixing_gives_the_same_rows_with_many_cells(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    few = sorted(map(tuple, mixing.mix(docs).drop("text").collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    assert sorted(map(tuple, mixing.mix(docs).drop("text").collect())) == few
+
+
 def test_topics_part_texts_by_their_words(spark):
     rng = random.Random(4)
     kinds = [[f"{k}{i}" for i in range(60)] for k in "pqrs"]
