@@ -375,9 +375,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     known = by_bucket(sent, parts, _sort_bucket(parts), homed)
     known = cut(by_bucket(known, parts, _per_document, by_document))
 
+    # both joins read one exchange of the texts, as they take the same columns from it
     placed = rows.repartition(parts, *keys)
     open_ = known.where("length(open) > 0").select(*keys, "open")
-    windows = placed.join(open_, keys).select("__id", "__tag", "__text", "open").mapInArrow(_windows(buckets, parts), "bucket int, windows binary, found binary")
+    windows = placed.join(open_, keys).select("__id", "__tag", "__text", "open", "__row").mapInArrow(_windows(buckets, parts), "bucket int, windows binary, found binary")
     late = by_bucket(by_bucket(windows, parts, _sort_windows(parts), homed), parts, _per_document, by_document)
 
     met = placed.join(known.select(*keys, "settled"), keys, "left").join(late.select(*keys, F.col("settled").alias("late")), keys, "left")
