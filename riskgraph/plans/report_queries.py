@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskgraph.functions.expressions import r4 as r4_of
 from riskgraph.operators import cards, evaluate, features, graph, memory, model, network, policy, reports, retrieval
 from riskgraph.plans.base import query, r4
 from riskgraph.plans.card_queries import BURSTS, DEC, REGION
@@ -191,20 +192,26 @@ TERMS = f"""tk AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[
     ix AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM rw)"""
 
 
-@query("tfidf_index", f"{TERMS} SELECT doc_id, term, {r4('weight')} AS weight FROM ix WHERE weight > 0.2e0")
+WHOLE_INDEX = f"{TERMS} SELECT doc_id, term, {r4('weight')} AS weight FROM ix"
+
+
+@query("tfidf_index_whole", WHOLE_INDEX)
+@query("tfidf_index", WHOLE_INDEX)
 def tfidf_index(t):
-    index = retrieval.tfidf_index(t.read("documents"), "text")
-    return index.where("weight > 0.2").withColumn("weight", F.floor(F.col("weight") * 1e4 + 0.5) / 1e4)
+    """Every weight of every document, to four decimals."""
+    return retrieval.tfidf_index(t.read("documents"), "text").withColumn("weight", r4_of(F.col("weight")))
 
 
-@query(
-    "search_documents",
-    f"""{TERMS}, sc AS (SELECT q.doc_id AS query_id, d.doc_id, floor(sum(q.weight * d.weight) * 1e6 + 0.5e0) / 1e6 AS score FROM ix q JOIN ix d ON d.term = q.term AND d.doc_id <> q.doc_id WHERE q.doc_id % 50 = 0 GROUP BY 1, 2),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM sc WHERE score > 0) SELECT * FROM rk WHERE rank <= 5""",
-)
+SEARCH_BY_20 = f"""{TERMS}, sc AS (SELECT q.doc_id AS query_id, d.doc_id, floor(sum(q.weight * d.weight) * 1e6 + 0.5e0) / 1e6 AS score FROM ix q JOIN ix d ON d.term = q.term AND d.doc_id <> q.doc_id WHERE q.doc_id % 20 = 0 GROUP BY 1, 2),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM sc WHERE score > 0) SELECT * FROM rk WHERE rank <= 5"""
+
+
+@query("search_documents_by_20", SEARCH_BY_20)
+@query("search_documents", SEARCH_BY_20)
 def search_documents(t):
+    """The stated query set, ids divisible by 20, against all documents."""
     index = network.checkpointed(retrieval.tfidf_index(t.read("documents"), "text"))
-    return retrieval.search(index, index.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
+    return retrieval.search(index, index.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
 
 
 @query("similar_cases")
@@ -213,17 +220,6 @@ def similar_cases(t):
     return retrieval.search(index, index.withColumnRenamed("doc_id", "query_id"), 3)
 
 
-@query("tfidf_index_whole")
-def tfidf_index_whole(t):
-    return retrieval.tfidf_index(t.read("documents"), "text")
-
-
-@query("search_documents_by_20")
-def search_documents_by_20(t):
-    index = network.checkpointed(retrieval.tfidf_index(t.read("documents"), "text"))
-    return retrieval.search(index, index.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
-
-
 def verdicts(t):
     r = F.col("customer_response")
     return t.alert.select("case_id", "trigger_type", policy.verdict(r).alias("verdict"), policy.posterior(F.col("risk_score"), r).alias("probability"), "flagged_txn_id").join(t.txn.select(F.col("txn_id").alias("flagged_txn_id"), F.col("amt").alias("exposure")), "flagged_txn_id")
