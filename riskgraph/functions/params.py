@@ -71,3 +71,4 @@ class Model:
     seed: int = 42
     folds: int = 5
     threshold: float = 0.70
+    rows_per_task: int = 50_000

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -48,12 +51,20 @@ def _assembled(df: DataFrame) -> DataFrame:
 
 
 def train(df: DataFrame, key: str, label: str = "y", p: Model = Model()) -> FraudModel:
-    """Each fold's trees are fitted on the other folds and calibrated on the fold itself."""
-    rows = _assembled(folds(df, key, p.folds, p.seed)).cache()
-    pairs = []
-    for i in range(p.folds):
+    """Each fold's trees are fitted on the other folds and calibrated on the fold itself.
+
+    Every level of every tree is a job over the rows, so they are cached in partitions of about ``p.rows_per_task``, and the folds' jobs run side by side.
+    """
+    spark = df.sparkSession
+    parts = max(1, -(-df.count() // p.rows_per_task))
+    rows = _assembled(folds(df, key, p.folds, p.seed)).repartition(parts, key).cache()
+
+    def fit(i: int):
         trees = GBTClassifier(featuresCol="_x", labelCol=label, maxDepth=p.depth, maxIter=p.rounds, stepSize=p.step, minInstancesPerNode=p.min_leaf, seed=p.seed).fit(rows.where(F.col("fold") != i))
         held = trees.transform(rows.where(F.col("fold") == i)).withColumn("_s", vector_to_array("probability")[1])
-        pairs.append((trees, IsotonicRegression(featuresCol="_s", labelCol=label, predictionCol="_c").fit(held)))
+        return trees, IsotonicRegression(featuresCol="_s", labelCol=label, predictionCol="_c").fit(held)
+
+    with ThreadPool(p.folds) as pool:
+        pairs = pool.map(inheritable_thread_target(spark)(fit), range(p.folds))
     rows.unpersist()
     return FraudModel(pairs, p)

@@ -10,6 +10,7 @@ from riskgraph.sources.adapter import SQL_VIEWS, Tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+OWN: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable:
@@ -18,13 +19,19 @@ def query(name: str, sql: str | None = None) -> Callable:
     def register(function: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: function(Tables(spark, sf_dir))
         if sql is not None:
-            own = sql.strip()
+            own = OWN[name] = sql.strip()
             ORACLES[name] = f"WITH {SQL_VIEWS}{' ' if own.upper().startswith('SELECT') else ', '}{own}"
         return function
 
     return register
 
 
+def nested(name: str, alias: str) -> str:
+    """A registered query's SQL as a CTE of another's."""
+    own = OWN[name]
+    return f"{alias} AS ({'' if own.upper().startswith('SELECT') else 'WITH '}{own})"
+
+
 def r4(e: str) -> str:
     """The oracle's ``expressions.r4``."""
     return f"(floor(({e}) * 1e4 + 0.5e0) / 1e4)"

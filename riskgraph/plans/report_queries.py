@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskgraph.functions.expressions import r4 as r4_of
-from riskgraph.operators import cards, evaluate, features, graph, memory, model, network, policy, reports, retrieval
+from riskgraph.operators import evaluate, features, graph, model, network, policy, reports, retrieval
 from riskgraph.plans.base import query, r4
-from riskgraph.plans.card_queries import BURSTS, DEC, REGION
+from riskgraph.plans.card_queries import DEC
 from riskgraph.plans.feature_queries import FEATURES, case_features_of
-from riskgraph.plans.network_queries import INVOLVES, MEMORY, connected, involves
+from riskgraph.plans.network_queries import INVOLVES, involves
 from riskgraph.plans.policy_queries import ASSESS, assessments, rules
 from riskgraph.sources import files
 from riskgraph.streaming import streams
@@ -325,55 +325,13 @@ def contributing_signals(t):
     return reports.contributing_signals(given)
 
 
-def evidence(t):
-    """One row per alert and detector whose confidence reaches 0.70."""
-    txn = t.txn.join(t.alert.select("card_id").distinct(), "card_id", "left_semi")  # windows only over cards that have an alert
-    by = {"burst": cards.cnp_burst(txn, t.alert), "region": cards.region_anomaly(txn, t.alert), "takeover": cards.account_takeover(txn, t.alert), "memory": memory.case_memory_lookup(t.alert, t.closed_case, connected(t), t.txn)}
-    device = cards.new_device(txn, t.identity).join(t.alert.select("case_id", F.col("flagged_txn_id").alias("txn_id")), "txn_id")
-    by["new_device"] = device
-    out = None
-    for name, df in by.items():
-        part = df.where("confidence >= 0.70").select("case_id", F.lit(name).alias("source"), "confidence")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-EVIDENCE = f"""{BURSTS}, {REGION}, {MEMORY}, bu AS (SELECT a.case_id, CASE WHEN b.largest > st.p75 OR b.largest > st.mean * 1.5e0 THEN 0.84e0 ELSE 0.7e0 END AS c FROM alert a JOIN bursts b ON b.txn_id = a.flagged_txn_id JOIN (SELECT card_id, quantile_cont(amt, 0.75) AS p75, CAST(sum({DEC}) AS DOUBLE) / count(*) AS mean FROM txn GROUP BY 1) st ON st.card_id = a.card_id WHERE b.n BETWEEN 2 AND 6),
-    hc AS (SELECT card_id, count(*) FILTER (WHERE channel = 'in_person') AS inp, count(*) FILTER (WHERE channel = 'online') AS onl FROM txn GROUP BY 1),
-    mi AS (SELECT a.case_id, t.channel, hc.inp, hc.onl, (m1 = 'F')::INT + coalesce((m4 = 'M2')::INT, 0) + (m6 = 'F')::INT AS k FROM alert a JOIN txn t ON t.txn_id = a.flagged_txn_id JOIN hc ON hc.card_id = t.card_id),
-    ev AS (SELECT case_id, 'burst' AS source, c AS confidence FROM bu UNION ALL SELECT case_id, 'region', 0.88e0 FROM rg WHERE prior = 0 AND channel = 'in_person' AND region IS NOT NULL AND concurrent_home > 0
-    UNION ALL SELECT case_id, 'takeover', CASE WHEN channel = 'online' AND onl <= 1 AND inp >= 15 AND k >= 1 THEN 0.88e0 ELSE 0.78e0 END FROM mi WHERE k >= 2 OR (channel = 'online' AND onl <= 1 AND inp >= 15 AND k >= 1)
-    UNION ALL SELECT case_id, 'memory', 0.85e0 FROM mem WHERE confirmed > 0
-    UNION ALL SELECT a.case_id, 'new_device', CASE WHEN i.id_23 IS NOT NULL THEN 0.85e0 ELSE 0.78e0 END FROM alert a JOIN identity i ON i.txn_id = a.flagged_txn_id WHERE i.id_15 = 'New')"""
-
-
-@query("evidence_items", f"{EVIDENCE} SELECT * FROM ev")
-def evidence_items(t):
-    return evidence(t)
-
-
-@query(
-    "investigate_alerts",
-    f"""{EVIDENCE}, {ASSESS}, iv AS (SELECT asm.*, coalesce(e.n, 0) AS n_evidence, e.sources, e.top FROM asm LEFT JOIN (SELECT case_id, count(*) AS n, string_agg(source, ',' ORDER BY source) AS sources, max(confidence) AS top FROM ev GROUP BY 1) e ON e.case_id = asm.case_id)
-    SELECT case_id, n_evidence, coalesce(sources, '') AS sources, coalesce(top, 0e0) AS top_confidence, CASE resp WHEN 'confirms' THEN 'legitimate' WHEN 'denies' THEN 'fraud' ELSE 'uncertain' END AS verdict, array_to_string({rules('resp')}, ',') AS actions,
-    x >= 1000 OR origin IS NOT NULL OR connected >= 2 OR pattern = 'undocumented' AS file FROM iv""",
-)
-def investigate_alerts(t):
-    """Every alert in one pass: evidence of all detectors, policy and verdict."""
-    found = evidence(t).groupBy("case_id").agg(F.count("*").alias("n_evidence"), F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources"), F.max("confidence").alias("top_confidence"))
-    given = assessments(t)
-    decided = policy.evaluate(given).select("case_id", F.col("customer_response").alias("resp"), policy.action_names().alias("actions"))
-    out = decided.join(policy.sar_decision(given).select("case_id", "file"), "case_id").join(found, "case_id", "left")
-    return out.select("case_id", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("top_confidence", F.lit(0.0)).alias("top_confidence"), policy.verdict(F.col("resp")).alias("verdict"), "actions", "file")
-
-
 def labelled(t):
     """Closed cases as (case_id, features, y)."""
     cases = t.closed_case.select("case_id", "card_id", F.col("first_fraud_txn_id").alias("flagged_txn_id"), "opened_at")
     return features.case_features(cases, t.txn, t.identity, t.closed_case, 20.0, 50.0, 2880).join(t.closed_case.select("case_id", (F.col("outcome") == "confirmed_fraud").cast("int").alias("y")), "case_id")
 
 
-SMALL = model.Model(depth=3, rounds=8, folds=2)
+FULL = model.Model()
 
 
 @query("stratified_split")
@@ -385,24 +343,14 @@ def stratified_split(t):
 def train_fraud_model(t):
     rows = network.checkpointed(labelled(t))
     split = model.stratified_split(rows, "case_id", "y")
-    fitted = model.train(split.where("train"), "case_id", "y", SMALL)
+    fitted = model.train(split.where("train"), "case_id", "y", FULL)
     return evaluate.binary_metrics(fitted.predict(split.where("NOT train")).select(F.col("probability").alias("p"), "y"))
 
 
 @query("predict_probability")
 def predict_probability(t):
     rows = network.checkpointed(labelled(t))
-    return model.train(rows, "case_id", "y", SMALL).predict(case_features_of(t)).select("case_id", "probability")
-
-
-@query("score_case")
-def score_case(t):
-    """Features, probability, pattern and actions of every alert."""
-    scored = model.train(network.checkpointed(labelled(t)), "case_id", "y", SMALL).predict(case_features_of(t))
-    names = {"card_testing": "conf_testing", "card_not_present_new_device": "conf_new_device", "out_of_region_use": "conf_region", "account_takeover": "conf_ato", "card_not_present_fraud": "conf_burst"}
-    pattern = evaluate.classify_pattern(F.col("probability"), {k: F.col(c) for k, c in names.items()})
-    given = scored.select("case_id", "probability", pattern.alias("pattern"), F.col("exposure_48h").alias("exposure_usd"), (F.col("has_corroborated_pattern") == 0).alias("single_signal"), (F.col("flagged_amount") > 100).alias("has_cleared_over_100"))
-    return policy.evaluate(given).select("case_id", "probability", "pattern", policy.action_names().alias("actions"))
+    return model.train(rows, "case_id", "y", FULL).predict(case_features_of(t)).select("case_id", "probability")
 
 
 def _stream(t, name: str):
