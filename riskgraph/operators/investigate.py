@@ -25,7 +25,7 @@ def evidence_items(alerts: DataFrame, txn: DataFrame, identity: DataFrame, close
     other cards on the flagged device and prior cases. A ring's claim names its device and their number, as a device may have
     any number of cards (``network.connected_cards`` lists them all); of prior cases the first ``listed`` by id are named.
     """
-    own = txn.join(alerts.select("card_id").distinct(), "card_id", "left_semi")  # windows only over cards that have an alert
+    own = network.checkpointed(txn.join(alerts.select("card_id").distinct(), "card_id", "left_semi"))  # windows only over cards that have an alert; five readers
     key = alerts.select("case_id", "card_id", "flagged_txn_id", "customer_id")
     card, flagged, customer = F.col("card_id"), F.col("flagged_txn_id"), F.col("customer_id")
     n = F.col

@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgraph.functions.expressions import joined, money, total
 from riskgraph.functions.params import Ring
 from riskgraph.operators.graph import UNKNOWN, device_key
+from riskgraph.sources.files import scratch
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage in the session's checkpoint folder (a temporary one where none is set, as in tests)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    """``df`` cut from its lineage: written once as Parquet to the session's shared checkpoint folder and read from there, so that lost executors don't lose it and its readers still prune columns and filter in the scan."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def device_uses(txn: DataFrame, identity: DataFrame) -> DataFrame:
