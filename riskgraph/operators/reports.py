@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgraph.functions.expressions import joined, money, r4, total
+from riskgraph.operators import policy
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -175,31 +176,68 @@ VERDICTS = ("fraud", "legitimate", "uncertain")
 PATTERNS = ("none", "card_testing", "card_not_present_fraud", "card_not_present_new_device", "out_of_region_use", "account_takeover", "undocumented")
 
 
-def validate_cases(cases: DataFrame, txn: DataFrame, statuses=STATUSES, verdicts=VERDICTS, patterns=PATTERNS, tolerance: float = 0.05) -> DataFrame:
-    """One row per broken rule: ``case_id``, ``code``.
+SOURCES = ("graph", "customer", "analyst", "vector_store")
+REF = r"^(query:[a-zA-Z0-9_]+(\(.*\))?|doc:[a-zA-Z0-9_.-]+|evidence_request:[0-9]+)$"
+CITATION = r"(?i)(\b(R[0-9]+|Policy\s*[0-9]+[a-z]?)\b|standard\s+procedure|device\s+profile|customer\s+reported|recurring|baseline|unauthorized)"
+DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
-    ``cases`` has case_id, status, verdict, probability, pattern, exposure, txn_ids (array), file, narrative, opened_at,
-    closed_at. Ids are checked against ``txn`` by an anti join, exposure against the listed transactions' sum.
+
+def validate_cases(cases: DataFrame, txn: DataFrame, closed: DataFrame, written: DataFrame, statuses=STATUSES, verdicts=VERDICTS, patterns=PATTERNS, tolerance: float = 0.05) -> DataFrame:
+    """One row per broken rule: ``case_id``, ``code``. A rule that a null keeps from being checked is broken.
+
+    ``cases`` has case_id, status, verdict, probability, pattern, pattern_description, exposure, txn_ids (array), first_txn_id, similar
+    (array of closed cases), evidence (array of claim, source, ref, entity_ids), summary, initial and final (arrays of action, route,
+    reason), n_requests, what_changed, file, narrative, subjects (array), total, dates (array of text), stop_reason, graph_case_id
+    (null where nothing was written), opened_at, closed_at. Transactions are checked against ``txn``, exposure against their sum,
+    similar cases against ``closed`` and written ones against ``written`` (both case_id).
     """
+    empty = F.array().cast("array<string>")
     listed = cases.select("case_id", F.explode(F.array_distinct("txn_ids")).alias("txn_id"))
     known = listed.join(txn.select("txn_id", "amt"), "txn_id", "left").groupBy("case_id").agg(F.count_if(F.col("amt").isNull()).alias("unknown"), F.coalesce(F.sum(F.abs(money("amt"))).cast("double"), F.lit(0.0)).alias("sum"))
-    met = cases.join(known, "case_id", "left")
-    n = F.size(F.coalesce("txn_ids", F.array()))
+    alike = cases.select("case_id", F.explode(F.array_distinct("similar")).alias("similar_id")).join(closed.select(F.col("case_id").alias("similar_id")).distinct(), "similar_id", "left_anti").groupBy("case_id").agg(F.count("*").alias("strange"))
+    stored = written.select(F.col("case_id").alias("graph_case_id"), F.lit(True).alias("stored")).distinct()
+    met = cases.join(known, "case_id", "left").join(alike, "case_id", "left").join(stored, "graph_case_id", "left")
+    c = F.col
+    n, legit, fraud, filed = F.size(F.coalesce("txn_ids", empty)), c("verdict") == "legitimate", c("verdict") == "fraud", c("file")
+    said, actions = F.coalesce(c("narrative"), F.lit("")), F.concat("initial", "final")
+    reports_ = F.exists("final", lambda a: a["action"] == "FILE_REPORT")
+    asked, nothing = c("n_requests") > 0, F.lower(F.trim("what_changed")) == "nothing"
     rules = {
-        "status": F.col("status").isin(*statuses),
-        "verdict": F.col("verdict").isin(*verdicts),
-        "probability_range": F.col("probability").between(0, 1),
-        "pattern": F.col("pattern").isin(*patterns),
-        "fraud_needs_transactions": (F.col("verdict") != "fraud") | (n > 0),
-        "legitimate_has_none": (F.col("verdict") != "legitimate") | ((n == 0) & (F.col("exposure") == 0)),
+        "case_id": F.length(F.trim("case_id")) > 0,
+        "stop_reason": F.length(F.trim("stop_reason")) > 0,
+        "status": c("status").isin(*statuses),
+        "verdict": c("verdict").isin(*verdicts),
+        "probability_range": c("probability").between(0, 1),
+        "pattern": c("pattern").isin(*patterns),
+        "only_undocumented_is_described": (c("pattern") == "undocumented") == (F.length(F.trim(F.coalesce("pattern_description", F.lit("")))) > 0),
+        "summary_sentences": sentence_count(c("summary")).between(2, 6),
+        "legitimate_has_none": ~legit | ((n == 0) & (c("exposure") == 0) & (c("first_txn_id") == "")),
+        "legitimate_files_nothing": ~(legit & filed),
+        "fraud_needs_transactions": ~fraud | (n > 0),
+        "first_is_affected": ~fraud | F.array_contains("txn_ids", c("first_txn_id")),
         "transaction_exists": F.coalesce("unknown", F.lit(0)) == 0,
-        "exposure_matches": F.abs(F.col("exposure") - F.coalesce("sum", F.lit(0.0))) <= tolerance,
-        "exposure_sign": F.col("exposure") >= 0,
-        "status_fits_verdict": ((F.col("verdict") == "fraud") == (F.col("status") == "closed_fraud")) & ((F.col("verdict") == "legitimate") == (F.col("status") == "closed_legitimate")),
-        "undocumented_is_described": (F.col("pattern") != "undocumented") | F.col("narrative").isNotNull(),
-        "filed_has_narrative": ~F.col("file") | F.coalesce(sentence_count(F.col("narrative")) >= 3, F.lit(False)),
-        "date_order": F.coalesce(F.col("closed_at") >= F.col("opened_at"), F.lit(True)),
-        "case_id": F.col("case_id").rlike("^A-[0-9]+$"),
+        "exposure_matches": F.abs(c("exposure") - F.coalesce("sum", F.lit(0.0))) <= tolerance,
+        "exposure_sign": c("exposure") >= 0,
+        "status_fits_verdict": (fraud == (c("status") == "closed_fraud")) & (legit == (c("status") == "closed_legitimate")),
+        "similar_case_exists": F.coalesce("strange", F.lit(0)) == 0,
+        "evidence_source": F.forall("evidence", lambda e: e["source"].isin(*SOURCES)),
+        "evidence_ref": F.forall("evidence", lambda e: F.trim(e["ref"]).rlike(REF)),
+        "evidence_whole": F.forall("evidence", lambda e: e["claim"].isNotNull() & e["entity_ids"].isNotNull()),
+        "has_initial": F.size("initial") > 0,
+        "has_final": F.size("final") > 0,
+        "unasked_is_unchanged": asked | ((c("initial") == c("final")) & nothing),
+        "asked_is_explained": ~asked | ~nothing,
+        "action_known": F.forall(actions, lambda a: a["action"].isin(*policy.ORDER)),
+        "action_route": F.forall(actions, lambda a: ~a["action"].isin(*policy.ORDER) | (a["route"] == policy.action_route(a["action"], c("exposure")))),
+        "action_cites_rule": F.forall(actions, lambda a: a["reason"].rlike(CITATION)),
+        "file_agrees_with_final": filed == reports_,
+        "filed_has_narrative": ~filed | sentence_count(said).between(6, 12),
+        "filed_has_subjects": ~filed | (F.size("subjects") > 0),
+        "subjects_are_named": ~filed | F.forall("subjects", lambda s: F.instr(said, s) > 0),
+        "filed_dates": ~filed | ((F.size("dates") == 2) & F.forall("dates", lambda d: d.rlike(DATE)) & (F.get("dates", F.lit(0)) <= F.get("dates", F.lit(1)))),
+        "unfiled_is_empty": filed | ((said == "") & (F.size("subjects") == 0) & (c("total") == 0) & (F.size("dates") == 0)),
+        "written_is_found": c("graph_case_id").isNull() | F.coalesce("stored", F.lit(False)),
+        "date_order": F.coalesce(c("closed_at") >= c("opened_at"), F.lit(True)),
     }
     broken = F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), code) for code, ok in rules.items())), lambda c: c.isNotNull())
     return met.select("case_id", F.explode(broken).alias("code"))

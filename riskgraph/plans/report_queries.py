@@ -257,22 +257,41 @@ def documents_of(t):
     n = F.col("flagged_txn_id").cast("bigint")
     legit = F.col("verdict") == "legitimate"
     v = verdicts(t).join(t.alert.select("case_id", "opened_at", "customer_response"), "case_id")
+    file = (n % 3 == 0) & (~legit | (n % 61 == 0))
+    act = lambda name, route, reason: F.struct(F.lit(name).alias("action"), F.lit(route).alias("route") if isinstance(route, str) else route.alias("route"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
+    block = act("BLOCK_CARD", F.when(n % 41 == 0, "auto").otherwise("L1"), F.when(n % 43 == 0, "because").otherwise("R2: the customer denied it"))
+    closing = F.when(legit, F.array(act("CLOSE_NO_FRAUD", "auto", "R3: confirmed"))).otherwise(F.array(block))
+    told = F.concat(F.lit("Card "), "flagged_txn_id", F.lit(" was used. It was not its holder. They were asked. They denied it. The card is blocked. This is filed."))
+    written = [
+        F.when(n % 59 == 0, "fits none").otherwise("").alias("pattern_description"), F.when(legit, "").when(n % 23 == 0, "other").otherwise(F.col("flagged_txn_id")).alias("first_txn_id"),
+        F.when(n % 29 == 0, F.array(F.lit("CC-none"))).otherwise(F.array().cast("array<string>")).alias("similar"),
+        F.array(F.struct(F.lit("a claim").alias("claim"), F.when(n % 31 == 0, "web").otherwise("graph").alias("source"), F.when(n % 37 == 0, "see notes").otherwise("query:card_baseline(card_id=1)").alias("ref"), F.array("case_id").alias("entity_ids"))).alias("evidence"),
+        F.when(n % 19 == 0, "One thing.").otherwise("Two things were seen. Both are told.").alias("summary"), F.array(act("VERIFY_WITH_CUSTOMER", "auto", "R1: unclear")).alias("initial"),
+        F.when(file & (n % 53 != 0), F.concat(closing, F.array(act("FILE_REPORT", "L2", "Policy 3a")))).otherwise(closing).alias("final"), F.when(n % 47 == 0, 0).otherwise(1).alias("n_requests"), F.lit("the customer answered").alias("what_changed"),
+        F.when(file, F.array("flagged_txn_id")).otherwise(F.array().cast("array<string>")).alias("subjects"), F.when(file, F.col("exposure")).otherwise(0.0).alias("total"),
+        F.when(file, F.array(F.lit("2024-01-02"), F.when(n % 67 == 0, "2024-01-01").otherwise("2024-01-03"))).otherwise(F.array().cast("array<string>")).alias("dates"), F.lit("settled").alias("stop_reason"), F.when(n % 71 == 0, "CASE-none").otherwise(F.col("case_id")).alias("graph_case_id"),
+    ]
     return v.select(
         "case_id", F.when(n % 7 == 0, "pending").otherwise(policy.status(F.col("customer_response"))).alias("status"), "verdict", F.when(n % 11 == 0, F.col("probability") + 1).otherwise(F.col("probability")).alias("probability"), F.lit("none").alias("pattern"),
         F.when(legit, 0.0).when(n % 5 == 0, F.col("exposure") + 1).otherwise(F.col("exposure")).alias("exposure"), F.when(legit, F.array().cast("array<string>")).otherwise(F.array(F.when(n % 13 == 0, "missing").otherwise(F.col("flagged_txn_id")))).alias("txn_ids"),
-        (n % 3 == 0).alias("file"), F.when(n % 2 == 0, "One thing happened. Then another one. That was all.").alias("narrative"), "opened_at", F.when(n % 17 == 0, F.expr("opened_at - interval '1' hour")).alias("closed_at"),
+        file.alias("file"), F.when(file, F.when(n % 2 == 0, told).otherwise("Something happened. That is all.")).otherwise("").alias("narrative"), "opened_at", F.when(n % 17 == 0, F.expr("opened_at - interval '1' hour")).alias("closed_at"), *written,
     )
 
 
 @query(
     "validate_cases",
-    f"""{VERDICTS}, dc AS (SELECT v.*, CAST(a.flagged_txn_id AS BIGINT) AS n, a.opened_at, verdict = 'legitimate' AS legit FROM vd v JOIN alert a ON a.case_id = v.case_id)
+    f"""{VERDICTS}, dc AS (SELECT v.*, CAST(a.flagged_txn_id AS BIGINT) AS n, a.opened_at, verdict = 'legitimate' AS legit FROM vd v JOIN alert a ON a.case_id = v.case_id),
+    dd AS (SELECT *, n % 3 = 0 AND (NOT legit OR n % 61 = 0) AS file FROM dc)
     SELECT case_id, unnest(list_filter([CASE WHEN n % 7 = 0 THEN 'status' END, CASE WHEN n % 11 = 0 THEN 'probability_range' END, CASE WHEN NOT legit AND n % 13 = 0 THEN 'transaction_exists' END,
-    CASE WHEN NOT legit AND (n % 13 = 0 OR n % 5 = 0) THEN 'exposure_matches' END, CASE WHEN n % 7 = 0 AND verdict <> 'uncertain' THEN 'status_fits_verdict' END,
-    CASE WHEN n % 3 = 0 AND n % 2 <> 0 THEN 'filed_has_narrative' END, CASE WHEN n % 17 = 0 THEN 'date_order' END], lambda c: c IS NOT NULL)) AS code FROM dc""",
+    CASE WHEN NOT legit AND (n % 13 = 0 OR n % 5 = 0) THEN 'exposure_matches' END, CASE WHEN n % 7 = 0 AND verdict <> 'uncertain' THEN 'status_fits_verdict' END, CASE WHEN n % 59 = 0 THEN 'only_undocumented_is_described' END,
+    CASE WHEN n % 19 = 0 THEN 'summary_sentences' END, CASE WHEN legit AND file THEN 'legitimate_files_nothing' END, CASE WHEN verdict = 'fraud' AND (n % 23 = 0) <> (n % 13 = 0) OR verdict = 'fraud' AND n % 23 = 0 THEN 'first_is_affected' END,
+    CASE WHEN n % 29 = 0 THEN 'similar_case_exists' END, CASE WHEN n % 31 = 0 THEN 'evidence_source' END, CASE WHEN n % 37 = 0 THEN 'evidence_ref' END, CASE WHEN n % 47 = 0 THEN 'unasked_is_unchanged' END,
+    CASE WHEN NOT legit AND (n % 41 = 0 OR exposure + CASE WHEN n % 5 = 0 THEN 1e0 ELSE 0e0 END > 2500) THEN 'action_route' END, CASE WHEN NOT legit AND n % 43 = 0 THEN 'action_cites_rule' END, CASE WHEN file AND n % 53 = 0 THEN 'file_agrees_with_final' END,
+    CASE WHEN file AND n % 2 <> 0 THEN 'filed_has_narrative' END, CASE WHEN file AND n % 2 <> 0 THEN 'subjects_are_named' END, CASE WHEN file AND n % 67 = 0 THEN 'filed_dates' END, CASE WHEN n % 71 = 0 THEN 'written_is_found' END,
+    CASE WHEN n % 17 = 0 THEN 'date_order' END], lambda c: c IS NOT NULL)) AS code FROM dd""",
 )
 def validate_cases(t):
-    return reports.validate_cases(documents_of(t), t.txn)
+    return reports.validate_cases(documents_of(t), t.txn, t.closed_case, t.alert)
 
 
 @query(
