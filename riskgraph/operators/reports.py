@@ -243,9 +243,48 @@ def validate_cases(cases: DataFrame, txn: DataFrame, closed: DataFrame, written:
     return met.select("case_id", F.explode(broken).alias("code"))
 
 
-def normalize_case(cases: DataFrame) -> DataFrame:
-    """Case answers in normal form: status from verdict, probability within [0, 1], no pattern for legitimate cases, transactions once and in order."""
+def normalize_case(cases: DataFrame, txn: DataFrame, closed: DataFrame) -> DataFrame:
+    """Case answers (columns as for ``validate_cases``) in normal form.
+
+    An unknown verdict counts as fraud, the status follows the verdict, probability is held within [0, 1], an unknown pattern is
+    undocumented from 0.70 and else none. Legitimate cases have no pattern, transactions or exposure. The first transaction is among
+    the affected ones; exposure is their sum in ``txn``, or as stated if none is known. Unknown sources become ``graph``, refs get their
+    prefix, unknown similar cases go, unknown actions go, routes follow the policy, reasons cite a rule (``Policy 3a`` with its letter counts as none here and gets one), and without a request the first
+    actions stand. A report is filed where the last actions say so and the case isn't legitimate; its dates are put in order.
+    """
+    c = F.col
+    verdict = F.lower(F.trim("verdict"))
+    df = cases.withColumn("verdict", F.when(verdict.isin(*VERDICTS), verdict).otherwise("fraud"))
+    legit, none = c("verdict") == "legitimate", F.array().cast("array<string>")
     p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("probability", F.lit(0.5))))
-    status = F.when(F.col("verdict") == "fraud", "closed_fraud").when(F.col("verdict") == "legitimate", "closed_legitimate").otherwise("open")
-    legit = F.col("verdict") == "legitimate"
-    return cases.select("case_id", "verdict", status.alias("status"), p.alias("probability"), F.when(legit | F.col("pattern").isNull(), "none").otherwise(F.col("pattern")).alias("pattern"), F.when(legit, "").otherwise(joined(F.array_distinct("txn_ids"))).alias("txn_ids"), F.when(legit, 0.0).otherwise(F.col("exposure")).alias("exposure"))
+    pattern = F.lower(F.trim("pattern"))
+    first = F.nullif(F.trim(F.coalesce("first_txn_id", F.lit(""))), F.lit(""))
+    ids = F.filter(F.coalesce("txn_ids", none), lambda t: F.trim(t) != "")
+    df = df.withColumns({"probability": p, "pattern": F.when(legit, "none").when(pattern.isin(*PATTERNS), pattern).when(p >= 0.70, "undocumented").otherwise("none")})
+    df = df.withColumn("txn_ids", F.when(legit, none).when(first.isNotNull() & ~F.array_contains(ids, first), F.concat(F.array(first), ids)).otherwise(ids))
+    df = df.withColumn("first_txn_id", F.when(legit, "").otherwise(F.coalesce(first, F.get("txn_ids", F.lit(0)), F.lit(""))))
+    sums = df.select("case_id", F.explode(F.array_distinct("txn_ids")).alias("txn_id")).join(txn.select("txn_id", "amt"), "txn_id").groupBy("case_id").agg(F.sum(F.abs(money("amt"))).cast("double").alias("sum"))
+    alike = df.select("case_id", F.explode(F.array_distinct("similar")).alias("similar_id")).join(closed.select(F.col("case_id").alias("similar_id")).distinct(), "similar_id", "left_semi").groupBy("case_id").agg(F.collect_list("similar_id").alias("found"))
+    df = df.join(sums, "case_id", "left").join(alike, "case_id", "left")
+    df = df.withColumn("exposure", F.when(legit, 0.0).when(c("sum") > 0, c("sum")).otherwise(F.coalesce("exposure", F.lit(0.0))))
+    ref = lambda e: F.trim(F.coalesce(e["ref"], F.lit("")))
+    mended = F.transform("evidence", lambda e: F.concat_ws(" ", F.when(F.lower(F.trim(e["source"])).isin(*SOURCES), F.lower(F.trim(e["source"]))).otherwise("graph"), F.when(ref(e).rlike("^(query|doc|evidence_request):"), ref(e)).otherwise(F.concat(F.lit("query:"), ref(e)))))
+
+    def actions(column: str) -> Column:
+        reason = lambda a: F.trim(F.coalesce(a["reason"], F.lit("")))
+        cited = lambda a: F.when(reason(a).rlike(r"(?i)\b(R[0-9]+|Policy\s*[0-9]+)\b"), reason(a)).when(reason(a) == "", "Policy 3a").otherwise(F.concat(F.lit("R1: "), reason(a)))
+        known = F.filter(column, lambda a: a["action"].isin(*policy.ORDER))
+        return F.transform(known, lambda a: F.concat_ws(" ", a["action"], policy.action_route(a["action"], c("exposure")), cited(a)))
+
+    df = df.withColumns({"initial": actions("initial"), "final": actions("final")})
+    asked = c("n_requests") > 0
+    df = df.withColumn("final", F.when(asked, c("final")).otherwise(c("initial")))
+    file = ~legit & F.exists("final", lambda a: a.startswith("FILE_REPORT "))
+    unsaid = F.lower(F.trim(F.coalesce("what_changed", F.lit("")))).isin("", "nothing")
+    changed = F.when(~asked, "nothing").when(unsaid, F.when(legit, "R3: the customer confirmed").otherwise("R2: the customer denied")).otherwise(F.trim("what_changed"))
+    status = F.when(c("verdict") == "fraud", "closed_fraud").when(legit, "closed_legitimate").otherwise("open")
+    text = lambda column: F.array_join(column, "; ")
+    return df.select(
+        "case_id", "verdict", status.alias("status"), "probability", "pattern", joined(F.array_distinct("txn_ids")).alias("txn_ids"), "first_txn_id", "exposure", joined(F.coalesce("found", none)).alias("similar"), text(mended).alias("evidence"),
+        text("initial").alias("initial"), text("final").alias("final"), changed.alias("what_changed"), file.alias("file"), F.when(file, c("exposure")).otherwise(0.0).alias("total"), F.when(file, joined(c("dates"))).otherwise("").alias("dates"), F.when(file, joined(F.filter("subjects", lambda s: F.instr("narrative", s) > 0))).otherwise("").alias("subjects"),
+    )

@@ -296,12 +296,18 @@ def validate_cases(t):
 
 @query(
     "normalize_case",
-    f"""{VERDICTS}, dc AS (SELECT v.*, CAST(a.flagged_txn_id AS BIGINT) AS n, a.flagged_txn_id, verdict = 'legitimate' AS legit FROM vd v JOIN alert a ON a.case_id = v.case_id)
+    f"""{VERDICTS}, dc AS (SELECT v.*, CAST(a.flagged_txn_id AS BIGINT) AS n, a.flagged_txn_id AS id, verdict = 'legitimate' AS legit FROM vd v JOIN alert a ON a.case_id = v.case_id),
+    dd AS (SELECT *, n % 3 = 0 AND (NOT legit OR n % 61 = 0) AS file, n % 47 = 0 AS unasked FROM dc),
+    de AS (SELECT *, CASE WHEN legit THEN [] WHEN n % 23 = 0 AND n % 13 = 0 THEN ['missing', 'other'] WHEN n % 23 = 0 THEN [id, 'other'] WHEN n % 13 = 0 THEN ['missing', id] ELSE [id] END AS ids FROM dd),
+    df AS (SELECT *, CASE WHEN legit THEN 0e0 WHEN list_contains(ids, id) THEN CAST(CAST(exposure AS DECIMAL(18,2)) AS DOUBLE) WHEN n % 5 = 0 THEN exposure + 1 ELSE exposure END AS x, file AND NOT legit AND n % 53 <> 0 AND NOT unasked AS filed FROM de)
     SELECT case_id, verdict, CASE verdict WHEN 'fraud' THEN 'closed_fraud' WHEN 'legitimate' THEN 'closed_legitimate' ELSE 'open' END AS status, CASE WHEN n % 11 = 0 THEN 1e0 ELSE probability END AS probability, 'none' AS pattern,
-    CASE WHEN legit THEN '' WHEN n % 13 = 0 THEN 'missing' ELSE flagged_txn_id END AS txn_ids, CASE WHEN legit THEN 0e0 WHEN n % 5 = 0 THEN exposure + 1 ELSE exposure END AS exposure FROM dc""",
+    array_to_string(list_sort(ids), ',') AS txn_ids, CASE WHEN legit THEN '' WHEN n % 23 = 0 THEN 'other' ELSE id END AS first_txn_id, x AS exposure, '' AS similar, 'graph query:' || CASE WHEN n % 37 = 0 THEN 'see notes' ELSE 'card_baseline(card_id=1)' END AS evidence,
+    'VERIFY_WITH_CUSTOMER auto R1: unclear' AS initial, CASE WHEN unasked THEN 'VERIFY_WITH_CUSTOMER auto R1: unclear' ELSE CASE WHEN legit THEN 'CLOSE_NO_FRAUD auto R3: confirmed' ELSE 'BLOCK_CARD ' || CASE WHEN x <= 2500 THEN 'L1' ELSE 'L2' END || CASE WHEN n % 43 = 0 THEN ' R1: because' ELSE ' R2: the customer denied it' END END
+      || CASE WHEN file AND n % 53 <> 0 THEN '; FILE_REPORT L2 R1: Policy 3a' ELSE '' END END AS "final", CASE WHEN unasked THEN 'nothing' ELSE 'the customer answered' END AS what_changed, filed AS file, CASE WHEN filed THEN x ELSE 0e0 END AS total,
+    CASE WHEN filed THEN CASE WHEN n % 67 = 0 THEN '2024-01-01,2024-01-02' ELSE '2024-01-02,2024-01-03' END ELSE '' END AS dates, CASE WHEN filed AND n % 2 = 0 THEN id ELSE '' END AS subjects FROM df""",
 )
 def normalize_case(t):
-    return reports.normalize_case(documents_of(t))
+    return reports.normalize_case(documents_of(t), t.txn, t.closed_case)
 
 
 @query(
@@ -419,6 +425,27 @@ def stream_sessions(t):
     return found.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 
+@query("stream_sessions_run")
+def stream_sessions_run(t):
+    """The sessions that the watermark has closed, of the events as a stream."""
+    source, state, out = _stream(t, "sessions")
+    streams.run_once(streams.sessions(streams.ingest(t.spark, source, STREAM_SCHEMA, "txn_id")), state, out)
+    return t.spark.read.parquet(out)
+
+
+@query("stream_no_reply_run")
+def stream_no_reply_run(t):
+    """Requests and responses as two streams; a request counts as unanswered once the watermark has passed its time."""
+    folders = [files.scratch(t.spark, f"reply-{n}") for n in ("requests", "responses", "state", "out")]
+    sides = []
+    for path, df, time in zip(folders, no_reply_inputs(t), ("asked_at", "answered_at")):
+        df = df.withColumn(time, F.col(time).cast("timestamp"))
+        df.write.parquet(path)
+        sides.append(t.spark.readStream.schema(df.schema).parquet(path).withWatermark(time, "2 days"))
+    streams.run_once(streams.no_reply(*sides), folders[2], folders[3])
+    return t.spark.read.parquet(folders[3])
+
+
 @query("stream_card_testing")
 def stream_card_testing(t):
     key, before = "spark.sql.streaming.stateStore.providerClass", t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
@@ -438,9 +465,14 @@ def stream_card_testing(t):
     WHERE customer_response IN ('no_reply', 'none') OR CAST(flagged_txn_id AS BIGINT) % 40 > 24""",
 )
 def stream_no_reply(t):
-    """The batch twin: answers come so many hours after the request as the id says."""
+    """The batch twin."""
+    return streams.no_reply(*no_reply_inputs(t))
+
+
+def no_reply_inputs(t):
+    """Requests and responses; answers come so many hours after the request as the id says."""
     asked = t.alert.join(t.txn.select(F.col("txn_id").alias("flagged_txn_id"), "amt"), "flagged_txn_id").select("case_id", F.col("opened_at").alias("asked_at"), (F.col("amt") * 3).alias("exposure"))
     answered = t.alert.where("customer_response IN ('confirms', 'denies')").select("case_id", F.expr("opened_at + make_dt_interval(0, cast(cast(flagged_txn_id as bigint) % 40 as int), 0, 0)").alias("answered_at"))
-    return streams.no_reply(asked, answered)
+    return asked, answered
 
 

@@ -91,7 +91,13 @@ def test_split_equals_percent_rank(spark, sf_dir):
     assert stratified_split(df, "k", "y").exceptAll(want).count() == 0
 
 
-def test_model_queries(without_sql, con):
+def test_model_queries(without_sql, con, monkeypatch):
+    """With a smaller model than the registered one, to stay quick."""
+    from riskgraph.functions.params import Model
+    from riskgraph.plans import investigation_queries, report_queries
+
+    for module in (report_queries, investigation_queries):
+        monkeypatch.setattr(module, "FULL", Model(depth=3, rounds=8, folds=2))
     metrics = without_sql("train_fraud_model")[0]
     assert 0 <= metrics.precision <= 1 and 0 <= metrics.recall <= 1
     predicted = without_sql("predict_probability")
@@ -107,6 +113,20 @@ def test_velocity_stream_equals_its_batch_twin(spark, sf_dir, without_sql):
     assert got and all(batch[r.card_id, r.start].n == r.n for r in got)  # windows that the watermark has closed
 
 
+def test_session_stream_equals_its_batch_twin(spark, sf_dir, without_sql):
+    batch = {(r.card_id, r.start): (r.end, r.n, r.amount) for r in registry.QUERIES["stream_sessions"](spark, sf_dir).collect()}
+    got = without_sql("stream_sessions_run")
+    assert got and all(batch[r.card_id, r.start] == (r.end, r.n, r.amount) for r in got)
+
+
+def test_no_reply_stream_equals_its_batch_twin(spark, sf_dir, without_sql):
+    batch = {(r.case_id, r.asked_at, r.actions) for r in registry.QUERIES["stream_no_reply"](spark, sf_dir).collect()}
+    got = {(r.case_id, r.asked_at, r.actions) for r in without_sql("stream_no_reply_run")}
+    assert got and got <= batch
+    last = max(a for _, a, _ in batch)
+    assert got >= {r for r in batch if r[1] < last - pd.Timedelta(days=5)}
+
+
 def test_testing_stream_fires_on_probes_only(without_sql):
     got = without_sql("stream_card_testing")
     assert len({tuple(r) for r in got}) == len(got)
@@ -153,5 +173,5 @@ def test_memory_by_devices_only_adds(spark, sf_dir, without_sql):
 
 
 def test_every_query_without_sql_is_tested_here():
-    tested = {"write_case_answers", "write_next_edges", "stratified_split", "train_fraud_model", "predict_probability", "score_case", "stream_velocity_run", "stream_card_testing", "similar_cases", "exploration_greedy", "case_memory_lookup_devices"}
+    tested = {"write_case_answers", "write_next_edges", "stratified_split", "train_fraud_model", "predict_probability", "score_case", "stream_velocity_run", "stream_sessions_run", "stream_no_reply_run", "stream_card_testing", "similar_cases", "exploration_greedy", "case_memory_lookup_devices"}
     assert set(registry.QUERIES) - set(registry.ORACLES) == tested
