@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import html_extract, license_scan, lm_score, media, mixing, near_dedup, quality, sentencepiece_codec, suffix_dedup, topk_search
+from riskgraph.llm import divergence, html_extract, license_scan, lm_score, media, mixing, near_dedup, quality, sentencepiece_codec, suffix_dedup, token_counts, topk_search
 
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -81,7 +82,17 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_html_extraction": op2_html_extraction, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_exact_top_k": op5_exact_top_k, "op6_lm_score": op6_lm_score, "op7_sentencepiece": op7_sentencepiece, "op8_quality_classifier": op8_quality_classifier, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null text, lang and source are '', repeated rows count each, groups and languages without terms have pairs of value 0; no rows from an empty table."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """A null or empty text has no tokens, repeated rows and null ids stay; other columns are ignored; an empty table gives no rows."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_html_extraction": op2_html_extraction, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_exact_top_k": op5_exact_top_k, "op6_lm_score": op6_lm_score, "op7_sentencepiece": op7_sentencepiece, "op8_quality_classifier": op8_quality_classifier, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns, "op11_source_divergence": op11_source_divergence, "op12_token_counts": op12_token_counts}
 ORACLES: dict[str, str] = {
     "op5_exact_top_k": """
         WITH v AS (
@@ -119,4 +130,34 @@ ORACLES: dict[str, str] = {
                CASE WHEN n > 0 THEN CAST(s AS DOUBLE) / CAST(n AS DOUBLE) / 1e6 END AS per_token
         FROM d LEFT JOIN g ON g.doc_id = d.doc_id
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+            FROM documents
+        ), c AS (
+            SELECT row_id, lang, source, term, count(*) AS n FROM (SELECT row_id, lang, source, unnest(ws) AS term FROM d) GROUP BY ALL
+        ), k AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS all_n FROM c GROUP BY lang, term HAVING count(*) >= 3),
+        v AS (SELECT lang, count(*) AS v, sum(all_n) AS lang_total FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        own AS (SELECT c.lang, c.source, c.term, CAST(sum(c.n) AS HUGEINT) AS n FROM c JOIN k ON k.lang = c.lang AND k.term = c.term GROUP BY ALL),
+        total AS (SELECT lang, source, sum(n) AS total FROM own GROUP BY ALL),
+        p AS (
+            SELECT g.lang, g.source, k.term, coalesce(own.n, 0) AS n,
+                   1 + (1000000000 * (coalesce(own.n, 0) + 1)) // (coalesce(total.total, 0) + v.v) AS p,
+                   1 + (1000000000 * (k.all_n + 1)) // (v.lang_total + v.v) AS q
+            FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+            LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = k.term
+            LEFT JOIN total ON total.lang = g.lang AND total.source = g.source
+        ), s AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+            FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+        ), r AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+            FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }
