@@ -23,7 +23,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
 SCALE = 1_000_000_000
 #: Distinct (group, term) entries that a task adds up before it sends them on.
 HELD = 200_000
-#: Cells (sources x terms) of the counts that a task compares at once.
+#: Cells (sources x terms) of a block of terms, and of the counts that a task compares at once.
 CELLS = 1 << 19
 
 
@@ -152,13 +152,15 @@ def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
 
     Terms are dealt in blocks by their hash and every block gets the language's groups, so no pair of rows ever meets in a
     join and no broadcast is needed. A task adds up its block in numpy: one language's sources squared, as the result has.
+    There are as many blocks as the cells (sources x terms) fill, so that their sums stay few beside the cells.
     The sum can't leave 64 bits: with shares that sum to about 10^9 it is at most 10^18.
     """
-    spark = kept.sparkSession
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = groups.agg(F.sum("v")).first()[0] or 0
+    blocks = 1 + cells // CELLS
+    parts = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = groups.select("lang", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "source", (F.col("total") + F.col("v")).alias("below"), F.lit(None).cast(kept.schema["sources"].dataType).alias("sources"))
     counted = kept.select("lang", F.pmod(F.hash("term"), F.lit(blocks)).alias("block"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("below"), "sources")
-    dealt = spread.union(counted).repartition(blocks, "lang", "block").sortWithinPartitions("lang", "block", F.col("sources").isNotNull())
+    dealt = spread.union(counted).repartition(parts, "lang", "block").sortWithinPartitions("lang", "block", F.col("sources").isNotNull())
     sums = dealt.mapInArrow(_compared, "lang string, source string, item string, value bigint").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     return sums.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(order))
