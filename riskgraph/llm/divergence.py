@@ -32,7 +32,7 @@ def terms(text: str | None) -> Counter:
     return Counter((text or "").encode("utf-8", "replace").translate(LOWER).split())
 
 
-def _counted(batches):
+def _counted(batches, most):
     counts: dict[tuple, list] = {}
 
     def flushed():
@@ -50,18 +50,18 @@ def _counted(batches):
                 else:
                     held[0] += n
                     held[1] += 1
-            if len(counts) >= HELD:
+            if len(counts) >= most:
                 yield from flushed()
     yield from flushed()
 
 
-def term_counts(docs: DataFrame, min_docs: int = 3) -> DataFrame:
+def term_counts(docs: DataFrame, min_docs: int = 3, held: int = HELD) -> DataFrame:
     """``lang, term, n, docs, sources``: the terms in at least ``min_docs`` documents of a language, with an array of (source, n) of those that have it.
 
     Null text, lang and source count as ''. A term's array has one entry for each source of its language at most.
     """
     read = docs.select("text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
-    counted = read.mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint").repartition("lang", "term")
+    counted = read.mapInArrow(lambda batches: _counted(batches, held), "lang string, source string, term string, n bigint, docs bigint").repartition("lang", "term")
     by_source = counted.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     by_term = by_source.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("sources"))
     return by_term.where(F.col("docs") >= min_docs)
@@ -101,7 +101,7 @@ def _shares(n: np.ndarray, below: np.ndarray) -> np.ndarray:
     return 1 + SCALE * (n + 1) // below
 
 
-def _compared(batches):
+def _compared(batches, most):
     """Rows come by (lang, block): first its groups, then its terms. Sums of each pair of the block's language."""
     key, names, below, sums, waiting, cells = None, [], None, None, [], 0
     at: dict[str, int] = {}
@@ -141,13 +141,13 @@ def _compared(batches):
                 below, sums = np.array(divisors, np.int64), np.zeros((len(names), len(names)), np.int64)
             waiting.append(row["sources"])
             cells += len(names)
-            if cells >= CELLS:
+            if cells >= most:
                 compare()
                 waiting, cells = [], 0
     yield from finished()
 
 
-def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
+def source_pairs(kept: DataFrame, groups: DataFrame, most: int = CELLS) -> DataFrame:
     """Every two sources of a language with the sum of ``excess`` over all its kept terms, absent ones included.
 
     Terms are dealt in blocks by their hash and every block gets the language's groups, so no pair of rows ever meets in a
@@ -156,17 +156,17 @@ def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     The sum can't leave 64 bits: with shares that sum to about 10^9 it is at most 10^18.
     """
     cells = groups.agg(F.sum("v")).first()[0] or 0
-    blocks = 1 + cells // CELLS
+    blocks = 1 + cells // most
     parts = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = groups.select("lang", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "source", (F.col("total") + F.col("v")).alias("below"), F.lit(None).cast(kept.schema["sources"].dataType).alias("sources"))
     counted = kept.select("lang", F.pmod(F.hash("term"), F.lit(blocks)).alias("block"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("below"), "sources")
     dealt = spread.union(counted).repartition(parts, "lang", "block").sortWithinPartitions("lang", "block", F.col("sources").isNotNull())
-    sums = dealt.mapInArrow(_compared, "lang string, source string, item string, value bigint").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    sums = dealt.mapInArrow(lambda batches: _compared(batches, most), "lang string, source string, item string, value bigint").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     return sums.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(order))
 
 
-def audit(docs: DataFrame, min_docs: int = 3, top: int = 200) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, held: int = HELD, cells: int = CELLS) -> DataFrame:
     """``lang, source, part, item, value, rank`` as ``source_pairs`` and ``source_terms`` give them.
 
     Null text, lang and source are ''; a group without terms and a language without kept terms have pairs (of value 0 in the
@@ -175,6 +175,6 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200) -> DataFrame:
     them is Spark's to choose by their size.
     """
     docs = docs.select("text", "lang", "source")
-    kept = cut(term_counts(docs, min_docs))
+    kept = cut(term_counts(docs, min_docs, held))
     groups = cut(groups_of(docs, kept))
-    return source_pairs(kept, groups).union(source_terms(kept, groups, top))
+    return source_pairs(kept, groups, cells).union(source_terms(kept, groups, top))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import divergence, html_extract, license_scan, lm_score, media, mixing, near_dedup, quality, sentencepiece_codec, suffix_dedup, token_counts, topk_search
+from riskgraph.llm import conversation_trie, divergence, html_extract, license_scan, lm_score, media, mixing, near_dedup, quality, sentencepiece_codec, suffix_dedup, token_counts, topk_search
 
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -92,7 +92,12 @@ def op12_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     return token_counts.token_counts(table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_html_extraction": op2_html_extraction, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_exact_top_k": op5_exact_top_k, "op6_lm_score": op6_lm_score, "op7_sentencepiece": op7_sentencepiece, "op8_quality_classifier": op8_quality_classifier, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns, "op11_source_divergence": op11_source_divergence, "op12_token_counts": op12_token_counts}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without conv_id take no part, null turns come first, null roles and texts are empty, repeated turns all stay; no rows from an empty table."""
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_html_extraction": op2_html_extraction, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_exact_top_k": op5_exact_top_k, "op6_lm_score": op6_lm_score, "op7_sentencepiece": op7_sentencepiece, "op8_quality_classifier": op8_quality_classifier, "op9_license_scan": op9_license_scan, "op10_media_columns": op10_media_columns, "op11_source_divergence": op11_source_divergence, "op12_token_counts": op12_token_counts, "op13_conversation_trie": op13_conversation_trie}
 ORACLES: dict[str, str] = {
     "op5_exact_top_k": """
         WITH v AS (
@@ -160,4 +165,40 @@ ORACLES: dict[str, str] = {
         ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
         SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
     """,
+    "op13_conversation_trie": """
+        WITH c AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), h AS (
+            SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(
+                list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+                lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) % 9 AS h
+            FROM (SELECT DISTINCT conv_id FROM c)
+        ), r AS (
+            SELECT h.conv_id, 0 AS own, c.pos, c.role, c.text FROM h JOIN c ON c.conv_id = h.base AND c.pos <= h.h
+            UNION ALL
+            SELECT h.conv_id, 1, c.pos, c.role, c.text FROM h JOIN c ON c.conv_id = h.conv_id AND c.pos > h.h
+        ), t AS (
+            SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS d,
+                   sha256(concat(octet_length(encode(role)), ':', role, text)) AS turn FROM r
+        ), paths AS (
+            SELECT conv_id, d, text, string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS path FROM t
+            UNION ALL SELECT conv_id, 0, '', '' FROM h
+        ), n AS (
+            SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(octet_length(encode(text))) AS saves FROM paths GROUP BY path, d
+        ), up AS (
+            SELECT n.path, p.conv_id AS parent_conv_id FROM n JOIN n p ON n.d > 0 AND p.path = n.path[:64 * (n.d - 1)]
+        ), kids AS (
+            SELECT p.path, count(n.path) AS n_children FROM n p LEFT JOIN n ON n.d = p.d + 1 AND n.path[:64 * p.d] = p.path GROUP BY p.path
+        ), sub AS (
+            SELECT a.path, sum(n.saves) AS saved_tokens, sum(CASE WHEN k.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+            FROM n JOIN kids k ON k.path = n.path JOIN paths a ON a.conv_id = n.conv_id AND a.d <= n.d GROUP BY a.path
+        ), ends AS (
+            SELECT p.path, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) AS ids
+            FROM paths p JOIN (SELECT conv_id, max(d) AS d FROM paths GROUP BY conv_id) m ON m.conv_id = p.conv_id AND m.d = p.d GROUP BY p.path
+        )
+        SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.parent_conv_id, n.n_convs, kids.n_children, CAST(sub.n_leaves AS BIGINT) AS n_leaves,
+               CAST(sub.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+        FROM n JOIN kids ON kids.path = n.path JOIN sub ON sub.path = n.path LEFT JOIN up ON up.path = n.path LEFT JOIN ends ON ends.path = n.path
+    """,
 }

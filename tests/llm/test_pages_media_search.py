@@ -219,7 +219,7 @@ def test_top_k_of_nothing(spark):
 def test_query_equals_its_sql(spark, sf_dir, name):
     got = __spark_entry__.queries()[name](spark, sf_dir)
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.execute(corpus.ORACLES[name]).df()
     a, b = (df[sorted(df.columns)].sort_values(sorted(df.columns)).reset_index(drop=True) for df in (got.toPandas(), want))
@@ -230,7 +230,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_pipeline_with_clashing_columns_nulls_repeats_and_no_rows(spark, sf_dir, tmp_path):

@@ -57,22 +57,19 @@ def audit_by_spark(spark, rows, **more):
 
 
 @pytest.mark.parametrize("cells", [1 << 19, 5])
-def test_divergence_equals_plain_python(spark, monkeypatch, cells):
-    monkeypatch.setattr(divergence, "CELLS", cells)
+def test_divergence_equals_plain_python(spark, cells):
     rng = random.Random(5)
     words = ["the", "The", "é", "É", "naïve", "x1y", "foo_bar", "straße", "ﬁ", "a-b", "  ", "zz", "Ω", "1 2", "\x85", " "]
     rows = [(rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", None, "ü"]), " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for _ in range(120)]
     rows += [("en", "hot", "the same words again") for _ in range(80)]
     rows += [("fr", "one", "rare"), ("fr", "two", None), ("it", "alone", "ciao ciao"), ("en", "empty", ""), ("en", "long", "word " * 40_000)]
-    assert audit_by_spark(spark, rows) == audit_by_hand(rows)
+    assert audit_by_spark(spark, rows, cells=cells) == audit_by_hand(rows)
     assert audit_by_spark(spark, rows, top=2) == audit_by_hand(rows, top=2)
 
 
-def test_divergence_of_many_flushes_and_of_nothing(spark, monkeypatch):
+def test_divergence_of_many_flushes_and_of_nothing(spark):
     rows = [("en", f"s{i % 3}", f"w{'abcdefghij'[i % 10]} common w{'xyz'[i % 3]}") for i in range(60)]
-    want = audit_by_hand(rows)
-    monkeypatch.setattr(divergence, "HELD", 2)
-    assert audit_by_spark(spark, rows) == want
+    assert audit_by_spark(spark, rows, held=2) == audit_by_hand(rows)
     assert audit_by_spark(spark, []) == []
 
 
