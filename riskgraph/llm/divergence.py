@@ -22,7 +22,7 @@ from riskgraph.llm.shared import cut
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SCALE = 1_000_000_000
 #: Distinct (group, term) entries that a task adds up before it sends them on.
-HELD = 200_000
+HELD = 400_000
 #: Cells (sources x terms) of a block of terms, and of the counts that a task compares at once.
 CELLS = 1 << 19
 
@@ -33,25 +33,29 @@ def terms(text: str | None) -> Counter:
 
 
 def _counted(batches, most):
-    counts: dict[tuple, list] = {}
+    """Rows (lang, source, term, n, docs) of at most ``most`` entries added up; an entry's documents are counted from bit 40 on."""
+    groups: dict[tuple, dict[bytes, int]] = {}
+    size, one, low = 0, 1 << 40, (1 << 40) - 1
 
     def flushed():
-        rows = [(lang, source, term.decode("utf-8", "replace"), *v) for (lang, source, term), v in counts.items()]
-        counts.clear()
-        for at in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 20_000]), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["lang", "source", "term", "n", "docs"])
+        for (lang, source), held in groups.items():
+            found, values = pa.array(list(held), pa.binary()).cast(pa.string()), np.fromiter(held.values(), np.int64, len(held))
+            for at in range(0, len(held), 20_000):
+                part = found[at : at + 20_000]
+                v = values[at : at + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(v)), pa.repeat(source, len(v)), part, pa.array(v & low), pa.array(v >> 40)], ["lang", "source", "term", "n", "docs"])
+        groups.clear()
 
     for batch in batches:
         for text, lang, source in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            held = groups.setdefault((lang, source), {})
+            size -= len(held)
             for term, n in terms(text.as_py()).items():
-                held = counts.get((lang, source, term))
-                if held is None:
-                    counts[lang, source, term] = [n, 1]
-                else:
-                    held[0] += n
-                    held[1] += 1
-            if len(counts) >= most:
+                held[term] = held.get(term, 0) + n + one
+            size += len(held)
+            if size >= most:
                 yield from flushed()
+                size = 0
     yield from flushed()
 
 
@@ -103,47 +107,52 @@ def _shares(n: np.ndarray, below: np.ndarray) -> np.ndarray:
 
 def _compared(batches, most):
     """Rows come by (lang, block): first its groups, then its terms. Sums of each pair of the block's language."""
-    key, names, below, sums, waiting, cells = None, [], None, None, [], 0
+    key, below, sums, waiting, rows = None, [], None, [], 0
     at: dict[str, int] = {}
 
     def compare():
-        counts = np.zeros((len(waiting), len(names)), np.int64)
-        for k, row in enumerate(waiting):
-            counts[k, [at[s["source"]] for s in row]] = [s["n"] for s in row]
-        p = _shares(counts.T, below[:, None])
-        for i in range(len(names)):
-            sums[i] += ((p[i] - p) ** 2 // p).sum(1)
+        nonlocal sums, waiting, rows
+        if sums is None:
+            sums = np.zeros((len(at), len(at)), np.int64)
+        if rows:
+            counts = np.zeros((len(at), rows), np.int64)
+            for start, row, column, n in waiting:
+                counts[column, start + row] = n
+            p = _shares(counts, np.array(below)[:, None])
+            for i in range(len(at)):
+                sums[i] += ((p[i] - p) ** 2 // p).sum(1)
+        waiting, rows = [], 0
 
     def finished():
-        nonlocal sums
-        if names:
-            if waiting:
-                compare()
-            if sums is None:  # a block without terms
-                sums = np.zeros((len(names), len(names)), np.int64)
+        if key is not None:
+            compare()
+            names = list(at)
             for i, source in enumerate(names):
                 other = [j for j in range(len(names)) if j != i]
-                if other:
-                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(other)), pa.array([source] * len(other)), pa.array([names[j] for j in other]), pa.array(sums[i, other], pa.int64())], ["lang", "source", "item", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(other), pa.string()), pa.array([source] * len(other), pa.string()), pa.array([names[j] for j in other], pa.string()), pa.array(sums[i, other], pa.int64())], ["lang", "source", "item", "value"])
 
     for batch in batches:
-        for row in batch.to_pylist():
-            if (row["lang"], row["block"]) != key:
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        edges = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]] + [len(keys)]
+        for a, b in zip(edges, edges[1:]):
+            if keys[a] != key:
                 yield from finished()
-                key, names, below, sums, waiting, cells = (row["lang"], row["block"]), [], None, None, [], 0
-                at, divisors = {}, []
-            if row["sources"] is None:
-                at[row["source"]] = len(names)
-                names.append(row["source"])
-                divisors.append(row["below"])
-                continue
-            if below is None:
-                below, sums = np.array(divisors, np.int64), np.zeros((len(names), len(names)), np.int64)
-            waiting.append(row["sources"])
-            cells += len(names)
-            if cells >= most:
-                compare()
-                waiting, cells = [], 0
+                key, below, sums, waiting, rows, at = keys[a], [], None, [], 0, {}
+            part = batch.slice(a, b - a)
+            groups = part.column(4).null_count
+            for source, n in zip(part.column(2)[:groups].to_pylist(), part.column(3)[:groups].to_pylist()):
+                at[source] = len(at)
+                below.append(n)
+            step = max(1, most // max(1, len(at)))
+            for c in range(groups, b - a, step):
+                lists = part.column(4).slice(c, step)
+                names = lists.flatten().field(0).dictionary_encode()
+                column = np.array([at[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+                size = np.diff(lists.offsets.to_numpy())
+                waiting.append((rows, np.repeat(np.arange(len(lists)), size), column, lists.flatten().field(1).to_numpy()))
+                rows += len(lists)
+                if rows >= step:
+                    compare()
     yield from finished()
 
 
