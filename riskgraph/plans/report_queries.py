@@ -446,17 +446,28 @@ def stream_no_reply_run(t):
     return t.spark.read.parquet(folders[3])
 
 
-@query("stream_card_testing")
+LATE_DAYS = 2
+TESTING = f"""tr AS (SELECT card_id, txn_id, ts, CAST(amt AS DECIMAL(18,2)) AS amt, channel = 'online' AND amt <= 20 AS probe FROM txn WHERE (channel = 'online' AND amt <= 20) OR amt >= 50),
+    tn AS (SELECT *, coalesce(sum((NOT probe)::INT) OVER (PARTITION BY card_id ORDER BY ts, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM tr)
+    SELECT l.card_id, l.txn_id AS large_txn_id, count(*)::INT AS probes, CAST(sum(p.amt) + l.amt AS DOUBLE) AS exposure FROM tn l JOIN tn p ON p.card_id = l.card_id AND p.run = l.run AND p.probe AND p.ts >= l.ts - interval '2880' minute
+    WHERE NOT l.probe"""
+
+
+@query("stream_card_testing_batch", f"{TESTING} GROUP BY l.card_id, l.txn_id, l.amt HAVING count(*) >= 3")
+def stream_card_testing_batch(t):
+    """The batch twin, over all rows."""
+    return streams.card_testing_batch(t.txn, 2880, 20.0, 50.0)
+
+
+@query("stream_card_testing", f"{TESTING} AND l.ts <= date_trunc('millisecond', (SELECT max(ts) FROM txn)) - interval '{LATE_DAYS}' day GROUP BY l.card_id, l.txn_id, l.amt HAVING count(*) >= 3")
 def stream_card_testing(t):
-    key, before = "spark.sql.streaming.stateStore.providerClass", t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    t.spark.conf.set(key, streams.ROCKS)
-    try:
-        source, state, out = _stream(t, "testing")
-        stream = t.spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
-        streams.run_once(streams.card_testing(stream, 2880, 20.0, 50.0), state, out)
-    finally:
-        t.spark.conf.set(key, before)
-    return t.spark.read.parquet(out)
+    """The alarms whose time the watermark has passed, of the events as a stream. A session of its own has the state store that timers need."""
+    session = t.spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKS)
+    source, state, out = _stream(t, "testing")
+    stream = session.readStream.schema(STREAM_SCHEMA).parquet(source).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{LATE_DAYS} days")
+    streams.run_once(streams.card_testing(stream, 2880, 20.0, 50.0), state, out)
+    return t.spark.read.schema("card_id string, large_txn_id string, probes int, exposure double").parquet(out)
 
 
 @query(
