@@ -195,7 +195,6 @@ TERMS = f"""tk AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[
 WHOLE_INDEX = f"{TERMS} SELECT doc_id, term, {r4('weight')} AS weight FROM ix"
 
 
-@query("tfidf_index_whole", WHOLE_INDEX)
 @query("tfidf_index", WHOLE_INDEX)
 def tfidf_index(t):
     """Every weight of every document, to four decimals."""
@@ -206,7 +205,6 @@ SEARCH_BY_20 = f"""{TERMS}, sc AS (SELECT q.doc_id AS query_id, d.doc_id, floor(
     rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM sc WHERE score > 0) SELECT * FROM rk WHERE rank <= 5"""
 
 
-@query("search_documents_by_20", SEARCH_BY_20)
 @query("search_documents", SEARCH_BY_20)
 def search_documents(t):
     """The stated query set, ids divisible by 20, against all documents."""
@@ -214,6 +212,14 @@ def search_documents(t):
     return retrieval.search(index, index.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
 
 
+@query("search_in_category", SEARCH_BY_20.replace("WHERE q.doc_id % 20 = 0", "WHERE q.doc_id % 20 = 0 AND d.doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"))
+def search_in_category(t):
+    """The same queries against the documents of one category, weighed by the whole corpus."""
+    docs = t.read("documents")
+    index = network.checkpointed(retrieval.tfidf_index(docs, "text"))
+    return retrieval.search(index, index.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), among=docs.where("lang = 'en'"))
+
+
 @query("similar_cases")
 def similar_cases(t):
     index = network.checkpointed(retrieval.tfidf_index(retrieval.note_documents(t.closed_case)))
