@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskgraph.functions.expressions import by_card, joined, money, r4, seconds, total
 from riskgraph.functions.params import Burst, CardTesting, NewDevice, Region, Takeover
 from riskgraph.operators.graph import device_key
+from riskgraph.operators.quantiles import HOT, with_quantiles
 
 CATEGORIES = {"channel": "channel", "product": "product_cd", "region": "addr1", "email": "p_email"}
 
@@ -29,20 +30,12 @@ def card_window(txn: DataFrame, centers: DataFrame, hours: int = 24) -> DataFram
     return found.withColumn("confidence", confidence).drop("history")
 
 
-def baseline(txn: DataFrame, key: str = "card_id") -> DataFrame:
+def baseline(txn: DataFrame, key: str = "card_id", hot: int = HOT) -> DataFrame:
     """Per card: number, mean, median, quartiles, p95 (linear interpolation), extremes and sample deviation of its amounts (0 for one)."""
-    p = lambda x: r4(F.percentile("amt", F.lit(x)))
-    return txn.groupBy(key).agg(
-        F.count("*").alias("n"),
-        r4(total("amt") / F.count("*")).alias("mean"),
-        p(0.5).alias("median"),
-        p(0.25).alias("p25"),
-        p(0.75).alias("p75"),
-        p(0.95).alias("p95"),
-        F.min("amt").alias("min"),
-        F.max("amt").alias("max"),
-        r4(F.coalesce(F.stddev_samp("amt"), F.lit(0.0))).alias("std"),
-    )
+    others = [F.count("*").alias("n"), r4(total("amt") / F.count("*")).alias("mean"), F.min("amt").alias("min"), F.max("amt").alias("max"), r4(F.coalesce(F.stddev_samp("amt"), F.lit(0.0))).alias("std")]
+    wanted = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p95": 0.95}
+    found = with_quantiles(txn, key, "amt", wanted, others, hot)
+    return found.select(key, "n", "mean", *(r4(F.col(c)).alias(c) for c in wanted), "min", "max", "std")
 
 
 def category_counts(txn: DataFrame) -> DataFrame:
@@ -94,24 +87,47 @@ def card_testing(txn: DataFrame, p: CardTesting = CardTesting()) -> DataFrame:
     )
 
 
-def _band(hours: int) -> Window:
-    """A card's rows within ``hours`` either side of the current one; equal times are inside."""
-    micros = Window.partitionBy("card_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp")))
-    return micros.rangeBetween(-hours * 3_600_000_000, hours * 3_600_000_000)
+HOUR = 3_600_000_000
+#: A time bucket's length, in lengths of the window that is computed in it.
+WIDE = 8
+
+
+def spread(df: DataFrame, before: int, after: int) -> DataFrame:
+    """``df`` (with ``us``, microseconds) in time buckets: ``bucket``, ``own`` and copies that a window of ``before`` and ``after`` reaches from a neighbouring bucket.
+
+    Windows over (key, bucket) then equal those over the key, and a hot key is worked by as many tasks as it has buckets.
+    """
+    size = WIDE * max(before, after, 1)
+    b = F.floor(F.col("us") / size).cast("long")
+    entry = lambda bucket, own: F.struct(bucket.alias("bucket"), F.lit(own).alias("own"))
+    earlier = F.when(F.col("us") <= b * size + after, entry(b - 1, False))
+    later = F.when(F.col("us") >= (b + 1) * size - before, entry(b + 1, False))
+    return df.withColumn("__b", F.explode(F.array_compact(F.array(entry(b, True), earlier, later)))).select("*", "__b.*").drop("__b")
+
+
+def around(df: DataFrame, before: int, after: int, made: dict[str, Column], key: str = "card_id") -> DataFrame:
+    """``df`` (with ``us``) with aggregates over the rows of its key from ``before`` to ``after`` microseconds of each row; equal times are inside."""
+    w = Window.partitionBy(key, "bucket").orderBy("us").rangeBetween(-before, after)
+    return spread(df, before, after).withColumns({c: e.over(w) for c, e in made.items()}).where("own").drop("bucket", "own")
+
+
+def _micros() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
 
 
 def online_bursts(txn: DataFrame, p: Burst = Burst()) -> DataFrame:
     """For every online transaction as anchor: the card's online transactions around it."""
-    w = _band(p.window_hours)
-    online = txn.where("channel = 'online'")
-    return online.select("card_id", "txn_id", "ts", "amt", F.count("*").over(w).alias("burst_count"), F.sum(money("amt")).over(w).cast("double").alias("exposure"), F.max("amt").over(w).alias("largest"))
+    online = txn.where("channel = 'online'").select("card_id", "txn_id", "ts", "amt", _micros())
+    made = {"burst_count": F.count("*"), "exposure": F.sum(money("amt")), "largest": F.max("amt")}
+    found = around(online, p.window_hours * HOUR, p.window_hours * HOUR, made)
+    return found.withColumn("exposure", F.col("exposure").cast("double")).drop("us")
 
 
 def cnp_burst(txn: DataFrame, alerts: DataFrame, p: Burst = Burst()) -> DataFrame:
     """Per alert (case_id, card_id, flagged_txn_id): the online burst around the flagged transaction, or the card's last online one if it isn't online."""
     bursts = online_bursts(txn, p)
     lastly = txn.where("channel = 'online'").groupBy("card_id").agg(F.max_by(F.struct("txn_id", "amt"), F.struct("ts", "txn_id")).alias("last"))
-    stats = txn.groupBy("card_id").agg(F.percentile("amt", F.lit(0.75)).alias("p75"), (total("amt") / F.count("*")).alias("mean"))
+    stats = with_quantiles(txn, "card_id", "amt", {"p75": 0.75}, [(total("amt") / F.count("*")).alias("mean")])
     met = alerts.select("case_id", "card_id", "flagged_txn_id").join(bursts.drop("card_id", "ts", "amt").withColumnRenamed("txn_id", "flagged_txn_id"), "flagged_txn_id", "left")
     met = met.join(lastly, "card_id", "left").join(stats, "card_id", "left")
     n = F.coalesce("burst_count", F.when(F.col("last").isNotNull(), 1), F.lit(0))
@@ -124,8 +140,8 @@ def cnp_burst(txn: DataFrame, alerts: DataFrame, p: Burst = Burst()) -> DataFram
 
 def densest_window(txn: DataFrame, hours: int = 48) -> DataFrame:
     """Per card the earliest online transaction that starts the window with most online transactions."""
-    micros = Window.partitionBy("card_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(0, hours * 3_600_000_000)
-    n = txn.where("channel = 'online'").select("card_id", "txn_id", "ts", F.count("*").over(micros).alias("n"), F.sum(money("amt")).over(micros).cast("double").alias("exposure"))
+    online = txn.where("channel = 'online'").select("card_id", "txn_id", "ts", "amt", _micros())
+    n = around(online, 0, hours * HOUR, {"n": F.count("*"), "exposure": F.sum(money("amt"))}).withColumn("exposure", F.col("exposure").cast("double"))
     best = F.min_by(F.struct("txn_id", "ts", "n", "exposure"), F.struct(-F.col("n"), F.col("ts"), F.col("txn_id")))
     return n.groupBy("card_id").agg(best.alias("b")).select("card_id", F.col("b.txn_id").alias("start_txn_id"), F.col("b.ts").alias("start_ts"), F.col("b.n").alias("n"), F.col("b.exposure").alias("exposure"))
 
@@ -142,12 +158,18 @@ def new_device(txn: DataFrame, identity: DataFrame, p: NewDevice = NewDevice())
 
 
 def region_anomaly(txn: DataFrame, targets: DataFrame, p: Region = Region()) -> DataFrame:
-    """Per target (case_id, flagged_txn_id): prior visits of its region and purchases at home around it."""
-    placed = txn.join(home_region(txn), "card_id", "left")
-    at_home = F.sum(F.when(F.col("addr1") == F.col("home_region"), 1).otherwise(0)).over(_band(p.window_hours)) - F.when(F.col("addr1") == F.col("home_region"), 1).otherwise(0)
-    visits = F.count(F.when(F.col("addr1").isNotNull(), 1)).over(Window.partitionBy("card_id", "addr1"))
-    placed = placed.select("card_id", "txn_id", "channel", "addr1", "home_region", at_home.alias("concurrent_home"), F.greatest(visits - 1, F.lit(0)).alias("prior"))
-    met = targets.select("case_id", F.col("flagged_txn_id").alias("txn_id")).join(placed, "txn_id")
+    """Per target (case_id, card_id, flagged_txn_id): prior visits of its region and purchases at home around it.
+
+    A target without a flagged transaction takes its card's last in-person one; one whose card has none has no row.
+    """
+    open_ = targets.where("flagged_txn_id IS NULL").select("case_id", "card_id").join(last_in_person(txn), "card_id")
+    asked = targets.where("flagged_txn_id IS NOT NULL").select("case_id", "flagged_txn_id").union(open_.select("case_id", "flagged_txn_id"))
+    placed = txn.select("card_id", "txn_id", "channel", "addr1", _micros()).join(home_region(txn), "card_id", "left")
+    home = F.when(F.col("addr1") == F.col("home_region"), 1).otherwise(0)
+    placed = around(placed, p.window_hours * HOUR, p.window_hours * HOUR, {"near": F.sum(home)})
+    visits = txn.where("addr1 IS NOT NULL").groupBy("card_id", "addr1").agg(F.count("*").alias("visits"))
+    met = asked.withColumnRenamed("flagged_txn_id", "txn_id").join(placed, "txn_id").join(visits, ["card_id", "addr1"], "left")
+    met = met.withColumns({"concurrent_home": F.col("near") - home, "prior": F.greatest(F.coalesce("visits", F.lit(0)) - 1, F.lit(0))})
     fresh = (F.col("prior") == 0) & (F.col("channel") == "in_person") & F.col("addr1").isNotNull()
     confidence = F.when(fresh & (F.col("concurrent_home") > 0), p.concurrent).when(fresh, p.travel).when(F.col("prior") >= p.established, p.home).otherwise(p.visited)
     pattern = F.when(fresh & (F.col("concurrent_home") > 0), "out_of_region_use").otherwise("none")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskgraph.operators.quantiles import HOT, with_quantiles
 from riskgraph.functions.expressions import joined, money, r4, total
 from riskgraph.operators import policy
 
@@ -38,8 +39,11 @@ def score_histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     return all_.join(n, "bin", "left").fillna(0, ["n"])
 
 
-def distribution_stats(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.count(column).alias("n"), r4(F.avg(column)).alias("mean"), r4(F.percentile(column, F.lit(0.5))).alias("median"), r4(F.stddev_samp(column)).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+def distribution_stats(df: DataFrame, column: str, hot: int = HOT) -> DataFrame:
+    """One row; of more than ``hot`` values the median comes by counts of value ranges, so that no task gets all values."""
+    others = [F.count(column).alias("n"), r4(F.avg(column)).alias("mean"), r4(F.stddev_samp(column)).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")]
+    found = with_quantiles(df.select(column, F.lit(0).alias("__all")), "__all", column, {"median": 0.5}, others, hot)
+    return found.select("n", "mean", r4(F.col("median")).alias("median"), "std", "min", "max")
 
 
 def score_precision_proxy(txn: DataFrame, involves: DataFrame, cases: DataFrame, threshold: float) -> DataFrame:
@@ -64,11 +68,12 @@ def outcome_pattern_matrix(cases: DataFrame, pairs=(("pattern", "outcome"), ("ou
     return out
 
 
-def exposure_quantiles(cases: DataFrame, by: tuple[str, ...] = ("outcome", "pattern", "report_filed")) -> DataFrame:
-    """Quantiles of exposure per value of each column of ``by``, from one expanded pass."""
-    q = lambda x: r4(F.percentile("exposure_usd", F.lit(x)))
+def exposure_quantiles(cases: DataFrame, by: tuple[str, ...] = ("outcome", "pattern", "report_filed"), hot: int = HOT) -> DataFrame:
+    """Quantiles of exposure per value of each column of ``by``, from one expanded pass. A value may hold any share of the cases."""
     long = cases.select("exposure_usd", F.explode(F.array(*(F.struct(F.lit(c).alias("by"), F.col(c).alias("value")) for c in by))).alias("g"))
-    return long.groupBy(F.col("g.by").alias("by"), F.col("g.value").alias("value")).agg(F.min("exposure_usd").alias("min"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), F.max("exposure_usd").alias("max"), r4(F.avg("exposure_usd")).alias("mean"))
+    others = [F.min("exposure_usd").alias("min"), F.max("exposure_usd").alias("max"), r4(F.avg("exposure_usd")).alias("mean")]
+    found = with_quantiles(long, "g", "exposure_usd", {"p25": 0.25, "median": 0.5, "p75": 0.75}, others, hot)
+    return found.select("g.by", "g.value", "min", *(r4(F.col(c)).alias(c) for c in ("p25", "median", "p75")), "max", "mean")
 
 
 def action_vocabulary(cases: DataFrame) -> DataFrame:
