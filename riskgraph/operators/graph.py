@@ -73,24 +73,31 @@ def listed(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def next_chain_integrity(txn: DataFrame, next_: DataFrame) -> DataFrame:
-    """Per card: its transactions and edges, and whether the edges form one forward chain without a cycle.
+    """Per card: its transactions and edges, and whether the edges form one forward chain.
 
-    One head, in- and out-degrees of at most one and one edge fewer than transactions leave only a chain.
+    Each edge must lead between two of the card's transactions and rise strictly in (time, id), which rules out every cycle; with in- and
+    out-degrees of at most one and one edge fewer than transactions only one chain through all of them is left.
     """
     nodes = txn.groupBy("card_id").agg(F.count("*").alias("n_txns"))
-    outs = next_.groupBy("card_id", "from_id").count().groupBy("card_id").agg(F.max("count").alias("max_out"), F.count("*").alias("sources"))
-    ins = next_.groupBy("card_id", "to_id").count().groupBy("card_id").agg(F.max("count").alias("max_in"), F.count("*").alias("targets"))
-    spans = next_.groupBy("card_id").agg(F.count("*").alias("n_edges"), F.min("delta_sec").alias("min_delta"))
+    place = txn.select("card_id", F.struct("ts", "txn_id").alias("at"), "txn_id")
+    known = next_.select("card_id", "from_id", "to_id", "delta_sec").join(place.select("card_id", F.col("txn_id").alias("from_id"), F.col("at").alias("a")), ["card_id", "from_id"], "left").join(place.select("card_id", F.col("txn_id").alias("to_id"), F.col("at").alias("b")), ["card_id", "to_id"], "left")
+    spans = known.groupBy("card_id").agg(F.count("*").alias("n_edges"), F.min("delta_sec").alias("min_delta"), F.bool_and(F.coalesce(F.col("a") < F.col("b"), F.lit(False))).alias("rises"))
+    outs = next_.groupBy("card_id", "from_id").count().groupBy("card_id").agg(F.max("count").alias("max_out"))
+    ins = next_.groupBy("card_id", "to_id").count().groupBy("card_id").agg(F.max("count").alias("max_in"))
     met = nodes.join(spans, "card_id", "left").join(outs, "card_id", "left").join(ins, "card_id", "left")
     n = F.coalesce("n_edges", F.lit(0))
-    chain = (n == F.col("n_txns") - 1) & ((n == 0) | ((F.col("min_delta") >= 0) & (F.col("max_out") == 1) & (F.col("max_in") == 1)))
+    chain = (n == F.col("n_txns") - 1) & ((n == 0) | (F.col("rises") & (F.col("max_out") == 1) & (F.col("max_in") == 1)))
     return met.select("card_id", "n_txns", n.alias("n_edges"), "min_delta", chain.alias("is_chain"))
 
 
 def upsert(base: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """``base`` with ``new`` put in; of rows with one key the highest ``version`` stays."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(version))
-    return base.unionByName(new).withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    """``base`` with ``new`` put in; of rows with one key the highest ``version`` stays, of equal versions the one whose other columns, in their order, are greatest (nulls last).
+
+    The greatest is kept before anything is shuffled, so a key with many rows is no load. Columns must be orderable.
+    """
+    rest = [c for c in base.columns if c not in keys and c != version]
+    found = base.unionByName(new).groupBy(*keys).agg(F.max(F.struct(version, *rest)).alias("__best"))
+    return found.select(*(F.col(c) if c in keys else F.col(f"__best.`{c}`").alias(c) for c in base.columns))
 
 
 def insert_or_ignore(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

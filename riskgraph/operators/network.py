@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskgraph.functions.expressions import joined, money, total
 from riskgraph.functions.params import Ring
+from riskgraph.operators.cards import HOUR, spread
 from riskgraph.operators.graph import UNKNOWN, device_key
 from riskgraph.sources.files import scratch
 
@@ -81,11 +82,28 @@ def structured_amounts(txn: DataFrame, low: float = 99.0, high: float = 99.99) -
     return txn.where(hit).agg(F.count("*").alias("n"), F.coalesce(total("amt"), F.lit(0.0)).alias("amount"))
 
 
-def identical_amounts(txn: DataFrame, customers: int = 3, window: str = "1 day") -> DataFrame:
-    """Amounts that so many customers paid within one window."""
-    w = F.window(F.col("ts").cast("timestamp"), window)
-    found = txn.groupBy("amt", w.alias("w")).agg(F.count_distinct("customer_id").alias("n_customers"), F.count("*").alias("n_txns"))
-    return found.where(F.col("n_customers") >= customers).select("amt", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n_customers", "n_txns")
+def identical_amounts(txn: DataFrame, customers: int = 3, hours: int = 24) -> DataFrame:
+    """Clusters of an amount that so many customers paid within ``hours``, wherever that window lies.
+
+    A customer counts from each payment until the next one of the amount, or until the window has passed: sums of these steps
+    are the customers seen in the window that ends at each payment. Payments whose window holds enough are one cluster as long as less than
+    a window lies between them: ``reached_at`` and ``last_at`` are the first and last of them, ``n_customers`` and ``n_txns`` the most in
+    one window. Time buckets with halos split an amount that many pay.
+    """
+    width = hours * HOUR
+    rows = spread(txn.select("amt", "customer_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")), width, 0)
+    seen = Window.partitionBy("amt", "bucket", "customer_id").orderBy("us")
+    rows = rows.withColumn("gone", F.least(F.coalesce(F.lead("us").over(seen), F.col("us") + width), F.col("us") + width))
+    step = lambda at, c, t, own: F.struct(at.alias("at"), F.lit(c).alias("c"), F.lit(t).alias("t"), own.alias("own"))
+    no = F.lit(False)
+    steps = rows.select("amt", "bucket", F.explode(F.array(step(F.col("us"), 1, 1, F.col("own")), step(F.col("gone"), -1, 0, no), step(F.col("us") + width, 0, -1, no))).alias("s")).select("amt", "bucket", "s.*")
+    upto = Window.partitionBy("amt", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    full = steps.withColumns({"n_customers": F.sum("c").over(upto), "n_txns": F.sum("t").over(upto)}).where(F.col("own") & (F.col("n_customers") >= customers)).select("amt", "at", "n_customers", "n_txns").distinct()
+    w = Window.partitionBy("amt").orderBy("at")
+    fresh = F.coalesce(F.col("at") - F.lag("at").over(w) >= width, F.lit(True))
+    runs = full.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(w))
+    time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return runs.groupBy("amt", "run").agg(time(F.min("at")).alias("reached_at"), time(F.max("at")).alias("last_at"), F.max("n_customers").alias("n_customers"), F.max("n_txns").alias("n_txns")).drop("run")
 
 
 def undocumented_sweep(txn: DataFrame, uses: DataFrame, least: int = 3) -> DataFrame:
@@ -93,26 +111,41 @@ def undocumented_sweep(txn: DataFrame, uses: DataFrame, least: int = 3) -> DataF
     a = high_fanout(uses, least).select(F.lit("device_fanout").alias("kind"), F.col("device").alias("subject"), F.col("n_cards").alias("n"), "amount")
     b = structured_amounts(txn).select(F.lit("structured_amounts").alias("kind"), F.lit("online").alias("subject"), "n", "amount")
     same = identical_amounts(txn)
-    c = same.select(F.lit("identical_amounts").alias("kind"), F.date_format("window_start", "yyyy-MM-dd").alias("subject"), F.col("n_customers").alias("n"), (money("amt") * F.col("n_txns")).cast("double").alias("amount"))
+    c = same.select(F.lit("identical_amounts").alias("kind"), F.date_format("reached_at", "yyyy-MM-dd HH:mm:ss").alias("subject"), F.col("n_customers").alias("n"), (money("amt") * F.col("n_txns")).cast("double").alias("amount"))
     return a.union(b).union(c)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, share: int) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the smallest of u and its neighbours.
+
+    The minimum is taken before anything is shuffled. Hubs, nodes that have 1 / ``share`` of all edges or more, of which there are ``share`` at
+    most, are broadcast with theirs, so a hub's edges stay where they are.
+    """
+    near = checkpointed(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree")))
+    total = near.agg(F.sum("degree")).first()[0] or 0
+    hub = F.col("degree") * share >= max(total, 1)
+    hubs = near.where(hub).select("u", "m")
+    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(near.where(~hub).select("u", "m"), "u")
+    return edges.join(F.broadcast(hubs), "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
+
+
+def components(edges: DataFrame, share: int = 10_000) -> DataFrame:
     """``node`` and ``component``, the smallest node connected to it over ``edges`` (a, b).
 
-    Rounds pass the smallest label to neighbours and then jump to the label's own label, so long
-    chains shorten quickly; each round is checkpointed, and ends when no label has changed.
+    Large-star and small-star in turn: each node hangs its larger neighbours, then its smaller ones and itself, on the smallest it knows,
+    until nothing changes and every component is a star. The number of edges never grows, and every round is written to the shared folder.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    found = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    alone = edges.where("a = b").select("a").union(edges.select("a")).union(edges.select("b")).distinct()
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        least = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("over"))
-        to = F.least("to", "over")
-        labels = checkpointed(least.join(jump, "to").select("node", to.alias("label"), (to != F.col("old")).alias("moved")))
-        if not labels.where("moved").limit(1).count():
-            return labels.select("node", F.col("label").alias("component"))
+        both = found.union(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _least(both, share).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _least(checkpointed(large), share)
+        moved = checkpointed(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        if moved.count() == found.count() and not moved.join(found, ["u", "v"], "left_anti").limit(1).count():
+            labels = moved.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+            return alone.withColumnRenamed("a", "node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        found = moved
 
 
 def shared_device_components(uses: DataFrame, least: int = 2) -> DataFrame:

@@ -183,6 +183,7 @@ PATTERNS = ("none", "card_testing", "card_not_present_fraud", "card_not_present_
 
 SOURCES = ("graph", "customer", "analyst", "vector_store")
 REF = r"^(query:[a-zA-Z0-9_]+(\(.*\))?|doc:[a-zA-Z0-9_.-]+|evidence_request:[0-9]+)$"
+RULE = r"(?i)\b(R[0-9]+|Policy\s*[0-9]+[a-z]?)\b"
 CITATION = r"(?i)(\b(R[0-9]+|Policy\s*[0-9]+[a-z]?)\b|standard\s+procedure|device\s+profile|customer\s+reported|recurring|baseline|unauthorized)"
 DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
@@ -254,7 +255,7 @@ def normalize_case(cases: DataFrame, txn: DataFrame, closed: DataFrame) -> DataF
     An unknown verdict counts as fraud, the status follows the verdict, probability is held within [0, 1], an unknown pattern is
     undocumented from 0.70 and else none. Legitimate cases have no pattern, transactions or exposure. The first transaction is among
     the affected ones; exposure is their sum in ``txn``, or as stated if none is known. Unknown sources become ``graph``, refs get their
-    prefix, unknown similar cases go, unknown actions go, routes follow the policy, reasons cite a rule (``Policy 3a`` with its letter counts as none here and gets one), and without a request the first
+    prefix, unknown similar cases go, unknown actions go, routes follow the policy, reasons cite a rule, and without a request the first
     actions stand. A report is filed where the last actions say so and the case isn't legitimate; its dates are put in order.
     """
     c = F.col
@@ -277,7 +278,7 @@ def normalize_case(cases: DataFrame, txn: DataFrame, closed: DataFrame) -> DataF
 
     def actions(column: str) -> Column:
         reason = lambda a: F.trim(F.coalesce(a["reason"], F.lit("")))
-        cited = lambda a: F.when(reason(a).rlike(r"(?i)\b(R[0-9]+|Policy\s*[0-9]+)\b"), reason(a)).when(reason(a) == "", "Policy 3a").otherwise(F.concat(F.lit("R1: "), reason(a)))
+        cited = lambda a: F.when(reason(a).rlike(RULE), reason(a)).when(reason(a) == "", "Policy 3a").otherwise(F.concat(F.lit("R1: "), reason(a)))
         known = F.filter(column, lambda a: a["action"].isin(*policy.ORDER))
         return F.transform(known, lambda a: F.concat_ws(" ", a["action"], policy.action_route(a["action"], c("exposure")), cited(a)))
 

@@ -117,18 +117,29 @@ def e_on_card(t):
     UNION ALL SELECT 'Card', count(DISTINCT card_id) FROM txn UNION ALL SELECT 'Transaction', count(*) FROM txn
     UNION ALL SELECT 'DeviceProfile', count(DISTINCT device) FROM dev UNION ALL SELECT 'ClosedCase', count(*) FROM closed_case
     UNION ALL SELECT 'NEXT', count(*) FROM nx WHERE to_id IS NOT NULL
-    UNION ALL SELECT 'BILLED_IN', count(*) FROM txn WHERE addr1 IS NOT NULL""",
+    UNION ALL SELECT 'BILLED_IN', count(*) FROM txn WHERE addr1 IS NOT NULL
+    UNION ALL SELECT 'EmailDomain', count(DISTINCT p_email) FROM txn UNION ALL SELECT 'BillingRegion', count(DISTINCT addr1) FROM txn
+    UNION ALL SELECT 'OWNS', count(*) FROM (SELECT DISTINCT customer_id, card_id FROM txn) UNION ALL SELECT 'MADE', count(*) FROM (SELECT DISTINCT card_id, txn_id FROM txn)
+    UNION ALL SELECT 'PURCHASER_EMAIL', count(*) FROM txn WHERE p_email IS NOT NULL UNION ALL SELECT 'FROM_DEVICE', count(*) FROM (SELECT DISTINCT txn_id, device FROM dev)
+    UNION ALL SELECT 'INVOLVES', count(*) FROM (SELECT DISTINCT case_id, unnest(string_split(txn_ids, '|')) FROM closed_case)
+    UNION ALL SELECT 'CONNECTED_TO', count(*) FROM (SELECT DISTINCT case_id, unnest(string_split(connected_card_ids, '|')) FROM closed_case)
+    UNION ALL SELECT 'ON_CARD', count(*) FROM (SELECT DISTINCT case_id, card_id FROM closed_case)""",
 )
 def graph_counts(t):
+    """Every vertex and edge type."""
     tables = {"Customer": graph.vertices(t.txn, "customer_id"), "Card": graph.cards(t.txn), "Transaction": t.txn, "DeviceProfile": graph.devices(t.identity)}
     tables |= {"ClosedCase": t.closed_case, "NEXT": graph.next_edges(t.txn), "BILLED_IN": graph.edges(t.txn, "txn_id", "addr1")}
+    tables |= {"EmailDomain": graph.vertices(t.txn, "p_email"), "BillingRegion": graph.vertices(t.txn, "addr1"), "OWNS": graph.edges(t.txn, "customer_id", "card_id"), "MADE": graph.edges(t.txn, "card_id", "txn_id")}
+    tables |= {"PURCHASER_EMAIL": graph.edges(t.txn, "txn_id", "p_email"), "FROM_DEVICE": graph.from_device(t.identity), "ON_CARD": graph.edges(t.closed_case, "case_id", "card_id")}
+    tables |= {"INVOLVES": graph.listed(t.closed_case, "case_id", "txn_ids"), "CONNECTED_TO": graph.listed(t.closed_case, "case_id", "connected_card_ids")}
     return graph.counts(tables)
 
 
 @query(
     "next_chain_integrity",
-    f"""{NEXT}, e AS (SELECT card_id, count(*) AS n, min(delta_sec) AS low FROM nx WHERE to_id IS NOT NULL GROUP BY 1)
-    SELECT t.card_id, t.n AS n_txns, coalesce(e.n, 0) AS n_edges, e.low AS min_delta, coalesce(e.n, 0) = t.n - 1 AND coalesce(e.low, 0) >= 0 AS is_chain
+    f"""{NEXT}, e AS (SELECT nx.card_id, count(*) AS n, min(delta_sec) AS low, bool_and(a.ts < b.ts OR (a.ts = b.ts AND a.txn_id < b.txn_id)) AS rises, count(DISTINCT from_id) = count(*) AND count(DISTINCT to_id) = count(*) AS once
+        FROM nx JOIN txn a ON a.txn_id = from_id JOIN txn b ON b.txn_id = to_id WHERE to_id IS NOT NULL GROUP BY 1)
+    SELECT t.card_id, t.n AS n_txns, coalesce(e.n, 0) AS n_edges, e.low AS min_delta, coalesce(e.n, 0) = t.n - 1 AND coalesce(rises AND once, true) AS is_chain
     FROM (SELECT card_id, count(*) AS n FROM txn GROUP BY 1) t LEFT JOIN e ON e.card_id = t.card_id""",
 )
 def next_chain_integrity(t):

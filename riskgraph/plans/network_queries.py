@@ -95,10 +95,12 @@ def structured_amounts(t):
     return network.structured_amounts(t.txn)
 
 
-SAME = "same AS (SELECT amt, date_trunc('day', ts) AS window_start, count(DISTINCT customer_id) AS n_customers, count(*) AS n_txns FROM txn GROUP BY 1, 2 HAVING count(DISTINCT customer_id) >= 3)"
+SAME = """sa AS (SELECT a.amt, a.ts, count(DISTINCT b.customer_id) AS n_customers, count(*) AS n_txns FROM (SELECT DISTINCT amt, ts FROM txn) a JOIN txn b ON b.amt = a.amt AND b.ts > a.ts - interval '24' hour AND b.ts <= a.ts GROUP BY 1, 2 HAVING count(DISTINCT b.customer_id) >= 3),
+    sf AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY amt ORDER BY ts) + interval '24' hour THEN 0 ELSE 1 END AS fresh FROM sa), sr AS (SELECT *, sum(fresh) OVER (PARTITION BY amt ORDER BY ts) AS run FROM sf),
+    same AS (SELECT amt, min(ts) AS reached_at, max(ts) AS last_at, max(n_customers) AS n_customers, max(n_txns) AS n_txns FROM sr GROUP BY amt, run)"""
 
 
-@query("identical_amount_clusters", f"{SAME} SELECT amt, CAST(window_start AS TIMESTAMP) AS window_start, n_customers, n_txns FROM same")
+@query("identical_amount_clusters", f"{SAME} SELECT amt, reached_at, last_at, n_customers, n_txns FROM same")
 def identical_amount_clusters(t):
     return network.identical_amounts(t.txn)
 
@@ -107,7 +109,7 @@ def identical_amount_clusters(t):
     "undocumented_sweep",
     f"""{FANOUT}, {SAME} SELECT 'device_fanout' AS kind, device AS subject, n_cards AS n, amount FROM f WHERE n_cards >= 50
     UNION ALL SELECT 'structured_amounts', 'online', count(*), coalesce({AMOUNT}, 0e0) FROM txn WHERE channel = 'online' AND amt BETWEEN 99e0 AND 99.99e0
-    UNION ALL SELECT 'identical_amounts', strftime(window_start, '%Y-%m-%d'), n_customers, CAST({DEC} * n_txns AS DOUBLE) FROM same""",
+    UNION ALL SELECT 'identical_amounts', strftime(reached_at, '%Y-%m-%d %H:%M:%S'), n_customers, CAST({DEC} * n_txns AS DOUBLE) FROM same""",
 )
 def undocumented_sweep(t):
     return network.undocumented_sweep(t.txn, uses(t), 50)

@@ -309,7 +309,7 @@ def validate_cases(t):
     SELECT case_id, verdict, CASE verdict WHEN 'fraud' THEN 'closed_fraud' WHEN 'legitimate' THEN 'closed_legitimate' ELSE 'open' END AS status, CASE WHEN n % 11 = 0 THEN 1e0 ELSE probability END AS probability, 'none' AS pattern,
     array_to_string(list_sort(ids), ',') AS txn_ids, CASE WHEN legit THEN '' WHEN n % 23 = 0 THEN 'other' ELSE id END AS first_txn_id, x AS exposure, '' AS similar, 'graph query:' || CASE WHEN n % 37 = 0 THEN 'see notes' ELSE 'card_baseline(card_id=1)' END AS evidence,
     'VERIFY_WITH_CUSTOMER auto R1: unclear' AS initial, CASE WHEN unasked THEN 'VERIFY_WITH_CUSTOMER auto R1: unclear' ELSE CASE WHEN legit THEN 'CLOSE_NO_FRAUD auto R3: confirmed' ELSE 'BLOCK_CARD ' || CASE WHEN x <= 2500 THEN 'L1' ELSE 'L2' END || CASE WHEN n % 43 = 0 THEN ' R1: because' ELSE ' R2: the customer denied it' END END
-      || CASE WHEN file AND n % 53 <> 0 THEN '; FILE_REPORT L2 R1: Policy 3a' ELSE '' END END AS "final", CASE WHEN unasked THEN 'nothing' ELSE 'the customer answered' END AS what_changed, filed AS file, CASE WHEN filed THEN x ELSE 0e0 END AS total,
+      || CASE WHEN file AND n % 53 <> 0 THEN '; FILE_REPORT L2 Policy 3a' ELSE '' END END AS "final", CASE WHEN unasked THEN 'nothing' ELSE 'the customer answered' END AS what_changed, filed AS file, CASE WHEN filed THEN x ELSE 0e0 END AS total,
     CASE WHEN filed THEN CASE WHEN n % 67 = 0 THEN '2024-01-01,2024-01-02' ELSE '2024-01-02,2024-01-03' END ELSE '' END AS dates, CASE WHEN filed AND n % 2 = 0 THEN id ELSE '' END AS subjects FROM df""",
 )
 def normalize_case(t):
