@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskgraph.functions.expressions import joined, money, total
@@ -57,6 +57,34 @@ def case_write_back(cases: DataFrame, new: DataFrame) -> DataFrame:
     return graph.upsert(cases, new, ["case_id"], "version")
 
 
+def write_unit(path: str, n: int, tables: dict[str, DataFrame]) -> None:
+    """The tables of write-back ``n`` (case, evidence, raised, similar_to), each to its own folder, and then the note that they are all there.
+
+    ``read_unit`` sees a write-back once it is noted, so a failed one is not seen in part; one that is written again replaces itself.
+    """
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}/unit={n}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.range(1).select(F.lit(",".join(sorted(tables))).alias("tables")).write.mode("overwrite").parquet(f"{path}/noted/unit={n}")
+
+
+def read_unit(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table's rows of all noted write-backs, with ``unit``. ``graph.upsert`` takes the last unit of rows with one id."""
+    noted = spark.read.parquet(f"{path}/noted").select("unit")
+    return spark.read.parquet(f"{path}/{name}").join(F.broadcast(noted), "unit", "left_semi")  # a row for each write-back
+
+
+def unit_of(cases: DataFrame, evidence: DataFrame, affected: DataFrame, similar: DataFrame) -> dict[str, DataFrame]:
+    """What is written for cases (case_id, outcome): themselves, their claims as ``EV-<case>-<n>``, RAISED edges to affected transactions (case_id, txn_id) and SIMILAR_TO edges (from_id, to_id).
+
+    Claims (case_id, claim, source, ref) are numbered in the order of claim, source and ref.
+    """
+    order = Window.partitionBy("case_id").orderBy("claim", "source", "ref")
+    rows = evidence.join(cases.select("case_id"), "case_id", "left_semi").withColumn("n", F.row_number().over(order))
+    rows = rows.select(F.concat_ws("-", F.lit("EV"), "case_id", F.col("n").cast("string")).alias("evidence_id"), "case_id", "claim", "source", "ref")
+    return {"case": cases, "evidence": rows, "raised": graph.edges(affected, "case_id", "txn_id"), "similar_to": similar}
+
+
 def evidence_rows(cases: DataFrame) -> DataFrame:
     """One row per evidence claim of a case (case_id, evidence array), numbered ``EV-<case>-<n>`` from 1."""
     out = cases.select("case_id", F.posexplode("evidence").alias("n", "claim"))
@@ -81,12 +109,6 @@ def case_memory_audit(stored: DataFrame, documents: DataFrame, evidence: DataFra
     return met.select("case_id", F.col("seen").isNull().alias("no_evidence"), joined(F.filter(off, lambda x: x.isNotNull())).alias("differs"))
 
 
-def latest(log: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The newest row of each key of an append-only log."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(version))
-    return log.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-
-
 def monitor_expiry(monitors: DataFrame, txn: DataFrame, hours: int = 72) -> DataFrame:
     """Transactions of a monitored card (card_id, started_at) while the monitoring lasts: per monitoring their number and amount."""
     met = monitors.join(txn.select("card_id", "ts", "amt"), "card_id").where((F.col("ts") > F.col("started_at")) & (F.col("ts") <= F.expr(f"started_at + interval '{hours}' hour")))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskgraph.operators import investigate, model, network, reports
-from riskgraph.plans.base import nested, query
+from riskgraph.operators import investigate, memory, model, network, reports
+from riskgraph.plans.base import QUERIES, nested, query
 from riskgraph.plans.card_queries import WIDE
 from riskgraph.plans.feature_queries import FEATURES, case_features_of
 from riskgraph.plans.network_queries import USES, connected
 from riskgraph.plans.policy_queries import rules
 from riskgraph.plans.report_queries import FULL, labelled
+from riskgraph.sources import files
 
 
 def evidence(t):
@@ -83,3 +84,30 @@ def score_case(t):
     signals = reports.contributing_signals(scored.join(t.alert.select("case_id", "flagged_txn_id", "card_id"), "case_id")).groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("signal")), ",").alias("signals"))
     found = investigate.investigate(t.alert, t.txn, network.checkpointed(evidence(t)), scored)
     return found.withColumnRenamed("final_actions", "actions").join(signals, "case_id", "left").fillna("", ["signals"])
+
+
+@query(
+    "case_write_back_unit",
+    f"""{EVIDENCE}, {nested("affected_transactions", "wu_af")}, {nested("e_similar_to", "wu_si")}
+    SELECT 'case' AS kind, case_id AS from_id, 'open' AS to_id FROM alert
+    UNION ALL SELECT 'evidence', case_id, 'EV-' || case_id || '-' || row_number() OVER (PARTITION BY case_id ORDER BY claim, source, ref) || ': ' || claim FROM ev
+    UNION ALL SELECT 'raised', case_id, txn_id FROM wu_af UNION ALL SELECT 'similar_to', from_id, to_id FROM wu_si""",
+)
+def case_write_back_unit(t):
+    """The alerts written back as two units of one write: cases with evidence claims, RAISED and SIMILAR_TO edges. The first half is written twice, and a third unit that is never noted isn't seen."""
+    path = files.scratch(t.spark, "write-back")
+    cases = t.alert.select("case_id", F.lit("open").alias("outcome"))
+    affected, similar, claims = QUERIES["affected_transactions"], QUERIES["e_similar_to"], network.checkpointed(evidence(t))
+    half = F.pmod(F.xxhash64("case_id"), F.lit(2))
+    affected, similar = network.checkpointed(affected(t.spark, t.sf_dir)), network.checkpointed(similar(t.spark, t.sf_dir))
+    for n, part in ((0, 0), (0, 0), (1, 1)):
+        some = cases.where(half == part)
+        key = some.select("case_id")
+        memory.write_unit(path, n, memory.unit_of(some, claims, affected.join(key, "case_id", "left_semi"), similar.join(key.withColumnRenamed("case_id", "from_id"), "from_id", "left_semi")))
+    cases.write.parquet(f"{path}/case/unit=2")
+    read = lambda name: memory.read_unit(t.spark, path, name)
+    rows = read("case").select(F.lit("case").alias("kind"), F.col("case_id").alias("from_id"), F.col("outcome").alias("to_id"))
+    rows = rows.union(read("evidence").select(F.lit("evidence"), "case_id", F.concat("evidence_id", F.lit(": "), "claim")))
+    for name in ("raised", "similar_to"):
+        rows = rows.union(read(name).select(F.lit(name), "from_id", "to_id"))
+    return rows

@@ -396,27 +396,35 @@ STREAM_SCHEMA = "txn_id STRING, card_id STRING, customer_id STRING, ts TIMESTAMP
 
 @query("stream_ingest", "SELECT txn_id, card_id, amt FROM txn")
 def stream_ingest(t):
+    """The events in four batches, of which the second run finds none left."""
     source, state, out = _stream(t, "ingest")
-    for _ in range(2):  # the second run finds nothing new
-        streams.run_once(streams.ingest(t.spark, source, STREAM_SCHEMA, "txn_id", "3650 days"), state, out)
-    return t.spark.read.parquet(out).select("txn_id", "card_id", "amt")
+    streams.open_table(t.spark, out, STREAM_SCHEMA)
+    for _ in range(2):
+        streams.ingest_batches(t.spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source), out, state)
+    return t.spark.read.schema(STREAM_SCHEMA).parquet(out).select("txn_id", "card_id", "amt")
 
 
 @query(
     "stream_velocity",
-    f"SELECT card_id, CAST(s AS TIMESTAMP) AS start, count(*) AS n, CAST(sum({DEC}) AS DOUBLE) AS amount FROM (SELECT *, unnest([date_trunc('day', ts), date_trunc('day', ts) - interval '24' hour]) AS s FROM txn) GROUP BY 1, 2",
+    f"""pn AS (SELECT card_id, date_trunc('hour', ts) AS pane, count(*) AS n, sum({DEC}) AS amount FROM txn GROUP BY 1, 2),
+    pw AS (SELECT card_id, 24 AS hours, unnest(list_transform(range(24), lambda i: pane - to_hours(CAST(i AS INTEGER)))) AS start, n, amount FROM pn UNION ALL SELECT card_id, 48, unnest(list_transform(range(48), lambda i: pane - to_hours(CAST(i AS INTEGER)))), n, amount FROM pn)
+    SELECT card_id, hours, CAST(start AS TIMESTAMP) AS start, CAST(sum(n) AS BIGINT) AS n, CAST(sum(amount) AS DOUBLE) AS amount FROM pw GROUP BY 1, 2, 3""",
 )
 def stream_velocity(t):
-    """The batch twin: the same expression that runs on a watermarked stream."""
-    return streams.velocity(t.txn.withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """The batch twin, of 24 and 48 hours: the same expression that runs on a watermarked stream."""
+    txn = t.txn.withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.velocity(txn, 24).union(streams.velocity(txn, 48)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("stream_velocity_run")
 def stream_velocity_run(t):
-    source, state, out = _stream(t, "velocity")
-    stream = streams.ingest(t.spark, source, STREAM_SCHEMA, "txn_id")
-    streams.run_once(streams.velocity(stream), state, out)
-    return t.spark.read.parquet(out)
+    """The windows of 24 and 48 hours that the watermark has closed, of the events as streams."""
+    parts = []
+    for hours in (24, 48):
+        source, state, out = _stream(t, f"velocity-{hours}")
+        streams.run_once(streams.velocity(streams.ingest(t.spark, source, STREAM_SCHEMA, "txn_id"), hours), state, out)
+        parts.append(t.spark.read.parquet(out))
+    return parts[0].union(parts[1])
 
 
 @query(
