@@ -66,6 +66,29 @@ LABELLED = [
     "2/100- | 3a+ 40a+ 1a+ 7a+ 6a+",
     "1a+ 1a+ 12a+ 1a+",
     "6m+ 50m+ 3m+ 4m+",
+    # a box or list within the text, and often nothing after it
+    "8a+ 200a+ | 1/100ai+ | 300a+",
+    "5a+ 200a+ | 1/100as- | 200a+",
+    "2/100s- | 6a+ 90a+ | 3/100as- | 60a+",
+    "4a+ 30a+ | 2/100as- 4/100as- | 5a+",
+    "7a+ 25a+ | 6/100ai+ 3/100ai+ | 12a+",
+    "3a+ 70a+ | 9/100a+ | 1a+",
+    "9a+ 44a+ | 2/80as- | 8a+ | 3/100s-",
+    "6+ 100+ | 1/100s- | 80+",
+    "40+ | 2/100s- 3/100s- | 9+",
+    "5+ 60+ | 4/100s- | 20+ | 2/100s-",
+    "8+ 35+ 3/100- 6+",
+    "50+ | 1/100i- 2/100i- | 75+",
+    "7+ 90+ | 5/100- | 15+",
+    "6+ 28+ | 2/100i- | 6+ 30+",
+    "10m+ 80m+ | 3/100ms- | 5m+",
+    "8m+ 40m+ | 2/100mi- 1/100mi- | 33m+",
+    # short and long blocks outside of main
+    "12- | 6m+ 60m+ 35m+ | 9- 20-",
+    "21- 5- | 8m+ 45m+ | 16-",
+    "3- | 5m+ 90m+ 12m+ | 1- 18- 30-",
+    "14- | 7ma+ 50ma+ 20ma+ | 22- 8-",
+    "2/100- 6- | 30m+ 24m+ 41m+ | 11- 4-",
     # articles that are teasers beside a text of another element
     "3/100- | 7+ 60+ 85+ 50/4+ | 9/100a- | 6/100a- | 12/100a-",
     "40+ 65+ 30+ | 7/100a- 10a- | 4s-",
@@ -212,6 +235,8 @@ class Element:
         self.inner: Counter = Counter()  # open inline elements that change nothing
 
 
+#: Elements for input, which are surroundings unless they hold the page as its frame does and so many words.
+INPUT, PAGE_WORDS = ("form", "fieldset"), 50
 #: Of the words outside plain surroundings, the share from which on an element is the page's frame and no surrounding, whatever its name.
 FRAME = {"side": 0.9, "mixed": 0.5}
 
@@ -298,9 +323,11 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool, bool, int]]:
                 close(depth)
         up = stack[-1]
         frame = name in ("html", "body", "main", "article")
-        plain = name in SIDE or name == "article" and kind != "" and _begins_with_hint(attributes) or kind == "talk" and not frame
+        if name in INPUT:
+            kind = "talk" if kind == "talk" else "input"
+        plain = name in SIDE and name not in INPUT or name == "article" and kind != "" and _begins_with_hint(attributes) or kind == "talk" and not frame
         within = up.named
-        if kind in FRAME and not frame and not plain:
+        if (kind in FRAME or kind == "input") and not frame and not plain:
             named.append([kind, up.named, 0])
             within = len(named) - 1
         container = up.container
@@ -326,7 +353,8 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool, bool, int]]:
             named[around][2] += words
     side: list[bool] = []
     for kind, around, words in named:
-        side.append(words <= FRAME[kind] * total or around >= 0 and side[around])
+        framed = words > FRAME["side" if kind == "input" else kind] * total and (kind != "input" or words >= PAGE_WORDS)
+        side.append(not framed or around >= 0 and side[around])
     return [(text, share, in_side or at >= 0 and side[at], article, main, item, container) for text, share, in_side, article, main, item, container, at in out]
 
 

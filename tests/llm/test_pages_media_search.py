@@ -269,3 +269,33 @@ def test_pipeline_keeps_clean_documents(spark, sf_dir):
         if name == "repeated_passages":
             assert len(after) >= 0.97 * len(before)
     assert df.where("NOT round_trip").count() == 0
+
+
+def some_words(n, of):
+    return " ".join(f"{of}{i}" for i in range(n))
+
+
+FRAMES = {"article": "<body><nav><a href=a>Home</a></nav><article>%s</article></body>", "post": "<body><nav><a href=a>Home</a></nav><div class=post>%s</div></body>", "bare": "<body>%s</body>", "main": "<body><header>Site</header><main>%s</main><footer>foot words</footer></body>", "form": "<body><form action=x>%s</form></body>"}
+BOXES = ("<div class=related><a href=x>box link</a></div>", "<ul><li><a href=a>One</a></li></ul>", "<aside><p>box text</p></aside>", "<ul><li><a href=a>One two</a></li><li><a href=b>Three four five</a></li></ul>", "<div><a href=x>Buy this now today</a></div>")
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+def test_no_paragraph_is_lost_beside_a_box(frame):
+    from riskgraph.llm.html_extract import main_text
+
+    for box in BOXES:
+        for n in (20, 35, 60, 100, 200):
+            for m in (5, 8, 12, 20, 35, 60, 100, 300):
+                got = main_text(FRAMES[frame] % f"<h1>A title here</h1><p>{some_words(n, 'a')}</p>{box}<p>{some_words(m, 'z')}</p>").split()
+                assert set(got) >= set(f"{some_words(n, 'a')} {some_words(m, 'z')}".split()), (box, n, m)
+
+
+def test_forms_and_blocks_outside_main():
+    from riskgraph.llm.html_extract import main_text
+
+    assert main_text("<body><form><label>User</label><input><label>Password please</label></form></body>") == ""
+    assert "f0" not in main_text(f"<body><article><p>{some_words(80, 'a')}</p></article><form><p>{some_words(9, 'f')}</p></form></body>")
+    for n in (3, 5, 8, 12, 16, 20, 21, 25, 30):
+        around = f"<div><p>{some_words(n, 'o')}</p></div>"
+        inner = f"<main><h1>T title</h1><p>{some_words(90, 'w')}</p><p>{some_words(40, 'b')}</p></main>"
+        assert "o0" not in main_text(f"<body>{around}{inner}</body>") and "o0" not in main_text(f"<body>{inner}{around}</body>")
