@@ -316,8 +316,8 @@ def score(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str
     asked = by_bucket(sent, parts, None, dealt, count)
     backed = by_bucket(asked, parts, None, dealt, back_off).select("bucket", "sums")
     summed = by_bucket(backed, parts, documents, "__id bigint, __tag bigint, s bigint, n bigint")
-    # rows of one id and text were summed together: each gets its share
-    alike = rows.groupBy("__id", "__tag", doc_id).agg(F.count("*").alias("many"))
+    # rows of one id and text were summed together, null ids with those of NO_ID: each gets its share
+    alike = rows.groupBy("__id", "__tag").agg(F.count("*").alias("many"), F.count_if(F.col(doc_id).isNull()).alias("nulls"), F.max(doc_id).alias(doc_id))
     met = alike.join(summed, ["__id", "__tag"], "left").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("many"))))
-    met = met.select(doc_id, F.expr("coalesce(n, 0) div many").alias("n_tokens"), F.expr("coalesce(s, 0) div many").alias("score"))
+    met = met.select(F.when(F.col("k") > F.col("nulls"), F.col(doc_id)).alias(doc_id), F.expr("coalesce(n, 0) div many").alias("n_tokens"), F.expr("coalesce(s, 0) div many").alias("score"))
     return met.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens") / F.lit(1e6)))

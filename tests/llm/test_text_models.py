@@ -128,6 +128,13 @@ def test_lm_edges(spark):
     assert lm_score.score(df.limit(0)).collect() == []
 
 
+def test_lm_scores_of_null_ids_beside_the_largest(spark):
+    rows = [(None, "aa bb cc"), (2**63 - 1, "aa bb cc"), (None, "aa bb cc"), (None, "dd"), (2**63 - 1, None)]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len((t or "").split())) for i, t in rows)
+    assert len({r.score for r in got if r.n_tokens == 3}) == 1
+
+
 def test_lm_scores_of_many_texts_with_one_id(spark):
     texts = [f"the {'of ' * (k % 7)}word{k} end" for k in range(120)]
     got = lm_score.score(spark.createDataFrame([(5 if k % 2 else None, t) for k, t in enumerate(texts)], "doc_id bigint, text string")).collect()
