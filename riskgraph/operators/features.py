@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgraph.functions.expressions import money, r4, seconds
-from riskgraph.operators.network import checkpointed
 from riskgraph.operators.cards import mismatches
 
 
@@ -14,75 +13,99 @@ def _hours(h: int) -> Column:
     return F.col("ts") >= F.expr(f"opened_at - interval '{h}' hour")
 
 
+TARGET = ("txn_id", "ts", "amt", "risk_score", "channel", "addr1", "m1", "m4", "m6")
+
+
+def _met(cases: DataFrame, txn: DataFrame) -> DataFrame:
+    """Each case (case_id, card_id, flagged_txn_id, opened_at) with its card's transactions up to its opening, its flagged one and its card's first ones; ``known``: by the opening."""
+    first = txn.groupBy("card_id").agg(F.min("ts").alias("first_ts"))
+    asked = cases.select("case_id", "card_id", "flagged_txn_id", "opened_at").join(first, "card_id")
+    met = asked.join(txn.select("card_id", *TARGET), "card_id").withColumn("flagged", F.coalesce(F.col("txn_id") == F.col("flagged_txn_id"), F.lit(False)))
+    met = met.where((F.col("ts") <= F.greatest("opened_at", "first_ts")) | F.col("flagged"))
+    return met.withColumn("known", F.coalesce(F.col("ts") <= F.col("opened_at"), F.lit(False)))
+
+
+def _aimed(met: DataFrame) -> DataFrame:
+    w = Window.partitionBy("case_id")
+    last = F.max(F.when(F.col("known"), F.struct(F.col("flagged").alias("f"), *(F.col(c) for c in ("ts", "txn_id", *TARGET[2:])))))
+    early = F.min(F.when(~F.col("known"), F.struct((~F.col("flagged")).alias("f"), *(F.col(c) for c in ("ts", "txn_id", *TARGET[2:])))))
+    met = met.withColumns({"last": last.over(w), "early": early.over(w)})
+    met = met.where(F.col("known") | (F.col("last").isNull() & (F.col("txn_id") == F.col("early.txn_id"))))
+    met = met.withColumn("t", F.coalesce("last", "early")).drop("last", "early", "flagged")
+    return met.select("*", *(F.col(f"t.{c}").alias(f"t_{c}") for c in TARGET), (F.col("ts") < F.col("t.ts")).alias("prior")).drop("t")
+
+
 def history(cases: DataFrame, txn: DataFrame) -> DataFrame:
-    """Each case (case_id, card_id, flagged_txn_id, opened_at) with every transaction of its card up to its opening.
+    """Each case with every transaction of its card up to its opening, the target's values (t_*) and ``prior``: strictly before the target.
 
-    A case whose card has none by then gets the flagged transaction, else the card's first one. Each row
-    has ``target`` set: the flagged transaction, or the last one of the history. As-of join by card; the frames
-    below are over the case's own rows.
+    The target is the flagged transaction, where it is known by then, else the last known one. A case whose card has none by
+    then gets the flagged transaction, else the card's first one. Cases whose card has no transaction with a time have no row.
     """
-    met = cases.select("case_id", "card_id", "flagged_txn_id", "opened_at").join(txn, "card_id")
-    w = Window.partitionBy("case_id")
-    known = F.col("ts") <= F.col("opened_at")
-    met = met.withColumns({"known": known, "n_known": F.count_if(known).over(w)})
-    first = F.row_number().over(w.orderBy(F.desc(F.col("txn_id") == F.col("flagged_txn_id")), "ts", "txn_id"))
-    met = met.withColumn("first", first).where(F.col("known") | ((F.col("n_known") == 0) & (F.col("first") == 1)))
-    last = F.row_number().over(w.orderBy(F.desc(F.col("txn_id") == F.col("flagged_txn_id")), F.desc("ts"), F.desc("txn_id")))
-    return met.withColumn("target", last == 1).drop("known", "n_known", "first")
+    return _aimed(_met(cases, txn))
 
 
-def with_target(rows: DataFrame) -> DataFrame:
-    """``history`` with the target's values (t_*) on every row, and ``prior``: strictly before the target."""
-    w = Window.partitionBy("case_id")
-    pick = lambda c: F.max(F.when(F.col("target"), F.col(c))).over(w).alias(f"t_{c}")
-    out = rows.select("*", *(pick(c) for c in ("txn_id", "ts", "amt", "risk_score", "channel", "addr1", "m1", "m4", "m6")))
-    return out.withColumn("prior", F.col("ts") < F.col("t_ts"))
+def _stats(home: Column) -> dict[str, Column]:
+    prior, n = F.col("prior"), F.count_if(F.col("prior"))
+    q = F.percentile(F.when(prior, F.col("amt")), F.array(F.lit(0.75), F.lit(0.95)))
+    share = lambda c: F.coalesce(F.try_divide(F.count_if(prior & (F.col("channel") == c)), n), F.max((F.col("t_channel") == c).cast("double")))
+    return {
+        "prior_txns_count": n,
+        "prior_mean": F.coalesce(F.try_divide(F.sum(F.when(prior, money("amt"))).cast("double"), n), F.max("t_amt")),
+        "prior_p75": F.coalesce(q[0], F.max("t_amt")),
+        "prior_p95": F.coalesce(q[1], F.max("t_amt")),
+        "prior_in_person_pct": share("in_person"),
+        "prior_online_pct": share("online"),
+        "prior_in_region": F.count_if(prior & (F.col("addr1") == F.col("t_addr1"))),
+        "home_region": F.when(n == 0, F.max("t_addr1")).otherwise(home),
+    }
+
+
+def _home() -> Column:
+    """The prior rows' most frequent region, the smallest of equals."""
+    return F.mode(F.when(F.col("prior"), F.col("addr1")), True)
+
+
+def _speed() -> dict[str, Column]:
+    online = _hours(48) & (F.col("channel") == "online")
+    return {
+        "txns_24h": F.count_if(_hours(24)),
+        "txns_48h": F.count_if(_hours(48)),
+        "online_48h": F.count_if(online),
+        "exposure_48h": F.coalesce(F.sum(F.when(_hours(48), money("amt"))).cast("double"), F.lit(0.0)),
+        "channels_48h": F.size(F.collect_set(F.when(_hours(48), F.col("channel")))),
+        "largest_online_48h": F.max(F.when(online, F.col("amt"))),
+    }
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in columns.items()]
 
 
 def history_stats(rows: DataFrame) -> DataFrame:
     """Per case over the prior rows: number, mean, p75, p95, channel shares, home region and visits of the target's region."""
-    prior = F.col("prior")
-    amt = F.when(prior, F.col("amt"))
-    base = rows.groupBy("case_id").agg(
-        F.count_if(prior).alias("prior_txns_count"),
-        F.coalesce(F.try_divide(F.sum(F.when(prior, money("amt"))).cast("double"), F.count_if(prior)), F.max("t_amt")).alias("prior_mean"),
-        F.coalesce(F.percentile(amt, F.lit(0.75)), F.max("t_amt")).alias("prior_p75"),
-        F.coalesce(F.percentile(amt, F.lit(0.95)), F.max("t_amt")).alias("prior_p95"),
-        F.coalesce(F.try_divide(F.count_if(prior & (F.col("channel") == "in_person")), F.count_if(prior)), F.max((F.col("t_channel") == "in_person").cast("double"))).alias("prior_in_person_pct"),
-        F.coalesce(F.try_divide(F.count_if(prior & (F.col("channel") == "online")), F.count_if(prior)), F.max((F.col("t_channel") == "online").cast("double"))).alias("prior_online_pct"),
-        F.count_if(prior & (F.col("addr1") == F.col("t_addr1"))).alias("prior_in_region"),
-        F.max("t_addr1").alias("t_addr1"),
-    )
-    n = rows.where(prior & F.col("addr1").isNotNull()).groupBy("case_id", "addr1").agg(F.count("*").alias("n"))
-    home = n.groupBy("case_id").agg(F.min_by("addr1", F.struct(-F.col("n"), F.col("addr1"))).alias("home"))
-    out = base.join(home, "case_id", "left")
-    return out.withColumn("home_region", F.when(F.col("prior_txns_count") == 0, F.col("t_addr1")).otherwise(F.col("home"))).drop("home", "t_addr1")
+    return rows.groupBy("case_id").agg(*_named(_stats(_home())))
 
 
 def velocity(rows: DataFrame) -> DataFrame:
     """Per case: transactions of the last 24 and 48 hours before it opened, online ones and the amount."""
-    return rows.groupBy("case_id").agg(
-        F.count_if(_hours(24)).alias("txns_24h"),
-        F.count_if(_hours(48)).alias("txns_48h"),
-        F.count_if(_hours(48) & (F.col("channel") == "online")).alias("online_48h"),
-        F.coalesce(F.sum(F.when(_hours(48), money("amt"))).cast("double"), F.lit(0.0)).alias("exposure_48h"),
-        F.count_distinct(F.when(_hours(48), F.col("channel"))).alias("channels_48h"),
-        F.max(F.when(_hours(48) & (F.col("channel") == "online"), F.col("amt"))).alias("largest_online_48h"),
-    )
+    return rows.groupBy("case_id").agg(*_named(_speed()))
 
 
-def testing_score(rows: DataFrame, max_auth: float = 5.0, large: float = 50.0, minutes: int = 60) -> DataFrame:
-    """Per case the confidence of card testing over its online history; of several runs the last one counts."""
-    back = Window.partitionBy("case_id").orderBy(F.desc("ts"), F.desc("txn_id")).rowsBetween(Window.unboundedPreceding, -1)
-    w = Window.partitionBy("case_id").orderBy("ts", "txn_id")
-    probe = F.col("amt") <= max_auth
-    online = rows.where("channel = 'online'").select("case_id", "txn_id", "ts", "amt", probe.alias("probe"), F.sum(probe.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cp"))
-    big = F.when(~F.col("probe") & (F.col("amt") >= large), F.struct("ts", "amt", "cp"))
-    online = online.withColumn("nl", F.last(big, ignorenulls=True).over(back))
-    run = F.col("nl.cp") - F.col("cp") + 1
-    hit = F.col("probe") & (F.col("nl.ts") <= F.expr(f"ts + interval '{minutes}' minute")) & (run >= 2)
-    score = F.when(run >= 3, F.when(F.col("nl.amt") > 100, 0.94).otherwise(0.86)).otherwise(0.72)
-    return online.where(hit).groupBy("case_id").agg(F.max_by(score, F.struct("ts", "txn_id")).alias("conf_testing"))
+def _testing(met: DataFrame, max_auth: float = 5.0, large: float = 50.0, minutes: int = 60) -> DataFrame:
+    """``score``: the confidence of card testing at each probe that a large purchase follows, null elsewhere; of a case's several runs the last one counts.
+
+    One sort from the last transaction to the first: probes are counted from the end, and the next large purchase is the one seen last.
+    """
+    back = Window.partitionBy("case_id").orderBy(F.desc("ts"), F.desc("txn_id"))
+    online = F.col("known") & (F.col("channel") == "online")
+    probe = online & (F.col("amt") <= max_auth)
+    met = met.withColumn("later", F.sum(probe.cast("long")).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    big = F.when(online & (F.col("amt") > max_auth) & (F.col("amt") >= large), F.struct("ts", "amt", "later"))
+    met = met.withColumn("next", F.last(big, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    run = F.col("later") - F.col("next.later")
+    hit = probe & (F.col("next.ts") <= F.expr(f"ts + interval '{minutes}' minute")) & (run >= 2)
+    score = F.when(run >= 3, F.when(F.col("next.amt") > 100, 0.94).otherwise(0.86)).otherwise(0.72)
+    return met.withColumn("score", F.when(hit, score)).drop("later", "next")
 
 
 def prior_case_rate(cases: DataFrame, closed: DataFrame) -> DataFrame:
@@ -93,16 +116,24 @@ def prior_case_rate(cases: DataFrame, closed: DataFrame) -> DataFrame:
 
 
 def case_features(cases: DataFrame, txn: DataFrame, identity: DataFrame, closed: DataFrame, max_auth: float = 5.0, large: float = 50.0, minutes: int = 60) -> DataFrame:
-    """The 29 features per case. Cases whose card has no transaction at all have the defaults of an empty history."""
-    rows = checkpointed(with_target(history(cases, txn)))  # six readers
-    stats, speed = history_stats(rows), velocity(rows)
-    homes = rows.join(stats.select("case_id", "home_region"), "case_id")
+    """The 29 features per case. Cases whose card has no transaction at all have the defaults of an empty history.
+
+    One join by card and one exchange by case, over which all frames and sums are taken.
+    """
+    rows = _aimed(_testing(_met(cases, txn), max_auth, large, minutes)).withColumn("home", _home().over(Window.partitionBy("case_id")))
     close = F.col("ts").between(F.expr("t_ts - interval '48' hour"), F.expr("t_ts + interval '48' hour"))
-    concurrent = homes.groupBy("case_id").agg(F.count_if((F.col("addr1") == F.col("home_region")) & (F.col("txn_id") != F.col("flagged_txn_id")) & close).alias("concurrent_home_count"))
-    target = rows.where("target").select("case_id", F.col("risk_score").alias("flagged_risk_score"), F.col("amt").alias("flagged_amount"), "channel", "addr1", mismatches(("M0", "M2", "F")).alias("mismatch_count"))
+    around = lambda home: F.count_if((F.col("addr1") == F.col(home)) & (F.col("txn_id") != F.col("flagged_txn_id")) & close)
+    target = {c: F.any_value(f"t_{c}") for c in TARGET[2:]}
+    known = rows.groupBy("case_id").agg(
+        *_named(_stats(F.max("home"))),
+        *_named(_speed()),
+        *_named({"flagged_risk_score": target["risk_score"], "flagged_amount": target["amt"], "channel": target["channel"], "addr1": target["addr1"], "m1": target["m1"], "m4": target["m4"], "m6": target["m6"]}),
+        F.when(F.count_if("prior") == 0, around("t_addr1")).otherwise(around("home")).alias("concurrent_home_count"),
+        F.max_by("score", F.when(F.col("score").isNotNull(), F.struct("ts", "txn_id"))).alias("conf_testing"),
+    )
+    known = known.withColumn("mismatch_count", mismatches(("M0", "M2", "F"))).drop("m1", "m4", "m6")
     seen = identity.select(F.col("txn_id").alias("flagged_txn_id"), "id_15", "id_23", F.lit(1).alias("has_device"))
-    out = cases.select("case_id", "flagged_txn_id").join(target, "case_id", "left").join(stats, "case_id", "left").join(speed, "case_id", "left").join(concurrent, "case_id", "left")
-    out = out.join(seen, "flagged_txn_id", "left").join(testing_score(rows, max_auth, large, minutes), "case_id", "left").join(prior_case_rate(cases, closed), "case_id", "left")
+    out = cases.select("case_id", "flagged_txn_id").join(known, "case_id", "left").join(seen, "flagged_txn_id", "left").join(prior_case_rate(cases, closed), "case_id", "left")
     out = out.fillna({"flagged_risk_score": 0.5, "flagged_amount": 50.0, "channel": "in_person", "has_device": 0, "mismatch_count": 0, "prior_txns_count": 0, "concurrent_home_count": 0, "conf_testing": 0.05, "txns_24h": 0, "txns_48h": 0, "online_48h": 0, "exposure_48h": 0.0, "channels_48h": 0, "prior_in_region": 0})
     online, flag = F.col("channel") == "online", lambda c: F.coalesce(c, F.lit(False)).cast("int")
     amount = F.col("flagged_amount")
@@ -143,4 +174,4 @@ def rounded(df: DataFrame, columns) -> DataFrame:
     return df.withColumns({c: r4(F.col(c)) for c in columns})
 
 
-__all__ = ["FEATURES", "case_features", "history", "history_stats", "prior_case_rate", "rounded", "seconds", "testing_score", "velocity", "with_target"]
+__all__ = ["FEATURES", "case_features", "history", "history_stats", "prior_case_rate", "rounded", "seconds", "velocity"]

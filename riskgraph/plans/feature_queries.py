@@ -29,7 +29,7 @@ RATE = """pr AS (SELECT a.case_id, count(c.case_id) AS prior_cases_count, coales
 
 
 def rows(t):
-    return features.with_target(features.history(t.alert, t.txn))
+    return features.history(t.alert, t.txn)
 
 
 @query(
