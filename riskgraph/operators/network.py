@@ -12,6 +12,10 @@ from riskgraph.operators.graph import UNKNOWN, device_key
 from riskgraph.sources.files import scratch
 
 
+#: Confidence of a finding of the sweep.
+FOUND = 0.88
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage: written once as Parquet to the session's shared checkpoint folder and read from there, so that lost executors don't lose it and its readers still prune columns and filter in the scan."""
     path = scratch(df.sparkSession, "cut")
@@ -72,6 +76,24 @@ def fanout_ranking(uses: DataFrame, k: int, key: str = "device") -> DataFrame:
     return fanout(uses, key).orderBy(F.desc("n_cards"), F.desc("n_txns"), key).limit(k)
 
 
+def fanout_sketches(uses: DataFrame, key: str = "device", bits: int = 12) -> DataFrame:
+    """Per value of ``key`` and day a sketch of its cards (``sketch``, HyperLogLog of 2^bits registers). Days merge, so a new day adds rows and none is read again."""
+    return uses.where(F.col(key).isNotNull()).groupBy(key, F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("card_id", bits).alias("sketch"))
+
+
+def fanout_ranking_by_sketch(uses: DataFrame, sketches: DataFrame, k: int, key: str = "device", bits: int = 12, deviations: float = 6.0) -> DataFrame:
+    """``fanout_ranking`` with exact counts of candidates only: values whose merged estimate comes within the sketch's error of the kth.
+
+    ``deviations`` standard errors (1.04 / sqrt(2^bits)) on either side are allowed for, so a value of the true k is missed with a
+    probability of about 1e-9. Candidates have no cap: equal estimates all are counted.
+    """
+    merged = checkpointed(sketches.groupBy(key).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate")))
+    least = merged.select("estimate").orderBy(F.desc("estimate")).limit(k).agg(F.min("estimate")).first()[0] or 0
+    error = deviations * 1.04 / 2 ** (bits / 2)
+    candidates = merged.where(F.col("estimate") >= F.lit(least * (1 - error) / (1 + error))).select(key)
+    return fanout_ranking(uses.join(candidates, key, "left_semi"), k, key)
+
+
 def high_fanout(uses: DataFrame, least: int = 3) -> DataFrame:
     return fanout(uses).where(F.col("n_cards") >= least)
 
@@ -107,11 +129,18 @@ def identical_amounts(txn: DataFrame, customers: int = 3, hours: int = 24) -> Da
 
 
 def undocumented_sweep(txn: DataFrame, uses: DataFrame, least: int = 3) -> DataFrame:
-    """High-fanout devices, structured amounts and identical amounts as findings (kind, subject, n, amount)."""
+    """High-fanout devices, structured amounts and identical amounts as findings (kind, subject, n, amount), each with its claim and confidence (0 where nothing was found)."""
+    text = lambda c: F.col(c).cast("string")
+    usd = lambda c: money(c).cast("string")
+    claim = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("claim")
+    found = F.when(F.col("n") > 0, FOUND).otherwise(0.0).alias("confidence")
     a = high_fanout(uses, least).select(F.lit("device_fanout").alias("kind"), F.col("device").alias("subject"), F.col("n_cards").alias("n"), "amount")
+    a = a.select("*", claim("Device ", F.col("subject"), " serves ", text("n"), " cards with a total of ", usd("amount"), "."), found)
     b = structured_amounts(txn).select(F.lit("structured_amounts").alias("kind"), F.lit("online").alias("subject"), "n", "amount")
+    b = b.select("*", claim(text("n"), " online transactions stand just below a limit, with a total of ", usd("amount"), "."), found)
     same = identical_amounts(txn)
-    c = same.select(F.lit("identical_amounts").alias("kind"), F.date_format("reached_at", "yyyy-MM-dd HH:mm:ss").alias("subject"), F.col("n_customers").alias("n"), (money("amt") * F.col("n_txns")).cast("double").alias("amount"))
+    c = same.select(F.lit("identical_amounts").alias("kind"), F.date_format("reached_at", "yyyy-MM-dd HH:mm:ss").alias("subject"), F.col("n_customers").alias("n"), (money("amt") * F.col("n_txns")).cast("double").alias("amount"), usd("amt").alias("amt"))
+    c = c.select("kind", "subject", "n", "amount", claim(text("n"), " customers paid ", F.col("amt"), " within one window, first reached at ", F.col("subject"), "."), found)
     return a.union(b).union(c)
 
 

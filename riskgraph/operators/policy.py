@@ -162,6 +162,16 @@ def approval_queue(evaluated: DataFrame) -> DataFrame:
     return evaluated.select("case_id", F.explode(waiting).alias("a")).select("case_id", F.col("a.action").alias("action"), F.col("a.route").alias("route"))
 
 
+def disagreements(evaluated: DataFrame, closed: DataFrame) -> DataFrame:
+    """Cases whose recorded actions (bar-separated) or filing differ from the recommended ones, with what either has alone. A case without recorded actions has none."""
+    took = F.filter(F.split(F.coalesce("actions_taken", F.lit("")), "\\|"), lambda a: a != "")
+    met = evaluated.select("case_id", "probability", F.transform("actions", lambda a: a["action"]).alias("names")).join(closed.select("case_id", "outcome", took.alias("took"), "report_filed"), "case_id")
+    only = {"not_recommended": F.array_except("took", "names"), "not_recorded": F.array_except("names", "took")}
+    filing = F.array_contains("names", "FILE_REPORT") != F.coalesce(F.col("report_filed") == "Yes", F.lit(False))
+    met = met.withColumns(only | {"filing_differs": filing}).where((F.size("not_recommended") > 0) | (F.size("not_recorded") > 0) | F.col("filing_differs"))
+    return met.select("case_id", "outcome", "probability", *(F.array_join(c, ",").alias(c) for c in only), "filing_differs")
+
+
 def policy_agreement(evaluated: DataFrame, closed: DataFrame) -> DataFrame:
     """Recommended against recorded actions (bar-separated) and filing, per outcome."""
     took = F.split("actions_taken", "\\|")

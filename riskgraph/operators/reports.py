@@ -10,9 +10,13 @@ from riskgraph.functions.expressions import joined, money, r4, total
 from riskgraph.operators import policy
 
 
-def null_profile(df: DataFrame) -> DataFrame:
-    """Per column: nulls, their share and distinct values, from one aggregate."""
-    sums = df.agg(F.count("*").alias("rows"), *(F.struct(F.count_if(F.col(c).isNull()).alias("nulls"), F.count_distinct(c).alias("distinct")).alias(c) for c in df.columns))
+def null_profile(df: DataFrame, counted: tuple[str, ...] | None = None) -> DataFrame:
+    """Per column: nulls, their share and distinct values, from one aggregate.
+
+    Each exact distinct count copies the rows once, so ``counted`` names the columns that get one (all by default); the others have null.
+    """
+    distinct = lambda c: F.count_distinct(c) if counted is None or c in counted else F.lit(None).cast("long")
+    sums = df.agg(F.count("*").alias("rows"), *(F.struct(F.count_if(F.col(c).isNull()).alias("nulls"), distinct(c).alias("distinct")).alias(c) for c in df.columns))
     long = sums.select("rows", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in df.columns))).alias("x"))
     return long.select(F.col("x.column").alias("column"), F.col("x.v.nulls").alias("nulls"), r4(F.col("x.v.nulls") / F.col("rows")).alias("null_share"), F.col("x.v.distinct").alias("n_distinct"))
 
@@ -165,7 +169,7 @@ def sar_report(cases: DataFrame, affected: DataFrame, txn: DataFrame) -> DataFra
         " ",
         F.concat(F.lit("This report concerns card "), "card_id", F.lit(" of customer "), "customer_id", F.lit(".")),
         F.concat(F.lit("The alert came from a "), spaced("trigger_type"), F.lit(".")),
-        F.concat(F.lit("It covers "), F.col("n").cast("string"), F.lit(" transactions with a total of "), F.col("sum").cast("decimal(18,2)").cast("string"), F.lit(" dollars.")),
+        F.concat(F.lit("It covers "), F.col("n").cast("string"), F.when(F.col("n") == 1, " transaction").otherwise(" transactions"), F.lit(" with a total of "), F.col("sum").cast("decimal(18,2)").cast("string"), F.lit(" dollars.")),
         F.concat(F.lit("They took place between "), F.col("first_date").cast("string"), F.lit(" and "), F.col("last_date").cast("string"), F.lit(".")),
         F.when(F.col("pattern") == "none", "The activity fits no documented pattern.").when(F.col("pattern") == "undocumented", "The activity fits a pattern that is not documented yet.").otherwise(F.concat(F.lit("The activity fits the pattern "), spaced("pattern"), F.lit("."))),
         F.when(F.col("verdict") == "fraud", "The customer denied the transactions.").when(F.col("verdict") == "legitimate", "The customer confirmed the transactions.").otherwise("The customer has not settled the question."),

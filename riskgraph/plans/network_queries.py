@@ -80,6 +80,12 @@ def device_fanout_ranking(t):
     return network.fanout_ranking(uses(t), 10)
 
 
+@query("device_fanout_by_sketch", f"{FANOUT} SELECT * FROM f ORDER BY n_cards DESC, n_txns DESC, device LIMIT 10")
+def device_fanout_by_sketch(t):
+    """The same ten devices, found by daily sketches of their cards and counted exactly only where they come near."""
+    return network.fanout_ranking_by_sketch(uses(t), network.fanout_sketches(uses(t)), 10)
+
+
 @query("region_fanout_ranking", f"SELECT addr1, count(DISTINCT card_id) AS n_cards, count(*) AS n_txns, {AMOUNT} AS amount FROM txn WHERE addr1 IS NOT NULL GROUP BY 1 ORDER BY n_cards DESC, n_txns DESC, addr1 LIMIT 5")
 def region_fanout_ranking(t):
     return network.fanout_ranking(t.txn, 5, "addr1")
@@ -107,9 +113,10 @@ def identical_amount_clusters(t):
 
 @query(
     "undocumented_sweep",
-    f"""{FANOUT}, {SAME} SELECT 'device_fanout' AS kind, device AS subject, n_cards AS n, amount FROM f WHERE n_cards >= 50
-    UNION ALL SELECT 'structured_amounts', 'online', count(*), coalesce({AMOUNT}, 0e0) FROM txn WHERE channel = 'online' AND amt BETWEEN 99e0 AND 99.99e0
-    UNION ALL SELECT 'identical_amounts', strftime(reached_at, '%Y-%m-%d %H:%M:%S'), n_customers, CAST({DEC} * n_txns AS DOUBLE) FROM same""",
+    f"""{FANOUT}, {SAME}, sa1 AS (SELECT count(*) AS n, coalesce({AMOUNT}, 0e0) AS amount FROM txn WHERE channel = 'online' AND amt BETWEEN 99e0 AND 99.99e0)
+    SELECT 'device_fanout' AS kind, device AS subject, n_cards AS n, amount, 'Device ' || device || ' serves ' || n_cards || ' cards with a total of ' || CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR) || '.' AS claim, 0.88e0 AS confidence FROM f WHERE n_cards >= 50
+    UNION ALL SELECT 'structured_amounts', 'online', n, amount, n || ' online transactions stand just below a limit, with a total of ' || CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR) || '.', CASE WHEN n > 0 THEN 0.88e0 ELSE 0e0 END FROM sa1
+    UNION ALL SELECT 'identical_amounts', strftime(reached_at, '%Y-%m-%d %H:%M:%S'), n_customers, CAST({DEC} * n_txns AS DOUBLE), n_customers || ' customers paid ' || CAST({DEC} AS VARCHAR) || ' within one window, first reached at ' || strftime(reached_at, '%Y-%m-%d %H:%M:%S') || '.', 0.88e0 FROM same""",
 )
 def undocumented_sweep(t):
     return network.undocumented_sweep(t.txn, uses(t), 50)

@@ -230,6 +230,24 @@ def classify_pattern(t):
 CLOSED = "asm AS (SELECT case_id, outcome, actions_taken, report_filed, CASE outcome WHEN 'cleared' THEN 'confirms' ELSE 'denies' END AS resp, exposure_usd AS x, CASE outcome WHEN 'cleared' THEN 0.2e0 ELSE 0.9e0 END AS p, pattern, NULL AS origin, false AS conflict, false AS recurring, 0 AS connected, false AS single, false AS cleared FROM closed_case)"
 
 
+@query(
+    "policy_disagreements",
+    f"""asm AS (SELECT c.case_id, outcome, string_split(actions_taken, '|') AS took, report_filed = 'Yes' AS filed, CASE outcome WHEN 'cleared' THEN 'confirms' ELSE 'denies' END AS resp, exposure_usd AS x, coalesce(t.risk_score, 0.5e0) AS p, pattern, NULL AS origin, false AS conflict, false AS recurring,
+        coalesce(len(string_split(connected_card_ids, '|')), 0) AS connected, false AS single, false AS cleared FROM closed_case c LEFT JOIN txn t ON t.txn_id = c.first_fraud_txn_id), act AS (SELECT *, {rules('resp')} AS acts FROM asm),
+    d AS (SELECT case_id, outcome, p AS probability, array_to_string(list_filter(took, lambda v: NOT list_contains(acts, v)), ',') AS not_recommended, array_to_string(list_filter(acts, lambda v: NOT list_contains(took, v)), ',') AS not_recorded, list_contains(acts, 'FILE_REPORT') <> filed AS filing_differs FROM act)
+    SELECT * FROM d WHERE not_recommended <> '' OR not_recorded <> '' OR filing_differs""",
+)
+def policy_disagreements(t):
+    """Each closed case whose recorded actions the policy would not give, judged by its first transaction's risk score."""
+    fraud = F.col("outcome") != "cleared"
+    risk = t.txn.select(F.col("txn_id").alias("first_fraud_txn_id"), F.col("risk_score"))
+    given = t.closed_case.join(risk, "first_fraud_txn_id", "left").select(
+        "case_id", "pattern", "exposure_usd", F.when(fraud, "denies").otherwise("confirms").alias("customer_response"), F.coalesce("risk_score", F.lit(0.5)).alias("probability"),
+        F.coalesce(F.size(F.split("connected_card_ids", "\\|")), F.lit(0)).alias("connected_cards_count"),
+    )
+    return policy.disagreements(policy.evaluate(given), t.closed_case)
+
+
 @query(
     "policy_agreement",
     f"""{CLOSED}, act AS (SELECT *, {rules('resp')} AS acts FROM asm) SELECT outcome, count(*) AS n, count(*) FILTER (WHERE list_has_all(acts, string_split(actions_taken, '|'))) AS actions_agree,

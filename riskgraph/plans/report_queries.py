@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from riskgraph.functions.expressions import r4 as r4_of
 from riskgraph.operators import evaluate, features, graph, model, network, policy, reports, retrieval
-from riskgraph.plans.base import query, r4
+from riskgraph.plans.base import nested, query, r4
 from riskgraph.plans.card_queries import DEC
 from riskgraph.plans.feature_queries import FEATURES, case_features_of
-from riskgraph.plans.network_queries import INVOLVES, involves
+from riskgraph.plans.network_queries import INVOLVES, affected_transactions, involves
 from riskgraph.plans.policy_queries import ASSESS, assessments, rules
 from riskgraph.sources import files
 from riskgraph.streaming import streams
@@ -77,20 +77,38 @@ def write_next_edges(t):
     return t.spark.read.schema("from_txn_id STRING, to_txn_id STRING, card_id STRING, delta_sec BIGINT").csv(path, header=True)
 
 
-@query("publish_tables", "SELECT card_id, count(*) AS n FROM txn GROUP BY 1")
+def published(t):
+    """Transactions and closed cases as tables of as many buckets."""
+    n, tables = files.buckets_for(t.txn.count()), []
+    for df, name, at in ((t.txn, "transactions", "ts"), (t.closed_case, "cases", "opened_at")):
+        path = files.scratch(t.spark, name)
+        table = f"{name}_{path.rsplit('-', 1)[1]}"
+        files.publish_tables(df, table, path, "card_id", at, n)
+        tables.append(t.spark.table(table))
+    return tables
+
+
+@query(
+    "publish_tables",
+    "m AS (SELECT strftime(ts, '%Y-%m') AS month, card_id, count(*) AS n FROM txn GROUP BY 1, 2), k AS (SELECT card_id, count(*) AS n_cases FROM closed_case GROUP BY 1) SELECT m.*, coalesce(n_cases, 0) AS n_cases FROM m LEFT JOIN k ON k.card_id = m.card_id",
+)
 def publish_tables(t):
-    path = files.scratch(t.spark, "transactions")
-    name = "transactions_" + path.rsplit("-", 1)[1]
-    files.publish_tables(t.txn, name, path)
-    return t.spark.table(name).groupBy("card_id").agg(F.count("*").alias("n"))
+    """Per month and card its transactions, and the card's closed cases, from the two published tables."""
+    txn, cases = published(t)
+    return txn.groupBy("month", "card_id").agg(F.count("*").alias("n")).join(cases.groupBy("card_id").agg(F.count("*").alias("n_cases")), "card_id", "left").fillna(0, ["n_cases"])
+
+
+COLUMNS = ("txn_id", "card_id", "customer_id", "ts", "amt", "product_cd", "channel", "risk_score", "addr1", "p_email", "m1", "m4", "m6")
+COUNTED = ("card_id", "customer_id", "product_cd", "channel", "addr1", "p_email", "m1", "m4", "m6")
 
 
 @query(
     "null_profile",
-    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS nulls, {r4(f'count(*) FILTER (WHERE {c} IS NULL)::DOUBLE / count(*)')} AS null_share, count(DISTINCT {c}) AS n_distinct FROM txn" for c in ("addr1", "p_email", "m4", "channel")),
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS nulls, {r4(f'count(*) FILTER (WHERE {c} IS NULL)::DOUBLE / count(*)')} AS null_share, {f'count(DISTINCT {c})' if c in COUNTED else 'CAST(NULL AS BIGINT)'} AS n_distinct FROM txn" for c in COLUMNS),
 )
 def null_profile(t):
-    return reports.null_profile(t.txn.select("addr1", "p_email", "m4", "channel"))
+    """All columns; those of few values, and cards and customers, with their distinct values."""
+    return reports.null_profile(t.txn.select(*COLUMNS), COUNTED)
 
 
 @query("file_dimensions", "SELECT 'txn' AS name, count(*) AS n_rows, 12 + 1 AS n_columns FROM txn UNION ALL SELECT 'identity', count(*), 8 FROM identity UNION ALL SELECT 'closed_case', count(*), 14 FROM closed_case")
@@ -180,9 +198,31 @@ def note_documents(t):
     return retrieval.note_documents(t.closed_case)
 
 
-@query("policy_sections", r"e AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][^.\n]{20,60}\.') AS s FROM documents) SELECT doc_id, i::INT - 1 AS n, s[i] AS section FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM e)")
+def headed(t):
+    """The documents with some of their lines as headings and rules, as they have none."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    text = lambda n: n.cast("string")
+    heading = lambda x, i: F.concat(F.lit("## "), text(i), F.lit(". "), F.substring(x, 1, 30))
+    rule = lambda x, i: F.concat(F.lit("**R"), text(i), F.lit(". Limit ** "), x)
+    note = lambda i: F.concat(F.lit("### "), text(i), F.lit("a. Note"))
+    return t.read("documents").select("doc_id", F.array_join(F.transform(lines, lambda x, i: F.when(i % 5 == 1, heading(x, i)).when(i % 5 == 3, rule(x, i)).when(i % 5 == 4, note(i)).otherwise(x)), "\n").alias("text"))
+
+
+@query(
+    "policy_sections",
+    r"""hd AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE (i - 1) % 5 WHEN 1 THEN '## ' || (i - 1) || '. ' || x[:30] WHEN 3 THEN '**R' || (i - 1) || '. Limit ** ' || x WHEN 4 THEN '### ' || (i - 1) || 'a. Note' ELSE x END) AS ls FROM documents),
+    ln AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM hd)),
+    lv AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6}[ \t]') THEN length(regexp_extract(line, '^#+')) WHEN regexp_matches(line, '^\*\*[A-Z]?[0-9]+[a-z]?\.[ \t]*[^*]+\*\*') THEN 7 END AS level FROM ln),
+    mk AS (SELECT *, count(*) FILTER (WHERE level IS NOT NULL OR i = 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM lv),
+    sc AS (SELECT doc_id, n, coalesce(min(level), 0) AS level, arg_min(line, i) AS head, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level IS NULL) AS rest FROM mk GROUP BY 1, 2),
+    pa AS (SELECT doc_id, n, max(p) AS parent FROM (SELECT a.doc_id, a.n, b.n AS p FROM sc a JOIN sc b ON b.doc_id = a.doc_id AND b.n < a.n AND b.level BETWEEN 1 AND a.level - 1) GROUP BY 1, 2)
+    SELECT sc.doc_id, sc.n::INT AS n, CASE level WHEN 0 THEN 'text' WHEN 7 THEN 'rule' ELSE 'section' END AS kind, level::INT AS level,
+    CASE level WHEN 0 THEN NULL WHEN 7 THEN regexp_extract(head, '^\*\*([A-Z]?[0-9]+[a-z]?)', 1) ELSE nullif(regexp_extract(head, '^#+[ \t]+([0-9]+[a-z]?)\.[ \t]', 1), '') END AS ref,
+    CASE level WHEN 0 THEN '' WHEN 7 THEN trim(regexp_extract(head, '^\*\*[A-Z]?[0-9]+[a-z]?\.([^*]+)', 1)) ELSE trim(regexp_replace(head, '^#+[ \t]+([0-9]+[a-z]?\.[ \t]+)?', '')) END AS title,
+    regexp_replace(concat_ws(chr(10), CASE level WHEN 7 THEN regexp_replace(head, '^\*\*[^*]+\*\*', '') END, rest), '^\s+|\s+$', '', 'g') AS body, pa.parent::INT AS parent FROM sc LEFT JOIN pa ON pa.doc_id = sc.doc_id AND pa.n = sc.n""",
+)
 def policy_sections(t):
-    return retrieval.policy_sections(t.read("documents"), r"[A-Z][^.\n]{20,60}\.")
+    return retrieval.policy_sections(headed(t))
 
 
 TERMS = f"""tk AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}'), lambda w: NOT list_contains([{', '.join(f"'{w}'" for w in retrieval.STOP_WORDS)}], w)) AS w FROM documents),
@@ -248,9 +288,10 @@ def audit_ledger(t):
     return reports.audit_ledger(verdicts(t).drop("flagged_txn_id").join(acts, "case_id"))
 
 
-@query("batch_summary", f"{VERDICTS} SELECT count(*) AS n, count(*) FILTER (WHERE verdict = 'fraud') AS fraud, count(*) FILTER (WHERE verdict = 'legitimate') AS legitimate, count(*) FILTER (WHERE verdict = 'uncertain') AS uncertain, count(*) FILTER (WHERE exposure >= 300) AS filings, {EXPOSURE} AS exposure, {r4('avg(probability)')} AS mean_p FROM vd")
+@query("batch_summary", f"{VERDICTS}, {ASSESS} SELECT count(*) AS n, count(*) FILTER (WHERE verdict = 'fraud') AS fraud, count(*) FILTER (WHERE verdict = 'legitimate') AS legitimate, count(*) FILTER (WHERE verdict = 'uncertain') AS uncertain, count(*) FILTER (WHERE x >= 1000 OR origin IS NOT NULL OR connected >= 2 OR pattern = 'undocumented') AS filings, {EXPOSURE} AS exposure, {r4('avg(probability)')} AS mean_p FROM vd JOIN asm ON asm.case_id = vd.case_id")
 def batch_summary(t):
-    return reports.batch_summary(verdicts(t).withColumn("file", F.col("exposure") >= 300))
+    """Filings are those of the policy."""
+    return reports.batch_summary(verdicts(t).join(policy.sar_decision(assessments(t)).select("case_id", "file"), "case_id"))
 
 
 @query("case_filter_counts", f"{VERDICTS} SELECT trigger_type, verdict, count(*) AS n FROM vd GROUP BY 1, 2")
@@ -318,21 +359,22 @@ def normalize_case(t):
 
 @query(
     "sar_report",
-    f"""{VERDICTS}, {ASSESS}, sr AS (SELECT asm.*, a.card_id, a.customer_id, a.flagged_txn_id, vd.verdict, vd.probability,
+    f"""{VERDICTS}, {ASSESS}, {nested("affected_transactions", "af")}, ag AS (SELECT af.case_id, count(*) AS n, sum({DEC}) AS total, min(CAST(ts AS DATE)) AS first_date, max(CAST(ts AS DATE)) AS last_date FROM af JOIN txn t ON t.txn_id = af.txn_id GROUP BY 1),
+        sr AS (SELECT asm.*, a.card_id, a.customer_id, a.flagged_txn_id, vd.verdict, vd.probability,
         concat_ws('; and ', CASE WHEN x >= 1000 THEN 'exposure reaches the filing limit' END, CASE WHEN origin IS NOT NULL OR connected >= 2 THEN 'origin shared with other cards' END, CASE WHEN pattern = 'undocumented' THEN 'undocumented pattern' END) AS reason
         FROM asm JOIN alert a ON a.case_id = asm.case_id JOIN vd ON vd.case_id = asm.case_id WHERE x >= 1000 OR origin IS NOT NULL OR connected >= 2 OR pattern = 'undocumented')
-    SELECT case_id, customer_id || ',' || sr.card_id AS subjects, CAST(CAST(amt AS DECIMAL(18,2)) AS DOUBLE) AS total, CAST(ts AS DATE) AS first_date, CAST(ts AS DATE) AS last_date,
-    'This report concerns card ' || sr.card_id || ' of customer ' || sr.customer_id || '. The alert came from a ' || replace(trigger_type, '_', ' ') || '. It covers 1 transactions with a total of ' || CAST(CAST(amt AS DECIMAL(18,2)) AS VARCHAR)
-    || ' dollars. They took place between ' || CAST(CAST(ts AS DATE) AS VARCHAR) || ' and ' || CAST(CAST(ts AS DATE) AS VARCHAR) || '. '
+    SELECT sr.case_id, customer_id || ',' || sr.card_id AS subjects, CAST(total AS DOUBLE) AS total, first_date, last_date,
+    'This report concerns card ' || sr.card_id || ' of customer ' || sr.customer_id || '. The alert came from a ' || replace(trigger_type, '_', ' ') || '. It covers ' || n || CASE n WHEN 1 THEN ' transaction' ELSE ' transactions' END || ' with a total of ' || CAST(total AS VARCHAR)
+    || ' dollars. They took place between ' || CAST(first_date AS VARCHAR) || ' and ' || CAST(last_date AS VARCHAR) || '. '
     || CASE pattern WHEN 'none' THEN 'The activity fits no documented pattern.' WHEN 'undocumented' THEN 'The activity fits a pattern that is not documented yet.' ELSE 'The activity fits the pattern ' || replace(pattern, '_', ' ') || '.' END
     || CASE verdict WHEN 'fraud' THEN ' The customer denied the transactions.' WHEN 'legitimate' THEN ' The customer confirmed the transactions.' ELSE ' The customer has not settled the question.' END
-    || ' The probability of fraud is put at ' || CAST(CAST(probability AS DECIMAL(4,2)) AS VARCHAR) || '. The filing reason is: ' || reason || '.' AS narrative FROM (SELECT sr.* EXCLUDE (card_id, customer_id), sr.card_id, sr.customer_id, t.amt, t.ts FROM sr JOIN txn t ON t.txn_id = sr.flagged_txn_id) sr""",
+    || ' The probability of fraud is put at ' || CAST(CAST(probability AS DECIMAL(4,2)) AS VARCHAR) || '. The filing reason is: ' || reason || '.' AS narrative FROM sr JOIN ag ON ag.case_id = sr.case_id""",
 )
 def sar_report(t):
     given = assessments(t)
     decided = policy.sar_decision(given).join(given.select("case_id", "pattern"), "case_id")
     cases = verdicts(t).drop("flagged_txn_id").join(decided, "case_id").join(t.alert.select("case_id", "card_id", "customer_id"), "case_id")
-    return reports.sar_report(cases, t.alert.select("case_id", F.col("flagged_txn_id").alias("txn_id")), t.txn)
+    return reports.sar_report(cases, affected_transactions(t), t.txn)
 
 
 @query(

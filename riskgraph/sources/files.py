@@ -69,9 +69,20 @@ def write_next_edges(edges: DataFrame, path: str) -> None:
     edges.select(F.col("from_id").alias("from_txn_id"), F.col("to_id").alias("to_txn_id"), "card_id", "delta_sec").write.csv(path, header=True)
 
 
-def publish_tables(txn: DataFrame, name: str, path: str | None = None, buckets: int = 8) -> None:
-    """A table of transactions bucketed by card and sorted by time, so that per-card work needs no exchange; at ``path`` if given."""
-    writer = txn.write.mode("overwrite").format("parquet").bucketBy(buckets, "card_id").sortBy("ts")
+def buckets_for(rows: int, per_bucket: int = 20_000_000) -> int:
+    """The power of two that leaves a bucket so many rows at most, if its keys are even."""
+    return 1 << max(0, -(-rows // per_bucket) - 1).bit_length()
+
+
+def publish_tables(df: DataFrame, name: str, path: str | None = None, key: str = "card_id", at: str = "ts", buckets: int | None = None) -> None:
+    """A table partitioned by month (``month``, yyyy-MM, of ``at``), bucketed by ``key`` and sorted by time; at ``path`` if given.
+
+    Work per key and joins of two such tables with as many buckets need no exchange, and filters on the month read only its files.
+    ``buckets`` follows the number of rows unless it is given. Rows of a month and bucket are written by one task, as one file; rows without a time are in the null month.
+    """
+    n = buckets or buckets_for(df.count())
+    monthly = df.withColumn("month", F.date_format(at, "yyyy-MM")).repartition("month", F.pmod(F.hash(key), F.lit(n)))
+    writer = monthly.write.mode("overwrite").format("parquet").partitionBy("month").bucketBy(n, key).sortBy(at)
     (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
