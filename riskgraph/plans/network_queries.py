@@ -29,17 +29,22 @@ def connected(t):
 
 @query(
     "device_neighbors",
-    f"""{USES}, n AS (SELECT device, string_agg(DISTINCT card_id, ',' ORDER BY card_id) AS cards, count(DISTINCT card_id) AS n_cards, count(DISTINCT customer_id) AS n_customers, count(*) AS n_txns, {AMOUNT} AS exposure FROM uses GROUP BY 1)
+    f"""{USES}, n AS (SELECT device, array_to_string(list_sort(list(DISTINCT card_id))[1:20], ',') AS cards, count(DISTINCT card_id) AS n_cards, count(DISTINCT customer_id) AS n_customers, count(*) AS n_txns, {AMOUNT} AS exposure FROM uses GROUP BY 1)
     SELECT *, CASE WHEN n_cards >= 3 THEN 0.95e0 WHEN n_cards = 2 THEN 0.82e0 ELSE 0.2e0 END AS confidence FROM n""",
 )
 def device_neighbors(t):
     return network.device_neighbors(uses(t))
 
 
+@query("device_cards", f"{USES} SELECT device, card_id, count(*) AS n_txns, {AMOUNT} AS exposure FROM uses GROUP BY 1, 2")
+def device_cards(t):
+    return network.device_cards(uses(t))
+
+
 @query(
     "device_neighbors_window",
     f"""{USES}, c AS (SELECT device, min(ts) AS center_ts FROM uses GROUP BY 1),
-    n AS (SELECT u.device, string_agg(DISTINCT card_id, ',' ORDER BY card_id) AS cards, count(DISTINCT card_id) AS n_cards, count(DISTINCT customer_id) AS n_customers, count(*) AS n_txns, {AMOUNT} AS exposure
+    n AS (SELECT u.device, array_to_string(list_sort(list(DISTINCT card_id))[1:20], ',') AS cards, count(DISTINCT card_id) AS n_cards, count(DISTINCT customer_id) AS n_customers, count(*) AS n_txns, {AMOUNT} AS exposure
           FROM uses u JOIN c ON c.device = u.device AND u.ts BETWEEN c.center_ts - interval '2' day AND c.center_ts + interval '2' day GROUP BY 1)
     SELECT *, CASE WHEN n_cards >= 3 THEN 0.95e0 WHEN n_cards = 2 THEN 0.82e0 ELSE 0.2e0 END AS confidence FROM n""",
 )
@@ -57,7 +62,7 @@ def connected_cards(t):
 
 
 def _cluster(key: str, confidence: str) -> str:
-    return f"""{INVOLVES}, c AS (SELECT t.{key}, count(*) AS n_cases, count(DISTINCT k.card_id) AS n_cards, string_agg(DISTINCT k.card_id, ',' ORDER BY k.card_id) AS cards,
+    return f"""{INVOLVES}, c AS (SELECT t.{key}, count(*) AS n_cases, count(DISTINCT k.card_id) AS n_cards, array_to_string(list_sort(list(DISTINCT k.card_id))[1:20], ',') AS cards,
     CAST(sum(CAST(exposure_usd AS DECIMAL(18,2))) AS DOUBLE) AS exposure FROM txn t JOIN inv ON inv.txn_id = t.txn_id JOIN closed_case k ON k.case_id = inv.case_id
     WHERE outcome = 'confirmed_fraud' AND t.{key} IS NOT NULL GROUP BY 1) SELECT *, {confidence} AS confidence FROM c"""
 

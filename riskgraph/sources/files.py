@@ -24,8 +24,12 @@ ANSWER = (
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the session's shared checkpoint folder (a temporary one where none is set, as in tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-scratch-")
+    """A new folder in the session's shared checkpoint folder. Where none is set, a temporary one on this machine, if it is the only one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-scratch-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
