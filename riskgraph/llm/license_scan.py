@@ -63,10 +63,14 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
-NEGATIONS = ("not", "never", "no")  # in a window or up to five words before it they deny the licence, if the template has none
+TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(name for name, _ in TEMPLATES))
+NEGATIONS = ("not", "never", "no")  # in a window or up to five words before it, in the sentence of its first word, they deny the licence, if the template has none
+SPELLED = {"agpl": "affero", "bsl": "boost", "by": "attribution", "cc": "creative", "gpl": "gnu", "lgpl": "lesser", "mpl": "mozilla", "nc": "noncommercial", "sa": "sharealike"}  # parts of names as notices spell them
+SHORT = 20  # words of a template that is a notice and not a licence's text
 
 FILE = re.compile(r"(?:^|/)(?:licen[cs]e|copying|unlicense|notice)(?:[.-][^/]*)?$", re.I)
 TOKEN = re.compile(r"(?:[0-9a-z_]|[^\x00-\x7f])+")
+END = re.compile(r"[.!?][\"')\]]*\s+(?![0-9])|\n\s*\n")
 
 
 def words(text: str) -> list[str]:
@@ -74,6 +78,19 @@ def words(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def demands(name: str, tokens: list[str]) -> tuple[list[set[str]], set[str]]:
+    """What a window must have of the licence's name, as far as the template has it: of each word one form, and the numbers, if the window states any.
+
+    Of a licence's text only the numbers, and those only where it states a version.
+    """
+    parts = words(name)
+    numbers = {w for w in parts if w.isdigit() and w in tokens} - {"0"}
+    if len(tokens) > SHORT:
+        return [], numbers if "version" in tokens else set()
+    forms = [{w, SPELLED.get(w, w)} for w in ("spdx", "identifier", *parts) if not w.isdigit()]
+    return [f for f in forms if f & set(tokens)], numbers
+
+
 VOCABULARY = tuple(sorted({w for _, t in TEMPLATES for w in words(t)} | set(NEGATIONS)))
 _hashes = word_hashes([" ".join(VOCABULARY)])[0]
 _order = np.argsort(_hashes)
@@ -113,8 +130,6 @@ class Matcher:
         self.idf = np.array([*idf, sum(idf) / len(idf)])
         self.threshold = threshold
         place = {w: i for i, w in enumerate(VOCABULARY)}
-        self.denied = np.zeros(len(self.idf), bool)
-        self.denied[[place[w] for w in NEGATIONS]] = True
         self.templates = []
         for name, text in TEMPLATES:
             tokens = words(text)
@@ -123,6 +138,7 @@ class Matcher:
                 vector[place[w]] = c * self.idf[place[w]]
             vector /= np.linalg.norm(vector)
             self.templates.append((name, len(tokens), vector, vector * self.idf, not any(w in NEGATIONS for w in tokens)))
+        self.demands = [demands(name, words(text)) for name, text in TEMPLATES]
 
     def cosine(self, vector: np.ndarray, at: np.ndarray, h: np.ndarray) -> float:
         """Of a window with words at ``at`` of VOCABULARY and hashes ``h``."""
@@ -130,6 +146,23 @@ class Matcher:
         weight = many * self.idf[at[first]]
         return float(min(1.0, weight @ vector[at[first]] / np.linalg.norm(weight)))
 
+    def fits(self, k: int, low: str, tokens: list[tuple[str, int, int]], a: int, b: int) -> bool:
+        """Whether the window of the words from ``a`` to before ``b`` has the words and version that template ``k`` demands, and no negation in the sentence it begins in.
+
+        A number that follows "version" or "v" within three words behind the window is taken for the window's.
+        """
+        names, numbers = self.demands[k]
+        own = [w for w, _, _ in tokens[a:b]]
+        behind = [w for (w, _, _), (before, _, _) in zip(tokens[b : b + 3], tokens[b - 1 :]) if before in ("version", "v")]
+        stated = {w for w in own + behind if w.isdigit() and len(w) <= 2}
+        if not all(f & set(own) for f in names) or (stated and not numbers <= stated):
+            return False
+        if self.templates[k][4]:
+            for j in range(max(0, a - 5), b):
+                if tokens[j][0] in NEGATIONS and not END.search(low, tokens[min(a, j)][2], tokens[max(a, j)][1] + 1):
+                    return False
+        return True
+
     def windows(self, texts: list[str]):
         """(text, cosine, template, first word, words) of all windows that reach the threshold, and each text's number of words.
 
@@ -141,21 +174,25 @@ class Matcher:
         ends = np.repeat(np.cumsum(counts), counts)
         owner = np.repeat(np.arange(len(texts)), counts)
         squares = np.concatenate([[0.0], np.cumsum(self.idf[at] ** 2)])
-        denials = np.concatenate([[0], np.cumsum(self.denied[at])])
+        starts = np.cumsum(counts) - counts
+        read: dict[int, tuple] = {}  # lower-cased texts with their words, of those that have a window
         begin = np.flatnonzero(at < len(VOCABULARY))
         out = []
-        for k, (_, size, vector, gain, plain) in enumerate(self.templates):
+        for k, (_, size, vector, gain, _) in enumerate(self.templates):
             sums = np.concatenate([[0.0], np.cumsum(gain[at])])
             stop = np.minimum(begin + size, ends[begin])
             reach = (sums[stop] - sums[begin]) >= (self.threshold - 1e-9) * np.sqrt(squares[stop] - squares[begin])
             reach &= 2 * (stop - begin) >= size
             for a, b in zip(begin[reach].tolist(), stop[reach].tolist()):
-                before = max(a - 5, int(ends[a] - counts[owner[a]]))
-                if plain and denials[b] > denials[before]:
-                    continue
                 c = self.cosine(vector, at[a:b], h[a:b])
-                if c >= self.threshold:
-                    out.append((int(owner[a]), c, k, a, b - a))
+                if c < self.threshold:
+                    continue
+                i = int(owner[a])
+                if i not in read:
+                    low = texts[i].lower()
+                    read[i] = low, [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(low)]
+                if self.fits(k, *read[i], a - int(starts[i]), b - int(starts[i])):
+                    out.append((i, c, k, a, b - a))
         return out, counts
 
     def scan(self, texts: list[str]) -> list[tuple[str | None, float, float]]:

@@ -230,6 +230,10 @@ def best_by_hand(matcher, text):
         for a in range(len(tokens)):
             part = tokens[a : a + len(own)]
             denied = not set(own) & set(license_scan.NEGATIONS) and set(tokens[max(0, a - 5) : a + len(part)]) & set(license_scan.NEGATIONS)
+            digits = [w for w in license_scan.words(name) if w in own and w.isdigit() and w != "0" and (len(own) <= 20 or "version" in own)]
+            letters = [(w, license_scan.SPELLED.get(w)) for w in ["spdx", "identifier", *license_scan.words(name)] if not w.isdigit() and len(own) <= 20]
+            stated = [w for i, w in enumerate(tokens) if a <= i < a + len(part) + 3 and w.isdigit() and len(w) < 3 and (i < a + len(part) or tokens[i - 1] in ("version", "v"))]
+            denied = denied or any(not (w in part or s in part) for w, s in letters if w in own or s in own) or any(w not in stated for w in digits if stated)
             if tokens[a] not in idf or denied or 2 * len(part) < len(own):
                 continue
             w = weigh(part)
@@ -254,6 +258,17 @@ def test_licences_equal_brute_force():
     assert [f[0] for f in matcher.scan(texts)][:4] == [None] * 4
 
 
+def test_sentences_versions_and_identifiers():
+    wanted = {
+        "There is no fee. Released under the MIT License.": "MIT", "There is no fee! released under the MIT License": "MIT", "This is not released under the MIT License.": None,
+        "No part of it is old.\n\nReleased under the MIT License": "MIT", "It was never (v. 2) released under the MIT License": None,
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under the Apache License, Version 3.0.": None, "x y z Licensed under the Apache License, Version 1.1": None, "Licensed under the Apache License.": "Apache-2.0",
+        "This work is licensed under the GNU General Public License, version 3": "GPL-3.0", "Released under the XYZ License": None, "Licensed under the BSD 3-Clause License": "BSD-3-Clause",
+        "// SPDX-License-Identifier: MIT\nint main": "MIT", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "SPDX-License-Identifier: CC-BY-SA-4.0": "CC-BY-SA-4.0", "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause", "SPDX-License-Identifier: Foo": None,
+    }
+    assert {t: f[0] for t, f in zip(wanted, flat_matcher().scan(list(wanted)))} == wanted
+
+
 def test_a_notice_within_a_long_line():
     text = "plain words stand here " * 125 + "Released under the MIT License. " + "and go on after it " * 120
     assert flat_matcher().scan([text, text.replace(" ", "\n")])[0][0] == "MIT"
