@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,18 +24,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def tagged(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, list[str]]:
+def tagged(df: DataFrame, row_id: str, text: str, unsigned: Column | None = None) -> tuple[DataFrame, list[str]]:
     """``df`` with ``__tag``, and the columns that tell its rows apart: the id alone where ids are unique, else also a 64-bit hash of the text.
 
     The hash is drawn anew until no two texts of one id share it, as 60 bits of another hash tell.
-    Rows of one id and text are one to both columns.
+    Rows of one id and text are one to both columns. With ``unsigned`` the tags of a table with repeated ids are
+    negative except in the rows that it holds for, which sets these apart from others of the same id.
     """
     repeated = df.groupBy(row_id).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if not repeated:
         return df.withColumn("__tag", F.lit(0).cast("long")), [row_id]
     other = F.coalesce(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(-1))
     for seed in itertools.count():
-        found = df.withColumn("__tag", F.xxhash64(F.lit(seed), text))
+        tag = F.xxhash64(F.lit(seed), text)
+        if unsigned is not None:
+            tag = F.when(unsigned, tag.bitwiseAND(F.lit(2**63 - 1))).otherwise(tag.bitwiseOR(F.lit(-(2**63))))
+        found = df.withColumn("__tag", tag)
         met = found.select(row_id, "__tag", other.alias("other")).groupBy(row_id, "__tag").agg(F.min("other").alias("a"), F.max("other").alias("b"))
         if not met.where("a <> b").limit(1).count():
             return found, [row_id, "__tag"]

@@ -36,7 +36,7 @@ HELD = 1 << 24  # bytes of text whose samples a task gathers before it sends the
 PIECE = 1 << 22  # a document's bytes beyond this are read as further pieces
 OVERLAP = 256  # of pieces, so that each window lies whole in one, with all that its sample's sides need
 PLACE = 23  # bits of a place within a block
-NO_ID = 2**63 - 1
+NO_ID = 2**63 - 1  # stands for null; a row of this very id comes before nulls, as their tags tell (see ``_nulls``)
 
 STEP = U(0x9DDFEA08EB382D69)
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
@@ -132,15 +132,32 @@ FOUND = (("id", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("more", "u1"))
 WINDOW = (("rank", "<u8"), ("check", "<u4"), ("id", "<i8"), ("tag", "<i8"), ("at", "<u4"))
 
 
+def _nulls(s: dict) -> np.ndarray:
+    """Which rows have a null id: those that stand for it and whose tag isn't negative (also a row of that very id, if no other shares it)."""
+    return (s["id"] == NO_ID) & (s["tag"] >= 0)
+
+
+def _by_document(s: dict) -> tuple[np.ndarray, ...]:
+    """Sort keys, the main one last, that put rows in the order of their documents."""
+    nulls = _nulls(s)
+    return (nulls, s["id"]) if nulls.any() else (s["id"],)
+
+
+def _after_first(s: dict, run: np.ndarray) -> np.ndarray:
+    """Which rows are of a later document than the first row of their run."""
+    if not len(run):
+        return run
+    first, nulls = np.flatnonzero(run)[np.cumsum(run) - 1], _nulls(s)
+    return (s["id"] > s["id"][first]) | (nulls & ~nulls[first])
+
+
 def _settled(s: dict) -> np.ndarray:
-    """Of samples sorted by (key, left, right, rank, id): which tie over their whole stretch with an earlier document."""
-    run = runs(s["key"], s["left"], s["right"], s["rank"])
-    least = s["id"][np.flatnonzero(run)][np.cumsum(run) - 1] if len(run) else s["id"]
-    return s["id"] > least
+    """Of samples sorted by (key, left, right, rank, document): which tie over their whole stretch with an earlier document."""
+    return _after_first(s, runs(s["key"], s["left"], s["right"], s["rank"]))
 
 
 def _ordered(s: dict) -> dict:
-    return take(s, np.lexsort((s["id"], s["rank"], s["right"], s["left"], s["key"])))
+    return take(s, np.lexsort((*_by_document(s), s["rank"], s["right"], s["left"], s["key"])))
 
 
 def _gather(buckets: int):
@@ -151,7 +168,7 @@ def _gather(buckets: int):
             return
         home = np.concatenate([h for h, _ in held])
         s = joined([x for _, x in held], SAMPLE)
-        order = np.lexsort((s["id"], s["rank"], s["right"], s["left"], s["key"], home))
+        order = np.lexsort((*_by_document(s), s["rank"], s["right"], s["left"], s["key"], home))
         s, home = take(s, order), home[order]
         known = _settled(s)
         if known.any():
@@ -203,13 +220,13 @@ def resolve(s: dict) -> tuple[dict, dict]:
     # what is left may tie with another document over K bytes and G more on a side
     ties = {}
     for side in ("left", "right"):
-        order = np.lexsort((s["id"], s[side], s["key"]))
-        run = runs(s["key"][order], s[side][order])
-        start = np.flatnonzero(run)
+        order = np.lexsort((*_by_document(s), s[side], s["key"]))
+        at = take({c: s[c] for c in ("key", side, "id", "tag")}, order)
+        run = runs(at["key"], at[side])
         tie = np.zeros(len(order), bool)
-        if len(start):
-            low, high = np.minimum.reduceat(s["id"][order], start), np.maximum.reduceat(s["id"][order], start)
-            tie[order] = (low < high)[np.cumsum(run) - 1]
+        if len(order):
+            end = np.append(run[1:], True)  # the last of each run is of its latest document
+            tie[order] = _after_first(at, run)[end][np.cumsum(run) - 1]
         ties[side] = tie
     # a window with G bytes or more on a side that doesn't tie is in no other document
     place = s["at"].astype(np.int64) + s["off"]
@@ -265,9 +282,8 @@ def _per_document(bucket, cells):
 
 
 def _first_of_each(w: dict) -> np.ndarray:
-    """Of windows sorted by (rank, check, id): whether an earlier document has each."""
-    run = runs(w["rank"], w["check"])
-    return w["id"] > w["id"][np.flatnonzero(run)][np.cumsum(run) - 1] if len(run) else run
+    """Of windows sorted by (rank, check, document): whether an earlier document has each."""
+    return _after_first(w, runs(w["rank"], w["check"]))
 
 
 def _windows(buckets: int, homes: int):
@@ -275,7 +291,7 @@ def _windows(buckets: int, homes: int):
 
     def send(held):
         w = joined(held, WINDOW)
-        w = take(w, np.lexsort((w["id"], w["check"], w["rank"])))
+        w = take(w, np.lexsort((*_by_document(w), w["check"], w["rank"])))
         known = _first_of_each(w)
         found = take(w, known)
         late = pack({c: found[c] if c != "more" else np.zeros(len(found["id"])) for c, _ in FOUND}, FOUND)
@@ -316,7 +332,7 @@ def _windows(buckets: int, homes: int):
 def _sort_windows(homes: int):
     def finish(bucket, cells):
         w = joined([unpack(x, WINDOW) for x in cells["windows"]], WINDOW)
-        w = take(w, np.lexsort((w["id"], w["check"], w["rank"])))
+        w = take(w, np.lexsort((*_by_document(w), w["check"], w["rank"])))
         late = take(w, _first_of_each(w))
         found = {c: late[c] if c != "more" else np.zeros(len(late["id"]), "u1") for c, _ in FOUND}
         yield from _to_documents(joined([found, *(unpack(x, FOUND) for x in cells["found"])], FOUND), "settled", homes)
@@ -366,8 +382,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     buckets = parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("__id"), F.col(text).cast("string").alias("__text"), F.struct(F.col(doc_id), *keep).alias("__row"))
-    rows, keys = tagged(rows, "__id", "__text")
+    own = F.col(doc_id).cast("long")
+    rows = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("__id"), own.isNull().alias("__null"), F.col(text).cast("string").alias("__text"), F.struct(F.col(doc_id), *keep).alias("__row"))
+    rows, keys = tagged(rows, "__id", "__text", F.col("__null"))
     homed = "bucket int, settled binary, open binary"
     by_document = "__id bigint, __tag bigint, settled binary, open binary"
 

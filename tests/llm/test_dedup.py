@@ -54,6 +54,17 @@ def random_docs(seed, n=40):
     return rows
 
 
+def test_suffix_dedup_puts_nulls_after_the_largest_id(spark):
+    """Null rows lose what the row of id 2^63-1 holds, not the other way round, and nothing to each other."""
+    rng, last = random.Random(9), 2**63 - 1
+    passage, other, third = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (400, 90, 70))
+    rows = [(None, passage), (None, f"one {passage[30:300]} {other}"), (None, f"two {other} {third}"), (last, f"x{passage}"), (last, f"{third} {passage[:120]}"), (5, passage[200:260])]
+    for given in (rows, rows[:4], rows[1:], [rows[0], rows[3]], [rows[0]], [rows[3], rows[5]]):
+        got = removed_by_spark(spark, given)
+        assert got == removed_by_hand(given)
+    assert removed_by_spark(spark, [rows[0], rows[3]])[None][0][1] == 400
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_suffix_dedup_equals_brute_force(spark, seed):
     rows = random_docs(seed)
