@@ -31,9 +31,8 @@ def case_memory_lookup(alerts: DataFrame, cases: DataFrame, connected: DataFrame
 def cases_by_shared_device(txn: DataFrame, identity: DataFrame, cases: DataFrame) -> DataFrame:
     """Pairs of a customer and the cases of other customers that use the same device (by its name)."""
     users = txn.select("txn_id", "customer_id").join(identity.where("device_info IS NOT NULL").select("txn_id", "device_info"), "txn_id").select("customer_id", "device_info").distinct()
-    others = users.select(F.col("customer_id").alias("other"), "device_info")
-    pairs = users.join(others, "device_info").where("customer_id <> other").select("customer_id", "other").distinct()
-    return pairs.join(cases.select(F.col("customer_id").alias("other"), "case_id"), "other").select("customer_id", "case_id").distinct()
+    known = users.withColumnRenamed("customer_id", "other").join(cases.select(F.col("customer_id").alias("other"), "case_id"), "other")  # only customers with cases meet the device's others
+    return users.join(known, "device_info").where("customer_id <> other").select("customer_id", "case_id").distinct()
 
 
 def case_exposure(involves: DataFrame, txn: DataFrame) -> DataFrame:
