@@ -91,3 +91,20 @@ def test_similar_cases_equal_brute_force_and_few_pairs_meet(spark):
     assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip([r for r in got if r[0] in some], want))
     n = notes.count()
     assert sum(df.count() for df in search.met) < n * n / 10
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_search_in_blocks_equals_brute_force(spark, monkeypatch, k):
+    """Copies over many small blocks, ids as numbers and strings, texts without terms; what is shuffled is no pair."""
+    monkeypatch.setattr(retrieval, "BLOCK", {"doc": 7, "query": 5})
+    monkeypatch.setattr(retrieval, "HELD", 10)
+    monkeypatch.setattr(retrieval, "DENSE", 6)
+    rng = random.Random(k)
+    bodies = [rng.choice(["same old story", "same old tale", None, "", " ".join(f"w{int(rng.expovariate(0.1))}" for _ in range(rng.randint(1, 25)))]) for _ in range(150)]
+    for kind, name in (("bigint", lambda i: i), ("string", lambda i: f"D-{i}")):
+        docs = spark.createDataFrame([(name(i), b, i) for i, b in enumerate(bodies)], f"doc_id {kind}, content string, n int").repartition(4)
+        index = [tuple(r) for r in retrieval.tfidf_index(docs).collect()]
+        asked = {name(i) for i in range(0, 150, 2)}
+        got = retrieval.search_documents(docs, docs.where("n % 2 = 0"), k, among=docs.where("n % 3 > 0"))
+        want = by_hand([r for r in index if r[0] in {name(i) for i in range(150) if i % 3}], [r for r in index if r[0] in asked], k)
+        assert sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in got.collect()) == want
