@@ -16,3 +16,8 @@ def plan(spark, name):
 def test_case_subgraph_limits_cards_and_devices_before_alerts_meet_them(spark):
     limits = re.findall(r"WindowGroupLimit \[(\w+)#", plan(spark, "case_subgraph"))
     assert {"card_id", "device"} <= set(limits)
+
+
+def test_connected_cards_shuffles_no_pairs(spark):
+    before_pairs = plan(spark, "connected_cards").split("Generate explode(others")
+    assert len(before_pairs) == 2 and "Exchange" not in before_pairs[0]
