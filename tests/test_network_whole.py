@@ -21,3 +21,9 @@ def test_case_subgraph_limits_cards_and_devices_before_alerts_meet_them(spark):
 def test_connected_cards_shuffles_no_pairs(spark):
     before_pairs = plan(spark, "connected_cards").split("Generate explode(others")
     assert len(before_pairs) == 2 and "Exchange" not in before_pairs[0]
+
+
+@pytest.mark.parametrize("name", ["device_neighbors"])
+def test_every_card_is_listed(spark, name):
+    rows = contract.queries()[name](spark, DATA).collect()
+    assert max(r.n_cards for r in rows) > 20 and all(len(r.cards.split(",")) == r.n_cards for r in rows)
