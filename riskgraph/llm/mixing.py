@@ -1,7 +1,7 @@
 """Mixing sources to target weights by raking, and sampling documents by calibrated probabilities.
 
-Documents have no topic, so topics are learnt: within each language, k-means on the words of a
-bounded sample of its own. Token counts are summed to cells of source, language and topic. Iterative
+Documents have no topic, so topics are learnt: within each language, k-means on the words of all
+its documents. Token counts are summed to cells of source, language and topic. Iterative
 proportional fitting scales the cells in turn to each target marginal until
 all agree. A cell's fitted over observed tokens is its documents' weight; the sampling probability is the weight over the
 largest weight, so the expected tokens of the sample stand in the fitted proportions.
@@ -28,13 +28,13 @@ DIMS = 4096  # classes of hashed words
 
 @dataclass(frozen=True)
 class TopicParams:
-    """``sample`` bounds the documents that a language's topics are learnt from: of distinct rows the first by a hash of id and text.
+    """Topics are learnt from all documents of a language; where ``sample`` is given, from so many of its distinct rows, the first by a hash of id and text.
 
-    ``languages`` bounds what the driver and the tasks hold: the languages with most documents have topics of their own, all others share those learnt from a sample of all of them.
+    ``languages`` bounds what the driver and the tasks hold: the languages with most documents have topics of their own, all others share those learnt from all of them together.
     """
 
     topics: int = 4
-    sample: int = 4000
+    sample: int | None = None
     languages: int = 200
     rounds: int = 10
 
@@ -72,16 +72,21 @@ def k_means(rows: list[np.ndarray], p: TopicParams) -> np.ndarray:
     return (centres * idf).astype(np.float32)
 
 
-def topic_sample(docs: DataFrame, p: TopicParams = TopicParams(), text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """``lang`` (null: the languages that share theirs), ``order`` and ``text``: a few more than ``sample`` distinct rows of each, all whose hash is low enough.
-
-    Distinct rows are counted by sketches, so that neither copies nor a language's share change how many are taken. A repeated row comes as often as it is there.
-    """
+def _rows(docs: DataFrame, p: TopicParams, text: str, doc_id: str, lang: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with text as ``lang``, ``text`` and ``order`` (a hash), the sizes of the languages, and those of them that have topics of their own."""
     language = F.coalesce(F.col(lang).cast("string"), F.lit(NONE))
     order = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col(doc_id), text), 1)
     rows = docs.select(language.alias("lang"), F.col(text).cast("string").alias("text"), order.alias("order")).where("text <> ''")
     sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("order", 0.02).alias("distinct")))
-    large = sizes.orderBy(F.desc("n"), "lang").limit(p.languages).select("lang", F.col("lang").alias("own"), "distinct")
+    return rows, sizes, sizes.orderBy(F.desc("n"), "lang").limit(p.languages).select("lang", F.col("lang").alias("own"), "distinct")
+
+
+def topic_sample(docs: DataFrame, p: TopicParams, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """``lang`` (null: the languages that share theirs), ``order`` and ``text``: a few more than ``sample`` distinct rows of each, all whose hash is low enough.
+
+    Distinct rows are counted by sketches, so that neither copies nor a language's share change how many are taken. A repeated row comes as often as it is there.
+    """
+    rows, sizes, large = _rows(docs, p, text, doc_id, lang)
     rest = sizes.join(F.broadcast(large.select("lang")), "lang", "left_anti").agg(F.sum("distinct")).first()[0] or 1
     wanted = 1.1 * (p.sample + 6 * p.sample**0.5 + 10)  # enough for the first ``sample``, whatever the sketch's and the hashes' errors
     met = rows.join(F.broadcast(large), "lang", "left")
@@ -89,10 +94,109 @@ def topic_sample(docs: DataFrame, p: TopicParams = TopicParams(), text: str = "t
     return met.where(F.col("order") < share * float(2**63)).select(F.col("own").alias("lang"), "order", "text")
 
 
+ELEMENTS = 500_000  # word classes that a task works at a time
+UNIT = 2.0**20  # weights are summed as whole numbers of this part, so that sums don't depend on the order of rows
+
+
+def _parts(batches):
+    """(language, orders, at, starts) of a few rows of one language at a time: all their word classes in ``at``, each row's from its start."""
+    for batch in batches:
+        groups: dict[str | None, list] = {}
+        sizes: dict[str | None, int] = {}
+        for lang, order, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            group = groups.setdefault(lang, [])
+            group.append((order, at))
+            sizes[lang] = sizes.get(lang, 0) + len(at) // 2
+            if sizes[lang] > ELEMENTS:
+                yield _flat(lang, groups.pop(lang))
+                sizes[lang] = 0
+        for lang, group in groups.items():
+            yield _flat(lang, group)
+
+
+def _flat(lang, group):
+    sizes = np.array([len(at) // 2 for _, at in group])
+    return lang, [o for o, _ in group], np.frombuffer(b"".join(at for _, at in group), "<i2").astype(np.int64), np.cumsum(sizes) - sizes
+
+
+def _unit(at: np.ndarray, starts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    x = idf[at]
+    norm = np.maximum(np.sqrt(np.add.reduceat(x * x, starts)), 1e-9)
+    return x / np.repeat(norm, np.diff(np.append(starts, len(at))))
+
+
+def _k_means_of_all(rows: DataFrame, p: TopicParams) -> dict[str | None, np.ndarray]:
+    """``k_means`` of all rows (lang, order, at) in the order of ``order``, language by language, as passes over them: the tasks add up whole numbers and the driver holds the centres."""
+
+    def summed(of) -> dict[str | None, np.ndarray]:
+        def run(batches):
+            sums: dict = {}
+            for lang, _, at, starts in _parts(batches):
+                sums[lang] = sums.get(lang, 0) + of(lang, at, starts)
+            for lang, total in sums.items():
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang], pa.string()), "sums": pa.array([total.astype(np.int64).tobytes()], pa.binary())})
+
+        def add(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(b, np.int64) for b in table["sums"].to_pylist())
+            return pa.table({"lang": table["lang"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+        found = rows.mapInArrow(run, "lang string, sums binary").groupBy("lang").applyInArrow(add, "lang string, sums binary")
+        return {r.lang: np.frombuffer(r.sums, np.int64) for r in found.collect()}
+
+    def furthest(idf: dict, chosen: dict) -> dict[str | None, np.ndarray]:
+        """Of each language the row least like those chosen, of equals the first."""
+
+        def run(batches):
+            least: dict = {}
+            for lang, orders, at, starts in _parts(batches):
+                x = _unit(at, starts, idf[lang])
+                near = np.max([np.add.reduceat(c[at] * x, starts) for c in chosen[lang]] or [np.zeros(len(orders))], 0)
+                i = min(range(len(orders)), key=lambda i: (near[i], orders[i]))
+                end = starts[i + 1] if i + 1 < len(starts) else len(at)
+                found = (float(near[i]), orders[i], at[starts[i] : end].astype("<i2").tobytes())
+                least[lang] = min(least.get(lang, found), found)
+            if least:
+                columns = {n: pa.array([f[i] for f in least.values()], t) for i, (n, t) in enumerate((("near", pa.float64()), ("order", pa.int64()), ("at", pa.binary())))}
+                yield pa.RecordBatch.from_pydict({"lang": pa.array(list(least), pa.string())} | columns)
+
+        best = rows.mapInArrow(run, "lang string, near double, order bigint, at binary").groupBy("lang").agg(F.min(F.struct("near", "order", "at")).alias("m")).collect()
+        out = {}
+        for r in best:
+            at, out[r.lang] = np.frombuffer(r.m["at"], "<i2").astype(np.int64), np.zeros(DIMS)
+            out[r.lang][at] = _unit(at, np.zeros(1, np.int64), idf[r.lang])
+        return out
+
+    counts = summed(lambda lang, at, starts: np.append(np.bincount(at, minlength=DIMS), len(starts)))
+    idf = {lang: np.log((1 + c[-1]) / (1 + c[:-1])) for lang, c in counts.items()}
+    chosen: dict = {lang: [] for lang in idf}
+    for _ in range(p.topics):
+        for lang, row in furthest(idf, chosen).items():
+            chosen[lang].append(row)
+    centres = {lang: np.array(c) for lang, c in chosen.items()}
+    before: dict = {}
+    for _ in range(p.rounds):
+
+        def members(lang, at, starts, centres=centres):
+            x = _unit(at, starts, idf[lang])
+            own = np.argmax([np.add.reduceat(c[at] * x, starts) for c in centres[lang]], 0)
+            cell = np.repeat(own, np.diff(np.append(starts, len(at)))) * DIMS + at
+            return np.bincount(cell, np.floor(x * UNIT + 0.5), p.topics * DIMS).astype(np.int64)
+
+        sums = summed(members)
+        if all(np.array_equal(s, before.get(lang)) for lang, s in sums.items()):
+            break
+        before, centres = sums, {lang: c.copy() for lang, c in centres.items()}
+        for lang, s in sums.items():
+            s = s.reshape(p.topics, DIMS).astype(np.float64)
+            norm = np.linalg.norm(s, axis=1, keepdims=True)
+            centres[lang] = np.where(norm > 0, s / np.maximum(norm, 1e-9), centres[lang])
+    return {lang: (c * idf[lang]).astype(np.float32) for lang, c in centres.items()}
+
+
 def learn_topics(docs: DataFrame, p: TopicParams = TopicParams(), text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> dict[str | None, np.ndarray]:
-    """Each language's ``k_means`` weights, and under None those that all other languages share, learnt from ``sample`` documents each.
+    """Each language's ``k_means`` weights, and under None those that all other languages share, learnt from all documents (or ``sample`` of each).
 
-    Repeated rows count once. A language whose sample has no words has none. Fewer documents than topics leave topics without any.
+    Repeated rows count once. A language without words has none. Fewer documents than topics leave topics without any.
     """
 
     def describe(batches):
@@ -110,6 +214,11 @@ def learn_topics(docs: DataFrame, p: TopicParams = TopicParams(), text: str = "t
         weights = [k_means(rows, p).tobytes()] if rows else []
         return pa.table({"lang": pa.array([table["lang"][0].as_py()] * len(weights), pa.string()), "weights": pa.array(weights, pa.binary())})
 
+    if p.sample is None:
+        rows, _, large = _rows(docs, p, text, doc_id, lang)
+        owned = rows.join(F.broadcast(large.drop("distinct")), "lang", "left").select(F.col("own").alias("lang"), "order", "text")
+        found = owned.mapInArrow(describe, "lang string, order bigint, at binary").where("length(at) > 0")
+        return _k_means_of_all(cut(found.groupBy("lang", "order").agg(F.min("at").alias("at"))), p)
     found = topic_sample(docs, p, text, doc_id, lang).mapInArrow(describe, "lang string, order bigint, at binary")
     once = found.groupBy("lang", "order").agg(F.min("at").alias("at"))  # ``sample`` rows and a few of each language
     learnt = once.groupBy("lang").applyInArrow(train, "lang string, weights binary").collect()
@@ -208,7 +317,7 @@ def mix(docs: DataFrame, goals: list[DataFrame] | None = None, temperature: floa
     documents by ``join_hot``; both give the same rows.
     """
     named = docs.drop(*(f"mix_{c}" for c in MADE))
-    counted = with_topic(named, learn_topics(named, topics))
+    counted = cut(with_topic(named, learn_topics(named, topics)))  # written once, as words are dearer to find than text is to read
     key = [F.coalesce(F.col("source").cast("string"), F.lit(NONE)), F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), F.col("mix_topic")]
     grouped = counted.groupBy(*(k.alias(m) for k, m in zip(key, MARGINS)))
     cells = cut(grouped.agg(F.sum("mix_tokens").cast("double").alias("observed"), F.count("*").alias("many")))

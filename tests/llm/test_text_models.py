@@ -342,6 +342,19 @@ def test_topics_part_texts_by_their_words(spark):
     assert len({got[i] for i in range(200, 220)}) == 4 and got[200].startswith("xx/")
 
 
+def test_topics_are_learnt_from_all_documents(spark):
+    """As k-means over every distinct row, more than 4,000 of them; neither parts nor copies of rows change the topics."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice([f"{'pqrs'[i % 4]}{j}" for j in range(40)] + ["the", "of"]) for _ in range(20)), "en") for i in range(6000)] + [(i, f"z{i % 4}", f"t{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    p = mixing.TopicParams(languages=1)
+    model, again = (mixing.learn_topics(d, p) for d in (df.repartition(2), df.union(df.limit(500)).repartition(7)))
+    assert set(model) == {"en", None} and all(np.array_equal(model[k], again[k]) for k in model)
+    ordered = sorted((r.order, r.text) for r in mixing.topic_sample(df, mixing.TopicParams(sample=10_000, languages=1)).where("lang = 'en'").collect())
+    want = mixing.k_means([at for _, at in mixing._classes([t for _, t in ordered])], p)
+    assert len(ordered) == 6000 and np.allclose(model["en"], want, atol=1e-3)
+
+
 def test_topics_are_learnt_from_a_bounded_sample_of_each_language(spark, monkeypatch):
     rows = [(None, "the same words here", "en")] * 9000 + [(i, f"w{i} w{i % 7} words", "en") for i in range(3000)] + [(i, f"r{i} r{i % 5}", "rare") for i in range(60)]
     rows += [(i, f"z{i % 4} z{i % 4}a", f"tiny{i % 30}") for i in range(300)] + [(7, None, "en"), (8, "", None), (9, "?!", "signs")]
