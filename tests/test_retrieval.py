@@ -108,3 +108,18 @@ def test_search_in_blocks_equals_brute_force(spark, monkeypatch, k):
         got = retrieval.search_documents(docs, docs.where("n % 2 = 0"), k, among=docs.where("n % 3 > 0"))
         want = by_hand([r for r in index if r[0] in {name(i) for i in range(150) if i % 3}], [r for r in index if r[0] in asked], k)
         assert sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_copies_meet_once_and_each_is_answered(spark, monkeypatch, alike):
+    """300 documents of few texts over five partitions, of which a task puts only some together: the results are those of brute force, and blocks hold a text once with its k + 1 first ids."""
+    monkeypatch.setattr(retrieval, "BLOCK", {"doc": 4, "query": 3})
+    monkeypatch.setattr(retrieval, "TOGETHER", 1000)
+    rng = random.Random(7)
+    bodies = ["same old story", "old story same same", "same old tale", "", "one alone"] + [rng.choice(["same old story", "same old tale", f"tale w{rng.randint(0, 5)}"]) for _ in range(295)]
+    docs = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "doc_id bigint, content string").repartition(5)
+    index = [tuple(r) for r in retrieval.tfidf_index(docs).collect()]
+    got = retrieval.search_documents(docs, docs.where("doc_id % 2 = 0"), 3, alike=alike)
+    assert sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in got.collect()) == by_hand(index, [r for r in index if r[0] % 2 == 0], 3)
+    classes = retrieval._weighed(docs, retrieval.vocabulary(docs), "content", retrieval.STOP_WORDS, True, 4).collect()
+    assert len({bytes(c.key) for c in classes}) <= 10 and max(len(c.ids) for c in classes) == 4 and len(classes) < 290
