@@ -142,3 +142,15 @@ def test_policy_table(spark):
 def test_sentences(spark):
     df = spark.createDataFrame([("One is. Two are! No. And three?",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(sentence_count(F.col("t"))).collect()][:2] == [3, 0]
+
+
+def test_activity_of_one_customer_is_shared_by_tasks(spark):
+    """Times on the edges of the window and of stretches, missing ones, two alerts on a transaction; one customer's pairs come from many tasks."""
+    start = datetime(2024, 1, 3)
+    txn = [(str(i), "c" if i % 9 else "d", start + timedelta(hours=12 * i) if i % 31 else None, float(i)) for i in range(120)]
+    alerts = [(f"A{n}-{i}", str(i)) for i in range(0, 120, 5) for n in range(1 + (i == 50))]
+    got = cards.activity_window(spark.createDataFrame(txn, "txn_id string, customer_id string, ts timestamp_ntz, amt double"), spark.createDataFrame(alerts, "case_id string, flagged_txn_id string"))
+    of = {t[0]: t for t in txn}
+    want = [(a, t[0], t[2], t[3], t[0] == f) for a, f in alerts for t in txn if of[f][2] and t[2] and t[1] == of[f][1] and abs(t[2] - of[f][2]) <= timedelta(days=7)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 10
