@@ -5,15 +5,13 @@ from __future__ import annotations
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.functions.expressions import ranked
 from riskgraph.functions.params import Model
+from riskgraph.operators import trees
 from riskgraph.operators.features import FEATURES
 
 
@@ -36,33 +34,35 @@ class FraudModel:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with ``probability``: the folds' mean to four decimals; missing features are 0."""
-        out = _assembled(df)
+        out = df.withColumn("_p", trees.probabilities([boosted for boosted, _ in self.pairs], _given()))
         columns = []
-        for i, (trees, calibrator) in enumerate(self.pairs):
-            out = trees.setPredictionCol(f"_y{i}").setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").transform(out).withColumn(f"_s{i}", vector_to_array(f"_p{i}")[1])
-            out = calibrator.setFeaturesCol(f"_s{i}").setPredictionCol(f"_c{i}").transform(out)
+        for i, (_, calibrator) in enumerate(self.pairs):
+            out = calibrator.setFeaturesCol(f"_s{i}").setPredictionCol(f"_c{i}").transform(out.withColumn(f"_s{i}", F.col("_p")[i]))
             columns.append(F.col(f"_c{i}"))
         mean = sum(columns[1:], columns[0]) / len(columns)
         return out.withColumn("probability", F.round(mean, 4)).select(*df.columns, "probability")
 
 
-def _assembled(df: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(df.fillna(0, list(FEATURES)))
+def _given() -> list:
+    """The features as doubles, 0 where they are missing."""
+    return [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(0.0)) for c in FEATURES]
 
 
 def train(df: DataFrame, key: str, label: str = "y", p: Model = Model()) -> FraudModel:
     """Each fold's trees are fitted on the other folds and calibrated on the fold itself.
 
-    Every level of every tree is a job over the rows, so they are cached in partitions of about ``p.rows_per_task``, and the folds' jobs run side by side.
+    Every level of a round's trees is one job for all folds over cached blocks of about ``p.rows_per_task`` rows, or larger ones where these
+    would be more than a few for each core.
     """
     spark = df.sparkSession
-    parts = max(1, -(-df.count() // p.rows_per_task))
-    rows = _assembled(folds(df, key, p.folds, p.seed)).repartition(parts, key).cache()
+    parts = max(1, min(-(-df.count() // p.rows_per_task), trees.WAVES * spark.sparkContext.defaultParallelism))
+    given = [c.alias(name) for name, c in zip(FEATURES, _given())]
+    rows = folds(df, key, p.folds, p.seed).select(key, label, "fold", *given).repartition(parts, key).sortWithinPartitions(key).cache()
+    models = trees.boost(rows, list(FEATURES), label, "fold", p.folds, p.depth, p.rounds, p.step, p.min_leaf)
 
     def fit(i: int):
-        trees = GBTClassifier(featuresCol="_x", labelCol=label, maxDepth=p.depth, maxIter=p.rounds, stepSize=p.step, minInstancesPerNode=p.min_leaf, seed=p.seed).fit(rows.where(F.col("fold") != i))
-        held = trees.transform(rows.where(F.col("fold") == i)).withColumn("_s", vector_to_array("probability")[1])
-        return trees, IsotonicRegression(featuresCol="_s", labelCol=label, predictionCol="_c").fit(held)
+        held = rows.where(F.col("fold") == i).select(label, trees.probabilities([models[i]], list(FEATURES))[0].alias("_s"))
+        return models[i], IsotonicRegression(featuresCol="_s", labelCol=label, predictionCol="_c").fit(held)
 
     with ThreadPool(p.folds) as pool:
         pairs = pool.map(inheritable_thread_target(spark)(fit), range(p.folds))
