@@ -45,6 +45,11 @@ def device_key(parts=DEVICE_PARTS) -> Column:
     return F.coalesce(F.nullif(F.concat_ws(" | ", *known), F.lit("")), F.lit(UNKNOWN))
 
 
+def keyed(identity: DataFrame) -> DataFrame:
+    """``identity`` with ``device``, unless it has one."""
+    return identity if "device" in identity.columns else identity.withColumn("device", device_key())
+
+
 def devices(identity: DataFrame) -> DataFrame:
     """Device profiles other than unknown, with the parts and type of their first transaction by id."""
     keyed = identity.withColumn("id", device_key()).where(F.col("id") != UNKNOWN)

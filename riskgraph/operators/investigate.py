@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskgraph.functions.expressions import money, total
 from riskgraph.functions.params import CardTesting, Ring
-from riskgraph.operators import cards, evaluate, memory, network, policy
+from riskgraph.operators import cards, evaluate, graph, memory, network, policy
 
 #: Patterns in order of preference, and the feature that scores each.
 PATTERN_SCORES = {"card_testing": "conf_testing", "card_not_present_new_device": "conf_new_device", "out_of_region_use": "conf_region", "account_takeover": "conf_ato", "card_not_present_fraud": "conf_burst"}
@@ -25,7 +25,16 @@ def evidence_items(alerts: DataFrame, txn: DataFrame, identity: DataFrame, close
     other cards on the flagged device and prior cases. A ring's claim names its device and their number, as a device may have
     any number of cards (``network.connected_cards`` lists them all); of prior cases the first ``listed`` by id are named.
     """
-    own = network.checkpointed(txn.join(alerts.select("card_id").distinct(), "card_id", "left_semi"))  # windows only over cards that have an alert; five readers
+    alerts = network.checkpointed(alerts.select("case_id", "card_id", "flagged_txn_id", "customer_id"))  # every claim reads it, as it does the devices and a card's profile
+    identity = network.checkpointed(graph.keyed(identity.select("txn_id", *graph.DEVICE_PARTS, "id_15", "id_23")).select("txn_id", "device", "id_15", "id_23"))
+    # windows only over cards that have an alert, and kept only where an alert can ask for them: at flagged transactions, or in person where none is flagged
+    asked = alerts.groupBy("card_id").agg(F.bool_or(F.col("flagged_txn_id").isNull()).alias("open"))
+    flags = alerts.where("flagged_txn_id IS NOT NULL").select(F.col("flagged_txn_id").alias("txn_id")).distinct().withColumn("flag", F.lit(True))
+    marked = txn.join(flags, "txn_id", "left").join(asked, "card_id", "left")
+    anchor = F.coalesce("flag", F.lit(False)) | (F.col("open") & (F.col("channel") == "in_person"))
+    marked = network.checkpointed(marked.where("open IS NOT NULL OR flag").withColumn("anchor", anchor).drop("flag"))
+    own = marked.where("open IS NOT NULL").drop("open")
+    profiles = network.checkpointed(cards.profile(own))
     key = alerts.select("case_id", "card_id", "flagged_txn_id", "customer_id")
     card, flagged, customer = F.col("card_id"), F.col("flagged_txn_id"), F.col("customer_id")
     n = F.col
@@ -36,16 +45,17 @@ def evidence_items(alerts: DataFrame, txn: DataFrame, identity: DataFrame, close
         argument = ("txn_id=", flagged) if detector == "new_device" else ("device=", n("device")) if detector == "ring" else ("card_id=", card)
         return df.select("case_id", F.lit(detector).alias("detector"), c.cast("double").alias("confidence"), count.cast("bigint").alias("n"), claim.alias("claim"), F.lit("graph").alias("source"), _text(f"query:{query}(", *argument, ")").alias("ref"), F.concat_ws(",", *ids).alias("entity_ids"))
 
-    usual = key.join(cards.baseline(own), "card_id")
+    usual = key.join(cards.rounded_profile(profiles), "card_id")
     probes = key.join(cards.card_testing(own, testing), "card_id").where(n("confidence") >= least)
-    burst = key.drop("card_id").join(cards.cnp_burst(own, alerts), "case_id").where(n("confidence") >= least)
-    devices = network.checkpointed(key.join(cards.new_device(txn, identity).withColumnRenamed("txn_id", "flagged_txn_id"), "flagged_txn_id"))  # read by two claims
+    burst = key.drop("card_id").join(cards.cnp_burst(own, alerts, profiles=profiles), "case_id").where(n("confidence") >= least)
+    devices = network.checkpointed(key.join(cards.new_device(marked.where("anchor"), identity).withColumnRenamed("txn_id", "flagged_txn_id"), "flagged_txn_id"))  # read by two claims
     fresh = devices.where(n("confidence") >= least)
     region = key.join(cards.region_anomaly(own, alerts), "case_id").where(n("confidence") >= least)
-    takeover = key.join(cards.account_takeover(own, alerts), "case_id").where(n("confidence") >= least)
+    takeover = key.join(cards.account_takeover(own, alerts, profiles=profiles), "case_id").where(n("confidence") >= least)
     uses = network.device_uses(txn, identity).join(devices.where("device <> 'unknown'").select("device").distinct(), "device", "left_semi")
     owners = uses.select("device", "card_id").distinct().groupBy("device").agg((F.count("*") - 1).alias("others"))
     rings = devices.join(owners, "device").where("others > 0")
+    closed = network.checkpointed(closed.select("case_id", "card_id", "outcome"))
     prior = key.join(memory.case_memory_lookup(alerts, closed, connected, txn), "case_id").where("prior_cases IS NOT NULL AND prior_cases <> ''")
     named = F.slice(F.split("prior_cases", ","), 1, listed)
     parts = [

@@ -54,7 +54,12 @@ def with_quantiles(df: DataFrame, by: str, value: str, wanted: dict[str, float],
     """Per non-null ``by`` the ``others`` and ``wanted``. A group of more than ``hot`` rows is refined by ranges; the map of values that one task keeps for any other is as bounded as ``hot``."""
     large = df.groupBy(by).agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select(by)
     few = large.collect()  # a billion rows have a thousand at most
-    plain = lambda rows: rows.groupBy(by).agg(*others, *(F.percentile(value, F.lit(p)).alias(name) for name, p in wanted.items()))
+
+    def plain(rows: DataFrame) -> DataFrame:
+        """All quantiles from one map of the values."""
+        found = rows.groupBy(by).agg(*others, F.percentile(value, F.array(*(F.lit(float(p)) for p in wanted.values()))).alias("__q"))
+        return found.select(*(c for c in found.columns if c != "__q"), *(F.col("__q")[i].alias(name) for i, name in enumerate(wanted)))
+
     if not few:
         return plain(df)
     named = F.broadcast(df.sparkSession.createDataFrame(few, large.schema))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskgraph.operators import investigate, memory, model, network, reports
-from riskgraph.plans.base import QUERIES, nested, query
+from riskgraph.plans.base import nested, query
 from riskgraph.plans.card_queries import WIDE
 from riskgraph.plans.feature_queries import FEATURES, case_features_of
-from riskgraph.plans.network_queries import USES, connected
+from riskgraph.plans.network_queries import USES, affected_transactions, connected, e_similar_to
 from riskgraph.plans.policy_queries import rules
 from riskgraph.plans.report_queries import FULL, labelled
 from riskgraph.sources import files
@@ -72,6 +72,7 @@ _LATE = "['FILE_REPORT', 'ESCALATE_TO_ANALYST', 'GENERATE_REPORT', 'CLOSE_NO_FRA
 )
 def investigate_alerts(t):
     """Every alert in one pass. Nothing is trained here: the flagged transaction's risk score stands for the probability, and ``score_case`` takes the model's."""
+    t = t.kept()
     scored = network.checkpointed(case_features_of(t).withColumn("probability", F.col("flagged_risk_score")))
     return investigate.investigate(t.alert, t.txn, network.checkpointed(evidence(t)), scored)
 
@@ -79,6 +80,7 @@ def investigate_alerts(t):
 @query("score_case")
 def score_case(t):
     """The investigation with the trained probability, and the signals that contribute to it."""
+    t = t.kept()
     fitted = model.train(network.checkpointed(labelled(t)), "case_id", "y", FULL)
     scored = network.checkpointed(fitted.predict(case_features_of(t)))
     signals = reports.contributing_signals(scored.join(t.alert.select("case_id", "flagged_txn_id", "card_id"), "case_id")).groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("signal")), ",").alias("signals"))
@@ -95,11 +97,11 @@ def score_case(t):
 )
 def case_write_back_unit(t):
     """The alerts written back as two units of one write: cases with evidence claims, RAISED and SIMILAR_TO edges. The first half is written twice, and a third unit that is never noted isn't seen."""
+    t = t.kept()
     path = files.scratch(t.spark, "write-back")
-    cases = t.alert.select("case_id", F.lit("open").alias("outcome"))
-    affected, similar, claims = QUERIES["affected_transactions"], QUERIES["e_similar_to"], network.checkpointed(evidence(t))
+    cases = network.checkpointed(t.alert.select("case_id", F.lit("open").alias("outcome")))
     half = F.pmod(F.xxhash64("case_id"), F.lit(2))
-    affected, similar = network.checkpointed(affected(t.spark, t.sf_dir)), network.checkpointed(similar(t.spark, t.sf_dir))
+    claims, affected, similar = network.checkpointed(evidence(t)), network.checkpointed(affected_transactions(t)), network.checkpointed(e_similar_to(t))
     for n, part in ((0, 0), (0, 0), (1, 1)):
         some = cases.where(half == part)
         key = some.select("case_id")
