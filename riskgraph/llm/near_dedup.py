@@ -159,10 +159,10 @@ def _verify(p: Params):
 _VERIFIED = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similar", pa.bool_()), ("n", pa.int32()), ("lacks", pa.binary()), ("adds", pa.binary())])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """``pairs`` (a, b, sketch) as ``_verify`` sees them. A frequent ``a`` is split by AQE's skew join."""
-    met = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-    met = met.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+def _verified(pairs: DataFrame, a: DataFrame, b: DataFrame, p: Params) -> DataFrame:
+    """``pairs`` (a, b, sketch) as ``_verify`` sees them, with the texts (node, text) of either side. A frequent ``a`` is split by AQE's skew join."""
+    met = pairs.join(b.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
+    met = met.join(a.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
     return met.select("a", "b", "sketch", "a_text", "b_text").mapInArrow(_verify(p), "a binary, b binary, similar boolean, n int, lacks binary, adds binary")
 
 
@@ -192,6 +192,8 @@ def _open_pairs(buckets: DataFrame, labels: DataFrame, seen: DataFrame, p: Param
 
 
 BLOCK = 512
+#: Open pairs up to which only the texts that they ask for are shuffled: their nodes are broadcast, 32 bytes a pair.
+FEW = 200_000
 
 
 def _pack(table: pa.Table) -> pa.Table:
@@ -260,14 +262,19 @@ def _linked(docs: DataFrame, p: Params, text: str, doc_id: str) -> tuple[DataFra
     pivots = keyed.join(central, "node").groupBy("key").agg(F.max(F.struct("central", "n", "node")).alias("top"))
     buckets = cut(keyed.join(pivots.select("key", F.col("top.node").alias("top")), "key").select("key", "node", "size", "top", (F.col("node") == F.col("top")).alias("pivot")))
 
-    wanted = buckets.select("node").distinct().join(nodes.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.row").alias("row")), "node")
+    sides = buckets.groupBy("node").agg(F.bool_or("pivot").alias("is_a"), F.bool_or(~F.col("pivot")).alias("is_b"))
+    wanted = sides.join(nodes.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.row").alias("row")), "node")
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["row"] == wanted["row"]))
-    texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")))
+    texts = cut(texts.groupBy("node").agg(F.first("text").alias("text"), F.first("is_a").alias("is_a"), F.first("is_b").alias("is_b")))
     pairs = buckets.where("NOT pivot").groupBy(F.col("top").alias("a"), F.col("node").alias("b")).agg((F.max("size") > p.small).alias("sketch"))
-    seen = cut(_verified(pairs, texts, p))
+    seen = cut(_verified(pairs, texts.where("is_a"), texts.where("is_b"), p))  # a text goes only to the sides that ask for it
     links = seen.where("similar").select("a", "b")
     labels = components(links)
-    more = cut(_verified(_open_pairs(buckets, labels, seen, p), texts, p).where("similar").select("a", "b"))
+    left = cut(_open_pairs(buckets, labels, seen, p))
+    asked = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if left.count() <= FEW:
+        texts = texts.join(F.broadcast(asked), "node", "left_semi")
+    more = cut(_verified(left, texts, texts, p).where("similar").select("a", "b"))
     if more.limit(1).count():
         links = links.union(more)
         labels = components(links)

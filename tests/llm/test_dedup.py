@@ -260,3 +260,22 @@ def test_registers_estimate_probability_jaccard():
     w = 1 + np.log(w)
     first = (h[: n[0]], w[: n[0]]), (h[n[0] : n[0] + n[1]], w[n[0] : n[0] + n[1]])
     assert abs((who[0] == who[1]).mean() - probability_jaccard(*first)) < 0.05
+
+
+def test_near_dedup_sends_each_side_only_the_texts_it_asks_for(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    one, two = " ".join(words[:200]), " ".join(words[200:])
+    docs = spark.createDataFrame([(i, f"{base} end{i}") for i, base in enumerate([one, one, one, two, two])], "doc_id long, text string")
+    calls, verified = [], near_dedup._verified
+
+    def spy(pairs, a, b, p):
+        calls.append([{r[0] for r in df.select(c).distinct().collect()} for df, c in ((pairs, "a"), (a, "node"), (pairs, "b"), (b, "node"))])
+        return verified(pairs, a, b, p)
+
+    monkeypatch.setattr(near_dedup, "_verified", spy)
+    got = sorted(tuple(r) for r in near_dedup.classes(docs).select("doc_id", "class_id").collect())
+    assert got == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)]
+    for asked_a, given_a, asked_b, given_b in calls:
+        assert given_a <= asked_a | asked_b and given_b <= asked_a | asked_b
+    first = calls[0]
+    assert first[0] == first[1] and first[2] == first[3]
