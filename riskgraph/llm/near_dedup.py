@@ -312,7 +312,9 @@ def pairs(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str
 
 def deduplicate(docs: DataFrame, p: Params = Params(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that come first in their class, one per class, with all columns."""
-    kept = classes(docs, p, text, doc_id).where("first").select(F.col("doc_id").alias("__kept"), F.col("row").alias("__row")).distinct()
-    keyed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    met = keyed.join(kept, keyed[doc_id].cast("long").eqNullSafe(kept["__kept"]) & (keyed["__text_hash"] == kept["__row"]), "left_semi")
-    return met.dropDuplicates([doc_id, "__text_hash"]).drop("__text_hash")
+    # ids as plain keys, so that rows of one id and text lie together for the join and for what makes them one: texts are shuffled once
+    key = ["__none", "__id", "__text_hash"]
+    place = lambda c: {"__none": c.isNull(), "__id": F.coalesce(c, F.lit(0).cast("long"))}
+    kept = classes(docs, p, text, doc_id).where("first").withColumns(place(F.col("doc_id"))).withColumn("__text_hash", F.col("row")).select(*key).distinct()
+    keyed = docs.withColumns(place(F.col(doc_id).cast("long"))).withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([*key, doc_id]).select(*docs.columns)

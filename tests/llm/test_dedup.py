@@ -279,3 +279,14 @@ def test_near_dedup_sends_each_side_only_the_texts_it_asks_for(spark, monkeypatc
         assert given_a <= asked_a | asked_b and given_b <= asked_a | asked_b
     first = calls[0]
     assert first[0] == first[1] and first[2] == first[3]
+
+
+def test_deduplicate_shuffles_texts_once(spark):
+    docs = spark.createDataFrame([(i, f"a text of its own {i} " * 9) for i in range(50)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = near_dedup.deduplicate(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = plan.split("Exchange hashpartitioning")[1:]
+    assert sum("__text_hash" in part.split("\n")[0] and "doc_id" in part.split("\n")[0] for part in moved) == 0
