@@ -154,3 +154,11 @@ def test_activity_of_one_customer_is_shared_by_tasks(spark):
     want = [(a, t[0], t[2], t[3], t[0] == f) for a, f in alerts for t in txn if of[f][2] and t[2] and t[1] == of[f][1] and abs(t[2] - of[f][2]) <= timedelta(days=7)]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert got.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 10
+
+
+def test_activity_window_reckons_an_alerts_limits_once_and_not_for_each_pair(spark):
+    """Days added to a time are dear, and there are far more pairs than alerts."""
+    txn = spark.createDataFrame([("1", "c", datetime(2024, 1, 3), 1.0)], "txn_id string, customer_id string, ts timestamp_ntz, amt double")
+    plan = cards.activity_window(txn, spark.createDataFrame([("A", "1")], "case_id string, flagged_txn_id string"))._jdf.queryExecution().executedPlan().toString()
+    pairs, limits = next(x for x in plan.splitlines() if "SortMergeJoin" in x and "ts#" in x), [x for x in plan.splitlines() if "INTERVAL" in x]
+    assert "INTERVAL" not in pairs and limits
