@@ -4,7 +4,8 @@ Documents have no topic, so topics are learnt: within each language, k-means on
 its documents. Token counts are summed to cells of source, language and topic. Iterative
 proportional fitting scales the cells in turn to each target marginal until
 all agree. A cell's fitted over observed tokens is its documents' weight; the sampling probability is the weight over the
-largest weight, so the expected tokens of the sample stand in the fitted proportions.
+largest weight, so the expected tokens of the sample stand in the fitted proportions. Where no document may be lost,
+documents are repeated instead, by the weight over the smallest weight.
 """
 
 from __future__ import annotations
@@ -307,7 +308,7 @@ def unit_hash(*columns) -> F.Column:
 MADE = ("tokens", "topic", "weight", "probability", "gap", "kept")
 
 
-def mix(docs: DataFrame, goals: list[DataFrame] | None = None, temperature: float = 0.7, weights: dict[str, dict[str, float]] | None = None, seed: int = 17, topics: TopicParams = TopicParams()) -> DataFrame:
+def mix(docs: DataFrame, goals: list[DataFrame] | None = None, temperature: float = 0.7, weights: dict[str, dict[str, float]] | None = None, seed: int = 17, topics: TopicParams = TopicParams(), repeats: float | None = None) -> DataFrame:
     """``docs`` with last columns ``mix_tokens``, ``mix_topic``, ``mix_weight``, ``mix_probability``, ``mix_gap`` (see ``rake``) and ``mix_kept``.
 
     Goals come from ``targets`` unless given. Nulls in source or language are a value of their own. A document is kept if a hash of its id
@@ -315,6 +316,10 @@ def mix(docs: DataFrame, goals: list[DataFrame] | None = None, temperature: floa
     without words have no tokens to weigh: probability 1. Input columns of these six names are replaced; all others pass, whatever their names;
     an empty table gives no rows. Cells are as many as observed triples. Up to BROADCAST_CELLS of them are broadcast, more meet the
     documents by ``join_hot``; both give the same rows.
+
+    With ``repeats`` every document comes once at least: as often as its weight is of the smallest weight, the fraction by the same hash, so that the expected
+    tokens stand in the fitted proportions and none is left out. Weights are scaled by ``repeats`` at most, which bounds the result to ``repeats`` + 1 times the tokens;
+    cells that would then come less than once come once.
     """
     named = docs.drop(*(f"mix_{c}" for c in MADE))
     counted = cut(with_topic(named, learn_topics(named, topics)))  # written once, as words are dearer to find than text is to read
@@ -324,7 +329,7 @@ def mix(docs: DataFrame, goals: list[DataFrame] | None = None, temperature: floa
     fitted = rake(cells, goals or targets(cells, temperature, weights))
     total = cells.agg(F.sum("observed")).first()[0] or 1.0
     weighed = cut(fitted.withColumn("weight", F.col("fitted") * F.lit(total) / F.col("observed")))
-    most = weighed.agg(F.max("weight")).first()[0] or 1.0
+    most, least = (w or 1.0 for w in weighed.agg(F.max("weight"), F.min(F.when(F.col("weight") > 0, F.col("weight")))).first())
     joint = F.to_json(F.array(*MARGINS))
     weighed = weighed.select(joint.alias("__cell"), F.col("weight").alias("mix_weight"), (F.col("weight") / F.lit(most)).alias("mix_probability"), F.col("gap").alias("mix_gap"))
     weighed = cut(cells.select(joint.alias("__cell"), F.col("many").alias("__many")).join(weighed, "__cell", "left"))
@@ -334,5 +339,11 @@ def mix(docs: DataFrame, goals: list[DataFrame] | None = None, temperature: floa
     else:
         met = join_hot(marked, weighed, "__cell", "__many")
     met = met.fillna({"mix_weight": 1.0, "mix_probability": 1.0, "mix_gap": 0.0})
-    met = met.withColumn("mix_kept", unit_hash(F.lit(seed), F.col("doc_id")) < F.col("mix_probability"))
-    return met.select(*named.columns, *(f"mix_{c}" for c in MADE))
+    drawn = unit_hash(F.lit(seed), F.col("doc_id"))
+    met = met.withColumn("mix_kept", drawn < F.col("mix_probability"))
+    found = [*named.columns, *(f"mix_{c}" for c in MADE)]
+    if repeats is None:
+        return met.select(*found)
+    times = F.when(F.col("mix_tokens") > 0, F.greatest(F.lit(1.0), F.col("mix_weight") * F.lit(min(repeats, 1 / least)))).otherwise(1.0)
+    copies = (F.floor(times) + F.when(drawn < times - F.floor(times), 1).otherwise(0)).cast("int")
+    return met.select(*found, F.explode(F.sequence(F.lit(1), copies)).alias("__copy")).select(*found)

@@ -271,6 +271,16 @@ def test_pipeline_keeps_clean_documents(spark, sf_dir):
     assert df.where("NOT round_trip").count() == 0
 
 
+def test_pipelines_mixture_leaves_no_document_out(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = corpus_pipeline.cut(corpus_pipeline.mixture(spark, docs, sf_dir))
+    assert docs.exceptAll(mixed).count() == 0 and mixed.join(docs, "doc_id", "left_anti").count() == 0
+    tokens = corpus_pipeline.token_ids(spark, mixed, sf_dir)
+    assert tokens.count() == mixed.count() and tokens.select("doc_id").distinct().count() == docs.count()
+
+
 def some_words(n, of):
     return " ".join(f"{of}{i}" for i in range(n))
 

@@ -310,6 +310,26 @@ def test_mixing(spark):
         assert abs(r.t / rate - next(w.t for w in want if w.lang == r.lang) ** 0.5 / total) < 1e-3
 
 
+@pytest.mark.parametrize("repeats", [50.0, 1.5])
+def test_mixing_by_repeats_leaves_no_document_out(spark, repeats):
+    """Proportions as those of the sample where the scale suffices; else no more than the stated growth, and still every document."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.union(docs.limit(20)).union(docs.limit(1).withColumn("text", F.lit("")))
+    ids = docs.withColumn("empty", F.col("text") == "").groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    weighed = mixing.mix(docs, temperature=0.5).cache()
+    got = mixing.mix(docs, temperature=0.5, repeats=repeats).cache()
+    assert got.columns == weighed.columns
+    times = {(r.doc_id, r.text): r.n for r in got.groupBy("doc_id", "text").agg(F.count("*").alias("n")).collect()}
+    assert all(times[r.doc_id, r.text] >= r.n and times[r.doc_id, r.text] % r.n == 0 for r in ids.collect())
+    tokens, total = (d.agg(F.sum("mix_tokens")).first()[0] for d in (got, docs.join(weighed.select("doc_id", "mix_tokens"), "doc_id")))
+    if repeats < 2:
+        assert tokens < (repeats + 1) * total
+    else:
+        share = {r.lang: r.t for r in weighed.groupBy("lang").agg(F.sum(F.col("mix_tokens") * F.col("mix_weight")).alias("t")).collect()}
+        for r in got.groupBy("lang").agg(F.sum("mix_tokens").alias("t")).collect():
+            assert abs(r.t / tokens - share[r.lang] / sum(share.values())) < 0.03
+
+
 def test_raking_tells_goals_that_no_cells_meet(spark):
     cells = spark.createDataFrame([("a", "x", "x/0", 5.0), ("b", "y", "y/0", 5.0)], "source string, lang string, topic string, observed double")
     goals = [[("a", 0.5), ("b", 0.5)], [("x", 0.9), ("y", 0.1)], [("x/0", 0.9), ("y/0", 0.1)]]
