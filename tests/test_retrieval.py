@@ -123,3 +123,23 @@ def test_copies_meet_once_and_each_is_answered(spark, monkeypatch, alike):
     assert sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in got.collect()) == by_hand(index, [r for r in index if r[0] % 2 == 0], 3)
     classes = retrieval._weighed(docs, retrieval.vocabulary(docs), "content", retrieval.STOP_WORDS, True, 4).collect()
     assert len({bytes(c.key) for c in classes}) <= 10 and max(len(c.ids) for c in classes) == 4 and len(classes) < 290
+
+
+@pytest.mark.parametrize("adds", [1, 5, 10_000])
+def test_products_are_added_some_at_a_time(spark, monkeypatch, adds):
+    """Scores don't depend on how many products are worked at once; long texts, counts of more than a byte, one frequent term and rare ones."""
+    monkeypatch.setattr(retrieval, "ADDS", adds)
+    monkeypatch.setattr(retrieval, "BLOCK", {"doc": 9, "query": 4})
+    monkeypatch.setattr(retrieval, "DENSE", 2)
+    rng = random.Random(adds)
+    bodies = ["often " * 70_000 + "rare", "often " * 300, "often rare", None] + [" ".join(f"w{int(rng.expovariate(0.2))}" for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "doc_id bigint, content string").repartition(3)
+    index = [tuple(r) for r in retrieval.tfidf_index(docs).collect()]
+    got = retrieval.search_documents(docs, docs.where("doc_id % 2 = 0"), 3, alike=True)
+    assert sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in got.collect()) == by_hand(index, [r for r in index if r[0] % 2 == 0], 3)
+
+
+@pytest.mark.parametrize("name", ["search_documents"])
+def test_copies_of_other_tasks_meet_once_too_and_counts_travel_for_weights(spark, sf_dir, name):
+    plan = contract.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(ids" in plan and "counts" in plan and "weights" not in plan
