@@ -139,7 +139,7 @@ def test_products_are_added_some_at_a_time(spark, monkeypatch, adds):
     assert sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in got.collect()) == by_hand(index, [r for r in index if r[0] % 2 == 0], 3)
 
 
-@pytest.mark.parametrize("name", ["search_documents"])
+@pytest.mark.parametrize("name", ["search_documents", "search_in_category"])
 def test_copies_of_other_tasks_meet_once_too_and_counts_travel_for_weights(spark, sf_dir, name):
     plan = contract.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list(ids" in plan and "counts" in plan and "weights" not in plan
