@@ -23,6 +23,13 @@ def test_connected_cards_shuffles_no_pairs(spark):
     assert len(before_pairs) == 2 and "Exchange" not in before_pairs[0]
 
 
+def test_connected_cards_copies_alerts_and_not_the_cards_of_devices(spark):
+    lines = plan(spark, "connected_cards").splitlines()
+    copied = [x for x in lines if "Generate explode" in x and "explode(others" not in x]
+    assert len(copied) == 1 and "case_id#" in copied[0] and "others#" not in copied[0]
+    assert any("REPARTITION_BY_NUM" in x for x in lines)
+
+
 @pytest.mark.parametrize("name", ["device_neighbors", "region_cluster", "email_cluster"])
 def test_every_card_is_listed(spark, name):
     rows = contract.queries()[name](spark, DATA).collect()
